@@ -91,21 +91,26 @@ def powers(base: int, n: int) -> np.ndarray:
     return out[:n]
 
 
-def word_hashes(texts: list[bytes | None], table: bytes) -> tuple[np.ndarray, np.ndarray]:
+def word_hashes(texts: list[bytes | None], table: bytes, prefix: int = 0, kinds: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
     """64-bit hashes of all words of the texts, one after another, and len(texts)+1 offsets of each text's words.
 
+    With prefix also hashes of the words' first `prefix` bytes. With kinds, a number for each byte value and 0 for
+    blanks, a word also ends where the kind changes.
+
     A word's hash is a polynomial over a random value for each byte, modulo 2**64, then mixed: prefix sums give it for
     all words at once. Equal words have equal hashes in every process.
     """
     buf = np.frombuffer(b" ".join(x.translate(table) if x else b"" for x in texts) + b" ", dtype=np.uint8)
-    inside = buf != 32
-    edge = np.diff(inside.view(np.int8), prepend=np.int8(0))
-    start, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+    kind = (buf != 32).view(np.int8) if kinds is None else kinds[buf]
+    edge = np.diff(kind, prepend=np.int8(0)) != 0
+    start = np.flatnonzero(edge & (kind != 0))
+    end = np.flatnonzero(edge[1:] & (kind[:-1] != 0)) + 1
     sums = np.zeros(len(buf) + 1, dtype=np.uint64)
     np.cumsum(_BYTE[buf] * powers(_BASE, len(buf)), out=sums[1:])
-    hashes = mix((sums[end] - sums[start]) * powers(_INVERSE, len(buf))[start] + (end - start).astype(np.uint64))
-    at = np.cumsum([0] + [len(x or b"") + 1 for x in texts])
-    return hashes, np.searchsorted(start, at)
+    back = powers(_INVERSE, len(buf))[start]
+    hashed = lambda stop: mix((sums[stop] - sums[start]) * back + (stop - start).astype(np.uint64))
+    at = np.searchsorted(start, np.cumsum([0] + [len(x or b"") + 1 for x in texts]))
+    return (hashed(end), at, hashed(np.minimum(end, start + prefix))) if prefix else (hashed(end), at)
 
 
 def ngrams(hashes: np.ndarray, n: int) -> np.ndarray:

@@ -14,8 +14,8 @@ How the work is kept bounded, without dropping any link:
   link falls inside the components that these stars give.
 * A bucket whose members are all in one component has nothing left to add. For the others a second step looks at pairs
   across components, in blocks of at most 2 * BLOCK members: a pair is taken in the first bucket it shares, if its sizes
-  allow the similarity and if SKETCH one-byte minima agree as often as a similarity of 0.75 makes them do, less four
-  standard deviations. Only those pairs go on to the full comparison; their number is bounded by what may be linked.
+  allow the similarity and if the minima of SKETCH bins, one byte each, agree as often as a similarity of 0.75 makes them
+  do, less SIGMAS standard deviations (filled bins sample the union without replacement). Only those pairs go on to the full comparison; their number is bounded by what may be linked.
 * Copies, stars and blocks are spread over tasks; no group is held whole in one task or on the driver.
 
 Rows: a null or empty text has an empty set, is its own component and is linked with nothing. A null doc_id takes the
@@ -37,7 +37,7 @@ from tallygrid.operators.components import connected_components
 
 WORDS, BINS, ROWS_PER_BAND, LEAST, OF = 5, 128, 4, 75, 100
 BANDS = BINS // ROWS_PER_BAND
-SKETCH, BLOCK = 512, 4096
+SKETCH, SIGMAS, BLOCK = 512, 5, 4096
 _PROBES = np.random.default_rng(20170806).integers(0, SKETCH, (4096, SKETCH))
 
 
@@ -83,7 +83,12 @@ def bands(own: np.ndarray) -> np.ndarray:
 
 
 def sketch(own: np.ndarray) -> bytes:
-    return (mix(signature(own, SKETCH)) & np.uint64(255)).astype(np.uint8).tobytes()
+    """One byte for each of SKETCH bins of the set: 0 if the bin is empty, else made from its minimum."""
+    shift = np.uint64(64 - SKETCH.bit_length() + 1)
+    bins, first = np.unique(own >> shift, return_index=True)
+    out = np.zeros(SKETCH, dtype=np.uint8)
+    out[bins.astype(np.int64)] = 1 + mix(own[first]) % np.uint64(255)
+    return out.tobytes()
 
 
 def set_key(own: np.ndarray) -> bytes:
@@ -156,8 +161,11 @@ def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 continue
             same = own[y] == own[x]
             y = y[own[x][same.argmax(axis=1)] == bucket]
-            slack = 4 * np.sqrt(0.1875 * (1 / SKETCH + 1 / np.maximum(1, n[x])))
-            y = y[(sk[y] == sk[x]).mean(axis=1) >= LEAST / OF - slack]
+            filled = ((sk[y] != 0) | (sk[x] != 0)).sum(axis=1)
+            agree = ((sk[y] == sk[x]) & (sk[x] != 0)).sum(axis=1)
+            union = np.maximum((n[x] + n[y]) * OF / (OF + LEAST), filled)
+            slack = SIGMAS * np.sqrt(0.1875 / filled * (1 - filled / union)) + 2 / filled
+            y = y[agree / filled >= LEAST / OF - slack]
             out[0].extend(np.maximum(rep[y], rep[x]).tolist())
             out[1].extend(np.minimum(rep[y], rep[x]).tolist())
         return pa.record_batch([pa.array(v, pa.int64()) for v in out], names=["a", "b"])

@@ -6,12 +6,20 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallygrid.llm.near_dedup import op10_near_dedup
+from tallygrid.llm import decontaminate, lm_scoring, near_dedup, quality, token_counts, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op10_near_dedup,)}
+    found = (
+        token_counts.op2_token_counts,
+        decontaminate.op3_decontaminate,
+        quality.op4_quality,
+        toxicity.op7_toxicity,
+        lm_scoring.op9_lm_scoring,
+        near_dedup.op10_near_dedup,
+    )
+    return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op3_decontaminate": decontaminate.ORACLE}
