@@ -30,6 +30,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tallygrid.llm.common import SPACED, bound_batches, cut, mix, ngrams, pieces, read, text_bytes, word_hashes
@@ -214,5 +215,14 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return out.withColumn("kept", F.expr("doc_id <=> component_id"))
 
 
+def deduplicate(docs: DataFrame) -> DataFrame:
+    """docs, with its columns: of each component the row of the smallest doc_id; of repeated rows one."""
+    kept = near_duplicates(docs).where("kept").select(F.col("doc_id").alias("_kept")).distinct()
+    own = docs.withColumns({"_id": F.col("doc_id").cast("long"), "_hash": F.xxhash64("text")})
+    own = own.join(kept.hint("merge"), F.col("_id").eqNullSafe(F.col("_kept")), "left_semi")
+    first = F.row_number().over(W.partitionBy("_id", "_hash").orderBy("text"))
+    return own.withColumn("_copy", first).where("_copy = 1").select(*docs.columns)
+
+
 def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read(spark, sf_dir, "documents"))

@@ -6,15 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallygrid.llm import decontaminate, lm_scoring, near_dedup, quality, token_counts, toxicity
+from tallygrid.llm import decontaminate, fingerprints, license_scan, lm_scoring, mixing, near_dedup, quality, sharding, token_counts, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (
+        sharding.op1_sharding,
         token_counts.op2_token_counts,
         decontaminate.op3_decontaminate,
         quality.op4_quality,
+        license_scan.op5_license_scan,
+        mixing.op6_mixing,
         toxicity.op7_toxicity,
+        fingerprints.op8_fingerprints,
         lm_scoring.op9_lm_scoring,
         near_dedup.op10_near_dedup,
     )
@@ -22,4 +26,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_decontaminate": decontaminate.ORACLE}
+    return {"op1_sharding": sharding.ORACLE, "op3_decontaminate": decontaminate.ORACLE, "op5_license_scan": license_scan.ORACLE, "op6_mixing": mixing.ORACLE}
