@@ -76,20 +76,78 @@ def altitude_foot(p: Point, a: Point, b: Point) -> Point:
     return x, y
 
 
-#: Smallest area and side and altitude as shares of the short canvas side (area: of its square), angles in degrees.
-TRIANGLE_RULES = {"min_area": 0.02, "min_side": 0.2, "min_altitude": 0.12, "min_angle": 25.0, "max_angle": 120.0}
-
-
-def triangle_reject(a: Point, b: Point, c: Point, short: float, rules: dict[str, float] = TRIANGLE_RULES, forbidden: tuple[tuple[float, float], ...] = ((85.0, 95.0),)) -> Column:
+# Smallest side, altitude and area as shares of the canvas's short side (area: of its square).
+TRIANGLE_RULES = {"min_side": 0.18, "min_altitude": 0.12, "min_area": 0.03}
+# By task smallest side and area as such shares, smallest and largest angle, and degrees to keep from a right angle.
+TRIANGLE_TASKS = {
+    "triangle_center": (0.20, 0.04, 31.0, 116.0, 0.0),
+    "incenter": (0.20, 0.04, 31.0, 116.0, 0.0),
+    "circumcenter": (0.20, 0.04, 31.0, 112.0, 0.0),
+    "orthocenter": (0.22, 0.045, 33.0, 110.0, 8.0),
+}
+
+
+def triangle_reject(
+    a: Point, b: Point, c: Point, short: float, min_side: float = 0.18, min_area: float = 0.03, min_altitude: float = 0.12, min_angle: float | None = None, max_angle: float | None = None, forbidden: tuple[tuple[float, float], ...] = ()
+) -> Column:
     """Q1: what is wrong with a triangle, null if nothing."""
     sides = [distance(b, c), distance(a, c), distance(a, b)]
     angles = [angle(a, b, c), angle(b, a, c), angle(c, a, b)]
-    out = F.when(area(a, b, c) < rules["min_area"] * short * short, "area").when(F.least(*sides) < rules["min_side"] * short, "side")
-    out = out.when(F.try_divide(2 * area(a, b, c), F.greatest(*sides)) < rules["min_altitude"] * short, "altitude")
-    out = out.when((F.least(*angles) < rules["min_angle"]) | (F.greatest(*angles) > rules["max_angle"]), "angle")
+    out = F.when(area(a, b, c) < min_area * short * short, "area").when(F.least(*sides) < min_side * short, "side")
+    out = out.when(F.coalesce(F.try_divide(2 * area(a, b, c), F.greatest(*sides)), F.lit(0.0)) < min_altitude * short, "altitude")
+    if min_angle is not None:
+        out = out.when(F.least(*angles) < min_angle, "smallest angle")
+    if max_angle is not None:
+        out = out.when(F.greatest(*angles) > max_angle, "largest angle")
     for low, high in forbidden:
-        hit = F.lit(False)
-        for x in angles:
-            hit = hit | ((x >= low) & (x <= high))
-        out = out.when(hit, "forbidden angle")
+        out = out.when(F.exists(F.array(*angles), lambda x: (x >= low) & (x <= high)), "forbidden angle")
     return out
+
+
+def triangle_violations(a: Point, b: Point, c: Point, short: float, task: str) -> dict[str, Column]:
+    """Q4: rules of a task that a triangle breaks."""
+    side, size, low, high, off = TRIANGLE_TASKS[task]
+    angles = [angle(a, b, c), angle(b, a, c), angle(c, a, b)]
+    return {
+        "side": F.least(distance(b, c), distance(a, c), distance(a, b)) < side * short,
+        "area": area(a, b, c) < size * short * short,
+        "small_angle": F.least(*angles) < low,
+        "large_angle": F.greatest(*angles) > high,
+        "right_angle": F.exists(F.array(*angles), lambda x: F.abs(x - 90.0) < off),
+    }
+
+
+def polygon_area(points: list[Point]) -> Column:
+    terms = [p[0] * q[1] - q[0] * p[1] for p, q in zip(points, points[1:] + points[:1], strict=True)]
+    return F.abs(sum(terms[1:], terms[0])) / 2
+
+
+def polygon_violations(points: list[Point], short: float, kind: str) -> dict[str, Column]:
+    """Q4: fixed values of the shape checks, as shares of the canvas's short side."""
+    sides = [distance(p, q) for p, q in zip(points, points[1:] + points[:1], strict=True)]
+    if kind == "parallelogram":
+        return {"side": F.least(*sides) < 0.17 * short, "area": polygon_area(points) < 0.04 * short * short}
+    if kind == "isosceles_trapezoid":
+        return {"top": sides[2] < 0.18 * short, "area": polygon_area(points) < 0.05 * short * short}
+    if kind == "square_outlier":
+        return {"side": F.least(*sides) < 0.25 * short, "area": polygon_area(points) < 0.09 * short * short}
+    if kind == "right_triangle":  # corner with the right angle first
+        legs = (sides[0], sides[-1])
+        return {"leg": F.least(*legs) < 0.20 * short, "ratio": F.coalesce(F.try_divide(F.greatest(*legs), F.least(*legs)), F.lit(float("inf"))) > 1.35}
+    raise ValueError(kind)
+
+
+def well_spaced(points: Column, least: float) -> Column:
+    """No two of an array of structs x, y are nearer than `least`."""
+    near = lambda p, q: F.sqrt(F.pow(p["x"] - q["x"], F.lit(2)) + F.pow(p["y"] - q["y"], F.lit(2))) < least
+    later = F.transform(points, lambda p, i: F.exists(F.slice(points, i + 2, F.size(points)), lambda q: near(p, q)))
+    return ~F.exists(later, lambda x: x)
+
+
+def inside(points: Column, width: float, height: float, padding: float) -> Column:
+    return F.forall(points, lambda p: p["x"].between(padding, width - padding) & p["y"].between(padding, height - padding))
+
+
+def layout_ok(points: Column, width: float, height: float, padding: float, least: float) -> Column:
+    """Q2"""
+    return inside(points, width, height, padding) & well_spaced(points, least)

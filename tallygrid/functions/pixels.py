@@ -85,9 +85,9 @@ def nearer(colour: list[Column], base: list[Column], white: tuple[int, int, int]
 
 
 def safe_radius(cell_size: Column, cell_radius: Column, ring_width: Column, scale: Column) -> Column:
-    """M7: from the first measure that is there; 4 at least."""
-    size = F.coalesce(cell_size * 0.45, cell_radius * 0.8, ring_width * 0.6)
-    return F.greatest(F.lit(4), F.coalesce(F.bround(size * scale), F.lit(0)).cast("int"))
+    """M7: from the first measure that is there; 4 at least, before and after scaling."""
+    base = F.greatest(F.lit(4.0), F.coalesce(F.bround(F.coalesce(cell_size * 0.45, cell_radius * 0.8, ring_width * 0.6)), F.lit(4.0)))
+    return F.greatest(F.lit(4.0), F.bround(base * scale)).cast("int")
 
 
 def cell_of(x: Column, y: Column, width: int, height: int) -> tuple[Column, Column]:

@@ -36,6 +36,13 @@ def value(m: Column, key: str) -> Column:
     return F.try_element_at(m, F.lit(key))
 
 
+def pin(rows: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    """rows with columns that are worked out once: through a generator of one row, as filters above a plain projection
+    would get a copy of every long expression that they look at."""
+    rows = rows.drop(*columns)
+    return rows.withColumn("_pin", F.explode(F.array(F.struct(*(c.alias(k) for k, c in columns.items()))))).select(*rows.columns, "_pin.*")
+
+
 def resolve_prompt(m: Column, mode: str) -> Column:
     """P1"""
     primary, fallback = PROMPT_KEYS[mode]
@@ -70,16 +77,16 @@ def absolute(path: Column, base: str | Column) -> Column:
 
 def canonical(records: DataFrame, base: str | Column, name: str | Column = "task") -> DataFrame:
     """Records (record: JSON text) with the canonical columns and reject_reason, null for rows that are kept."""
-    m, rows = F.col("_m"), records.withColumn("_m", record_map("record"))
+    m, rows = F.col("_m"), pin(records, {"_m": record_map("record")})
     path = lambda x: F.when(missing(x).isNotNull(), absolute(x, base))
     image = missing(value(m, "image"))
     ids = F.from_json(value(m, "solution_path_cell_ids"), "array<string>")
     maze_ids = F.when(value(m, "solution_path_cell_ids").rlike(r"^\s*\["), F.transform(ids, lambda c: c.try_cast("int")))
     pattern = F.coalesce(present(value(m, "answer")), missing(answer_body(F.get_json_object(value(m, "ti2ti_answer"), "$.text"))), missing(answer_body(value(m, "ti2t_answer"))))
     chosen = F.upper(strip(blank(value(m, "correct_option"))))
-    rows = rows.withColumns({"task_group": task_group(m, name), "task_type": task_type(m, name)})
+    rows = pin(rows, {"task_group": task_group(m, name), "task_type": task_type(m, name)})
     group = F.col("task_group")
-    rows = rows.withColumns({
+    rows = pin(rows, {
         "sample_id": F.coalesce(missing(value(m, "id")), F.concat(F.col("task_type"), F.lit(":"), blank(value(m, "image")))),
         "prompts": F.struct(*(resolve_prompt(m, k).alias(k) for k in PROMPT_KEYS)),
         "prompt_raw": raw_prompt(m),

@@ -18,9 +18,10 @@ def options(answer: Column, pool: Column, k: int, seed: str | int, key: Column)
 
 
 def numeric_options(answer: Column, k: int, seed: str | int, key: Column) -> Column:
-    """Distractors from 0 up to the least power of ten, 10 at least, above the answer."""
-    top = F.greatest(F.lit(10), F.pow(F.lit(10), F.length(answer.cast("string"))).cast("int"))
-    return options(answer.cast("int"), F.sequence(F.lit(0), top - 1), k, seed, key)
+    """Distractors from 0 up to the least of 10, 100, ... 100000 that isn't below the answer; null beyond."""
+    own = answer.cast("int")
+    top = F.array_min(F.filter(F.array(*(F.lit(10**n) for n in range(1, 6))), lambda t: t >= own))
+    return F.when(top.isNotNull() & (own >= 0), options(own, F.sequence(F.lit(0), F.coalesce(top, F.lit(10)) - 1), k, seed, key))
 
 
 def epoch_order(rows: DataFrame, key: str, seed: int, epoch: int, skip: int = 0) -> DataFrame:
