@@ -5,22 +5,26 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-r, g, b = F.col("r"), F.col("g"), F.col("b")
+
+def _rgb() -> tuple[Column, Column, Column]:
+    return F.col("r"), F.col("g"), F.col("b")
 
 
 def red_option() -> Column:
     """M1: red of the option scorer."""
+    r, g, b = _rgb()
     return (r >= 140) & (r - F.greatest(g, b) >= 40) & (g <= 130) & (b <= 130)
 
 
 def red_maze(dominance: int = 70) -> Column:
     """M1: red of mazes; square mazes take a dominance of 80."""
+    r, g, b = _rgb()
     return (r >= 150) & (r - F.greatest(g, b) >= dominance)
 
 
 def wall() -> Column:
     """M2"""
-    return F.greatest(r, g, b) <= 40
+    return F.greatest(*_rgb()) <= 40
 
 
 def grey(*rgb: str) -> Column:

@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallygrid.plans import record_queries, registry, text_queries  # noqa: F401  importing registers
+from tallygrid.plans import grid_queries, record_queries, registry, text_queries  # noqa: F401  importing registers
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return registry.QUERIES["t1_spelled_letter"](spark, sf_dir)
+    return registry.QUERIES["a2_grouped_summary"](spark, sf_dir)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -294,6 +294,9 @@ def eval_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return voted(spark, sf_dir).selectExpr("task_group", "concat('type', puzzle_id % 7) as task_type", "if(attempt % 11 > 0, ok, null) as offline_pass", "if(attempt % 13 = 0, 'bad', if(attempt % 2 = 0, '', null)) as error")
 
 
+A1_BY_GROUP = f"SELECT task_group, count(*) AS total, count(*) FILTER (ok) AS passed, count(*) FILTER (NOT ok) AS failed, CAST(0 AS BIGINT) AS errors FROM {PASSED} GROUP BY 1"
+
+
 @query(f"SELECT {COUNTS} FROM {REC}")
 def a1_run_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return summary.run_summary(eval_records(spark, sf_dir))
