@@ -40,7 +40,7 @@ def pin(rows: DataFrame, columns: dict[str, Column]) -> DataFrame:
     """rows with columns that are worked out once: through a generator of one row, as filters above a plain projection
     would get a copy of every long expression that they look at."""
     rows = rows.drop(*columns)
-    return rows.withColumn("_pin", F.explode(F.array(F.struct(*(c.alias(k) for k, c in columns.items()))))).select(*rows.columns, "_pin.*")
+    return rows.select(*rows.columns, F.inline(F.array(F.struct(*(c.alias(k) for k, c in columns.items())))))
 
 
 def resolve_prompt(m: Column, mode: str) -> Column:
@@ -84,7 +84,7 @@ def canonical(records: DataFrame, base: str | Column, name: str | Column = "task
     maze_ids = F.when(value(m, "solution_path_cell_ids").rlike(r"^\s*\["), F.transform(ids, lambda c: c.try_cast("int")))
     pattern = F.coalesce(present(value(m, "answer")), missing(answer_body(F.get_json_object(value(m, "ti2ti_answer"), "$.text"))), missing(answer_body(value(m, "ti2t_answer"))))
     chosen = F.upper(strip(blank(value(m, "correct_option"))))
-    rows = pin(rows, {"task_group": task_group(m, name), "task_type": task_type(m, name)})
+    rows = rows.withColumns({"task_group": task_group(m, name), "task_type": task_type(m, name)})
     group = F.col("task_group")
     rows = pin(rows, {
         "sample_id": F.coalesce(missing(value(m, "id")), F.concat(F.col("task_type"), F.lit(":"), blank(value(m, "image")))),
