@@ -85,10 +85,10 @@ ORACLE = """
 WITH tab AS (
   SELECT list_transform(range(16), lambda n: list_reduce([n, 0, 0, 0, 0], lambda c, z: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END)) AS t),
 d AS (
-  SELECT doc_id, coalesce(source, '') AS source, coalesce(octet_length(encode(text)), 0) + 1 AS size, hex(encode(coalesce(text, ''))) AS x,
+  SELECT doc_id, coalesce(source, '') AS source, coalesce(octet_length(encode(text)), 0) + 1 AS size, string_split(hex(encode(coalesce(text, ''))), '') AS x,
     CAST('0x' || substr(md5('interleave-1:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 15) AS BIGINT) AS h FROM documents),
 c AS (
-  SELECT d.* EXCLUDE (x), xor(list_reduce(list_prepend(4294967295, list_transform(range(length(x)), lambda i: CAST('0x' || x[i - i % 2 + 2 - i % 2] AS BIGINT))),
+  SELECT d.* EXCLUDE (x), xor(list_reduce(list_prepend(4294967295, list_transform(range(len(x)), lambda i: CAST(strpos('0123456789ABCDEF', x[i - i % 2 + 2 - i % 2]) - 1 AS BIGINT))),
     lambda a, b: xor(t[xor(a, b) % 16 + 1], a // 16)), 4294967295) AS text_crc32 FROM d, tab),
 r AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY h, doc_id, text_crc32, size) AS k, count(*) OVER (PARTITION BY source) AS ns FROM c),
 g AS (SELECT *, row_number() OVER (ORDER BY CAST(2 * k - 1 AS DOUBLE) / CAST(2 * ns AS DOUBLE), source, h, doc_id, text_crc32, size) - 1 AS p, count(*) OVER () AS n FROM r),
