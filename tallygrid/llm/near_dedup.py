@@ -39,7 +39,7 @@ from tallygrid.operators.components import connected_components
 WORDS, BINS, ROWS_PER_BAND, LEAST, OF = 5, 128, 4, 75, 100
 BANDS = BINS // ROWS_PER_BAND
 SKETCH, SIGMAS, BLOCK = 512, 5, 4096
-_PROBES = np.random.default_rng(20170806).integers(0, SKETCH, (4096, SKETCH))
+_PROBES = np.random.default_rng(20170806).integers(0, BINS, (4096, BINS))
 
 
 def shingles(texts: list[bytes | None]) -> Iterator[np.ndarray]:
@@ -102,8 +102,8 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             part = batch.slice(a, b - a)
             sets = list(shingles(text_bytes(part.column(1)).to_pylist()))
             yield pa.record_batch(
-                [part.column(0), pa.array([len(x) for x in sets], pa.int64()), pa.array([set_key(x) if len(x) else None for x in sets], pa.binary()), pa.array([bands(x) if len(x) else None for x in sets], pa.list_(pa.int64())), pa.array([sketch(x) if len(x) else None for x in sets], pa.binary())],
-                names=["doc_id", "n_shingles", "set_key", "bands", "sketch"],
+                [part.column(0), part.column(2), pa.array([len(x) for x in sets], pa.int64()), pa.array([set_key(x) if len(x) else None for x in sets], pa.binary()), pa.array([bands(x) if len(x) else None for x in sets], pa.list_(pa.int64())), pa.array([sketch(x) if len(x) else None for x in sets], pa.binary())],
+                names=["doc_id", "text_hash", "n_shingles", "set_key", "bands", "sketch"],
             )
 
 
@@ -127,18 +127,17 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.record_batch([pa.array(x, pa.int64()) for x in cols], names=["a", "b", "n_both", "n_all"])
 
 
-def compare(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, star: int = 2000) -> DataFrame:
-    """(a, b, n_both, n_all): full sets of a and of its centre b, for every pair. nodes: (rep, set_key).
+def compare(docs: DataFrame, pairs: DataFrame, star: int = 2000) -> DataFrame:
+    """(a, b, n_both, n_all): full sets of a and of its centre b, for every pair (a, a_key, b, b_key); keys name the sets.
 
     Texts of the documents that take part are sent once for each star they are in, members spread over parts of `star`
     members with the centre repeated in each, and are read as a sorted stream: no group is held in memory.
     """
-    parts = pairs.groupBy("b").agg(F.ceil(F.count("*") / star).cast("int").alias("parts"))
-    members = pairs.join(parts.hint("merge"), "b").select(F.col("b").alias("c"), F.expr("cast(pmod(xxhash64(a), parts) as int)").alias("salt"), F.lit(True).alias("member"), F.col("a").alias("rep"))
-    centres = parts.select(F.col("b").alias("c"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("salt"), F.lit(False).alias("member"), F.col("b").alias("rep"))
-    roles = members.unionByName(centres).join(nodes.select("rep", "set_key").hint("merge"), "rep")
+    parts = pairs.groupBy("b", "b_key").agg(F.ceil(F.count("*") / star).cast("int").alias("parts"))
+    members = pairs.join(parts.drop("b_key").hint("merge"), "b").select(F.col("b").alias("c"), F.expr("cast(pmod(xxhash64(a), parts) as int)").alias("salt"), F.lit(True).alias("member"), F.col("a").alias("rep"), F.col("a_key").alias("set_key"))
+    centres = parts.select(F.col("b").alias("c"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("salt"), F.lit(False).alias("member"), F.col("b").alias("rep"), F.col("b_key").alias("set_key"))
     texts = docs.select(F.col("doc_id").alias("rep"), "text")
-    rows = roles.hint("merge").join(texts, "rep").select("c", "salt", "member", "rep", "set_key", "text")
+    rows = members.unionByName(centres).hint("merge").join(texts, "rep").select("c", "salt", "member", "rep", "set_key", "text")
     rows = rows.repartition("c", "salt").sortWithinPartitions("c", "salt", "member")
     return rows.mapInArrow(_compare, "a long, b long, n_both long, n_all long")
 
@@ -153,7 +152,7 @@ def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block, comp, rep, n = (np.array([r[k] for r in rows]) for k in (3, 4, 6, 5))
         own = np.array([r[7] for r in rows], dtype=np.int64)
         sk = np.frombuffer(b"".join(r[8] for r in rows), dtype=np.uint8).reshape(len(rows), SKETCH)
-        out: tuple[list, list] = ([], [])
+        out: list[tuple] = []
         for x in range(len(rows) - 1):
             stop = np.searchsorted(n, n[x] * OF // LEAST, side="right")
             y = np.arange(x + 1, max(stop, x + 1))
@@ -167,9 +166,11 @@ def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             union = np.maximum((n[x] + n[y]) * OF / (OF + LEAST), filled)
             slack = SIGMAS * np.sqrt(0.1875 / filled * (1 - filled / union)) + 2 / filled
             y = y[agree / filled >= LEAST / OF - slack]
-            out[0].extend(np.maximum(rep[y], rep[x]).tolist())
-            out[1].extend(np.minimum(rep[y], rep[x]).tolist())
-        return pa.record_batch([pa.array(v, pa.int64()) for v in out], names=["a", "b"])
+            for k in y.tolist():
+                high, low = (rows[k], rows[x]) if rep[k] > rep[x] else (rows[x], rows[k])
+                out.append((high[6], high[9], low[6], low[9]))
+        cols = list(zip(*out, strict=True)) or [[]] * 4
+        return pa.record_batch([pa.array(v, t) for v, t in zip(cols, (pa.int64(), pa.binary()) * 2, strict=True)], names=["a", "a_key", "b", "b_key"])
 
     for batch in batches:
         for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
@@ -182,44 +183,49 @@ def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def across(buckets: DataFrame, nodes: DataFrame, found: DataFrame) -> DataFrame:
-    """Pairs (a, b) of members of a bucket that are in two components so far and may be linked."""
+    """Pairs (a, a_key, b, b_key) of members of a bucket that are in two components so far and may be linked."""
     now = buckets.join(found.select(F.col("node").alias("rep"), "component").hint("merge"), "rep", "left").withColumn("comp", F.coalesce("component", "rep"))
     mixed = now.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("k")).where("lo < hi").select("bucket", F.ceil(F.col("k") / BLOCK).cast("int").alias("g"))
-    rows = now.join(mixed.hint("merge"), "bucket").join(nodes.select("rep", "n", "bands", "sketch").hint("merge"), "rep")
+    rows = now.join(mixed.hint("merge"), "bucket").join(nodes.select("rep", "n", "bands", "sketch", "set_key").hint("merge"), "rep")
     rows = rows.withColumn("block", F.expr("cast(pmod(xxhash64(rep), g) as int)")).withColumn("other", F.explode(F.expr("sequence(0, g - 1)")))
-    rows = rows.select("bucket", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "comp", "n", "rep", "bands", "sketch")
-    return rows.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j").mapInArrow(_across, "a long, b long").distinct()
+    rows = rows.select("bucket", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "comp", "n", "rep", "bands", "sketch", "set_key")
+    return rows.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j").mapInArrow(_across, "a long, a_key binary, b long, b_key binary").distinct()
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) for every row of docs (doc_id, text, ...)."""
+def classified(docs: DataFrame) -> DataFrame:
+    """(doc_id, text_hash, n_shingles, component_id, kept) for every row of docs (doc_id, text, ...)."""
     bound_batches(docs.sparkSession)
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    signed = cut(docs.mapInArrow(_sign, "doc_id long, n_shingles long, set_key binary, bands array<long>, sketch binary"))
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_hash"))
+    signed = cut(docs.mapInArrow(_sign, "doc_id long, text_hash long, n_shingles long, set_key binary, bands array<long>, sketch binary"))
     nodes = signed.where("set_key is not null and doc_id is not null").groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
-    rows = nodes.select("rep", F.explode("bands").alias("bucket"))
-    low = rows.groupBy("bucket").agg(F.min("rep").alias("b"), F.count("*").alias("k")).where("k > 1").select("bucket", "b")
+    rows = nodes.select("rep", "set_key", F.explode("bands").alias("bucket"))
+    low = rows.groupBy("bucket").agg(F.min(F.struct("rep", "set_key")).alias("low"), F.count("*").alias("k")).where("k > 1").select("bucket", F.col("low.rep").alias("b"), F.col("low.set_key").alias("b_key"))
     buckets = cut(rows.join(low.hint("merge"), "bucket"))
-    tested = cut(compare(docs, nodes, buckets.where("rep <> b").select(F.col("rep").alias("a"), "b").distinct()))
-    links = tested.where(f"{OF} * n_both >= {LEAST} * n_all").select("a", "b")
+    pairs = buckets.where("rep <> b").select(F.col("rep").alias("a"), F.col("set_key").alias("a_key"), "b", "b_key").distinct()
+    links = cut(compare(docs, pairs)).where(f"{OF} * n_both >= {LEAST} * n_all").select("a", "b")
     found = connected_components(links)
-    more = cut(across(buckets, nodes, found))
+    more = cut(across(buckets.drop("b", "b_key", "set_key"), nodes, found))
     if not more.isEmpty():
-        extra = cut(compare(docs, nodes, more)).where(f"{OF} * n_both >= {LEAST} * n_all").select("a", "b")
+        extra = cut(compare(docs, more)).where(f"{OF} * n_both >= {LEAST} * n_all").select("a", "b")
         if not extra.isEmpty():
             stars = found.where("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b"))
             found = connected_components(stars.unionByName(extra))
     classes = nodes.select("set_key", F.col("rep").alias("node")).join(found.hint("merge"), "node", "left").select("set_key", F.coalesce("component", "node").alias("component"))
-    out = signed.select("doc_id", "n_shingles", "set_key").join(classes.hint("merge"), "set_key", "left")
-    out = out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
+    out = signed.select("doc_id", "text_hash", "n_shingles", "set_key").join(classes.hint("merge"), "set_key", "left")
+    out = out.select("doc_id", "text_hash", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
     return out.withColumn("kept", F.expr("doc_id <=> component_id"))
 
 
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept) for every row of docs (doc_id, text, ...)."""
+    return classified(docs).drop("text_hash")
+
+
 def deduplicate(docs: DataFrame) -> DataFrame:
     """docs, with its columns: of each component the row of the smallest doc_id; of repeated rows one."""
-    kept = near_duplicates(docs).where("kept").select(F.col("doc_id").alias("_kept")).distinct()
+    kept = classified(docs).where("kept").select(F.col("doc_id").alias("_kept"), F.col("text_hash").alias("_kept_hash")).distinct()
     own = docs.withColumns({"_id": F.col("doc_id").cast("long"), "_hash": F.xxhash64("text")})
-    own = own.join(kept.hint("merge"), F.col("_id").eqNullSafe(F.col("_kept")), "left_semi")
+    own = own.join(kept.hint("merge"), F.col("_id").eqNullSafe(F.col("_kept")) & (F.col("_hash") == F.col("_kept_hash")), "left_semi")
     first = F.row_number().over(W.partitionBy("_id", "_hash").orderBy("text"))
     return own.withColumn("_copy", first).where("_copy = 1").select(*docs.columns)
 
