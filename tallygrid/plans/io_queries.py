@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallygrid.operators import summary
 from tallygrid.operators.components import ensure_checkpoint_dir
 from tallygrid.plans import record_queries
 from tallygrid.plans.fixtures import duck, fixture, table
@@ -98,3 +99,18 @@ def st4_first_only(spark: SparkSession, sf_dir: str) -> DataFrame:
     own.repartition(4).write.json(path := scratch(spark))
     first = results.first_only(results.results(spark, path, own.schema, 100), ["user_id"], "ts", "365 days")
     return results.drain(first, f"s{uuid.uuid4().hex}", scratch(spark)).agg(F.countDistinct("user_id").alias("users"))
+
+
+@query(f"SELECT {record_queries.COUNTS} FROM {record_queries.REC}")
+def snk7_eval_outputs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = record_queries.eval_records(spark, sf_dir)
+    sinks.write_jsonl(own, path := scratch(spark))
+    return summary.run_summary(readers.jsonl(spark, path, own.schema))
+
+
+@query(f"SELECT task_type, count(*) AS n_records FROM {record_queries.C0} GROUP BY 1")
+def q5_expected_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reading the report raises if a task type hasn't the records that the samples table promises."""
+    own = fixture(spark, sf_dir, "samples").select("task_type")
+    report = summary.generation_report(own, own, own, own.groupBy("task_type").agg(F.count("*").alias("n")))
+    return report.select("task_type", "n_records")
