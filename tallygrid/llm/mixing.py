@@ -21,10 +21,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tallygrid.llm.common import read
+from tallygrid.llm.common import cut, read
 from tallygrid.llm.sharding import shuffle_key
 
 SLICES, SEED, SHARE, EPOCHS = 4096, "mix-1", 0.8, 4
+#: Leaves that are broadcast to the rows at most; more of them are joined by a shuffle.
+LEAVES = 50_000
 #: Target weights of the registered query: of domains, and of languages within each.
 WEIGHTS = {"domain": {"d0": 4.0, "d1": 3.0, "d2": 2.0, "d3": 1.0}, "lang": {"en": 5.0, "de": 2.0, "fr": 2.0, "es": 1.0}, "source": {}}
 LEVELS = ("domain", "lang", "source")
@@ -81,17 +83,19 @@ def mix(docs: DataFrame, weights: dict[str, dict[str, float]] = WEIGHTS, share:
     """
     docs = docs.drop(*ADDED)
     keys = {"_domain": domain(), "_lang": F.expr("coalesce(cast(lang as string), '')"), "_source": F.expr("coalesce(cast(source as string), '')")}
-    rows = docs.withColumns({**keys, "n_tokens": F.expr(r"cast(coalesce(regexp_count(text, '[^\\x20\\x09-\\x0D]+'), 0) as bigint)")})
+    rows = docs.withColumns({**keys, "n_tokens": F.expr(r"cast(coalesce(regexp_count(text, '[^\\x20\\x09-\\x0D]+'), 0) as bigint)"), "_tie": F.xxhash64("text")})
     leaves = rows.groupBy(*keys).agg(F.sum("n_tokens").alias("leaf_tokens")).toDF(*LEVELS, "leaf_tokens")
     leaf = budgets(leaves, F.lit(share), weights, epochs)
     leaf = leaf.withColumn("full_epochs", F.expr("if(leaf_tokens > 0, leaf_budget div greatest(leaf_tokens, 1L), 0L)"))
     leaf = leaf.withColumn("rest", F.expr("leaf_budget - full_epochs * leaf_tokens")).toDF(*keys, "leaf_tokens", "leaf_budget", "_epochs", "_rest")
-    placed = rows.join(leaf.hint("merge"), list(keys)).withColumn("_h", F.expr(shuffle_key(seed, "_epochs", "doc_id")))
+    leaf = cut(leaf)
+    near = F.broadcast(leaf) if leaf.count() <= LEAVES else leaf.hint("merge")
+    placed = rows.join(near, list(keys)).withColumn("_h", F.expr(shuffle_key(seed, "_epochs", "doc_id")))
     placed = placed.withColumn("_slice", F.expr(f"_h div {(1 << 60) // SLICES}"))
     sums = placed.groupBy(*keys, "_slice").agg(F.sum("n_tokens").alias("_n"))
     order = W.partitionBy(*keys).orderBy("_slice")
     sums = sums.select(*keys, "_slice", (F.sum("_n").over(order) - F.col("_n")).alias("_before"))
-    order = W.partitionBy(*keys, "_slice").orderBy("_h", "doc_id", "n_tokens", F.xxhash64("text")).rowsBetween(W.unboundedPreceding, 0)
+    order = W.partitionBy(*keys, "_slice").orderBy("_h", "doc_id", "n_tokens", "_tie").rowsBetween(W.unboundedPreceding, 0)
     out = placed.join(sums.hint("merge"), [*keys, "_slice"]).withColumn("_to", F.col("_before") + F.sum("n_tokens").over(order))
     return out.select(*docs.columns, "n_tokens", "leaf_tokens", "leaf_budget", F.expr("_epochs + if(_to <= _rest, 1, 0)").alias("copies"))
 
