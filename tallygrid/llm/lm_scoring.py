@@ -4,15 +4,24 @@ Tokens are words [^\\x20\\x09-\\x0D]+ (A-Z lowered) and one end for each text. C
 
 * Word counts: each task counts its words, Spark adds the tasks' rows by word. From them N, V and, for every word, the
   base probability (c + 0.1) / (N + 0.1 * (V + 1)), known or not.
-* n-grams, one order after another: only words and n-grams whose share of the training tokens is at least ARC_SHARE can be
-  part of a longer n-gram with that share, so each order is counted exactly among those. At most 1 / ARC_SHARE n-grams of
-  an order, and 1 / WORD_SHARE words, can have such shares: that bounds what is broadcast, at every size.
+* n-grams, one order after another: every n-gram that occurs LEAST times is kept, at every size of the corpus. One is
+  named by the keys of its first and of its last n - 1 words and has the hash of both as its key. Counts stay DataFrames.
 
-The automaton: kept contexts are states; an arc for a kept n-gram carries log10 of (c(h, w) + MU * P(w | h')) / (c(h) + MU),
-h' being the context without its first word; the failure arc of a state carries the log10 of what its arcs leave over,
-shared out by P(w | h'), so that every state's probabilities add up to 1. A text is read once from left to right: take
-the word's arc, or else follow failure arcs, down to the root, which has an arc for each frequent word. A rarer word leaves
-the automaton with its base probability; these words, summed up for each text, meet the word counts in one equi join.
+The automaton: kept contexts are states; an arc for a kept n-gram has P(w | h) = (c(h, w) + MU * P(w | h')) / (c(h) + MU),
+h' being the context without its first word; the failure arc of a state carries what its arcs leave over, shared out by
+P(w | h'), so that every state's probabilities add up to 1. Reading a text takes the word's arc, or else failure arcs.
+
+That sum of log10 has one term for each word and each kept n-gram of the text, wherever it stands: a word adds
+log10 P(w) and its failure arc as a context; an n-gram adds log10 P(w | h) - log10 P(w | h') less the failure arc of h,
+which it doesn't take, plus its own failure arc as a context. Arcs are therefore weights by key (`Model.weights`), and
+texts meet them in one equi join, summed up for each text. What only saves work is bounded:
+
+* Words and n-grams with a share of the training tokens of WORD_SHARE or ARC_SHARE, at most 1 / share of them an order,
+  are broadcast with their weights: no key of the join holds more than that share.
+* A sieve of SIEVE bits for each order, set for kept keys, lets most places without a kept n-gram go unsent. As it fills
+  up, more are sent and find no weight.
+
+Keys have 64 bits: below 6e9 different words and n-grams less than one pair is expected to share a key.
 
 Rows: null and empty texts are one end token. Repeated doc_ids are scored row by row. Without training texts N and V are
 0 and every token's probability is 1.
@@ -23,17 +32,21 @@ from __future__ import annotations
 import math
 from collections import Counter
 from collections.abc import Callable, Iterator
+from functools import cached_property
+from uuid import uuid4
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallygrid.llm.common import SPACED, bound_batches, cut, pieces, read, text_bytes, words_of
+from tallygrid.llm.common import SPACED, bound_batches, ensure_checkpoint_dir, pieces, read, text_bytes, word_hashes, words_of
 from tallygrid.llm.learning import remainder
 
 ORDER, MU, EXTRA = 3, 20.0, 0.1
 WORD_SHARE, ARC_SHARE, LEAST = 1e-6, 2e-6, 2
+#: Bits of the sieve of an order, at most: 16 MB. There are 8 to 16 for each kept key until then.
+SIEVE = 1 << 27
 #: Distinct words or n-grams that a task holds before it hands them on.
 HELD = 500_000
 END = b" "
@@ -56,147 +69,193 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield out()
 
 
-def _lookup(known: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    """Place of each key in the sorted `known`, or -1."""
-    if not len(known):
-        return np.full(len(keys), -1)
-    at = np.minimum(np.searchsorted(known, keys), len(known) - 1)
-    return np.where(known[at] == keys, at, -1)
+END_KEY = np.uint64(0x5851F42D4C957F2D)
+
+
+def _hash_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Counted words with their keys."""
+    for batch in batches:
+        words = text_bytes(batch.column(0))
+        keys, _ = word_hashes(words.to_pylist(), SPACED)
+        ends = np.array([w == END for w in words.to_pylist()], dtype=bool)
+        out = np.full(len(ends), END_KEY)
+        out[~ends] = keys
+        yield pa.record_batch([batch.column(0), batch.column(1), pa.array(out.view(np.int64))], names=["word", "c", "key"])
+
+
+def _tokens(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of all tokens of the texts, each text's end after its words, and the place of each end."""
+    keys, at = word_hashes(texts, SPACED)
+    ends = at[1:] + np.arange(len(texts))
+    out = np.full(len(keys) + len(texts), END_KEY)
+    own = np.ones(len(out), dtype=bool)
+    own[ends] = False
+    out[own] = keys
+    return out, ends
+
+
+def _xxh(value: np.ndarray, seed: np.ndarray | np.uint64) -> np.ndarray:
+    p1, p2, p3, p4, p5 = (np.uint64(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
+    left = lambda x, n: (x << np.uint64(n)) | (x >> np.uint64(64 - n))
+    h = (np.zeros(len(value), dtype=np.uint64) + seed + p5 + np.uint64(8)) ^ (left(value * p2, 31) * p1)
+    h = left(h, 27) * p1 + p4
+    h = (h ^ (h >> np.uint64(33))) * p2
+    h = (h ^ (h >> np.uint64(29))) * p3
+    return h ^ (h >> np.uint64(32))
+
+
+def _joined(first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """Keys of n-grams: what Spark's xxhash64(ctx, low) gives."""
+    return _xxh(last, _xxh(first, np.uint64(42)))
+
+
+def _passes(sieve: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    slot = (keys & np.uint64(8 * len(sieve) - 1)).astype(np.int64)
+    return (sieve[slot >> 3] >> (slot & 7).astype(np.uint8) & 1).astype(bool)
+
+
+def _sieve(kept: DataFrame) -> np.ndarray:
+    """Bits of the kept keys, packed."""
+    size = min(SIEVE, max(1 << 15, 1 << (8 * kept.count()).bit_length()))
+    slot = F.col("key").bitwiseAND(F.lit(size - 1))
+    rows = kept.select(slot.alias("slot")).groupBy(F.shiftright("slot", 15).cast("int").alias("at")).agg(F.expr("bitmap_construct_agg(slot & 32767)").alias("bits"))
+    out = np.zeros((size >> 15, 4096), dtype=np.uint8)
+    for r in rows.collect():
+        out[r["at"]] = np.frombuffer(bytes(r["bits"]), dtype=np.uint8)
+    return out.reshape(-1)
+
+
+def _orders(keys: np.ndarray, ends: np.ndarray, sieves: list[np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """For each order from 2: first places, keys of the first and of the last words, of n-grams whose parts pass the sieves. No context holds an end."""
+    inside = np.ones(len(keys), dtype=bool)
+    inside[ends] = False
+    place = np.arange(len(keys))
+    for sieve in sieves:
+        ok = _passes(sieve, keys)
+        place, keys = place[ok], keys[ok]
+        at = np.flatnonzero(np.diff(place) == 1)
+        at = at[inside[place[at]]]
+        yield place[at], keys[at], keys[at + 1]
+        place, keys = place[at], _joined(keys[at], keys[at + 1])
 
 
 def _count_ngrams(shared) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """n-grams one word longer than the kept ones: keys are place of the kept n-gram * size + word."""
+    """n-grams one word longer than there are sieves of shorter ones."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, kept = shared.value
-        size, get, held, n_held = np.int64(len(ids)), ids.get, [], 0
+        sieves, held, n_held = shared.value, [], 0
 
-        def merged() -> tuple[np.ndarray, np.ndarray]:
-            keys, at = np.unique(np.concatenate([k for k, _ in held]), return_inverse=True)
-            return keys, np.bincount(at, weights=np.concatenate([c for _, c in held])).astype(np.int64)
+        def merged(parts: list[tuple]) -> tuple[np.ndarray, ...]:
+            ctx, low, c = (np.concatenate(x) for x in zip(*parts, strict=True))
+            _, first, at = np.unique(_joined(ctx, low), return_index=True, return_inverse=True)
+            return ctx[first], low[first], np.bincount(at, weights=c).astype(np.int64)
 
         for batch in batches:
             for a, b in pieces(batch.column(0)):
-                row: list[int] = []
-                for text in text_bytes(batch.column(0).slice(a, b - a)).to_pylist():
-                    row.extend([get(w, -1) for w in words_of(text, SPACED)])
-                    row += [0, -1]  # the end, and a gap that no n-gram spans
-                word = np.array(row, dtype=np.int64)
-                state = word
-                for keys in kept:
-                    ok = (state[:-1] >= 0) & (word[1:] >= 0)
-                    place = np.full(len(state), -1, dtype=np.int64)
-                    place[1:][ok] = _lookup(keys, state[:-1][ok] * size + word[1:][ok])
-                    state = place
-                ok = (state[:-1] >= 0) & (word[1:] >= 0)
-                if kept:
-                    ok &= state[1:] >= 0
-                keys, n = np.unique(state[:-1][ok] * size + word[1:][ok], return_counts=True)
-                held.append((keys, n))
-                n_held += len(keys)
+                *_, (_, ctx, low) = _orders(*_tokens(text_bytes(batch.column(0).slice(a, b - a)).to_pylist()), sieves)
+                held.append((ctx, low, np.ones(len(ctx), dtype=np.int64)))
+                n_held += len(ctx)
                 if n_held > 4 * HELD:
-                    held = [merged()]
+                    held = [merged(held)]
                     n_held = len(held[0][0])
                     if n_held > HELD:
-                        yield pa.record_batch([pa.array(x, pa.int64()) for x in held[0]], names=["key", "c"])
+                        yield record(held[0])
                         held, n_held = [], 0
         if held:
-            yield pa.record_batch([pa.array(x, pa.int64()) for x in merged()], names=["key", "c"])
+            yield record(merged(held))
+
+    def record(x: tuple[np.ndarray, ...]) -> pa.RecordBatch:
+        return pa.record_batch([pa.array(x[0].view(np.int64)), pa.array(x[1].view(np.int64)), pa.array(x[2])], names=["ctx", "low", "c"])
 
     return count
 
 
 class Automaton:
-    """States with arcs {word: (next state, log10 probability)}, failure arcs and their log10 weights; state 0 is the root."""
-
-    def __init__(self, words: list[bytes], base: np.ndarray, counts: np.ndarray, levels: list[tuple[np.ndarray, np.ndarray]]):
-        """words with END first, then all that arcs may join, then other frequent ones; base: their probabilities."""
-        self.base = dict(zip(words, np.log10(base).tolist(), strict=True))
-        size = len(words) if not levels else int(levels[0][2])
-        contexts: list[set[int]] = [set((keys // size).tolist()) for keys, _, _ in levels]
-        state_of: list[dict[int, int]] = []
-        n = 1
-        for own in contexts:
-            state_of.append({c: n + k for k, c in enumerate(sorted(own))})
-            n += len(own)
-        state_of.append({})
-        self.arcs: list[dict[bytes, tuple[int, float]]] = [{} for _ in range(n)]
-        self.fail, self.back = [0] * n, [0.0] * n
-        prob: list[dict[bytes, float]] = [{} for _ in range(n)]
-        for i, (w, p) in enumerate(zip(words, base.tolist(), strict=True)):
-            self.arcs[0][w] = (state_of[0].get(i, 0), math.log10(p))
-            prob[0][w] = p
-        parts = [(np.arange(len(words)), counts)]
-        for level, (keys, c, _) in enumerate(levels):
-            before = parts[level][1]
-            for key, own in zip(keys.tolist(), c.tolist(), strict=True):
-                h, w = divmod(key, size)
-                s = state_of[level][h]
-                if level:
-                    a, b = divmod(int(levels[level - 1][0][h]), size)
-                    self.fail[s] = state_of[level - 1].get(self._suffix(levels, level, a, b, size), 0)
-                word, f = words[w], self.fail[s]
-                lower = self.look(prob, f, word)
-                p = (own + MU * lower) / (float(before[h]) + MU)
-                prob[s][word] = p
-                place = int(_lookup(keys, np.array([key]))[0])
-                to = state_of[level + 1].get(place)
-                if to is None:
-                    to = self.arcs[f][word][0] if word in self.arcs[f] else self.arcs[0][word][0]
-                self.arcs[s][word] = (to, math.log10(p))
-            parts.append((keys, c))
-            for s in state_of[level].values():
-                f = self.fail[s]
-                left, under = 1 - sum(prob[s].values()), 1 - sum(self.look(prob, f, w) for w in prob[s])
-                self.back[s] = math.log10(max(left, 1e-12) / max(under, 1e-12))
-
-    @staticmethod
-    def _suffix(levels: list, level: int, a: int, b: int, size: int) -> int:
-        """Key of the context without its first word, as the level below numbers it; -1 if it has no place there."""
-        if level == 1:
-            return b
-        first, second = divmod(int(levels[level - 2][0][a]), size)
-        return int(_lookup(levels[level - 2][0], np.array([second * size + b]))[0])
-
-    def look(self, prob: list[dict[bytes, float]], state: int, word: bytes) -> float:
-        """P(word | state) by failure arcs; arcs' words are all known at the root."""
-        weight = 1.0
-        while word not in prob[state]:
-            weight *= 10 ** self.back[state]
-            state = self.fail[state]
-        return weight * prob[state][word]
-
-    def read(self, words: list[bytes]) -> tuple[float, float, list[bytes]]:
-        """log10 by the automaton and by the base, of the frequent words; the other words, whose base is still to come."""
-        state, total, base, rare = 0, 0.0, 0.0, []
-        arcs, fail, back, known = self.arcs, self.fail, self.back, self.base
-        for w in words:
-            b = known.get(w)
-            if b is None:
-                while state:
-                    total += back[state]
-                    state = fail[state]
-                rare.append(w)
-                continue
-            base += b
-            hit = arcs[state].get(w)
-            while hit is None:
-                total += back[state]
-                state = fail[state]
-                hit = arcs[state].get(w)
-            state = hit[0]
-            total += hit[1]
-        return total, base, rare
+    """States with arcs {word: (next state, log10 probability)}, failure arcs and their log10 weights; state 0 is the root.
+
+    A view of a small model, gathered on the driver; scoring doesn't use it.
+    """
+
+    def __init__(self, words: list, levels: list[tuple[list, list]]):
+        """words: word, key, p; levels: arcs (ctx, low, key, p) and contexts (key, back)."""
+        self.base = {r["word"].encode(): math.log10(r["p"]) for r in words}
+        state: dict[int, int] = {}
+        for _, contexts in levels:
+            state |= {r["key"]: len(state) + 1 + k for k, r in enumerate(contexts)}
+        self.arcs: list[dict[bytes, tuple[int, float]]] = [{} for _ in range(len(state) + 1)]
+        self.fail, self.back = [0] * (len(state) + 1), [0.0] * (len(state) + 1)
+        last, suffix = {r["key"]: r["word"].encode() for r in words}, {}
+
+        def longest(key: int | None) -> int:
+            while key is not None and key not in state:
+                key = suffix.get(key)
+            return 0 if key is None else state[key]
+
+        for arcs, _ in levels:
+            for r in arcs:
+                last[r["key"]], suffix[r["key"]] = last[r["low"]], r["low"]
+        self.arcs[0] = {r["word"].encode(): (longest(r["key"]), math.log10(r["p"])) for r in words}
+        for arcs, contexts in levels:
+            for r in arcs:
+                self.arcs[state[r["ctx"]]][last[r["key"]]] = (longest(r["key"]), math.log10(r["p"]))
+            for r in contexts:
+                self.fail[state[r["key"]]], self.back[state[r["key"]]] = longest(suffix.get(r["key"])), r["back"]
 
 
 class Model:
-    """Counts of the training texts as a DataFrame, their totals, and the automaton."""
-
-    def __init__(self, counts: DataFrame, n: int, v: int, automaton: Automaton):
-        self.counts, self.n, self.v, self.automaton = counts, n, v, automaton
-
-    def base(self, c: str) -> str:
-        return f"log10(({c} + {EXTRA}D) / ({self.n} + {EXTRA}D * ({self.v} + 1)))"
+    """Counts of the training texts (word, c, key), their totals, and for each order from 2 its arcs and contexts as DataFrames."""
+
+    def __init__(self, counts: DataFrame, n: int, v: int, kept: list[DataFrame], sieves: list[np.ndarray]):
+        self.counts, self.n, self.v, self.sieves = counts, n, v, sieves
+        self.words = counts.select("word", "key", "c", self.base(F.col("c")).alias("p"))
+        self.levels: list[tuple[DataFrame, DataFrame]] = []
+        for arcs in kept:
+            self.levels.append(_level(arcs, self.levels[-1][0] if self.levels else self.words))
+
+    def base(self, c: Column) -> Column:
+        return (c + F.lit(EXTRA)) / F.lit(self.n + EXTRA * (self.v + 1))
+
+    def weights(self) -> DataFrame:
+        """(key, often, base, weight): what each occurrence of a word (with base) or kept n-gram (base null) adds to a score."""
+        tables = [self.words.select("key", "c", F.log10("p").alias("base"), F.log10("p").alias("weight"))]
+        tables += [arcs.select("key", "c", F.lit(None).cast("double").alias("base"), "weight") for arcs, _ in self.levels]
+        out = None
+        for k, own in enumerate(tables):
+            if k < len(self.levels):
+                own = own.join(self.levels[k][1].hint("merge"), "key", "left").withColumn("weight", F.col("weight") + F.coalesce("back", F.lit(0.0)))
+            own = own.select("key", (F.col("c") >= (ARC_SHARE if k else WORD_SHARE) * self.n).alias("often"), "base", "weight")
+            out = own if out is None else out.unionByName(own)
+        return _stored(out)
+
+    @cached_property
+    def automaton(self) -> Automaton:
+        return Automaton(self.words.collect(), [(arcs.collect(), contexts.collect()) for arcs, contexts in self.levels])
+
+
+def _stored(df: DataFrame) -> DataFrame:
+    """df, written as Parquet to the shared checkpoint folder: a third of the bytes of a checkpoint. Its shuffle files go at once."""
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    path, key = f"{spark.sparkContext.getCheckpointDir()}/lm-{uuid4().hex}", "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(key, before)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def _level(kept: DataFrame, lower: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Arcs (ctx, low, key, c, p, weight) and contexts (key, back) of an order; lower: key, c, p of the order below."""
+    kept = kept.withColumn("key", F.xxhash64("ctx", "low"))
+    arcs = kept.join(lower.select(F.col("key").alias("low"), F.col("p").alias("q")).hint("merge"), "low")
+    sums = arcs.groupBy(F.col("ctx").alias("key")).agg(F.sum("c").alias("s"), F.sum("q").alias("sq")).join(lower.select("key", F.col("c").alias("n")).hint("merge"), "key")
+    left = lambda x: F.greatest(1 - x, F.lit(1e-12))
+    contexts = _stored(sums.select("key", "n", F.log10(left((F.col("s") + MU * F.col("sq")) / (F.col("n") + MU)) / left(F.col("sq"))).alias("back")))
+    p = (F.col("c") + MU * F.col("q")) / (F.col("n") + MU)
+    found = arcs.join(contexts.withColumnRenamed("key", "ctx").hint("merge"), "ctx").withColumn("p", p)
+    return _stored(found.select("ctx", "low", "key", "c", "p", (F.log10("p") - F.log10("q") - F.col("back")).alias("weight"))), contexts.select("key", "back")
 
 
 def fit(training: DataFrame, order: int = ORDER) -> Model:
@@ -204,46 +263,69 @@ def fit(training: DataFrame, order: int = ORDER) -> Model:
     spark = training.sparkSession
     bound_batches(spark)
     text = training.select("text")
-    counts = cut(text.mapInArrow(_count_words, "word string, c long").groupBy("word").agg(F.sum("c").alias("c")))
+    counts = text.mapInArrow(_count_words, "word string, c long").groupBy("word").agg(F.sum("c").alias("c"))
+    counts = _stored(counts.mapInArrow(_hash_words, "word string, c long, key long"))
     n, v = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    frequent = counts.where((F.col("c") >= WORD_SHARE * n) | (F.col("word") == END.decode())).toArrow()
-    rows = sorted(zip(frequent.column("word").to_pylist(), frequent.column("c").to_pylist(), strict=True), key=lambda r: (r[0] != " ", -r[1], r[0])) or [(" ", 0)]
-    words, c = [w.encode() for w, _ in rows], np.array([x for _, x in rows])
-    least = max(LEAST, ARC_SHARE * n)
-    joining = {w: i for i, w in enumerate(words) if i == 0 or c[i] >= least}
-    levels: list[tuple[np.ndarray, np.ndarray, int]] = []
+    kept: list[DataFrame] = []
+    sieves = [_sieve(counts.where(F.col("c") >= LEAST))]
     for _ in range(order - 1 if n else 0):
-        shared = spark.sparkContext.broadcast((joining, [k for k, _, _ in levels]))
-        found = text.mapInArrow(_count_ngrams(shared), "key long, c long").groupBy("key").agg(F.sum("c").alias("c")).where(F.col("c") >= least).toArrow()
-        if not found.num_rows:
-            break
-        keys, own = found.column("key").to_numpy(), found.column("c").to_numpy()
-        by = np.argsort(keys)
-        levels.append((keys[by], own[by], len(joining)))
-    return Model(counts, n, v, Automaton(words, (c + EXTRA) / (n + EXTRA * (v + 1)), c, levels))
+        shared = spark.sparkContext.broadcast(list(sieves))
+        found = text.mapInArrow(_count_ngrams(shared), "ctx long, low long, c long").groupBy("ctx", "low").agg(F.sum("c").alias("c")).where(F.col("c") >= LEAST)
+        kept.append(_stored(found))
+        shared.destroy()
+        sieves.append(_sieve(kept[-1].select(F.xxhash64("ctx", "low").alias("key"))))
+    return Model(counts, n, v, kept, sieves)
+
+
+def _at(known: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Place of each key in the sorted `known`, or -1."""
+    if not len(known):
+        return np.full(len(keys), -1)
+    at = np.minimum(np.searchsorted(known, keys), len(known) - 1)
+    return np.where(known[at] == keys, at, -1)
 
 
 def _read(shared) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """One row for each text, under a word that no other row has, and one for each of its rarer words."""
+    """One row for each text (n 0), with what its often seen words and n-grams add, and one for each other word (n over 0) and n-gram (n below 0)."""
 
     def read_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        automaton, row = shared.value, TaskContext.get().partitionId() << 40
+        (known, base, weight), sieves = shared.value
+        row = TaskContext.get().partitionId() << 40
         for batch in batches:
             for a, b in pieces(batch.column(1)):
                 part = batch.slice(a, b - a)
-                cols: list[list] = [[] for _ in range(7)]
-                for doc, text in zip(part.column(0).to_pylist(), text_bytes(part.column(1)).to_pylist(), strict=True):
-                    words = words_of(text, SPACED)
-                    total, base, rare = automaton.read([*words, END])
-                    for col, x in zip(cols, (row, f" {row}", None, doc, len(words) + 1, base, total), strict=True):
-                        col.append(x)
-                    for w, n in Counter(rare).items():
-                        for col, x in zip(cols, (row, w.decode(), n, None, None, None, None), strict=True):
-                            col.append(x)
-                    row += 1
-                yield pa.record_batch([pa.array(x, t) for x, t in zip(cols, (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64()), strict=True)], names=["row", "word", "n", "doc_id", "n_tokens", "base", "total"])
+                keys, ends = _tokens(text_bytes(part.column(1)).to_pylist())
+                size = np.diff(ends, prepend=-1)
+                text = np.repeat(np.arange(len(size)), size)
+                at = _at(known, keys)
+                hit = at >= 0
+                sums = lambda rows, x: np.bincount(rows, weights=x, minlength=len(size)).astype(float)  # noqa: E731, B023
+                found, based, total = np.bincount(text[hit], minlength=len(size)), sums(text[hit], base[at[hit]]), sums(text[hit], weight[at[hit]])
+                rest = [(text[~hit], keys[~hit], np.ones(np.count_nonzero(~hit), dtype=np.int64))]
+                for (place, ctx, low), sieve in zip(_orders(keys, ends, sieves[:-1]), sieves[1:], strict=True):
+                    own = _joined(ctx, low)
+                    ok = _passes(sieve, own)
+                    own, where = own[ok], text[place[ok]]
+                    at = _at(known, own)
+                    hit = at >= 0
+                    total += sums(where[hit], weight[at[hit]])
+                    rest.append((where[~hit], own[~hit], np.full(np.count_nonzero(~hit), -1)))
+                where, own, n = (np.concatenate(x) for x in zip(*rest, strict=True))
+                by = np.lexsort((n, own, where))
+                where, own, n = where[by], own[by], n[by]
+                new = np.flatnonzero(np.concatenate([[True], (np.diff(where) != 0) | (own[1:] != own[:-1]) | (np.diff(n) != 0)])[: len(own)])
+                n = np.add.reduceat(n, new) if len(new) else n
+                ids = row + np.arange(len(size))
+                gap = pa.nulls(len(new), pa.int64())
+                cols = [
+                    pa.array(np.concatenate([ids, ids[where[new]]])), pa.array(np.concatenate([_xxh(ids.view(np.uint64), np.uint64(7)), own[new]]).view(np.int64)), pa.array(np.concatenate([np.zeros(len(ids), dtype=np.int64), n])),
+                    *(pa.concat_arrays([x.cast(pa.int64()), gap]) for x in (part.column(0), pa.array(size), pa.array(found))),
+                    *(pa.concat_arrays([pa.array(x), pa.nulls(len(new), pa.float64())]) for x in (based, total)),
+                ]
+                yield pa.record_batch(cols, names=["row", "key", "n", "doc_id", "n_tokens", "found", "base", "total"])
+                row += len(size)
 
     return read_batches
 
@@ -252,12 +334,20 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     """(doc_id, n_tokens, n_known, train_tokens, base_score, score) of every row of docs."""
     spark = docs.sparkSession
     bound_batches(spark)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_read(spark.sparkContext.broadcast(model.automaton)), "row long, word string, n long, doc_id long, n_tokens long, base double, total double")
-    found = rows.join(model.counts.where(F.col("c") < WORD_SHARE * model.n).hint("merge"), "word", "left")
-    lost = F.coalesce(F.sum(F.expr(f"n * {model.base('coalesce(c, 0)')}")), F.lit(0.0))
-    unknown = F.coalesce(F.sum(F.expr("if(c is null, n, 0)")), F.lit(0))
-    out = found.groupBy("row").agg(F.max("doc_id").alias("doc_id"), F.max("n_tokens").alias("n_tokens"), F.max("base").alias("base"), F.max("total").alias("total"), lost.alias("lost"), unknown.alias("unknown"))
-    return out.select("doc_id", "n_tokens", (F.col("n_tokens") - F.col("unknown") - (0 if model.n else 1)).alias("n_known"), F.lit(model.n).cast("long").alias("train_tokens"), (F.col("base") + F.col("lost")).alias("base_score"), (F.col("total") + F.col("lost")).alias("score"))
+    weights = model.weights()
+    often = weights.where("often").toArrow()
+    key = often.column("key").to_numpy().view(np.uint64)
+    by = np.argsort(key)
+    table = key[by], *(often.column(c).to_numpy()[by] for c in ("base", "weight"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_read(spark.sparkContext.broadcast((table, model.sieves))), "row long, key long, n long, doc_id long, n_tokens long, found long, base double, total double")
+    found = rows.join(weights.where("not often").select("key", F.col("base").alias("_base"), "weight").hint("merge"), "key", "left")
+    unseen = F.when(F.col("n") > 0, F.log10(model.base(F.lit(0))))
+    based, more = F.when(F.col("n") > 0, F.coalesce("_base", unseen)), F.coalesce("weight", unseen, F.lit(0.0))
+    out = found.groupBy("row").agg(
+        F.max("doc_id").alias("doc_id"), F.max("n_tokens").alias("n_tokens"), (F.max("found") + F.coalesce(F.sum(F.expr("if(n > 0 and weight is not null, n, 0)")), F.lit(0))).alias("n_known"),
+        (F.max("base") + F.coalesce(F.sum(F.col("n") * based), F.lit(0.0))).alias("base_score"), (F.max("total") + F.sum(F.abs("n") * more)).alias("score"),
+    )
+    return out.select("doc_id", "n_tokens", "n_known", F.lit(model.n).cast("long").alias("train_tokens"), "base_score", "score")
 
 
 def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:

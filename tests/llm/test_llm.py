@@ -276,6 +276,43 @@ def test_lm_scores(spark):
     assert sum(r.score for r in rows) > sum(r.base_score for r in rows)
 
 
+def test_lm_keeps_repeated_ngrams_at_any_share(spark, monkeypatch):
+    """Scores against a model of all n-grams seen twice, where the shares that are broadcast hold nearly none of them."""
+    monkeypatch.setattr(lm_scoring, "ARC_SHARE", 1e-2)
+    monkeypatch.setattr(lm_scoring, "WORD_SHARE", 1e-2)
+    own = {k: [*common.words_of(v.encode(), common.SPACED), b" "] for k, v in texts(spark).items()}
+    fold = [ws for k, ws in own.items() if k % 3]
+    c = Counter(tuple(ws[i : i + m]) for ws in fold for m in (1, 2, 3) for i in range(len(ws) - m + 1))
+    n, v = sum(map(len, fold)), sum(len(g) == 1 for g in c)
+    kept = {g for g in c if len(g) > 1 and c[g] >= 2}
+    arcs = defaultdict(list)
+    for g in sorted(kept):
+        arcs[g[:-1]].append(g[-1])
+    back, seen = {}, {}
+
+    def p(h, w):
+        if not h:
+            return (c[(w,)] + 0.1) / (n + 0.1 * (v + 1))
+        if (h, w) not in seen:
+            seen[h, w] = (c[(*h, w)] + 20 * p(h[1:], w)) / (c[h] + 20) if (*h, w) in kept else left(h) * p(h[1:], w)
+        return seen[h, w]
+
+    def left(h):
+        if h not in back:
+            back[h] = max(1 - sum(p(h, w) for w in arcs[h]), 1e-12) / max(1 - sum(p(h[1:], w) for w in arcs[h]), 1e-12) if h in arcs else 1.0
+        return back[h]
+
+    docs_of = docs(spark).select("doc_id", "text")
+    model = lm_scoring.fit(docs_of.where("doc_id % 3 <> 0"))
+    assert [arcs_of.count() for arcs_of, _ in model.levels] == [sum(len(g) == m for g in kept) for m in (2, 3)]
+    rows = lm_scoring.score(docs_of, model).collect()
+    assert len(rows) == len(own)
+    for r in rows:
+        ws = own[r.doc_id]
+        assert r.score == pytest.approx(sum(math.log10(p(tuple(ws[max(0, i - 2) : i]), w)) for i, w in enumerate(ws)))
+        assert r.n_known == sum(c[(w,)] > 0 for w in ws)
+
+
 def test_automaton_is_a_distribution(spark):
     own = docs(spark).where("doc_id < 60")
     model = lm_scoring.fit(own)
