@@ -254,21 +254,42 @@ MASK = f"(SELECT DISTINCT image_id, y, x FROM {PX} WHERE {BRIGHT} OR g >= 100)"
 s AS (SELECT image_id, min(y * 100 + x) AS a, max(y * 100 + x) AS b FROM m GROUP BY 1)
 SELECT image_id, EXISTS (SELECT 1 FROM w WHERE w.image_id = s.image_id AND w.y * 100 + w.x = b) AS connected FROM s""")
 def g1_connected(spark: SparkSession, sf_dir: str) -> DataFrame:
-    own = fixture(spark, sf_dir, "pixels").where(f"({BRIGHT} or g >= 100) and image_id < 3").select("image_id", "y", "x").distinct()
+    return first_to_last(fixture(spark, sf_dir, "pixels").where("image_id < 3"))
+
+
+def first_to_last(pixels: DataFrame) -> DataFrame:
+    """Whether the first and the last masked pixel of each image are connected."""
+    own = pixels.where(f"{BRIGHT} or g >= 100").select("image_id", "y", "x").distinct()
     ends = own.groupBy("image_id").agg(F.min(F.expr("y * 100 + x")).alias("a"), F.max(F.expr("y * 100 + x")).alias("b"))
     seeds = ends.selectExpr("image_id", "a % 100 as sx", "a div 100 as sy", "b % 100 as gx", "b div 100 as gy")
     return grid.connected(own, ["image_id"], seeds)
 
 
+@query()
+def g1_connected_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """G1 over all images, for which recursive SQL is too slow."""
+    return first_to_last(fixture(spark, sf_dir, "pixels"))
+
+
 @query(f"""WITH RECURSIVE m AS (SELECT DISTINCT image_id, y, x FROM {PX} WHERE {BRIGHT} AND image_id < 2 AND frame_idx = 1), w(image_id, sy, sx, y, x) AS (SELECT image_id, y, x, y, x FROM m
   UNION SELECT w.image_id, sy, sx, m.y, m.x FROM w JOIN m ON m.image_id = w.image_id AND abs(m.y - w.y) + abs(m.x - w.x) = 1),
 c AS (SELECT image_id, sy, sx, min(y * 100 + x) AS root FROM w GROUP BY 1, 2, 3)
 SELECT image_id, greatest(min(sx) - 2, 0) AS left, greatest(min(sy) - 2, 0) AS top, least(max(sx) + 2, 47) AS right, least(max(sy) + 2, 47) AS bottom FROM c GROUP BY image_id, root""")
 def a18_region_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    own = fixture(spark, sf_dir, "pixels").where(f"{BRIGHT} and image_id < 2 and frame_idx = 1")
+    return bright_boxes(fixture(spark, sf_dir, "pixels").where("image_id < 2"))
+
+
+def bright_boxes(pixels: DataFrame) -> DataFrame:
+    own = pixels.where(f"{BRIGHT} and frame_idx = 1")
     return grid.region_boxes(grid.regions(own, ["image_id"]), ["image_id"], 2, 48, 48).drop("region")
 
 
+@query()
+def a18_region_boxes_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A18 over all images, for which recursive SQL is too slow."""
+    return bright_boxes(fixture(spark, sf_dir, "pixels"))
+
+
 @query(f"SELECT image_id, k // 10000 AS ring, k // 100 % 100 AS y, k % 100 AS x FROM (SELECT image_id, min(greatest(abs(x - 24), abs(y - 24)) * 10000 + y * 100 + x) AS k FROM {PX} WHERE {BRIGHT} AND abs(x - 24) <= 9 AND abs(y - 24) <= 9 GROUP BY 1)")
 def g2_nearest_masked(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = fixture(spark, sf_dir, "pixels")
