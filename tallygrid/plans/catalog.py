@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallygrid.plans import grid_queries, io_queries, plugin_queries, record_queries, registry, text_queries  # noqa: F401  importing registers
+from tallygrid.plans import grid_queries, io_queries, plugin_queries, record_queries, registry, text_queries, whole_queries  # noqa: F401  importing registers
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

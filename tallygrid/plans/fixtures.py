@@ -83,6 +83,9 @@ SELECT vec_id, label, k AS pos, substr('ABCDE', k + 1, 1) AS name,
 FROM {embeddings} CROSS JOIN (SELECT 0 AS k UNION ALL SELECT 1 UNION ALL SELECT 2 UNION ALL SELECT 3 UNION ALL SELECT 4) n""",
 }
 
+#: The same over all orders.
+FIXTURES["all_paths"] = FIXTURES["paths"].removesuffix(" WHERE l_orderkey % 10 = 0")
+
 
 def _at(base: int) -> dict[str, str]:
     """Components of a vector, counted from 1 in the fixtures and from `base` in the engine, scaled to a canvas."""

@@ -235,8 +235,8 @@ def j5_pending(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""SELECT a.path_id, a.pos, a.truth_cell AS expected, b.pred_cell AS actual, a.truth_cell IS NOT DISTINCT FROM b.pred_cell AS same FROM
   (SELECT path_id, pos, max(truth_cell) AS truth_cell FROM {duck('paths')} GROUP BY ALL) a LEFT JOIN (SELECT path_id, pos, max(pred_cell) AS pred_cell FROM {duck('paths')} WHERE pos < 5 GROUP BY ALL) b USING (path_id, pos)""")
-def j12_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    own = fixture(spark, sf_dir, "paths")
+def j12_sequences(spark: SparkSession, sf_dir: str, name: str = "paths") -> DataFrame:
+    own = fixture(spark, sf_dir, name)
     left = own.groupBy("path_id", "pos").agg(F.max("truth_cell").alias("expected"))
     right = own.where("pos < 5").groupBy("path_id", "pos").agg(F.max("pred_cell").alias("actual"))
     return left.join(right, ["path_id", "pos"], "full").withColumn("same", F.col("expected").eqNullSafe(F.col("actual")))
@@ -426,9 +426,9 @@ def w7_stride(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"SELECT path_id, array_to_string(list_slice(list(truth_cell ORDER BY p), 1, 3), ',') AS cells FROM (SELECT path_id, truth_cell, min(pos * 100 + truth_cell) AS p FROM {duck('paths')} GROUP BY 1, 2) GROUP BY 1")
-def w8_ordered_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
+def w8_ordered_dedupe(spark: SparkSession, sf_dir: str, name: str = "paths") -> DataFrame:
     cells = F.array_sort(F.collect_list(F.struct("pos", "truth_cell")))
-    own = fixture(spark, sf_dir, "paths").groupBy("path_id").agg(cells.alias("c"))
+    own = fixture(spark, sf_dir, name).groupBy("path_id").agg(cells.alias("c"))
     return own.select("path_id", F.array_join(F.transform(F.slice(F.array_distinct("c.truth_cell"), 1, 3), lambda x: x.cast("string")), ",").alias("cells"))
 
 
@@ -452,8 +452,8 @@ def s1_head(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"SELECT path_id, array_to_string(list(truth_cell ORDER BY pos DESC, truth_cell DESC), ',') AS cells FROM {duck('paths')} GROUP BY 1")
-def s2_stacking(spark: SparkSession, sf_dir: str) -> DataFrame:
-    own = fixture(spark, sf_dir, "paths").groupBy("path_id").agg(F.sort_array(F.collect_list(F.struct("pos", "truth_cell")), False).alias("c"))
+def s2_stacking(spark: SparkSession, sf_dir: str, name: str = "paths") -> DataFrame:
+    own = fixture(spark, sf_dir, name).groupBy("path_id").agg(F.sort_array(F.collect_list(F.struct("pos", "truth_cell")), False).alias("c"))
     return own.select("path_id", F.array_join(F.transform("c.truth_cell", lambda x: x.cast("string")), ",").alias("cells"))
 
 

@@ -55,6 +55,11 @@ def t4_collapse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").where("lang = 'en'").select("doc_id", F.md5(T.collapse("text")).alias("digest"))
 
 
+@query(f"SELECT doc_id, md5({squeeze('text')}) AS digest FROM documents")
+def t4_collapse_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", F.md5(T.collapse("text")).alias("digest"))
+
+
 @query(f"""SELECT doc_id, mode, CASE WHEN c = '' OR contains(lower(c), 'provided puzzle image') THEN c ELSE coalesce(({sql_map(T.PREFIXES)})[mode], '') || c END AS prompt FROM
   (SELECT doc_id, {squeeze('q')} AS c, mode FROM (SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'The  Provided Puzzle Image of ' || source WHEN 1 THEN ' see ' || lang END AS q FROM documents),
   (SELECT unnest(['ti2v', 'ti2i', 'ti2t', 'ti2ti', 'x']) AS mode))""")
@@ -199,14 +204,14 @@ def t23_first_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 PATHS = f"(SELECT path_id, list(truth_cell ORDER BY pos, truth_cell, pred_cell) AS truth, list(pred_cell ORDER BY pos, truth_cell, pred_cell) AS pred FROM {duck('paths')} GROUP BY path_id)"
 
 
-def paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+def paths(spark: SparkSession, sf_dir: str, name: str = "paths") -> DataFrame:
     cells = F.array_sort(F.collect_list(F.struct("pos", "truth_cell", "pred_cell")))
-    return fixture(spark, sf_dir, "paths").groupBy("path_id").agg(cells.alias("c")).select("path_id", F.col("c.truth_cell").alias("truth"), F.col("c.pred_cell").alias("pred"))
+    return fixture(spark, sf_dir, name).groupBy("path_id").agg(cells.alias("c")).select("path_id", F.col("c.truth_cell").alias("truth"), F.col("c.pred_cell").alias("pred"))
 
 
 @query(f"SELECT path_id, g, CASE g WHEN 'maze' THEN '[' || array_to_string(truth, ', ') || ']' WHEN 'eyeballing' THEN 'AB' ELSE 'ab' END AS solution FROM {PATHS}, (SELECT unnest(['maze', 'eyeballing', 'visual_puzzle']) AS g)")
-def t24_solution_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    own = paths(spark, sf_dir).withColumn("g", F.explode(F.lit(["maze", "eyeballing", "visual_puzzle"])))
+def t24_solution_text(spark: SparkSession, sf_dir: str, name: str = "paths") -> DataFrame:
+    own = paths(spark, sf_dir, name).withColumn("g", F.explode(F.lit(["maze", "eyeballing", "visual_puzzle"])))
     return own.select("path_id", "g", T.solution_text("g", "truth", F.lit("ab")).alias("solution"))
 
 
@@ -221,10 +226,10 @@ def r1_option_reward(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""SELECT path_id, CAST(CASE WHEN truth = pred THEN 1 ELSE round(least(n, pre + suf) / n, 9) END AS DOUBLE) AS reward FROM (
   SELECT *, len(truth) AS n, coalesce(list_position(list_transform(range(1, len(truth) + 1), lambda i: truth[i] <> pred[i]), true) - 1, len(truth)) AS pre,
     coalesce(list_position(list_transform(range(1, len(truth) + 1), lambda i: truth[-i] <> pred[-i]), true) - 1, len(truth)) AS suf FROM {PATHS})""")
-def r2_path_reward(spark: SparkSession, sf_dir: str) -> DataFrame:
+def r2_path_reward(spark: SparkSession, sf_dir: str, name: str = "paths") -> DataFrame:
     listed = lambda a: F.concat(F.lit("["), F.array_join(F.transform(a, lambda c: c.cast("string")), ", "), F.lit("]"))
     completion = F.concat(F.lit("so <answer>"), listed(F.col("pred")), F.lit("</answer>"))
-    return paths(spark, sf_dir).select("path_id", F.round(R.path_reward(completion, listed(F.col("truth"))), 9).alias("reward"))
+    return paths(spark, sf_dir, name).select("path_id", F.round(R.path_reward(completion, listed(F.col("truth"))), 9).alias("reward"))
 
 
 @query(f"SELECT doc_id, CAST(CASE WHEN p = '' THEN -1 WHEN p = {free_text_sql(SOL)} THEN 1 ELSE 0 END AS DOUBLE) AS reward FROM (SELECT doc_id, lang, {free_text_sql('t')} AS p FROM {A})")

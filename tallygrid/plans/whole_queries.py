@@ -1,0 +1,15 @@
+"""Queries of paths over all orders, with the twins of their namesakes over all orders."""
+
+from __future__ import annotations
+
+from functools import partial
+
+from tallygrid.plans.fixtures import duck
+from tallygrid.plans.record_queries import j12_sequences, s2_stacking, w8_ordered_dedupe
+from tallygrid.plans.registry import ORACLES, query
+from tallygrid.plans.text_queries import r2_path_reward, t24_solution_text
+
+for one in (r2_path_reward, t24_solution_text, j12_sequences, w8_ordered_dedupe, s2_stacking):
+    own = partial(one, name="all_paths")
+    own.__name__ = f"{one.__name__}_all"
+    query(ORACLES[one.__name__].replace(duck("paths"), duck("all_paths")))(own)
