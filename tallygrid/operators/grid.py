@@ -117,25 +117,36 @@ def nearest_masked(pixels: DataFrame, key: list[str], points: DataFrame, radius:
     return near.groupBy(*key).agg(F.min(F.struct(ring.alias("ring"), "y", "x")).alias("_n")).select(*key, "_n.ring", "_n.y", "_n.x")
 
 
-def shortest_paths(cells: DataFrame, ends: DataFrame, max_rounds: int = 500) -> DataFrame:
-    """(grid_id, steps) from start to goal over open cells of many grids; null where there is no way.
+def shortest_paths(cells: DataFrame, ends: DataFrame) -> DataFrame:
+    """(grid_id, steps, path) from start to goal over open cells of many grids; nulls where there is no way.
 
-    cells: grid_id, y, x of open cells; ends: grid_id, sx, sy, gx, gy. All grids advance one step a round; grids that have
-    reached their goal drop out, each round ends the lineage, and going past max_rounds raises.
+    cells: grid_id, y, x of open cells; ends: grid_id, sx, sy, gx, gy; path: array of (y, x), both ends included. All grids
+    advance one step a round and drop out at their goal, and each round ends the lineage. Each cell keeps its parent, the
+    smallest (y, x) on ties; the ways back from the goals are joins on it. A round that reaches no new cell is the last, so
+    there are as many as open cells at most.
     """
     moves = F.explode(F.array(*(F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy")) for dx, dy in ((1, 0), (-1, 0), (0, 1), (0, -1)))))
-    grid = cut(cells.select("grid_id", "y", "x").distinct())
-    front = cut(ends.select("grid_id", F.col("sy").alias("y"), F.col("sx").alias("x")).join(grid, ["grid_id", "y", "x"], "left_semi").withColumn("steps", F.lit(0)))
+    at = ["grid_id", "y", "x"]
+    grid = cut(cells.select(*at).distinct())
+    front = ends.select("grid_id", F.col("sy").alias("y"), F.col("sx").alias("x")).join(grid, at, "left_semi")
+    front = cut(front.withColumns({"steps": F.lit(0), "parent": F.lit(None).cast(front.select(F.struct("y", "x")).schema[0].dataType)}))
     seen = front
     goal = ends.select("grid_id", F.col("gy").alias("y"), F.col("gx").alias("x"))
-    for k in range(max_rounds + 1):
-        done = seen.join(goal, ["grid_id", "y", "x"], "left_semi").select("grid_id")
-        front = front.join(done, "grid_id", "left_anti").withColumn("m", moves).select("grid_id", (F.col("y") + F.col("m.dy")).alias("y"), (F.col("x") + F.col("m.dx")).alias("x")).distinct()
-        front = cut(front.join(grid, ["grid_id", "y", "x"], "left_semi").join(seen, ["grid_id", "y", "x"], "left_anti").withColumn("steps", F.lit(k + 1)))
-        if front.isEmpty():
-            return ends.select("grid_id", F.col("gy").alias("y"), F.col("gx").alias("x")).join(seen, ["grid_id", "y", "x"], "left").select("grid_id", "steps")
+    k = 0
+    while not front.isEmpty():
+        k += 1
+        done = seen.join(goal, at, "left_semi").select("grid_id")
+        steps = front.join(done, "grid_id", "left_anti").withColumn("m", moves).select("grid_id", (F.col("y") + F.col("m.dy")).alias("y"), (F.col("x") + F.col("m.dx")).alias("x"), F.struct("y", "x").alias("parent"))
+        front = steps.groupBy(*at).agg(F.min("parent").alias("parent")).join(grid, at, "left_semi").join(seen, at, "left_anti")
+        front = cut(front.select(*at, F.lit(k).alias("steps"), "parent"))
         seen = cut(seen.unionByName(front))
-    raise RuntimeError(f"paths longer than {max_rounds} steps")
+    ways = cut(goal.join(seen, at).select(*at, "steps", F.array(F.struct("y", "x")).alias("path"), "parent"))
+    found = ways.where("parent is null")
+    while not (ways := ways.where("parent is not null")).isEmpty():
+        back = ways.select("grid_id", F.col("parent.y").alias("y"), F.col("parent.x").alias("x"), F.col("steps").alias("_steps"), "path")
+        ways = cut(back.join(seen, at).select(*at, F.col("_steps").alias("steps"), F.concat(F.array(F.struct("y", "x")), "path").alias("path"), "parent"))
+        found = found.unionByName(ways.where("parent is null"))
+    return ends.select("grid_id").join(found.select("grid_id", "steps", "path"), "grid_id", "left")
 
 
 def stacking_order(pixels: DataFrame, key: list[str], palette: Palette, near: float = 48.0, light: int = 245, dark: int = 10) -> DataFrame:

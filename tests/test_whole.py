@@ -1,11 +1,13 @@
 """Queries over whole tables against brute force and their twins."""
 
+import random
 from collections import defaultdict
 
 import pytest
 
 import __spark_entry__ as entry
 from conftest import DATA
+from tallygrid.operators import grid
 from tallygrid.plans.fixtures import fixture
 from test_queries import duck, test_same_rows as same_rows  # noqa: F401  a fixture
 
@@ -52,3 +54,42 @@ def test_paths_of_all_orders(spark, duck, name):  # noqa: F811
 def test_texts_of_all_languages_collapse(spark, duck):  # noqa: F811
     same_rows(spark, duck, "t4_collapse_all")
     assert entry.queries()["t4_collapse_all"](spark, DATA).count() == spark.read.parquet(f"{DATA}/documents.parquet").count()
+
+
+def test_cells_of_shortest_paths(spark):
+    """Steps as by a breadth first search; paths of neighbouring open cells, with the smallest parent on ties."""
+    rng = random.Random(5)
+    open_cells = {g: {(y, x) for y in range(5) for x in range(5) if (y, x) in ((0, 0), (4, 4)) or rng.random() < 0.7} for g in range(12)}
+    open_cells[12] = {(0, 0)}
+    ends = [(g, 0, 0, 4, 4) if g < 12 else (g, 0, 0, 0, 0) for g in open_cells]
+
+    def one(cells, goal):
+        parent, front = {(0, 0): None}, [(0, 0)]
+        while front and goal not in parent:
+            new = {}
+            for y, x in sorted(front):
+                for c in ((y + 1, x), (y - 1, x), (y, x + 1), (y, x - 1)):
+                    if c in cells and c not in parent:
+                        new.setdefault(c, (y, x))
+            parent |= new
+            front = list(new)
+        if goal not in parent:
+            return None
+        path = [goal]
+        while parent[path[-1]] is not None:
+            path.append(parent[path[-1]])
+        return path[::-1]
+
+    cells = spark.createDataFrame([(g, y, x) for g, own in open_cells.items() for y, x in own], "grid_id int, y int, x int")
+    found = grid.shortest_paths(cells, spark.createDataFrame(ends, "grid_id int, sx int, sy int, gx int, gy int")).collect()
+    expected = {g: one(own, (4, 4) if g < 12 else (0, 0)) for g, own in open_cells.items()}
+    assert len(found) == len(expected) and None in expected.values()
+    assert {r.grid_id: r.path and [(c.y, c.x) for c in r.path] for r in found} == expected
+    assert all(r.steps == (len(r.path) - 1 if r.path else None) for r in found)
+
+
+def test_path_cells_of_the_query(spark):
+    for r in entry.queries()["g3_path_cells"](spark, DATA).collect():
+        ids = [int(c) for c in r.cells.split(",")] if r.cells else []
+        assert len(ids) == (0 if r.steps is None else r.steps + 1)
+        assert all(abs(a // 12 - b // 12) + abs(a % 12 - b % 12) == 1 for a, b in zip(ids, ids[1:]))
