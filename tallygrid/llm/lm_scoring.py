@@ -7,48 +7,54 @@ Tokens are words [^\\x20\\x09-\\x0D]+ (A-Z lowered) and one end for each text. C
 * n-grams, one order after another: every n-gram that occurs LEAST times is kept, at every size of the corpus. One is
   named by the keys of its first and of its last n - 1 words and has the hash of both as its key. Counts stay DataFrames.
 
-The automaton: kept contexts are states; an arc for a kept n-gram has P(w | h) = (c(h, w) + MU * P(w | h')) / (c(h) + MU),
-h' being the context without its first word; the failure arc of a state carries what its arcs leave over, shared out by
-P(w | h'), so that every state's probabilities add up to 1. Reading a text takes the word's arc, or else failure arcs.
-
-That sum of log10 has one term for each word and each kept n-gram of the text, wherever it stands: a word adds
-log10 P(w) and its failure arc as a context; an n-gram adds log10 P(w | h) - log10 P(w | h') less the failure arc of h,
-which it doesn't take, plus its own failure arc as a context. Arcs are therefore weights by key (`Model.weights`), and
-texts meet them in one equi join, summed up for each text. What only saves work is bounded:
-
-* Words and n-grams with a share of the training tokens of WORD_SHARE or ARC_SHARE, at most 1 / share of them an order,
-  are broadcast with their weights: no key of the join holds more than that share.
-* A sieve of SIEVE bits for each order, set for kept keys, lets most places without a kept n-gram go unsent. As it fills
-  up, more are sent and find no weight.
+The automaton: kept contexts h are states. With S(h), the sum of the counts of the n-grams kept under h,
+    P(w | h) = (c(h, w) + (MU + c(h) - S(h)) * P(w | h')) / (c(h) + MU),
+h' being h without its first word and c(h, w) 0 where it isn't kept. So an arc weighs log10 P(w | h), the failure arc
+log10 of (MU + c(h) - S(h)) / (c(h) + MU), and every state's probabilities add up to 1: what isn't kept goes to h'.
+`Automaton` is that graph, gathered for a small model. The corpus is scored from the same counts without gathering them:
+
+* Texts are taken in blocks of BLOCK bytes. A block asks for the distinct words and n-grams in it, as sorted keys cut
+  into ranges (buckets); each bucket meets the counts (c, S) of its keys and answers in the keys' order; the answers
+  meet the texts of the block, and each text is read from left to right with its counts at hand.
+* What only saves work is bounded: words and n-grams with HOT of the training tokens or more (at most 1 / HOT of them an
+  order) are broadcast with their counts, so that no key is asked for by more blocks than that; and a sieve of SIEVE
+  bits for each order, set for kept keys, lets most places without a kept n-gram go unasked. As it fills up, more are
+  asked for and have the count 0.
 
 Keys have 64 bits: below 6e9 different words and n-grams less than one pair is expected to share a key.
 
-Rows: null and empty texts are one end token. Repeated doc_ids are scored row by row. Without training texts N and V are
-0 and every token's probability is 1.
+Rows: null and empty texts are one end token. Null and repeated doc_ids are scored row by row. Without training texts N
+and V are 0 and every token's probability is 1. The texts are read twice, to ask and to score; if they come in other
+blocks the second time (a source that isn't the same when it is read again), scoring stops with an error.
 """
 
 from __future__ import annotations
 
 import math
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Callable, Iterator
 from functools import cached_property
 from uuid import uuid4
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallygrid.llm.common import SPACED, bound_batches, ensure_checkpoint_dir, pieces, read, text_bytes, word_hashes, words_of
 from tallygrid.llm.learning import remainder
 
 ORDER, MU, EXTRA = 3, 20.0, 0.1
-WORD_SHARE, ARC_SHARE, LEAST = 1e-6, 2e-6, 2
+HOT, LEAST = 5e-7, 2
 #: Bits of the sieve of an order, at most: 16 MB. There are 8 to 16 for each kept key until then.
 SIEVE = 1 << 27
 #: Distinct words or n-grams that a task holds before it hands them on.
 HELD = 500_000
+#: Bytes of the texts of a block, and training tokens for each bucket: what a task holds at once.
+BLOCK, BUCKET = 16 << 20, 1_000_000
+#: Rows of an Arrow batch of counts.
+CELLS = 1 << 16
 END = b" "
 
 
@@ -125,8 +131,8 @@ def _sieve(kept: DataFrame) -> np.ndarray:
     return out.reshape(-1)
 
 
-def _orders(keys: np.ndarray, ends: np.ndarray, sieves: list[np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """For each order from 2: first places, keys of the first and of the last words, of n-grams whose parts pass the sieves. No context holds an end."""
+def _orders(keys: np.ndarray, ends: np.ndarray, sieves: list[np.ndarray]) -> Iterator[tuple[np.ndarray, ...]]:
+    """For each order from 2: first places, keys of the first and of the last words, and own keys, of n-grams whose parts pass the sieves. No context holds an end."""
     inside = np.ones(len(keys), dtype=bool)
     inside[ends] = False
     place = np.arange(len(keys))
@@ -135,8 +141,9 @@ def _orders(keys: np.ndarray, ends: np.ndarray, sieves: list[np.ndarray]) -> Ite
         place, keys = place[ok], keys[ok]
         at = np.flatnonzero(np.diff(place) == 1)
         at = at[inside[place[at]]]
-        yield place[at], keys[at], keys[at + 1]
-        place, keys = place[at], _joined(keys[at], keys[at + 1])
+        ctx, low = keys[at], keys[at + 1]
+        place, keys = place[at], _joined(ctx, low)
+        yield place, ctx, low, keys
 
 
 def _count_ngrams(shared) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -146,14 +153,14 @@ def _count_ngrams(shared) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Re
         sieves, held, n_held = shared.value, [], 0
 
         def merged(parts: list[tuple]) -> tuple[np.ndarray, ...]:
-            ctx, low, c = (np.concatenate(x) for x in zip(*parts, strict=True))
-            _, first, at = np.unique(_joined(ctx, low), return_index=True, return_inverse=True)
-            return ctx[first], low[first], np.bincount(at, weights=c).astype(np.int64)
+            ctx, low, own, c = (np.concatenate(x) for x in zip(*parts, strict=True))
+            own, first, at = np.unique(own, return_index=True, return_inverse=True)
+            return ctx[first], low[first], own, np.bincount(at, weights=c).astype(np.int64)
 
         for batch in batches:
             for a, b in pieces(batch.column(0)):
-                *_, (_, ctx, low) = _orders(*_tokens(text_bytes(batch.column(0).slice(a, b - a)).to_pylist()), sieves)
-                held.append((ctx, low, np.ones(len(ctx), dtype=np.int64)))
+                *_, (_, ctx, low, own) = _orders(*_tokens(text_bytes(batch.column(0).slice(a, b - a)).to_pylist()), sieves)
+                held.append((ctx, low, own, np.ones(len(ctx), dtype=np.int64)))
                 n_held += len(ctx)
                 if n_held > 4 * HELD:
                     held = [merged(held)]
@@ -165,7 +172,7 @@ def _count_ngrams(shared) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Re
             yield record(merged(held))
 
     def record(x: tuple[np.ndarray, ...]) -> pa.RecordBatch:
-        return pa.record_batch([pa.array(x[0].view(np.int64)), pa.array(x[1].view(np.int64)), pa.array(x[2])], names=["ctx", "low", "c"])
+        return pa.record_batch([pa.array(x[0].view(np.int64)), pa.array(x[1].view(np.int64)), pa.array(x[3])], names=["ctx", "low", "c"])
 
     return count
 
@@ -173,15 +180,14 @@ def _count_ngrams(shared) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Re
 class Automaton:
     """States with arcs {word: (next state, log10 probability)}, failure arcs and their log10 weights; state 0 is the root.
 
-    A view of a small model, gathered on the driver; scoring doesn't use it.
+    A view of a small model, gathered on the driver; the corpus is scored without it, to the same values.
     """
 
-    def __init__(self, words: list, levels: list[tuple[list, list]]):
-        """words: word, key, p; levels: arcs (ctx, low, key, p) and contexts (key, back)."""
-        self.base = {r["word"].encode(): math.log10(r["p"]) for r in words}
-        state: dict[int, int] = {}
-        for _, contexts in levels:
-            state |= {r["key"]: len(state) + 1 + k for k, r in enumerate(contexts)}
+    def __init__(self, words: list, levels: list[list], n: int, v: int):
+        """words: word, key, c; levels: arcs (ctx, low, key, c) of each order from 2."""
+        p, count = {r["key"]: (r["c"] + EXTRA) / (n + EXTRA * (v + 1)) for r in words}, {r["key"]: r["c"] for r in words}
+        self.base, self.unseen = {r["word"].encode(): math.log10(p[r["key"]]) for r in words}, math.log10(EXTRA / (n + EXTRA * (v + 1)))
+        state = {h: k + 1 for k, h in enumerate(dict.fromkeys(r["ctx"] for arcs in levels for r in arcs))}
         self.arcs: list[dict[bytes, tuple[int, float]]] = [{} for _ in range(len(state) + 1)]
         self.fail, self.back = [0] * (len(state) + 1), [0.0] * (len(state) + 1)
         last, suffix = {r["key"]: r["word"].encode() for r in words}, {}
@@ -191,73 +197,100 @@ class Automaton:
                 key = suffix.get(key)
             return 0 if key is None else state[key]
 
-        for arcs, _ in levels:
+        for arcs in levels:
+            for r in arcs:
+                last[r["key"]], suffix[r["key"]], count[r["key"]] = last[r["low"]], r["low"], r["c"]
+        self.arcs[0] = {r["word"].encode(): (longest(r["key"]), math.log10(p[r["key"]])) for r in words}
+        for arcs in levels:
+            kept: Counter = Counter()
             for r in arcs:
-                last[r["key"]], suffix[r["key"]] = last[r["low"]], r["low"]
-        self.arcs[0] = {r["word"].encode(): (longest(r["key"]), math.log10(r["p"])) for r in words}
-        for arcs, contexts in levels:
+                kept[r["ctx"]] += r["c"]
+            for h, s in kept.items():
+                self.fail[state[h]], self.back[state[h]] = longest(suffix.get(h)), math.log10((MU + count[h] - s) / (MU + count[h]))
             for r in arcs:
-                self.arcs[state[r["ctx"]]][last[r["key"]]] = (longest(r["key"]), math.log10(r["p"]))
-            for r in contexts:
-                self.fail[state[r["key"]]], self.back[state[r["key"]]] = longest(suffix.get(r["key"])), r["back"]
+                h = r["ctx"]
+                p[r["key"]] = (r["c"] + (MU + count[h] - kept[h]) * p[r["low"]]) / (count[h] + MU)
+                self.arcs[state[h]][last[r["key"]]] = (longest(r["key"]), math.log10(p[r["key"]]))
+
+    def read(self, text: bytes | None) -> float:
+        """log10 probability of a text: one traversal from left to right."""
+        state, total = 0, 0.0
+        for w in [*words_of(text, SPACED), END]:
+            while state and w not in self.arcs[state]:
+                state, total = self.fail[state], total + self.back[state]
+            state, p = self.arcs[state].get(w, (0, self.unseen))
+            total += p
+        return total
+
+
+def _packed(x: np.ndarray) -> bytes:
+    """Eight-byte numbers, byte by byte: small numbers and sorted keys then compress."""
+    return x.view(np.uint8).reshape(-1, 8).T.tobytes()
+
+
+def _unpacked(columns: list[bytes], kind: type = np.int64) -> np.ndarray:
+    return np.concatenate([np.frombuffer(x, dtype=np.uint8).reshape(8, -1).T.copy().view(kind).ravel() for x in columns]) if columns else np.zeros(0, dtype=kind)
+
+
+def _by_bucket(keys: np.ndarray, buckets: int) -> Iterator[tuple[int, slice]]:
+    """The ranges of sorted keys that fall into each bucket."""
+    own = (keys >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)
+    edges = np.flatnonzero(np.diff(own)) + 1
+    for a, b in zip([0, *edges.tolist()], [*edges.tolist(), len(keys)], strict=True):
+        if b > a:
+            yield int(own[a]), slice(a, b)
 
 
 class Model:
-    """Counts of the training texts (word, c, key), their totals, and for each order from 2 its arcs and contexts as DataFrames."""
+    """Counts of the training texts: counts (word, c, key), kept (ctx, low, key, c) of each order from 2, totals and sieves."""
 
     def __init__(self, counts: DataFrame, n: int, v: int, kept: list[DataFrame], sieves: list[np.ndarray]):
         self.counts, self.n, self.v, self.sieves = counts, n, v, sieves
-        self.words = counts.select("word", "key", "c", self.base(F.col("c")).alias("p"))
-        self.levels: list[tuple[DataFrame, DataFrame]] = []
-        for arcs in kept:
-            self.levels.append(_level(arcs, self.levels[-1][0] if self.levels else self.words))
-
-    def base(self, c: Column) -> Column:
-        return (c + F.lit(EXTRA)) / F.lit(self.n + EXTRA * (self.v + 1))
-
-    def weights(self) -> DataFrame:
-        """(key, often, base, weight): what each occurrence of a word (with base) or kept n-gram (base null) adds to a score."""
-        tables = [self.words.select("key", "c", F.log10("p").alias("base"), F.log10("p").alias("weight"))]
-        tables += [arcs.select("key", "c", F.lit(None).cast("double").alias("base"), "weight") for arcs, _ in self.levels]
-        out = None
-        for k, own in enumerate(tables):
-            if k < len(self.levels):
-                own = own.join(self.levels[k][1].hint("merge"), "key", "left").withColumn("weight", F.col("weight") + F.coalesce("back", F.lit(0.0)))
-            own = own.select("key", (F.col("c") >= (ARC_SHARE if k else WORD_SHARE) * self.n).alias("often"), "base", "weight")
-            out = own if out is None else out.unionByName(own)
-        return _stored(out)
+        self.kept = [k.withColumn("key", F.xxhash64("ctx", "low")) for k in kept]
+        self.buckets = max(1, math.ceil(n / BUCKET))
+
+    @cached_property
+    def cells(self) -> DataFrame:
+        """(bucket, keys, c, s), packed: count of each word and kept n-gram, and sum of the counts kept under it. Those above HOT have the bucket -1."""
+        zero, own = F.lit(0).cast("long"), self.counts.select("key", "c", F.lit(0).cast("long").alias("s"))
+        for k in self.kept:
+            own = own.unionByName(k.select("key", "c", zero.alias("s"))).unionByName(k.select(F.col("ctx").alias("key"), zero.alias("c"), F.col("c").alias("s")))
+        hot, buckets = HOT * self.n, self.buckets
+
+        def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                key, c, s = (np.asarray(x) for x in batch.columns)
+                by = np.argsort(key.view(np.uint64))
+                key, c, s = key.view(np.uint64)[by], c[by], s[by]
+                parts = [(-1, np.flatnonzero(c >= hot))] if (c >= hot).any() else []
+                rest = np.flatnonzero(c < hot)
+                parts += [(b, rest[at]) for b, at in _by_bucket(key[rest], buckets)]
+                yield pa.record_batch([pa.array([b for b, _ in parts], pa.int32()), *(pa.array([_packed(x[at]) for _, at in parts], pa.binary()) for x in (key, c, s))], names=["bucket", "keys", "c", "s"])
+
+        return _stored(own.groupBy("key").agg(F.sum("c").alias("c"), F.sum("s").alias("s")).mapInArrow(pack, "bucket int, keys binary, c binary, s binary"), CELLS)
 
     @cached_property
     def automaton(self) -> Automaton:
-        return Automaton(self.words.collect(), [(arcs.collect(), contexts.collect()) for arcs, contexts in self.levels])
+        return Automaton(self.counts.collect(), [k.collect() for k in self.kept], self.n, self.v)
 
 
-def _stored(df: DataFrame) -> DataFrame:
+def _stored(df: DataFrame, batch: int | None = None) -> DataFrame:
     """df, written as Parquet to the shared checkpoint folder: a third of the bytes of a checkpoint. Its shuffle files go at once."""
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
-    path, key = f"{spark.sparkContext.getCheckpointDir()}/lm-{uuid4().hex}", "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    before = spark.conf.get(key)
-    spark.conf.set(key, "true")
+    path = f"{spark.sparkContext.getCheckpointDir()}/lm-{uuid4().hex}"
+    settings = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"} | ({"spark.sql.execution.arrow.maxRecordsPerBatch": str(batch)} if batch else {})
+    before = {k: spark.conf.get(k) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
     try:
         df.write.parquet(path)
     finally:
-        spark.conf.set(key, before)
+        for k, v in before.items():
+            spark.conf.set(k, v)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def _level(kept: DataFrame, lower: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Arcs (ctx, low, key, c, p, weight) and contexts (key, back) of an order; lower: key, c, p of the order below."""
-    kept = kept.withColumn("key", F.xxhash64("ctx", "low"))
-    arcs = kept.join(lower.select(F.col("key").alias("low"), F.col("p").alias("q")).hint("merge"), "low")
-    sums = arcs.groupBy(F.col("ctx").alias("key")).agg(F.sum("c").alias("s"), F.sum("q").alias("sq")).join(lower.select("key", F.col("c").alias("n")).hint("merge"), "key")
-    left = lambda x: F.greatest(1 - x, F.lit(1e-12))
-    contexts = _stored(sums.select("key", "n", F.log10(left((F.col("s") + MU * F.col("sq")) / (F.col("n") + MU)) / left(F.col("sq"))).alias("back")))
-    p = (F.col("c") + MU * F.col("q")) / (F.col("n") + MU)
-    found = arcs.join(contexts.withColumnRenamed("key", "ctx").hint("merge"), "ctx").withColumn("p", p)
-    return _stored(found.select("ctx", "low", "key", "c", "p", (F.log10("p") - F.log10("q") - F.col("back")).alias("weight"))), contexts.select("key", "back")
-
-
 def fit(training: DataFrame, order: int = ORDER) -> Model:
     """The model of all texts of `training` (column text)."""
     spark = training.sparkSession
@@ -277,6 +310,31 @@ def fit(training: DataFrame, order: int = ORDER) -> Model:
     return Model(counts, n, v, kept, sieves)
 
 
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.RecordBatch]]:
+    """Rows (doc_id, text) of a partition with the number of their block: it changes where BLOCK bytes of texts have gone by."""
+    from pyspark import TaskContext
+
+    first, gone = TaskContext.get().partitionId() << 32, 0
+    for batch in batches:
+        sizes = pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        own = (gone + np.cumsum(sizes) - sizes) // BLOCK
+        gone += int(sizes.sum())
+        edges = (np.flatnonzero(np.diff(own)) + 1).tolist()
+        for a, b in zip([0, *edges], [*edges, len(own)], strict=True):
+            if b > a:
+                yield first + int(own[a]), batch.slice(a, b - a)
+
+
+def _places(texts: list[bytes | None], sieves: list[np.ndarray]) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
+    """Places of the texts' ends, and for each order the last places and keys of words and of n-grams that pass the sieves."""
+    keys, ends = _tokens(texts)
+    out = [(np.arange(len(keys)), keys)]
+    for k, ((place, _, _, own), sieve) in enumerate(zip(_orders(keys, ends, sieves[:-1]), sieves[1:], strict=True), 1):
+        ok = _passes(sieve, own)
+        out.append((place[ok] + k, own[ok]))
+    return ends, out
+
+
 def _at(known: np.ndarray, keys: np.ndarray) -> np.ndarray:
     """Place of each key in the sorted `known`, or -1."""
     if not len(known):
@@ -285,68 +343,115 @@ def _at(known: np.ndarray, keys: np.ndarray) -> np.ndarray:
     return np.where(known[at] == keys, at, -1)
 
 
-def _read(shared) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """One row for each text (n 0), with what its often seen words and n-grams add, and one for each other word (n over 0) and n-gram (n below 0)."""
+def _ask(shared, buckets: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """What the texts of each block have to look up: sorted keys, by bucket."""
 
-    def read_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        (known, _, _), sieves = shared.value
+        held: list[np.ndarray] = []
+        block = None
 
-        (known, base, weight), sieves = shared.value
-        row = TaskContext.get().partitionId() << 40
-        for batch in batches:
+        def asked() -> pa.RecordBatch:
+            keys = np.unique(np.concatenate(held))
+            parts = list(_by_bucket(keys, buckets))
+            return pa.record_batch([pa.array([b for b, _ in parts], pa.int32()), pa.array([block] * len(parts), pa.int64()), pa.array([_packed(keys[at]) for _, at in parts], pa.binary())], names=["bucket", "block", "keys"])
+
+        for own, batch in _blocks(batches):
+            if held and own != block:
+                yield asked()
+                held = []
+            block = own
             for a, b in pieces(batch.column(1)):
-                part = batch.slice(a, b - a)
-                keys, ends = _tokens(text_bytes(part.column(1)).to_pylist())
-                size = np.diff(ends, prepend=-1)
-                text = np.repeat(np.arange(len(size)), size)
-                at = _at(known, keys)
-                hit = at >= 0
-                sums = lambda rows, x: np.bincount(rows, weights=x, minlength=len(size)).astype(float)  # noqa: E731, B023
-                found, based, total = np.bincount(text[hit], minlength=len(size)), sums(text[hit], base[at[hit]]), sums(text[hit], weight[at[hit]])
-                rest = [(text[~hit], keys[~hit], np.ones(np.count_nonzero(~hit), dtype=np.int64))]
-                for (place, ctx, low), sieve in zip(_orders(keys, ends, sieves[:-1]), sieves[1:], strict=True):
-                    own = _joined(ctx, low)
-                    ok = _passes(sieve, own)
-                    own, where = own[ok], text[place[ok]]
-                    at = _at(known, own)
-                    hit = at >= 0
-                    total += sums(where[hit], weight[at[hit]])
-                    rest.append((where[~hit], own[~hit], np.full(np.count_nonzero(~hit), -1)))
-                where, own, n = (np.concatenate(x) for x in zip(*rest, strict=True))
-                by = np.lexsort((n, own, where))
-                where, own, n = where[by], own[by], n[by]
-                new = np.flatnonzero(np.concatenate([[True], (np.diff(where) != 0) | (own[1:] != own[:-1]) | (np.diff(n) != 0)])[: len(own)])
-                n = np.add.reduceat(n, new) if len(new) else n
-                ids = row + np.arange(len(size))
-                gap = pa.nulls(len(new), pa.int64())
-                cols = [
-                    pa.array(np.concatenate([ids, ids[where[new]]])), pa.array(np.concatenate([_xxh(ids.view(np.uint64), np.uint64(7)), own[new]]).view(np.int64)), pa.array(np.concatenate([np.zeros(len(ids), dtype=np.int64), n])),
-                    *(pa.concat_arrays([x.cast(pa.int64()), gap]) for x in (part.column(0), pa.array(size), pa.array(found))),
-                    *(pa.concat_arrays([pa.array(x), pa.nulls(len(new), pa.float64())]) for x in (based, total)),
-                ]
-                yield pa.record_batch(cols, names=["row", "key", "n", "doc_id", "n_tokens", "found", "base", "total"])
-                row += len(size)
-
-    return read_batches
+                for _, keys in _places(text_bytes(batch.column(1).slice(a, b - a)).to_pylist(), sieves)[1]:
+                    held.append(np.unique(keys[_at(known, keys) < 0]))
+        if held:
+            yield asked()
+
+    return ask
+
+
+def _answer(asked: pa.Table, cells: pa.Table) -> pa.Table:
+    """Counts of the asked keys of one bucket in the keys' order, with a check of the keys."""
+    keys = _unpacked(cells.column("keys").to_pylist(), np.uint64)
+    by = np.argsort(keys)
+    keys, counts = keys[by], [_unpacked(cells.column(x).to_pylist())[by] for x in ("c", "s")]
+    checks, answers = [], []
+    for x in asked.column("keys"):
+        own = _unpacked([x.as_py()], np.uint64)
+        at = _at(keys, own)
+        checks.append(int(np.bitwise_xor.reduce(own).view(np.int64)))
+        answers.append([_packed(np.where(at < 0, 0, c[at]) if len(c) else np.zeros(len(own), dtype=np.int64)) for c in counts])
+    return pa.table([asked.column("block"), asked.column("bucket"), pa.array(checks, pa.int64()), *(pa.array([a[k] for a in answers], pa.binary()) for k in (0, 1))], names=["block", "bucket", "keys", "c", "s"])
+
+
+def _label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for block, batch in _blocks(batches):
+        yield pa.record_batch([pa.array(np.full(batch.num_rows, block)), *batch.columns], names=["block", "doc_id", "text"])
+
+
+def _reader(shared, buckets: int, n: int, v: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    """Scores of the texts of one block."""
+
+    def read_block(rows: pa.Table, answers: pa.Table) -> pa.Table:
+        (known, *often), sieves = shared.value
+        rows = rows.combine_chunks()
+        text = rows.column("text").chunk(0) if rows.num_rows else pa.array([], pa.string())
+        ends, orders, size = [], defaultdict(list), 0
+        for a, b in pieces(text):
+            own_ends, own = _places(text_bytes(text.slice(a, b - a)).to_pylist(), sieves)
+            for k, (place, keys) in enumerate(own):
+                orders[k].append((place + size, keys))
+            ends.append(own_ends + size)
+            size = int(ends[-1][-1]) + 1
+        orders = [[np.concatenate(x) for x in zip(*orders[k], strict=True)] for k in sorted(orders)]
+        ends = np.concatenate(ends)
+        keys = np.concatenate([x for _, x in orders])
+        at = _at(known, keys)
+        asked, where = np.unique(keys[at < 0], return_inverse=True)
+        answers = answers.sort_by("bucket")
+        checks = [(b, int(np.bitwise_xor.reduce(asked[x]).view(np.int64))) for b, x in _by_bucket(asked, buckets)]
+        if checks != list(zip(answers.column("bucket").to_pylist(), answers.column("keys").to_pylist(), strict=True)):
+            raise RuntimeError("the texts came in other blocks than before: write them out before they are scored")
+        tables = []
+        for name, hot in zip(("c", "s"), often, strict=True):
+            x = np.zeros(len(keys), dtype=np.int64)
+            x[at >= 0] = hot[at[at >= 0]]
+            x[at < 0] = _unpacked(answers.column(name).to_pylist())[where]
+            tables.append(np.split(x, np.cumsum([len(k) for _, k in orders])[:-1]))
+        inside = np.ones(size, dtype=bool)
+        inside[ends] = False
+        p = c = s = seen = base = None
+        for (place, _), own_c, own_s in zip(orders, *tables, strict=True):
+            before = c, s
+            c, s = np.zeros(size), np.zeros(size)
+            c[place], s[place] = own_c, own_s
+            if p is None:
+                p = (c + EXTRA) / (n + EXTRA * (v + 1))
+                seen, base = c > 0, np.log10(p)
+            else:
+                h, kept = (np.concatenate([[0.0], (x * inside)[:-1]]) for x in before)
+                p = (c + (MU + h - kept) * p) / (MU + h)
+        start = np.concatenate([[0], ends[:-1] + 1])
+        sums = [np.add.reduceat(x, start) for x in (seen.astype(np.int64), base, np.log10(p))]
+        return pa.table([rows.column("doc_id"), pa.array(np.diff(ends, prepend=-1)), *map(pa.array, sums)], names=["doc_id", "n_tokens", "n_known", "base_score", "score"])
+
+    return read_block
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """(doc_id, n_tokens, n_known, train_tokens, base_score, score) of every row of docs."""
     spark = docs.sparkSession
     bound_batches(spark)
-    weights = model.weights()
-    often = weights.where("often").toArrow()
-    key = often.column("key").to_numpy().view(np.uint64)
-    by = np.argsort(key)
-    table = key[by], *(often.column(c).to_numpy()[by] for c in ("base", "weight"))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_read(spark.sparkContext.broadcast((table, model.sieves))), "row long, key long, n long, doc_id long, n_tokens long, found long, base double, total double")
-    found = rows.join(weights.where("not often").select("key", F.col("base").alias("_base"), "weight").hint("merge"), "key", "left")
-    unseen = F.when(F.col("n") > 0, F.log10(model.base(F.lit(0))))
-    based, more = F.when(F.col("n") > 0, F.coalesce("_base", unseen)), F.coalesce("weight", unseen, F.lit(0.0))
-    out = found.groupBy("row").agg(
-        F.max("doc_id").alias("doc_id"), F.max("n_tokens").alias("n_tokens"), (F.max("found") + F.coalesce(F.sum(F.expr("if(n > 0 and weight is not null, n, 0)")), F.lit(0))).alias("n_known"),
-        (F.max("base") + F.coalesce(F.sum(F.col("n") * based), F.lit(0.0))).alias("base_score"), (F.max("total") + F.sum(F.abs("n") * more)).alias("score"),
-    )
+    often = model.cells.where("bucket < 0").select("keys", "c", "s").collect()
+    known, *counts = (_unpacked([bytes(r[x]) for r in often], kind) for x, kind in (("keys", np.uint64), ("c", np.int64), ("s", np.int64)))
+    by = np.argsort(known)
+    shared = spark.sparkContext.broadcast(((known[by], *(x[by] for x in counts)), model.sieves))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    asked = rows.mapInArrow(_ask(shared, model.buckets), "bucket int, block long, keys binary")
+    cells = model.cells.where("bucket >= 0")
+    answers = _stored(asked.groupBy("bucket").cogroup(cells.groupBy("bucket")).applyInArrow(_answer, "block long, bucket int, keys long, c binary, s binary"))
+    blocks = rows.mapInArrow(_label, "block long, doc_id long, text string")
+    out = blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_reader(shared, model.buckets, model.n, model.v), "doc_id long, n_tokens long, n_known long, base_score double, score double")
     return out.select("doc_id", "n_tokens", "n_known", F.lit(model.n).cast("long").alias("train_tokens"), "base_score", "score")
 
 

@@ -276,49 +276,55 @@ def test_lm_scores(spark):
     assert sum(r.score for r in rows) > sum(r.base_score for r in rows)
 
 
-def test_lm_keeps_repeated_ngrams_at_any_share(spark, monkeypatch):
-    """Scores against a model of all n-grams seen twice, where the shares that are broadcast hold nearly none of them."""
-    monkeypatch.setattr(lm_scoring, "ARC_SHARE", 1e-2)
-    monkeypatch.setattr(lm_scoring, "WORD_SHARE", 1e-2)
-    own = {k: [*common.words_of(v.encode(), common.SPACED), b" "] for k, v in texts(spark).items()}
-    fold = [ws for k, ws in own.items() if k % 3]
-    c = Counter(tuple(ws[i : i + m]) for ws in fold for m in (1, 2, 3) for i in range(len(ws) - m + 1))
+def backoff(fold, mu=20, order=3, least=2):
+    """Brute force: log10 probability of a list of tokens by the interpolated backoff model of all n-grams seen twice, and these n-grams."""
+    c = Counter(tuple(ws[i : i + m]) for ws in fold for m in range(1, order + 1) for i in range(len(ws) - m + 1))
     n, v = sum(map(len, fold)), sum(len(g) == 1 for g in c)
-    kept = {g for g in c if len(g) > 1 and c[g] >= 2}
-    arcs = defaultdict(list)
-    for g in sorted(kept):
-        arcs[g[:-1]].append(g[-1])
-    back, seen = {}, {}
+    kept = {g for g in c if len(g) > 1 and c[g] >= least}
+    under = Counter()
+    for g in kept:
+        under[g[:-1]] += c[g]
 
     def p(h, w):
         if not h:
             return (c[(w,)] + 0.1) / (n + 0.1 * (v + 1))
-        if (h, w) not in seen:
-            seen[h, w] = (c[(*h, w)] + 20 * p(h[1:], w)) / (c[h] + 20) if (*h, w) in kept else left(h) * p(h[1:], w)
-        return seen[h, w]
+        own, lower = c[(*h, w)] * ((*h, w) in kept), p(h[1:], w)
+        return (own + (mu + c[h] - under[h]) * lower) / (c[h] + mu) if h in under else lower
+
+    return lambda ws: sum(math.log10(p(tuple(ws[max(0, i - order + 1) : i]), w)) for i, w in enumerate(ws)), kept, c
 
-    def left(h):
-        if h not in back:
-            back[h] = max(1 - sum(p(h, w) for w in arcs[h]), 1e-12) / max(1 - sum(p(h[1:], w) for w in arcs[h]), 1e-12) if h in arcs else 1.0
-        return back[h]
 
+@pytest.mark.parametrize(("hot", "bucket"), [(1e-2, 5000), (2.0, 500), (1e-9, 10**9)])
+def test_lm_keeps_repeated_ngrams_at_any_share(spark, monkeypatch, hot, bucket):
+    """Scores against a model of all n-grams seen twice, whether few, no or all counts are broadcast, over one bucket or many."""
+    monkeypatch.setattr(lm_scoring, "HOT", hot)
+    monkeypatch.setattr(lm_scoring, "BUCKET", bucket)
+    own = {k: [*common.words_of(v.encode(), common.SPACED), b" "] for k, v in texts(spark).items()}
+    want, kept, c = backoff([ws for k, ws in own.items() if k % 3])
     docs_of = docs(spark).select("doc_id", "text")
     model = lm_scoring.fit(docs_of.where("doc_id % 3 <> 0"))
-    assert [arcs_of.count() for arcs_of, _ in model.levels] == [sum(len(g) == m for g in kept) for m in (2, 3)]
+    assert [arcs.count() for arcs in model.kept] == [sum(len(g) == m for g in kept) for m in (2, 3)]
     rows = lm_scoring.score(docs_of, model).collect()
     assert len(rows) == len(own)
     for r in rows:
         ws = own[r.doc_id]
-        assert r.score == pytest.approx(sum(math.log10(p(tuple(ws[max(0, i - 2) : i]), w)) for i, w in enumerate(ws)))
+        assert r.score == pytest.approx(want(ws))
         assert r.n_known == sum(c[(w,)] > 0 for w in ws)
 
 
+def test_lm_model_grows_with_the_corpus(spark):
+    """The same floor at every size: more texts keep more n-grams, and what fewer texts keep stays."""
+    own = docs(spark)
+    few, more = (lm_scoring.fit(own.where(f"doc_id % 4 < {k}")) for k in (1, 4))
+    for a, b in zip(few.kept, more.kept, strict=True):
+        assert b.count() > 2 * a.count() > 0 and a.join(b, "key", "left_anti").count() == 0
+
+
 def test_automaton_is_a_distribution(spark):
     own = docs(spark).where("doc_id < 60")
     model = lm_scoring.fit(own)
     a, n, v = model.automaton, model.n, model.v
-    rare = [r for r in model.counts.collect() if r.word.encode() not in a.base]
-    rest = sum((r.c + 0.1) / (n + 0.1 * (v + 1)) for r in rare) + 0.1 / (n + 0.1 * (v + 1))
+    unseen = 0.1 / (n + 0.1 * (v + 1))
     assert len(a.arcs) > 50 and any(f for f in a.fail)
     for state in list(range(5)) + list(range(len(a.arcs) - 5, len(a.arcs))):
         total = 0.0
@@ -330,7 +336,16 @@ def test_automaton_is_a_distribution(spark):
         s, p = state, 0.0
         while s:
             p, s = p + a.back[s], a.fail[s]
-        assert total + 10**p * rest == pytest.approx(1)
+        assert total + 10**p * unseen == pytest.approx(1)
+
+
+def test_traversal_scores_alike(spark):
+    """The automaton, read text by text on the driver, and the counts that meet the texts as DataFrames."""
+    own = docs(spark).where("doc_id < 80")
+    model = lm_scoring.fit(own.where("doc_id < 60"))
+    text = texts(spark)
+    for r in lm_scoring.score(own, model).collect():
+        assert r.score == pytest.approx(model.automaton.read(text[r.doc_id].encode()))
 
 
 def test_lm_on_odd_rows(odd, none):
