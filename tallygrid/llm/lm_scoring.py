@@ -2,10 +2,11 @@
 
 Tokens are words [^\\x20\\x09-\\x0D]+ (A-Z lowered) and one end for each text. Counts come from ALL training texts:
 
-* Word counts: each task counts its words, Spark adds the tasks' rows by word. From them N, V and, for every word, the
+* Word counts: each task counts the keys of its words, Spark adds the tasks' rows by key. From them N, V and, for every word, the
   base probability (c + 0.1) / (N + 0.1 * (V + 1)), known or not.
 * n-grams, one order after another: every n-gram that occurs LEAST times is kept, at every size of the corpus. One is
-  named by the keys of its first and of its last n - 1 words and has the hash of both as its key. Counts stay DataFrames.
+  named by the keys of its first and of its last n - 1 words and has the hash of both as its key. Tasks hand on sorted
+  counts cut into ranges of keys (buckets), which Spark brings together. Counts stay DataFrames.
 
 The automaton: kept contexts h are states. With S(h), the sum of the counts of the n-grams kept under h,
     P(w | h) = (c(h, w) + (MU + c(h) - S(h)) * P(w | h')) / (c(h) + MU),
@@ -14,7 +15,7 @@ log10 of (MU + c(h) - S(h)) / (c(h) + MU), and every state's probabilities add u
 `Automaton` is that graph, gathered for a small model. The corpus is scored from the same counts without gathering them:
 
 * Texts are taken in blocks of BLOCK bytes. A block asks for the distinct words and n-grams in it, as sorted keys cut
-  into ranges (buckets); each bucket meets the counts (c, S) of its keys and answers in the keys' order; the answers
+  by bucket; each bucket meets the counts (c, S) of its keys and answers in the keys' order; the answers
   meet the texts of the block, and each text is read from left to right with its counts at hand.
 * What only saves work is bounded: words and n-grams with HOT of the training tokens or more (at most 1 / HOT of them an
   order) are broadcast with their counts, so that no key is asked for by more blocks than that; and a sieve of SIEVE
@@ -49,44 +50,25 @@ ORDER, MU, EXTRA = 3, 20.0, 0.1
 HOT, LEAST = 5e-7, 2
 #: Bits of the sieve of an order, at most: 16 MB. There are 8 to 16 for each kept key until then.
 SIEVE = 1 << 27
-#: Distinct words or n-grams that a task holds before it hands them on.
-HELD = 500_000
+#: Words or n-grams that a task holds before it hands their counts on.
+HELD = 1_000_000
 #: Bytes of the texts of a block, and training tokens for each bucket: what a task holds at once.
-BLOCK, BUCKET = 16 << 20, 1_000_000
+BLOCK, BUCKET = 8 << 20, 1_000_000
 #: Rows of an Arrow batch of counts.
 CELLS = 1 << 16
 END = b" "
 
 
-def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    def out() -> pa.RecordBatch:
-        return pa.record_batch([pa.array(list(counts.keys()), pa.binary()).cast(pa.string()), pa.array(list(counts.values()), pa.int64())], names=["word", "c"])
-
-    counts: Counter = Counter()
-    for batch in batches:
-        for a, b in pieces(batch.column(0)):
-            for text in text_bytes(batch.column(0).slice(a, b - a)).to_pylist():
-                counts.update(words_of(text, SPACED))
-                counts[END] += 1
-            if len(counts) > HELD:
-                yield out()
-                counts = Counter()
-    if counts:
-        yield out()
-
-
 END_KEY = np.uint64(0x5851F42D4C957F2D)
 
 
-def _hash_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Counted words with their keys."""
+def _name_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The distinct words of each piece with their keys."""
     for batch in batches:
-        words = text_bytes(batch.column(0))
-        keys, _ = word_hashes(words.to_pylist(), SPACED)
-        ends = np.array([w == END for w in words.to_pylist()], dtype=bool)
-        out = np.full(len(ends), END_KEY)
-        out[~ends] = keys
-        yield pa.record_batch([batch.column(0), batch.column(1), pa.array(out.view(np.int64))], names=["word", "c", "key"])
+        for a, b in pieces(batch.column(0)):
+            words = sorted({w for text in text_bytes(batch.column(0).slice(a, b - a)).to_pylist() for w in words_of(text, SPACED)})
+            keys = np.append(word_hashes(words, SPACED)[0], END_KEY)
+            yield pa.record_batch([pa.array([*words, END], pa.binary()).cast(pa.string()), pa.array(keys.view(np.int64))], names=["word", "key"])
 
 
 def _tokens(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
@@ -146,37 +128,70 @@ def _orders(keys: np.ndarray, ends: np.ndarray, sieves: list[np.ndarray]) -> Ite
         yield place, ctx, low, keys
 
 
-def _count_ngrams(shared) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """n-grams one word longer than there are sieves of shorter ones."""
+def _runs(x: np.ndarray) -> np.ndarray:
+    """Where each run of equal values of the sorted x begins."""
+    return np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]])[: len(x)])
+
+
+def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def out() -> pa.RecordBatch:
+        keys = np.sort(np.concatenate(held))
+        at = _runs(keys)
+        return pa.record_batch([pa.array(keys[at].view(np.int64)), pa.array(np.diff(at, append=len(keys)))], names=["key", "c"])
+
+    held: list[np.ndarray] = []
+    for batch in batches:
+        for a, b in pieces(batch.column(0)):
+            held.append(_tokens(text_bytes(batch.column(0).slice(a, b - a)).to_pylist())[0])
+            if sum(map(len, held)) > HELD:
+                yield out()
+                held = []
+    if held:
+        yield out()
+
+
+def _count_ngrams(shared, buckets: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Counts, by bucket, of n-grams one word longer than there are sieves of shorter ones."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sieves, held, n_held = shared.value, [], 0
+        sieves = shared.value
+        held: list[tuple[np.ndarray, np.ndarray]] = []
 
-        def merged(parts: list[tuple]) -> tuple[np.ndarray, ...]:
-            ctx, low, own, c = (np.concatenate(x) for x in zip(*parts, strict=True))
-            own, first, at = np.unique(own, return_index=True, return_inverse=True)
-            return ctx[first], low[first], own, np.bincount(at, weights=c).astype(np.int64)
+        def out() -> pa.RecordBatch:
+            own, *counted = _summed(*(np.concatenate(x) for x in zip(*held, strict=True)))
+            parts = list(_by_bucket(own, buckets))
+            return pa.record_batch([pa.array([b for b, _ in parts], pa.int32()), *(pa.array([_packed(x[at]) for _, at in parts], pa.binary()) for x in counted)], names=["bucket", "ctx", "low", "c"])
 
         for batch in batches:
             for a, b in pieces(batch.column(0)):
-                *_, (_, ctx, low, own) = _orders(*_tokens(text_bytes(batch.column(0).slice(a, b - a)).to_pylist()), sieves)
-                held.append((ctx, low, own, np.ones(len(ctx), dtype=np.int64)))
-                n_held += len(ctx)
-                if n_held > 4 * HELD:
-                    held = [merged(held)]
-                    n_held = len(held[0][0])
-                    if n_held > HELD:
-                        yield record(held[0])
-                        held, n_held = [], 0
+                *_, (_, ctx, low, _) = _orders(*_tokens(text_bytes(batch.column(0).slice(a, b - a)).to_pylist()), sieves)
+                held.append((ctx, low))
+                if sum(len(x) for x, _ in held) > HELD:
+                    yield out()
+                    held = []
         if held:
-            yield record(merged(held))
-
-    def record(x: tuple[np.ndarray, ...]) -> pa.RecordBatch:
-        return pa.record_batch([pa.array(x[0].view(np.int64)), pa.array(x[1].view(np.int64)), pa.array(x[3])], names=["ctx", "low", "c"])
+            yield out()
 
     return count
 
 
+def _summed(ctx: np.ndarray, low: np.ndarray, c: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
+    """Distinct n-grams (key, ctx, low, c) in the order of their keys."""
+    own = _joined(ctx, low)
+    by = np.argsort(own)
+    own = own[by]
+    at = _runs(own)
+    total = np.diff(at, append=len(own)) if c is None else np.add.reduceat(c[by], at) if len(at) else c[:0]
+    return own[at], ctx[by[at]], low[by[at]], total
+
+
+def _kept(parts: pa.Table) -> pa.Table:
+    """The n-grams of one bucket that occur LEAST times."""
+    own, ctx, low, c = _summed(*(_unpacked(parts.column(x).to_pylist(), kind) for x, kind in (("ctx", np.uint64), ("low", np.uint64), ("c", np.int64))))
+    ok = c >= LEAST
+    return pa.table([*(pa.array(x[ok].view(np.int64)) for x in (ctx, low, own)), pa.array(c[ok])], names=["ctx", "low", "key", "c"])
+
+
 class Automaton:
     """States with arcs {word: (next state, log10 probability)}, failure arcs and their log10 weights; state 0 is the root.
 
@@ -242,36 +257,50 @@ def _by_bucket(keys: np.ndarray, buckets: int) -> Iterator[tuple[int, slice]]:
 
 
 class Model:
-    """Counts of the training texts: counts (word, c, key), kept (ctx, low, key, c) of each order from 2, totals and sieves."""
+    """Counts of the training texts: counts (key, c) of words, kept (ctx, low, key, c) of each order from 2, totals and sieves."""
 
-    def __init__(self, counts: DataFrame, n: int, v: int, kept: list[DataFrame], sieves: list[np.ndarray]):
-        self.counts, self.n, self.v, self.sieves = counts, n, v, sieves
-        self.kept = [k.withColumn("key", F.xxhash64("ctx", "low")) for k in kept]
+    def __init__(self, text: DataFrame, counts: DataFrame, n: int, v: int, kept: list[DataFrame], sieves: list[np.ndarray]):
+        self.text, self.counts, self.n, self.v, self.kept, self.sieves = text, counts, n, v, kept, sieves
         self.buckets = max(1, math.ceil(n / BUCKET))
 
+    @cached_property
+    def often(self) -> tuple[np.ndarray, np.ndarray]:
+        """Sorted keys and counts of what has HOT of the training tokens: at most 1 / HOT keys an order."""
+        own = [x.where(F.col("c") >= HOT * self.n).select("key", "c").toArrow() for x in (self.counts, *self.kept)]
+        key, c = (np.concatenate([x.column(k).to_numpy() for x in own]) for k in ("key", "c"))
+        by = np.argsort(key.view(np.uint64))
+        return key.view(np.uint64)[by], c[by]
+
     @cached_property
     def cells(self) -> DataFrame:
-        """(bucket, keys, c, s), packed: count of each word and kept n-gram, and sum of the counts kept under it. Those above HOT have the bucket -1."""
-        zero, own = F.lit(0).cast("long"), self.counts.select("key", "c", F.lit(0).cast("long").alias("s"))
+        """(bucket, kind, keys, values), packed: for kind 0 the counts of words and kept n-grams, for kind 1 the sums of the
+        counts kept under them. What is kept under a key of `often` has the bucket -1."""
+        own, under = self.counts.select(F.lit(0).alias("kind"), "key", "c"), None
         for k in self.kept:
-            own = own.unionByName(k.select("key", "c", zero.alias("s"))).unionByName(k.select(F.col("ctx").alias("key"), zero.alias("c"), F.col("c").alias("s")))
-        hot, buckets = HOT * self.n, self.buckets
+            own = own.unionByName(k.select(F.lit(0).alias("kind"), "key", "c"))
+            part = k.groupBy(F.col("ctx").alias("key")).agg(F.sum("c").alias("c")).select(F.lit(1).alias("kind"), "key", "c")
+            under = part if under is None else under.unionByName(part)
+        buckets, shared = self.buckets, own.sparkSession.sparkContext.broadcast(self.often[0])
 
         def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                key, c, s = (np.asarray(x) for x in batch.columns)
-                by = np.argsort(key.view(np.uint64))
-                key, c, s = key.view(np.uint64)[by], c[by], s[by]
-                parts = [(-1, np.flatnonzero(c >= hot))] if (c >= hot).any() else []
-                rest = np.flatnonzero(c < hot)
-                parts += [(b, rest[at]) for b, at in _by_bucket(key[rest], buckets)]
-                yield pa.record_batch([pa.array([b for b, _ in parts], pa.int32()), *(pa.array([_packed(x[at]) for _, at in parts], pa.binary()) for x in (key, c, s))], names=["bucket", "keys", "c", "s"])
-
-        return _stored(own.groupBy("key").agg(F.sum("c").alias("c"), F.sum("s").alias("s")).mapInArrow(pack, "bucket int, keys binary, c binary, s binary"), CELLS)
+                kind, key, c = (np.asarray(x) for x in batch.columns)
+                by = np.lexsort((key.view(np.uint64), kind))
+                kind, key, c = kind[by], key.view(np.uint64)[by], c[by]
+                rows: list[tuple] = []
+                for x in (0, 1):
+                    at, hot = np.flatnonzero(kind == x), _at(shared.value, key[kind == x]) >= 0
+                    if x and hot.any():
+                        rows.append((-1, x, at[hot]))
+                    rows += [(b, x, at[~hot][part]) for b, part in _by_bucket(key[at[~hot]], buckets)]
+                yield pa.record_batch([pa.array([b for b, _, _ in rows], pa.int32()), pa.array([x for _, x, _ in rows], pa.int32()), *(pa.array([_packed(v[at]) for _, _, at in rows], pa.binary()) for v in (key, c))], names=["bucket", "kind", "keys", "c"])
+
+        return _stored((own if under is None else own.unionByName(under)).mapInArrow(pack, "bucket int, kind int, keys binary, c binary"), CELLS)
 
     @cached_property
     def automaton(self) -> Automaton:
-        return Automaton(self.counts.collect(), [k.collect() for k in self.kept], self.n, self.v)
+        words = self.text.mapInArrow(_name_words, "word string, key long").distinct().join(self.counts.hint("merge"), "key")
+        return Automaton(words.collect(), [k.collect() for k in self.kept], self.n, self.v)
 
 
 def _stored(df: DataFrame, batch: int | None = None) -> DataFrame:
@@ -296,18 +325,17 @@ def fit(training: DataFrame, order: int = ORDER) -> Model:
     spark = training.sparkSession
     bound_batches(spark)
     text = training.select("text")
-    counts = text.mapInArrow(_count_words, "word string, c long").groupBy("word").agg(F.sum("c").alias("c"))
-    counts = _stored(counts.mapInArrow(_hash_words, "word string, c long, key long"))
+    counts = _stored(text.mapInArrow(_count_words, "key long, c long").groupBy("key").agg(F.sum("c").alias("c")))
     n, v = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     kept: list[DataFrame] = []
     sieves = [_sieve(counts.where(F.col("c") >= LEAST))]
     for _ in range(order - 1 if n else 0):
         shared = spark.sparkContext.broadcast(list(sieves))
-        found = text.mapInArrow(_count_ngrams(shared), "ctx long, low long, c long").groupBy("ctx", "low").agg(F.sum("c").alias("c")).where(F.col("c") >= LEAST)
-        kept.append(_stored(found))
+        parts = text.mapInArrow(_count_ngrams(shared, max(1, math.ceil(n / BUCKET))), "bucket int, ctx binary, low binary, c binary")
+        kept.append(_stored(parts.groupBy("bucket").applyInArrow(_kept, "ctx long, low long, key long, c long")))
         shared.destroy()
-        sieves.append(_sieve(kept[-1].select(F.xxhash64("ctx", "low").alias("key"))))
-    return Model(counts, n, v, kept, sieves)
+        sieves.append(_sieve(kept[-1]))
+    return Model(text, counts, n, v, kept, sieves)
 
 
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.RecordBatch]]:
@@ -352,7 +380,8 @@ def _ask(shared, buckets: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[
         block = None
 
         def asked() -> pa.RecordBatch:
-            keys = np.unique(np.concatenate(held))
+            keys = np.sort(np.concatenate(held))
+            keys = keys[_runs(keys)]
             parts = list(_by_bucket(keys, buckets))
             return pa.record_batch([pa.array([b for b, _ in parts], pa.int32()), pa.array([block] * len(parts), pa.int64()), pa.array([_packed(keys[at]) for _, at in parts], pa.binary())], names=["bucket", "block", "keys"])
 
@@ -362,8 +391,9 @@ def _ask(shared, buckets: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[
                 held = []
             block = own
             for a, b in pieces(batch.column(1)):
-                for _, keys in _places(text_bytes(batch.column(1).slice(a, b - a)).to_pylist(), sieves)[1]:
-                    held.append(np.unique(keys[_at(known, keys) < 0]))
+                keys = np.sort(np.concatenate([x for _, x in _places(text_bytes(batch.column(1).slice(a, b - a)).to_pylist(), sieves)[1]]))
+                keys = keys[_runs(keys)]
+                held.append(keys[_at(known, keys) < 0])
         if held:
             yield asked()
 
@@ -372,15 +402,17 @@ def _ask(shared, buckets: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[
 
 def _answer(asked: pa.Table, cells: pa.Table) -> pa.Table:
     """Counts of the asked keys of one bucket in the keys' order, with a check of the keys."""
-    keys = _unpacked(cells.column("keys").to_pylist(), np.uint64)
-    by = np.argsort(keys)
-    keys, counts = keys[by], [_unpacked(cells.column(x).to_pylist())[by] for x in ("c", "s")]
+    tables = []
+    for kind in (0, 1):
+        own = cells.filter(pc.equal(cells.column("kind"), kind))
+        keys = _unpacked(own.column("keys").to_pylist(), np.uint64)
+        by = np.argsort(keys)
+        tables.append((keys[by], np.append(_unpacked(own.column("c").to_pylist())[by], 0)))
     checks, answers = [], []
     for x in asked.column("keys"):
         own = _unpacked([x.as_py()], np.uint64)
-        at = _at(keys, own)
         checks.append(int(np.bitwise_xor.reduce(own).view(np.int64)))
-        answers.append([_packed(np.where(at < 0, 0, c[at]) if len(c) else np.zeros(len(own), dtype=np.int64)) for c in counts])
+        answers.append([_packed(c[_at(keys, own)]) for keys, c in tables])
     return pa.table([asked.column("block"), asked.column("bucket"), pa.array(checks, pa.int64()), *(pa.array([a[k] for a in answers], pa.binary()) for k in (0, 1))], names=["block", "bucket", "keys", "c", "s"])
 
 
@@ -406,18 +438,21 @@ def _reader(shared, buckets: int, n: int, v: int) -> Callable[[pa.Table, pa.Tabl
         orders = [[np.concatenate(x) for x in zip(*orders[k], strict=True)] for k in sorted(orders)]
         ends = np.concatenate(ends)
         keys = np.concatenate([x for _, x in orders])
+        by = np.argsort(keys)
+        first = _runs(keys[by])
+        keys, times = keys[by[first]], np.diff(first, append=len(by))
         at = _at(known, keys)
-        asked, where = np.unique(keys[at < 0], return_inverse=True)
-        answers = answers.sort_by("bucket")
+        asked, answers = keys[at < 0], answers.sort_by("bucket")
         checks = [(b, int(np.bitwise_xor.reduce(asked[x]).view(np.int64))) for b, x in _by_bucket(asked, buckets)]
         if checks != list(zip(answers.column("bucket").to_pylist(), answers.column("keys").to_pylist(), strict=True)):
             raise RuntimeError("the texts came in other blocks than before: write them out before they are scored")
         tables = []
         for name, hot in zip(("c", "s"), often, strict=True):
-            x = np.zeros(len(keys), dtype=np.int64)
-            x[at >= 0] = hot[at[at >= 0]]
-            x[at < 0] = _unpacked(answers.column(name).to_pylist())[where]
-            tables.append(np.split(x, np.cumsum([len(k) for _, k in orders])[:-1]))
+            own, all_ = np.zeros(len(keys), dtype=np.int64), np.zeros(len(by), dtype=np.int64)
+            own[at >= 0] = hot[at[at >= 0]]
+            own[at < 0] = _unpacked(answers.column(name).to_pylist())
+            all_[by] = np.repeat(own, times)
+            tables.append(np.split(all_, np.cumsum([len(x) for x, _ in orders])[:-1]))
         inside = np.ones(size, dtype=bool)
         inside[ends] = False
         p = c = s = seen = base = None
@@ -442,10 +477,10 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     """(doc_id, n_tokens, n_known, train_tokens, base_score, score) of every row of docs."""
     spark = docs.sparkSession
     bound_batches(spark)
-    often = model.cells.where("bucket < 0").select("keys", "c", "s").collect()
-    known, *counts = (_unpacked([bytes(r[x]) for r in often], kind) for x, kind in (("keys", np.uint64), ("c", np.int64), ("s", np.int64)))
-    by = np.argsort(known)
-    shared = spark.sparkContext.broadcast(((known[by], *(x[by] for x in counts)), model.sieves))
+    known, counts = model.often
+    under, found = np.zeros(len(known), dtype=np.int64), model.cells.where("bucket < 0").select("keys", "c").toArrow()
+    under[_at(known, _unpacked(found.column("keys").to_pylist(), np.uint64))] = _unpacked(found.column("c").to_pylist())
+    shared = spark.sparkContext.broadcast(((known, counts, under), model.sieves))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     asked = rows.mapInArrow(_ask(shared, model.buckets), "bucket int, block long, keys binary")
     cells = model.cells.where("bucket >= 0")
