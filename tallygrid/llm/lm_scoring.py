@@ -2,11 +2,10 @@
 
 Tokens are words [^\\x20\\x09-\\x0D]+ (A-Z lowered) and one end for each text. Counts come from ALL training texts:
 
-* Word counts: each task counts the keys of its words, Spark adds the tasks' rows by key. From them N, V and, for every word, the
-  base probability (c + 0.1) / (N + 0.1 * (V + 1)), known or not.
-* n-grams, one order after another: every n-gram that occurs LEAST times is kept, at every size of the corpus. One is
-  named by the keys of its first and of its last n - 1 words and has the hash of both as its key. Tasks hand on sorted
-  counts cut into ranges of keys (buckets), which Spark brings together. Counts stay DataFrames.
+* Words and n-grams, one order after another: every word, and every n-gram that occurs LEAST times, is kept at every
+  size of the corpus. A word's key is its hash, that of an n-gram the hash of the keys of its first and of its last
+  n - 1 words. Tasks hand on sorted counts cut into ranges of keys (buckets), which Spark brings together and adds up.
+* From the counts N, V and, for every word, the base probability (c + 0.1) / (N + 0.1 * (V + 1)), known or not.
 
 The automaton: kept contexts h are states. With S(h), the sum of the counts of the n-grams kept under h,
     P(w | h) = (c(h, w) + (MU + c(h) - S(h)) * P(w | h')) / (c(h) + MU),
@@ -32,7 +31,7 @@ blocks the second time (a source that isn't the same when it is read again), sco
 from __future__ import annotations
 
 import math
-from collections import Counter, defaultdict
+from collections import Counter
 from collections.abc import Callable, Iterator
 from functools import cached_property
 from uuid import uuid4
@@ -48,29 +47,18 @@ from tallygrid.llm.learning import remainder
 
 ORDER, MU, EXTRA = 3, 20.0, 0.1
 HOT, LEAST = 5e-7, 2
-#: Bits of the sieve of an order, at most: 16 MB. There are 8 to 16 for each kept key until then.
+#: Bits of the sieve of an order, at most: 16 MB. There are 1 to 2 for each four bytes of text until then.
 SIEVE = 1 << 27
 #: Words or n-grams that a task holds before it hands their counts on.
 HELD = 1_000_000
-#: Bytes of the texts of a block, and training tokens for each bucket: what a task holds at once.
-BLOCK, BUCKET = 8 << 20, 1_000_000
-#: Rows of an Arrow batch of counts.
-CELLS = 1 << 16
+#: Bytes of the texts of a block, and of training texts for each bucket: they bound what a task holds at once.
+BLOCK, BUCKET = 8 << 20, 6 << 20
 END = b" "
 
 
 END_KEY = np.uint64(0x5851F42D4C957F2D)
 
 
-def _name_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The distinct words of each piece with their keys."""
-    for batch in batches:
-        for a, b in pieces(batch.column(0)):
-            words = sorted({w for text in text_bytes(batch.column(0).slice(a, b - a)).to_pylist() for w in words_of(text, SPACED)})
-            keys = np.append(word_hashes(words, SPACED)[0], END_KEY)
-            yield pa.record_batch([pa.array([*words, END], pa.binary()).cast(pa.string()), pa.array(keys.view(np.int64))], names=["word", "key"])
-
-
 def _tokens(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
     """Keys of all tokens of the texts, each text's end after its words, and the place of each end."""
     keys, at = word_hashes(texts, SPACED)
@@ -93,24 +81,27 @@ def _xxh(value: np.ndarray, seed: np.ndarray | np.uint64) -> np.ndarray:
 
 
 def _joined(first: np.ndarray, last: np.ndarray) -> np.ndarray:
-    """Keys of n-grams: what Spark's xxhash64(ctx, low) gives."""
+    """Keys of n-grams, as xxHash64 chained over both keys."""
     return _xxh(last, _xxh(first, np.uint64(42)))
 
 
+def _slots(keys: np.ndarray, size: int) -> np.ndarray:
+    """Bits of the keys in a sieve of `size` bits, a power of 2: their first bits, so that a range of keys has a range of bits."""
+    return (keys >> np.uint64(65 - size.bit_length())).astype(np.int64)
+
+
 def _passes(sieve: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    slot = (keys & np.uint64(8 * len(sieve) - 1)).astype(np.int64)
+    slot = _slots(keys, 8 * len(sieve))
     return (sieve[slot >> 3] >> (slot & 7).astype(np.uint8) & 1).astype(bool)
 
 
-def _sieve(kept: DataFrame) -> np.ndarray:
-    """Bits of the kept keys, packed."""
-    size = min(SIEVE, max(1 << 15, 1 << (8 * kept.count()).bit_length()))
-    slot = F.col("key").bitwiseAND(F.lit(size - 1))
-    rows = kept.select(slot.alias("slot")).groupBy(F.shiftright("slot", 15).cast("int").alias("at")).agg(F.expr("bitmap_construct_agg(slot & 32767)").alias("bits"))
-    out = np.zeros((size >> 15, 4096), dtype=np.uint8)
-    for r in rows.collect():
-        out[r["at"]] = np.frombuffer(bytes(r["bits"]), dtype=np.uint8)
-    return out.reshape(-1)
+def _sieve(kept: DataFrame, size: int) -> np.ndarray:
+    """Bits of the kept keys, packed: each bucket has those of its range."""
+    out = np.zeros(size // 8, dtype=np.uint8)
+    for r in kept.select("at", "bits").toLocalIterator():
+        own = np.frombuffer(bytes(r["bits"]), dtype=np.uint8)
+        out[r["at"] : r["at"] + len(own)] |= own
+    return out
 
 
 def _orders(keys: np.ndarray, ends: np.ndarray, sieves: list[np.ndarray]) -> Iterator[tuple[np.ndarray, ...]]:
@@ -133,39 +124,64 @@ def _runs(x: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]])[: len(x)])
 
 
-def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    def out() -> pa.RecordBatch:
-        keys = np.sort(np.concatenate(held))
-        at = _runs(keys)
-        return pa.record_batch([pa.array(keys[at].view(np.int64)), pa.array(np.diff(at, append=len(keys)))], names=["key", "c"])
+def _packed(x: np.ndarray) -> bytes:
+    """Eight-byte numbers, byte by byte: small numbers and sorted keys then compress."""
+    return x.view(np.uint8).reshape(-1, 8).T.tobytes()
 
-    held: list[np.ndarray] = []
-    for batch in batches:
-        for a, b in pieces(batch.column(0)):
-            held.append(_tokens(text_bytes(batch.column(0).slice(a, b - a)).to_pylist())[0])
-            if sum(map(len, held)) > HELD:
-                yield out()
-                held = []
-    if held:
-        yield out()
+
+def _unpacked(column: pa.ChunkedArray | pa.Array, kind: type = np.int64) -> np.ndarray:
+    return np.concatenate([np.zeros(0, dtype=kind), *(np.frombuffer(x, dtype=np.uint8).reshape(8, -1).T.copy().view(kind).ravel() for x in column.to_pylist())])
+
+
+def _by_bucket(keys: np.ndarray, buckets: int) -> Iterator[tuple[int, slice]]:
+    """The ranges of sorted keys that fall into each bucket."""
+    own = (keys >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)
+    edges = np.flatnonzero(np.diff(own)) + 1
+    for a, b in zip([0, *edges.tolist()], [*edges.tolist(), len(keys)], strict=True):
+        if b > a:
+            yield int(own[a]), slice(a, b)
+
+
+def _dealt(keys: np.ndarray, columns: dict[str, np.ndarray], buckets: int) -> pa.RecordBatch:
+    """Sorted keys and what belongs to them, a row for each bucket."""
+    parts = list(_by_bucket(keys, buckets))
+    columns = {"keys": keys, **columns}
+    return pa.record_batch([pa.array([b for b, _ in parts], pa.int32()), *(pa.array([_packed(x[at]) for _, at in parts], pa.binary()) for x in columns.values())], names=["bucket", *columns])
+
+
+def _summed(keys: np.ndarray, c: np.ndarray | None = None, ctx: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
+    """Distinct keys in order, their counts (without c, one for each time) and contexts (without ctx, none)."""
+    by = np.argsort(keys)
+    keys = keys[by]
+    at = _runs(keys)
+    total = np.diff(at, append=len(keys)) if c is None else np.add.reduceat(c[by], at) if len(at) else c[:0]
+    return keys[at], total, keys[:0] if ctx is None else ctx[by[at]]
+
+
+def _runs(x: np.ndarray) -> np.ndarray:
+    """Where each run of equal values of the sorted x begins."""
+    return np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]])[: len(x)])
 
 
-def _count_ngrams(shared, buckets: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Counts, by bucket, of n-grams one word longer than there are sieves of shorter ones."""
+def _count(shared, buckets: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Counts, by bucket, of n-grams one word longer than there are sieves of shorter ones; without sieves, of words."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sieves = shared.value
         held: list[tuple[np.ndarray, np.ndarray]] = []
 
         def out() -> pa.RecordBatch:
-            own, *counted = _summed(*(np.concatenate(x) for x in zip(*held, strict=True)))
-            parts = list(_by_bucket(own, buckets))
-            return pa.record_batch([pa.array([b for b, _ in parts], pa.int32()), *(pa.array([_packed(x[at]) for _, at in parts], pa.binary()) for x in counted)], names=["bucket", "ctx", "low", "c"])
+            keys, ctx = (np.concatenate(x) for x in zip(*held, strict=True))
+            keys, c, ctx = _summed(keys, None, ctx)
+            return _dealt(keys, {"c": c, "ctx": ctx}, buckets)
 
         for batch in batches:
             for a, b in pieces(batch.column(0)):
-                *_, (_, ctx, low, _) = _orders(*_tokens(text_bytes(batch.column(0).slice(a, b - a)).to_pylist()), sieves)
-                held.append((ctx, low))
+                keys, ends = _tokens(text_bytes(batch.column(0).slice(a, b - a)).to_pylist())
+                ctx = np.zeros(len(keys), dtype=np.uint64)
+                if sieves:
+                    *_, (_, ctx, _, keys) = _orders(keys, ends, sieves)
+                held.append((keys, ctx))
                 if sum(len(x) for x, _ in held) > HELD:
                     yield out()
                     held = []
@@ -175,21 +191,43 @@ def _count_ngrams(shared, buckets: int) -> Callable[[Iterator[pa.RecordBatch]],
     return count
 
 
-def _summed(ctx: np.ndarray, low: np.ndarray, c: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
-    """Distinct n-grams (key, ctx, low, c) in the order of their keys."""
-    own = _joined(ctx, low)
-    by = np.argsort(own)
-    own = own[by]
-    at = _runs(own)
-    total = np.diff(at, append=len(own)) if c is None else np.add.reduceat(c[by], at) if len(at) else c[:0]
-    return own[at], ctx[by[at]], low[by[at]], total
+def _keep(least: int, size: int) -> Callable[[pa.Table], pa.Table]:
+    """The keys of one bucket that occur `least` times, with the bits of those that occur LEAST times."""
+
+    def keep(parts: pa.Table) -> pa.Table:
+        keys, c, ctx = _summed(*(_unpacked(parts.column(x), kind) for x, kind in (("keys", np.uint64), ("c", np.int64), ("ctx", np.uint64))))
+        keys, c, ctx = (x[c >= least] for x in (keys, c, ctx))
+        slot = _slots(keys[c >= LEAST], size)
+        at = int(slot[0] >> 3) if len(slot) else 0
+        bits = np.zeros(8 * (int(slot[-1] >> 3) + 1 - at) if len(slot) else 0, dtype=np.uint8)
+        bits[slot - 8 * at] = 1
+        return pa.table(
+            [parts.column("bucket").slice(0, 1), *(pa.array([_packed(x)], pa.binary()) for x in (keys, c, ctx)), pa.array([at], pa.int32()), pa.array([np.packbits(bits, bitorder="little").tobytes()], pa.binary()), pa.array([len(keys)], pa.int64()), pa.array([int(c.sum())], pa.int64())],
+            names=["bucket", "keys", "c", "ctx", "at", "bits", "n_keys", "n"],
+        )
+
+    return keep
+
 
+def _sum_up(parts: pa.Table) -> pa.Table:
+    keys, c, _ = _summed(_unpacked(parts.column("keys"), np.uint64), _unpacked(parts.column("c")))
+    return pa.table([parts.column("bucket").slice(0, 1), pa.array([_packed(keys)], pa.binary()), pa.array([_packed(c)], pa.binary())], names=["bucket", "keys", "c"])
+
+
+def _name(shared) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """(key, low, word) of the words, and of the n-grams (word null) whose parts pass the sieves; low is the key without the first word."""
+
+    def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a, b in pieces(batch.column(0)):
+                texts = text_bytes(batch.column(0).slice(a, b - a)).to_pylist()
+                words = [w for text in texts for w in [*words_of(text, SPACED), END]]
+                keys, ends = _tokens(texts)
+                yield pa.record_batch([pa.array(keys.view(np.int64)), pa.nulls(len(keys), pa.int64()), pa.array(words, pa.binary()).cast(pa.string())], names=["key", "low", "word"])
+                for _, _, low, own in _orders(keys, ends, shared.value):
+                    yield pa.record_batch([pa.array(own.view(np.int64)), pa.array(low.view(np.int64)), pa.nulls(len(own), pa.string())], names=["key", "low", "word"])
 
-def _kept(parts: pa.Table) -> pa.Table:
-    """The n-grams of one bucket that occur LEAST times."""
-    own, ctx, low, c = _summed(*(_unpacked(parts.column(x).to_pylist(), kind) for x, kind in (("ctx", np.uint64), ("low", np.uint64), ("c", np.int64))))
-    ok = c >= LEAST
-    return pa.table([*(pa.array(x[ok].view(np.int64)) for x in (ctx, low, own)), pa.array(c[ok])], names=["ctx", "low", "key", "c"])
+    return name
 
 
 class Automaton:
@@ -199,7 +237,7 @@ class Automaton:
     """
 
     def __init__(self, words: list, levels: list[list], n: int, v: int):
-        """words: word, key, c; levels: arcs (ctx, low, key, c) of each order from 2."""
+        """words: word, key, c; levels: arcs (ctx, low, key, c) of each order from 2. Keys are only names here."""
         p, count = {r["key"]: (r["c"] + EXTRA) / (n + EXTRA * (v + 1)) for r in words}, {r["key"]: r["c"] for r in words}
         self.base, self.unseen = {r["word"].encode(): math.log10(p[r["key"]]) for r in words}, math.log10(EXTRA / (n + EXTRA * (v + 1)))
         state = {h: k + 1 for k, h in enumerate(dict.fromkeys(r["ctx"] for arcs in levels for r in arcs))}
@@ -238,85 +276,78 @@ class Automaton:
         return total
 
 
-def _packed(x: np.ndarray) -> bytes:
-    """Eight-byte numbers, byte by byte: small numbers and sorted keys then compress."""
-    return x.view(np.uint8).reshape(-1, 8).T.tobytes()
-
-
-def _unpacked(columns: list[bytes], kind: type = np.int64) -> np.ndarray:
-    return np.concatenate([np.frombuffer(x, dtype=np.uint8).reshape(8, -1).T.copy().view(kind).ravel() for x in columns]) if columns else np.zeros(0, dtype=kind)
-
+class Model:
+    """Counts of the training texts. kept has a table for each order from 1: (bucket, keys, c, ctx), packed, ctx being the
+    keys of the contexts. n and v: tokens, and different ones."""
 
-def _by_bucket(keys: np.ndarray, buckets: int) -> Iterator[tuple[int, slice]]:
-    """The ranges of sorted keys that fall into each bucket."""
-    own = (keys >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)
-    edges = np.flatnonzero(np.diff(own)) + 1
-    for a, b in zip([0, *edges.tolist()], [*edges.tolist(), len(keys)], strict=True):
-        if b > a:
-            yield int(own[a]), slice(a, b)
+    def __init__(self, text: DataFrame, buckets: int, n: int, v: int, kept: list[DataFrame], sieves: list[np.ndarray]):
+        self.text, self.buckets, self.n, self.v, self.kept, self.sieves = text, buckets, n, v, kept, sieves
 
+    @cached_property
+    def under(self) -> DataFrame:
+        """(bucket, keys, c), packed: for each context the sum of the counts kept under it."""
+        buckets = self.buckets
 
-class Model:
-    """Counts of the training texts: counts (key, c) of words, kept (ctx, low, key, c) of each order from 2, totals and sieves."""
+        def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for k in range(batch.num_rows):
+                    keys, c, _ = _summed(_unpacked(batch.column(0).slice(k, 1), np.uint64), _unpacked(batch.column(1).slice(k, 1)))
+                    yield _dealt(keys, {"c": c}, buckets)
 
-    def __init__(self, text: DataFrame, counts: DataFrame, n: int, v: int, kept: list[DataFrame], sieves: list[np.ndarray]):
-        self.text, self.counts, self.n, self.v, self.kept, self.sieves = text, counts, n, v, kept, sieves
-        self.buckets = max(1, math.ceil(n / BUCKET))
+        own = self.kept[0].select("ctx", "c").where("false")
+        for k in self.kept[1:]:
+            own = own.unionByName(k.select("ctx", "c"))
+        return _stored(own.mapInArrow(contexts, "bucket int, keys binary, c binary").groupBy("bucket").applyInArrow(_sum_up, "bucket int, keys binary, c binary"))
 
     @cached_property
-    def often(self) -> tuple[np.ndarray, np.ndarray]:
-        """Sorted keys and counts of what has HOT of the training tokens: at most 1 / HOT keys an order."""
-        own = [x.where(F.col("c") >= HOT * self.n).select("key", "c").toArrow() for x in (self.counts, *self.kept)]
-        key, c = (np.concatenate([x.column(k).to_numpy() for x in own]) for k in ("key", "c"))
-        by = np.argsort(key.view(np.uint64))
-        return key.view(np.uint64)[by], c[by]
+    def often(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """What has HOT of the training tokens, at most 1 / HOT keys an order: sorted keys, counts, and the sums kept under them."""
+        least = HOT * self.n
+        found = [_only(k, lambda _, c: c >= least) for k in self.kept]
+        keys, c, _ = _summed(*(np.concatenate(x) for x in zip(*found, strict=True)))
+        shared = self.text.sparkSession.sparkContext.broadcast(keys)
+        contexts, s = _only(self.under, lambda own, _: _at(shared.value, own) >= 0)
+        under = np.zeros(len(keys), dtype=np.int64)
+        under[_at(keys, contexts)] = s
+        return keys, c, under
 
     @cached_property
-    def cells(self) -> DataFrame:
-        """(bucket, kind, keys, values), packed: for kind 0 the counts of words and kept n-grams, for kind 1 the sums of the
-        counts kept under them. What is kept under a key of `often` has the bucket -1."""
-        own, under = self.counts.select(F.lit(0).alias("kind"), "key", "c"), None
+    def automaton(self) -> Automaton:
+        shared = self.text.sparkSession.sparkContext.broadcast(self.sieves[:-1])
+        names = self.text.mapInArrow(_name(shared), "key long, low long, word string").distinct().collect()
+        words, low = {r["key"]: r["word"] for r in names if r["word"] is not None}, {r["key"]: r["low"] for r in names}
+        levels = []
         for k in self.kept:
-            own = own.unionByName(k.select(F.lit(0).alias("kind"), "key", "c"))
-            part = k.groupBy(F.col("ctx").alias("key")).agg(F.sum("c").alias("c")).select(F.lit(1).alias("kind"), "key", "c")
-            under = part if under is None else under.unionByName(part)
-        buckets, shared = self.buckets, own.sparkSession.sparkContext.broadcast(self.often[0])
+            keys, c, ctx = (_unpacked(pa.array([bytes(r[x]) for r in rows], pa.binary())).tolist() for rows in [k.collect()] for x in ("keys", "c", "ctx"))
+            levels.append([{"key": a, "c": n, "ctx": h, "low": low[a], "word": words.get(a)} for a, n, h in zip(keys, c, ctx, strict=True)])
+        return Automaton(levels[0], levels[1:], self.n, self.v)
 
-        def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                kind, key, c = (np.asarray(x) for x in batch.columns)
-                by = np.lexsort((key.view(np.uint64), kind))
-                kind, key, c = kind[by], key.view(np.uint64)[by], c[by]
-                rows: list[tuple] = []
-                for x in (0, 1):
-                    at, hot = np.flatnonzero(kind == x), _at(shared.value, key[kind == x]) >= 0
-                    if x and hot.any():
-                        rows.append((-1, x, at[hot]))
-                    rows += [(b, x, at[~hot][part]) for b, part in _by_bucket(key[at[~hot]], buckets)]
-                yield pa.record_batch([pa.array([b for b, _, _ in rows], pa.int32()), pa.array([x for _, x, _ in rows], pa.int32()), *(pa.array([_packed(v[at]) for _, _, at in rows], pa.binary()) for v in (key, c))], names=["bucket", "kind", "keys", "c"])
-
-        return _stored((own if under is None else own.unionByName(under)).mapInArrow(pack, "bucket int, kind int, keys binary, c binary"), CELLS)
 
-    @cached_property
-    def automaton(self) -> Automaton:
-        words = self.text.mapInArrow(_name_words, "word string, key long").distinct().join(self.counts.hint("merge"), "key")
-        return Automaton(words.collect(), [k.collect() for k in self.kept], self.n, self.v)
+def _only(packed: DataFrame, keep: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Keys and numbers of a packed table that `keep` picks, on the driver."""
 
+    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys, c = _unpacked(batch.column(0), np.uint64), _unpacked(batch.column(1))
+            ok = keep(keys, c)
+            yield pa.record_batch([pa.array([_packed(x[ok])], pa.binary()) for x in (keys, c)], names=["keys", "c"])
 
-def _stored(df: DataFrame, batch: int | None = None) -> DataFrame:
+    found = packed.select("keys", "c").mapInArrow(pick, "keys binary, c binary").toArrow()
+    return _unpacked(found.column("keys"), np.uint64), _unpacked(found.column("c"))
+
+
+def _stored(df: DataFrame) -> DataFrame:
     """df, written as Parquet to the shared checkpoint folder: a third of the bytes of a checkpoint. Its shuffle files go at once."""
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
     path = f"{spark.sparkContext.getCheckpointDir()}/lm-{uuid4().hex}"
-    settings = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"} | ({"spark.sql.execution.arrow.maxRecordsPerBatch": str(batch)} if batch else {})
-    before = {k: spark.conf.get(k) for k in settings}
-    for k, v in settings.items():
-        spark.conf.set(k, v)
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "true")
     try:
         df.write.parquet(path)
     finally:
-        for k, v in before.items():
-            spark.conf.set(k, v)
+        spark.conf.set(key, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -325,17 +356,20 @@ def fit(training: DataFrame, order: int = ORDER) -> Model:
     spark = training.sparkSession
     bound_batches(spark)
     text = training.select("text")
-    counts = _stored(text.mapInArrow(_count_words, "key long, c long").groupBy("key").agg(F.sum("c").alias("c")))
-    n, v = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
+    size = text.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    buckets, bits = max(1, math.ceil(size / BUCKET)), min(SIEVE, max(1 << 15, 1 << (size // 4).bit_length()))
     kept: list[DataFrame] = []
-    sieves = [_sieve(counts.where(F.col("c") >= LEAST))]
-    for _ in range(order - 1 if n else 0):
+    sieves: list[np.ndarray] = []
+    n = v = 0
+    for k in range(order):
         shared = spark.sparkContext.broadcast(list(sieves))
-        parts = text.mapInArrow(_count_ngrams(shared, max(1, math.ceil(n / BUCKET))), "bucket int, ctx binary, low binary, c binary")
-        kept.append(_stored(parts.groupBy("bucket").applyInArrow(_kept, "ctx long, low long, key long, c long")))
+        parts = text.mapInArrow(_count(shared, buckets), "bucket int, keys binary, c binary, ctx binary").groupBy("bucket")
+        kept.append(_stored(parts.applyInArrow(_keep(LEAST if k else 1, bits), "bucket int, keys binary, c binary, ctx binary, at int, bits binary, n_keys long, n long")))
         shared.destroy()
-        sieves.append(_sieve(kept[-1]))
-    return Model(text, counts, n, v, kept, sieves)
+        if not k:
+            n, v = kept[0].agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("n_keys"), F.lit(0))).first()
+        sieves.append(_sieve(kept[-1], bits))
+    return Model(text, buckets, n, v, [k.select("bucket", "keys", "c", "ctx") for k in kept], sieves)
 
 
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.RecordBatch]]:
@@ -371,6 +405,18 @@ def _at(known: np.ndarray, keys: np.ndarray) -> np.ndarray:
     return np.where(known[at] == keys, at, -1)
 
 
+def _distinct(keys: list[np.ndarray]) -> np.ndarray:
+    own = np.sort(np.concatenate([np.zeros(0, dtype=np.uint64), *keys]))
+    return own[_runs(own)]
+
+
+def _to_ask(text: pa.Array, known: np.ndarray, sieves: list[np.ndarray]) -> Iterator[np.ndarray]:
+    """For each piece of the texts, the distinct keys that are not in `known`."""
+    for a, b in pieces(text):
+        keys = _distinct([x for _, x in _places(text_bytes(text.slice(a, b - a)).to_pylist(), sieves)[1]])
+        yield keys[_at(known, keys) < 0]
+
+
 def _ask(shared, buckets: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """What the texts of each block have to look up: sorted keys, by bucket."""
 
@@ -380,20 +426,15 @@ def _ask(shared, buckets: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[
         block = None
 
         def asked() -> pa.RecordBatch:
-            keys = np.sort(np.concatenate(held))
-            keys = keys[_runs(keys)]
-            parts = list(_by_bucket(keys, buckets))
-            return pa.record_batch([pa.array([b for b, _ in parts], pa.int32()), pa.array([block] * len(parts), pa.int64()), pa.array([_packed(keys[at]) for _, at in parts], pa.binary())], names=["bucket", "block", "keys"])
+            own = _dealt(_distinct(held), {}, buckets)
+            return own.append_column("block", pa.array(np.full(own.num_rows, block)))
 
         for own, batch in _blocks(batches):
             if held and own != block:
                 yield asked()
                 held = []
             block = own
-            for a, b in pieces(batch.column(1)):
-                keys = np.sort(np.concatenate([x for _, x in _places(text_bytes(batch.column(1).slice(a, b - a)).to_pylist(), sieves)[1]]))
-                keys = keys[_runs(keys)]
-                held.append(keys[_at(known, keys) < 0])
+            held += _to_ask(batch.column(1), known, sieves)
         if held:
             yield asked()
 
@@ -401,19 +442,19 @@ def _ask(shared, buckets: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[
 
 
 def _answer(asked: pa.Table, cells: pa.Table) -> pa.Table:
-    """Counts of the asked keys of one bucket in the keys' order, with a check of the keys."""
+    """Counts of the asked keys of one bucket, and the sums kept under them, in the keys' order, with a check of the keys."""
     tables = []
     for kind in (0, 1):
         own = cells.filter(pc.equal(cells.column("kind"), kind))
-        keys = _unpacked(own.column("keys").to_pylist(), np.uint64)
+        keys = _unpacked(own.column("keys"), np.uint64)
         by = np.argsort(keys)
-        tables.append((keys[by], np.append(_unpacked(own.column("c").to_pylist())[by], 0)))
+        tables.append((keys[by], np.append(_unpacked(own.column("c"))[by], 0)))
     checks, answers = [], []
-    for x in asked.column("keys"):
-        own = _unpacked([x.as_py()], np.uint64)
+    for k in range(asked.num_rows):
+        own = _unpacked(asked.column("keys").slice(k, 1), np.uint64)
         checks.append(int(np.bitwise_xor.reduce(own).view(np.int64)))
         answers.append([_packed(c[_at(keys, own)]) for keys, c in tables])
-    return pa.table([asked.column("block"), asked.column("bucket"), pa.array(checks, pa.int64()), *(pa.array([a[k] for a in answers], pa.binary()) for k in (0, 1))], names=["block", "bucket", "keys", "c", "s"])
+    return pa.table([asked.column("block"), asked.column("bucket"), pa.array(checks, pa.int64()), *(pa.array([a[k] for a in answers], pa.binary()) for k in (0, 1))], names=["block", "bucket", "check", "c", "s"])
 
 
 def _label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -421,54 +462,47 @@ def _label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([pa.array(np.full(batch.num_rows, block)), *batch.columns], names=["block", "doc_id", "text"])
 
 
+def _read(texts: list[bytes | None], tables: list[tuple[np.ndarray, ...]], sieves: list[np.ndarray], n: int, v: int) -> tuple[np.ndarray, ...]:
+    """Tokens, known tokens, base and score of each text. tables: sorted keys, counts and sums kept under them."""
+    ends, orders = _places(texts, sieves)
+    size = int(ends[-1]) + 1
+    inside = np.ones(size, dtype=bool)
+    inside[ends] = False
+    c, s, p = np.zeros(size), np.zeros(size), None
+    for place, keys in orders:
+        by = np.argsort(keys)
+        first = _runs(keys[by])
+        distinct, own = keys[by[first]], np.zeros((2, len(first)))
+        for known, *values in tables:
+            at = _at(known, distinct)
+            own[:, at >= 0] = [x[at[at >= 0]] for x in values]
+        before_c, before_s = (np.concatenate([[0.0], (x * inside)[:-1]]) for x in (c, s))
+        c, s = np.zeros(size), np.zeros(size)
+        c[place[by]], s[place[by]] = np.repeat(own, np.diff(first, append=len(by)), axis=1)
+        if p is None:
+            p = (c + EXTRA) / (n + EXTRA * (v + 1))
+            seen, base = c > 0, np.log10(p)
+        else:
+            p = (c + (MU + before_c - before_s) * p) / (MU + before_c)
+    start = np.concatenate([[0], ends[:-1] + 1])
+    return np.diff(ends, prepend=-1), *(np.add.reduceat(x, start) for x in (seen.astype(np.int64), base, np.log10(p)))
+
+
 def _reader(shared, buckets: int, n: int, v: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
     """Scores of the texts of one block."""
 
     def read_block(rows: pa.Table, answers: pa.Table) -> pa.Table:
         (known, *often), sieves = shared.value
-        rows = rows.combine_chunks()
-        text = rows.column("text").chunk(0) if rows.num_rows else pa.array([], pa.string())
-        ends, orders, size = [], defaultdict(list), 0
-        for a, b in pieces(text):
-            own_ends, own = _places(text_bytes(text.slice(a, b - a)).to_pylist(), sieves)
-            for k, (place, keys) in enumerate(own):
-                orders[k].append((place + size, keys))
-            ends.append(own_ends + size)
-            size = int(ends[-1][-1]) + 1
-        orders = [[np.concatenate(x) for x in zip(*orders[k], strict=True)] for k in sorted(orders)]
-        ends = np.concatenate(ends)
-        keys = np.concatenate([x for _, x in orders])
-        by = np.argsort(keys)
-        first = _runs(keys[by])
-        keys, times = keys[by[first]], np.diff(first, append=len(by))
-        at = _at(known, keys)
-        asked, answers = keys[at < 0], answers.sort_by("bucket")
+        texts = [x for x in rows.column("text").chunks if len(x)]
+        asked = _distinct([x for text in texts for x in _to_ask(text, known, sieves)])
+        answers = answers.sort_by("bucket")
         checks = [(b, int(np.bitwise_xor.reduce(asked[x]).view(np.int64))) for b, x in _by_bucket(asked, buckets)]
-        if checks != list(zip(answers.column("bucket").to_pylist(), answers.column("keys").to_pylist(), strict=True)):
+        if checks != list(zip(answers.column("bucket").to_pylist(), answers.column("check").to_pylist(), strict=True)):
             raise RuntimeError("the texts came in other blocks than before: write them out before they are scored")
-        tables = []
-        for name, hot in zip(("c", "s"), often, strict=True):
-            own, all_ = np.zeros(len(keys), dtype=np.int64), np.zeros(len(by), dtype=np.int64)
-            own[at >= 0] = hot[at[at >= 0]]
-            own[at < 0] = _unpacked(answers.column(name).to_pylist())
-            all_[by] = np.repeat(own, times)
-            tables.append(np.split(all_, np.cumsum([len(x) for x, _ in orders])[:-1]))
-        inside = np.ones(size, dtype=bool)
-        inside[ends] = False
-        p = c = s = seen = base = None
-        for (place, _), own_c, own_s in zip(orders, *tables, strict=True):
-            before = c, s
-            c, s = np.zeros(size), np.zeros(size)
-            c[place], s[place] = own_c, own_s
-            if p is None:
-                p = (c + EXTRA) / (n + EXTRA * (v + 1))
-                seen, base = c > 0, np.log10(p)
-            else:
-                h, kept = (np.concatenate([[0.0], (x * inside)[:-1]]) for x in before)
-                p = (c + (MU + h - kept) * p) / (MU + h)
-        start = np.concatenate([[0], ends[:-1] + 1])
-        sums = [np.add.reduceat(x, start) for x in (seen.astype(np.int64), base, np.log10(p))]
-        return pa.table([rows.column("doc_id"), pa.array(np.diff(ends, prepend=-1)), *map(pa.array, sums)], names=["doc_id", "n_tokens", "n_known", "base_score", "score"])
+        tables = [(asked, *(_unpacked(answers.column(x)) for x in ("c", "s"))), (known, *often)]
+        found = [_read(text_bytes(text.slice(a, b - a)).to_pylist(), tables, sieves, n, v) for text in texts for a, b in pieces(text)]
+        sums = [np.concatenate(x) for x in zip(*found, strict=True)]
+        return pa.table([rows.column("doc_id"), *map(pa.array, sums)], names=["doc_id", "n_tokens", "n_known", "base_score", "score"])
 
     return read_block
 
@@ -477,14 +511,13 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     """(doc_id, n_tokens, n_known, train_tokens, base_score, score) of every row of docs."""
     spark = docs.sparkSession
     bound_batches(spark)
-    known, counts = model.often
-    under, found = np.zeros(len(known), dtype=np.int64), model.cells.where("bucket < 0").select("keys", "c").toArrow()
-    under[_at(known, _unpacked(found.column("keys").to_pylist(), np.uint64))] = _unpacked(found.column("c").to_pylist())
-    shared = spark.sparkContext.broadcast(((known, counts, under), model.sieves))
+    shared = spark.sparkContext.broadcast((model.often, model.sieves))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    asked = rows.mapInArrow(_ask(shared, model.buckets), "bucket int, block long, keys binary")
-    cells = model.cells.where("bucket >= 0")
-    answers = _stored(asked.groupBy("bucket").cogroup(cells.groupBy("bucket")).applyInArrow(_answer, "block long, bucket int, keys long, c binary, s binary"))
+    asked = rows.mapInArrow(_ask(shared, model.buckets), "bucket int, keys binary, block long")
+    cells = model.under.select("bucket", F.lit(1).alias("kind"), "keys", "c")
+    for k in model.kept:
+        cells = cells.unionByName(k.select("bucket", F.lit(0).alias("kind"), "keys", "c"))
+    answers = _stored(asked.groupBy("bucket").cogroup(cells.groupBy("bucket")).applyInArrow(_answer, "block long, bucket int, check long, c binary, s binary"))
     blocks = rows.mapInArrow(_label, "block long, doc_id long, text string")
     out = blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_reader(shared, model.buckets, model.n, model.v), "doc_id long, n_tokens long, n_known long, base_score double, score double")
     return out.select("doc_id", "n_tokens", "n_known", F.lit(model.n).cast("long").alias("train_tokens"), "base_score", "score")
