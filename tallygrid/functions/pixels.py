@@ -64,6 +64,13 @@ def cielab(a: list[Column], c: list[Column]) -> Column:
 METRICS = {"euclidean": euclidean, "manhattan": manhattan, "coverage": coverage, "cielab": cielab}
 
 
+def distance(metric: str, a: list[Column], b: list[Column]) -> Column:
+    """Of two colours, by the metric's name."""
+    if metric not in METRICS:
+        raise ValueError(f"no metric {metric!r}; there are {sorted(METRICS)}")
+    return METRICS[metric](a, b)
+
+
 def window(width: int, height: int, crop: tuple[int, int, int, int] | None = None, size: tuple[int, int] | None = None) -> Column:
     """M4: inside an explicit (left, top, right, bottom) window, or a centred one of the given size; right and bottom are outside."""
     if crop is None:

@@ -25,10 +25,15 @@ def path_reward(completion: Text, solution: Text) -> Column:
     """R2: 1 for the same path, else matched ends over the longer length; -1 if either can't be read; 0 for an empty truth."""
     truth = F.from_json(col(solution), "array<bigint>")
     truth = F.when(strip(col(solution)).rlike(r"^\[.*\]$"), truth)
-    pred = reward_path(completion)
-    ends = same_start(pred, truth) + same_start(F.reverse(pred), F.reverse(truth))
-    score = F.try_divide(F.least(F.size(truth).cast("double"), ends.cast("double")), F.greatest(F.size(truth), F.size(pred)))
-    return F.when(truth.isNull(), -1.0).when(F.size(truth) == 0, 0.0).when(pred.isNull(), -1.0).when(pred == truth, 1.0).otherwise(score)
+
+    def score(pred: Column, truth: Column) -> Column:
+        ends = same_start(pred, truth) + same_start(F.reverse(pred), F.reverse(truth))
+        part = F.try_divide(F.least(F.size(truth).cast("double"), ends.cast("double")), F.greatest(F.size(truth), F.size(pred)))
+        return F.when(truth.isNull(), -1.0).when(F.size(truth) == 0, 0.0).when(pred.isNull(), -1.0).when(pred == truth, 1.0).otherwise(part)
+
+    # a lambda's argument is worked out once, however often it is named
+    both = F.array(F.struct(reward_path(completion).alias("pred"), truth.alias("truth")))
+    return F.get(F.transform(both, lambda x: score(x["pred"], x["truth"])), 0)
 
 
 def text_reward(completion: Text, solution: Text) -> Column:

@@ -274,6 +274,6 @@ def solution_text(group: Text, path: Text, option: Text) -> Column:
 
 
 def option(x: Text) -> Column:
-    """A stripped single character in upper case, else T1."""
-    text = F.upper(strip(x))
-    return F.when(F.length(text) == 1, text).otherwise(spelled_letter(x))
+    """A stripped single letter in upper case, else T1."""
+    text = strip(x)
+    return F.when(text.rlike(r"^\p{L}$"), F.upper(text)).otherwise(spelled_letter(x))

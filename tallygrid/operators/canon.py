@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tallygrid.functions.text import answer_body, blank, missing, present, strip, training_prompt
+from tallygrid.operators.components import cut
 
 # Names of the ten pattern tasks.
 PATTERN_TASKS = [
@@ -21,6 +22,12 @@ PROMPT_KEYS = {
     "ti2ti": (["ti2ti_prompt"], ["ti2t_prompt", "vlm_prompt", "gpt5_prompt"]),
 }
 REQUIRED = ["id", "question", "prompt", "answer"]
+# Keys that a pattern record keeps, and keys that hold paths of a record's files.
+PATTERN_KEYS = [
+    "id", "ti2v_prompt", "ti2i_prompt", "ti2t_prompt", "ti2ti_prompt", "ti2t_answer", "ti2ti_answer", "image", "reasoning_image", "solution_image_path",
+    "solution_video_path", "video_fps", "video_num_frames",
+]
+PATH_KEYS = ["image", "reasoning_image", "solution_image_path", "solution_video_path", "video", "puzzle", "solution"]
 
 
 def record_map(json: str | Column) -> Column:
@@ -121,6 +128,22 @@ def first_prompt(*columns: str) -> Column:
     return F.coalesce(*(F.when(strip(c) != "", F.col(c)) for c in columns))
 
 
+def prune(m: Column) -> Column:
+    """A pattern record with the keys of PATTERN_KEYS only; keys with null values stay."""
+    return F.map_filter(m, lambda k, _: k.isin(PATTERN_KEYS))
+
+
+def reasoning_image(given: str | Column, image: str | Column) -> Column:
+    """The reasoning image, else the puzzle's."""
+    return F.coalesce(missing(given), F.col(image) if isinstance(image, str) else image)
+
+
+def text_source(transcript: str | Column, text: str | Column, content: str | Column, usable: Column) -> Column:
+    """The transcript, else the text, else the content where it is usable."""
+    named = lambda c: F.col(c) if isinstance(c, str) else c
+    return F.coalesce(named(transcript), named(text), F.when(usable, named(content)))
+
+
 def missing_fields(m: Column) -> Column:
     """Required fields that a record lacks."""
     return F.array_except(F.lit(REQUIRED), F.map_keys(m))
@@ -142,27 +165,24 @@ def require(rows: DataFrame, condition: Column, message: str) -> DataFrame:
 
 
 def repair_ids(rows: DataFrame, task: str = "task", order: str = "pos") -> DataFrame:
-    """Blank ids become task-00000 by position, the k-th repeat of an id gets __0k. order must be unique in a task."""
-    own = rows.withColumn("_base", F.coalesce(missing(strip("id")), F.format_string("%s-%05d", F.col(task), F.col(order))))
+    """Ids that are null or '' become task-00000 by position, the k-th repeat of an id gets __0k. order must be unique in a task."""
+    own = rows.withColumn("_base", F.coalesce(missing("id"), F.format_string("%s-%05d", F.col(task), F.col(order))))
     k = F.row_number().over(W.partitionBy(task, "_base").orderBy(order)) - 1
     return own.withColumn("_k", k).withColumn("id", F.when(F.col("_k") == 0, F.col("_base")).otherwise(F.format_string("%s__%02d", "_base", "_k"))).drop("_base", "_k")
 
 
-def numbered(rows: DataFrame, order: str, name: str = "index", parts: int = 256) -> DataFrame:
+def numbered(rows: DataFrame, order: str, name: str = "index", most: int = 1_000_000) -> DataFrame:
     """A column with the row's place in ascending order of a unique long, from 0, without one task that sorts all rows.
 
-    Rows are cut at quantiles of the order; the sizes of the ranges, `parts` at most, are summed up to offsets.
+    Rows are cut into ranges of about `most` rows, written to the shared checkpoint folder, so that a range is the same
+    each time it is read; the sizes of the ranges, one row each, are summed up to offsets.
     """
-    marks = rows.agg(F.expr(f"approx_percentile({order}, {'array(' + ', '.join(f'{k / parts}D' for k in range(1, parts)) + ')'})").alias("m")).first().m
-    starts = sorted(set(marks or []))
-    part = F.size(F.filter(F.lit(starts) if starts else F.array().cast("array<bigint>"), lambda s: s <= F.col(order)))
-    own = rows.withColumn("_part", part)
-    sizes = {r._part: r.n for r in own.groupBy("_part").agg(F.count("*").alias("n")).collect()}
-    before, total = {}, 0
-    for p in sorted(sizes):
-        before[p], total = total, total + sizes[p]
-    offset = F.try_element_at(F.create_map(*(F.lit(x) for kv in before.items() for x in kv)), F.col("_part")) if before else F.lit(0)
-    return own.withColumn(name, (offset + F.row_number().over(W.partitionBy("_part").orderBy(order)) - 1).cast("long")).drop("_part")
+    parts = max(1, -(-rows.count() // most))
+    own = cut(rows.repartitionByRange(parts, order).withColumn("_part", F.spark_partition_id()))
+    sizes = own.groupBy("_part").agg(F.count("*").alias("_n"))
+    before = sizes.select("_part", (F.sum("_n").over(W.orderBy("_part")) - F.col("_n")).alias("_before"))
+    own = own.withColumn("_rn", F.row_number().over(W.partitionBy("_part").orderBy(order)))
+    return own.join(before.hint("merge"), "_part").select(*rows.columns, (F.col("_before") + F.col("_rn") - 1).cast("long").alias(name))
 
 
 def merge_offline(inference: DataFrame, offline: DataFrame) -> DataFrame:
@@ -191,9 +211,44 @@ def pending(items: DataFrame, log: DataFrame) -> DataFrame:
     return out.withColumn("attempts", F.coalesce("attempts", F.lit(0).cast("long")))
 
 
+def remap_path(path: Column, worker: Column) -> Column:
+    """worker__file in the folder of a relative path, or without a folder for an absolute one; null and '' stay."""
+    name = F.concat(worker.cast("string"), F.lit("__"), F.substring_index(path, "/", -1))
+    folder = F.when(path.startswith("/"), F.lit("")).otherwise(F.regexp_extract(path, "^(.*/)[^/]*$", 1))
+    return F.when(F.length(path) > 0, F.concat(folder, name)).otherwise(path)
+
+
 def remap_paths(rows: DataFrame, path: str, worker: str) -> DataFrame:
-    """worker__file of an asset path; the same distinct path of a worker always gets the same name."""
-    return rows.withColumn("new_path", F.when(F.length(path) > 0, F.concat(F.col(worker).cast("string"), F.lit("__"), F.substring_index(path, "/", -1))))
+    """new_path of a column of paths whose files exist; the same path of a worker always gets the same name."""
+    return rows.withColumn("new_path", remap_path(F.col(path), F.col(worker)))
+
+
+def remap_records(records: DataFrame, files: DataFrame, key: str = "pos", worker: str = "worker") -> DataFrame:
+    """Records (key, worker, record) with a map `remapped` of the record's keys, in which the paths of files that exist
+    are renamed: those of PATH_KEYS, of the list `images` and of `ti2ti_answer.image`. Lists and objects stay JSON text.
+
+    files: (worker, path) of existing files. A path without one is left alone. key is unique.
+    """
+    m = F.col("_m")
+    rows = pin(records, {"_m": record_map("record")})
+    rows = pin(rows, {"_images": F.from_json(value(m, "images"), "array<string>"), "_answer": F.from_json(value(m, "ti2ti_answer"), "map<string,string>")})
+    held = F.array_compact(F.array_union(F.array(*(value(m, k) for k in PATH_KEYS), F.try_element_at("_answer", F.lit("image"))), F.coalesce("_images", F.array().cast("array<string>"))))
+    there = files.select(F.col(worker).alias("_worker"), F.col("path").alias("_path")).distinct()
+    found = rows.select(key, F.col(worker).alias("_worker"), F.explode(F.array_distinct(held)).alias("_path")).join(there.hint("merge"), ["_worker", "_path"])
+    names = found.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("_path", remap_path(F.col("_path"), F.col("_worker"))))).alias("_names"))
+    new = lambda p: F.coalesce(F.try_element_at("_names", p), p)
+    renamed = F.transform_values(m, lambda k, v: (
+        F.when(v.isNull(), v).when(k.isin(PATH_KEYS), new(v)).when((k == "images") & F.col("_images").isNotNull(), F.to_json(F.transform("_images", new)))
+        .when((k == "ti2ti_answer") & F.col("_answer").isNotNull(), F.to_json(F.transform_values("_answer", lambda n, x: F.when((n == "image") & x.isNotNull(), new(x)).otherwise(x)), {"ignoreNullFields": "false"})).otherwise(v)
+    ))
+    out = rows.join(names.hint("merge"), key, "left").withColumn("_names", F.coalesce("_names", F.create_map().cast("map<string,string>")))
+    return out.select(*records.columns, renamed.alias("remapped"))
+
+
+def metadata_join(rows: DataFrame, meta: DataFrame, key: str = "id") -> DataFrame:
+    """Rows with their metadata; error says where there is none. meta has one row for each key."""
+    out = rows.join(meta.withColumn("_hit", F.lit(1)), key, "left")
+    return out.withColumn("error", F.when(F.col("_hit").isNull(), "Missing sample")).drop("_hit")
 
 
 def select_tasks(rows: DataFrame, names: list[str] | None, groups: list[str] | None, exclude: list[str]) -> DataFrame:

@@ -9,9 +9,14 @@ from pyspark.sql import functions as F
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
     """Use the folder that the cluster names in spark.checkpoint.dir; set one only where none is set (tests)."""
     if spark.sparkContext.getCheckpointDir() is None:
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tallygrid-"))
+        path = spark.conf.get("spark.checkpoint.dir", None)
+        if path is None:
+            if not spark.sparkContext.master.startswith("local"):
+                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+            import tempfile
+
+            path = tempfile.mkdtemp(prefix="tallygrid-")
+        spark.sparkContext.setCheckpointDir(path)
 
 
 def cut(df: DataFrame) -> DataFrame:

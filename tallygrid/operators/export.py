@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallygrid.functions.text import blank, chat_prompt, missing, solution_text
+from tallygrid.functions.text import blank, chat_prompt, missing, present, solution_text
 
 
 def edit_pairs(samples: DataFrame) -> DataFrame:
@@ -14,11 +14,14 @@ def edit_pairs(samples: DataFrame) -> DataFrame:
 
 
 def video_rows(samples: DataFrame) -> DataFrame:
-    """Needs a video and a prompt; the text of the answer only where that mode is on."""
-    text = F.when(F.col("ti2ti").isNotNull(), F.coalesce(missing("answer_text"), missing("raw_answer"))).otherwise("")
+    """Needs a video and a prompt. Where the text-and-image mode is on, the text is that of the raw record's
+    ti2ti_answer, else its ti2t_answer or, where that is null or '', its vlm_answer; without white space at the ends."""
+    raw = lambda path: F.get_json_object("record", f"$.{path}")
+    text = F.coalesce(present(raw("ti2ti_answer.text")), present(F.coalesce(missing(raw("ti2t_answer")), missing(raw("vlm_answer")))))
     return samples.where("ti2v is not null and length(solution_video) > 0").select(
-        F.col("solution_video").alias("video"), F.col("ti2v").alias("prompt"), "task_type", "task_group", F.col("sample_id").alias("id"), blank(text).alias("ti2ti_text"), F.when(F.col("ti2ti").isNotNull(), blank("solution_image")).otherwise("").alias("ti2ti_image")
-    )
+        F.col("solution_video").alias("video"), F.col("ti2v").alias("prompt"), "task_type", "task_group", F.col("sample_id").alias("id"),
+        F.when(F.col("ti2ti").isNotNull(), blank(text)).otherwise("").alias("ti2ti_text"), F.when(F.col("ti2ti").isNotNull(), blank("solution_image")).otherwise("").alias("ti2ti_image"),
+    )
 
 
 def chat_rows(samples: DataFrame, mode: str) -> DataFrame:
@@ -34,7 +37,7 @@ def chat_rows(samples: DataFrame, mode: str) -> DataFrame:
 
 def edit_shards(samples: DataFrame, files: DataFrame) -> DataFrame:
     """Image bytes [input, target] with instructions and answer; files: path, content."""
-    content = lambda name: files.select(F.col("path").alias(f"_{name}"), F.col("content").alias(name))
+    content = lambda name: files.select(F.col("path").alias(f"_{name}"), F.col("content").alias(name)).hint("merge")
     own = samples.where("ti2i is not null").join(content("a"), F.col("puzzle_image") == F.col("_a")).join(content("b"), F.col("solution_image") == F.col("_b"))
     return own.select("sample_id", "task_group", "task_type", solution_text("task_group", "path_cell_ids", "correct_option").alias("answer_text"), F.array("a", "b").alias("image_list"), F.array(F.array("ti2i")).alias("instruction_list"))
 

@@ -137,7 +137,7 @@ def shortest_paths(cells: DataFrame, ends: DataFrame) -> DataFrame:
         k += 1
         done = seen.join(goal, at, "left_semi").select("grid_id")
         steps = front.join(done, "grid_id", "left_anti").withColumn("m", moves).select("grid_id", (F.col("y") + F.col("m.dy")).alias("y"), (F.col("x") + F.col("m.dx")).alias("x"), F.struct("y", "x").alias("parent"))
-        front = steps.groupBy(*at).agg(F.min("parent").alias("parent")).join(grid, at, "left_semi").join(seen, at, "left_anti")
+        front = steps.groupBy(*at).agg(F.min("parent").alias("parent")).join(grid.hint("merge"), at, "left_semi").join(seen.hint("merge"), at, "left_anti")
         front = cut(front.select(*at, F.lit(k).alias("steps"), "parent"))
         seen = cut(seen.unionByName(front))
     ways = cut(goal.join(seen, at).select(*at, "steps", F.array(F.struct("y", "x")).alias("path"), "parent"))

@@ -3,12 +3,34 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallygrid.functions.rewards import option_pass
 from tallygrid.operators import votes
 
+Scorer = Callable[[DataFrame], DataFrame]
+
+
+def option_scorer(rows: DataFrame) -> DataFrame:
+    """offline_pass of rows with explicit, transcribed, voted and correct_option."""
+    return rows.withColumn("offline_pass", option_pass(F.col("explicit"), F.col("transcribed"), "voted", "correct_option"))
+
+
+#: Task group -> scorer of its rows; users add their own.
+SCORERS: dict[str, Scorer] = {"eyeballing": option_scorer, "maze": option_scorer, "visual_puzzle": option_scorer}
+
+
+def score(rows: DataFrame, columns: list[str], scorers: dict[str, Scorer] | None = None) -> DataFrame:
+    """The rows of each task group through its scorer, united; groups without one are left out."""
+    parts = [scorer(rows.where(F.col("task_group") == group)).select(*columns) for group, scorer in sorted((SCORERS if scorers is None else scorers).items())]
+    if not parts:
+        raise ValueError("no scorer")
+    return reduce(DataFrame.unionByName, parts)
+
+
 #: Rule name -> (rows, keys, value) -> (keys, voted); `attempt` orders the rows.
 VOTES: dict[str, Callable[[DataFrame, list[str], str], DataFrame]] = {
     "strict": lambda rows, keys, value: votes.majority(rows, keys, value),

@@ -74,3 +74,10 @@ def vote_report_by_size(scored: DataFrame) -> DataFrame:
 def whole_sequences(cells: DataFrame) -> DataFrame:
     """(puzzle_id, attempt, right): an attempt is right only if every expected position is met."""
     return cells.groupBy("puzzle_id", "attempt").agg(F.bool_and(F.coalesce(F.col("predicted") == F.col("expected"), F.col("expected").isNull() & F.col("predicted").isNull())).alias("right"))
+
+
+def base_colour(record: str) -> Column:
+    """Colour of the first coloured cell of a record that has three values; null without one."""
+    cells = F.from_json(F.get_json_object(record, "$.colored_cells"), "array<map<string,string>>")
+    colours = F.transform(cells, lambda c: F.from_json(F.try_element_at(c, F.lit("color")), "array<double>"))
+    return F.get(F.filter(colours, lambda c: F.size(c) == 3), 0)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tallygrid.functions import geometry as G
 from tallygrid.functions import pixels as P
-from tallygrid.operators import grid, summary
+from tallygrid.operators import grid, plugins, summary
 from tallygrid.plans import record_queries
 from tallygrid.plans.fixtures import duck, fixture, table
 from tallygrid.plans.registry import query
@@ -249,14 +249,6 @@ def q4_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 MASK = f"(SELECT DISTINCT image_id, y, x FROM {PX} WHERE {BRIGHT} OR g >= 100)"
 
 
-@query(f"""WITH RECURSIVE m AS (SELECT image_id, y, x FROM {MASK} WHERE image_id < 3), w(image_id, y, x) AS (SELECT image_id, min(y * 100 + x) // 100, min(y * 100 + x) % 100 FROM m GROUP BY 1
-  UNION SELECT m.image_id, m.y, m.x FROM w JOIN m ON m.image_id = w.image_id AND abs(m.y - w.y) + abs(m.x - w.x) = 1),
-s AS (SELECT image_id, min(y * 100 + x) AS a, max(y * 100 + x) AS b FROM m GROUP BY 1)
-SELECT image_id, EXISTS (SELECT 1 FROM w WHERE w.image_id = s.image_id AND w.y * 100 + w.x = b) AS connected FROM s""")
-def g1_connected(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return first_to_last(fixture(spark, sf_dir, "pixels").where("image_id < 3"))
-
-
 def first_to_last(pixels: DataFrame) -> DataFrame:
     """Whether the first and the last masked pixel of each image are connected."""
     own = pixels.where(f"{BRIGHT} or g >= 100").select("image_id", "y", "x").distinct()
@@ -266,26 +258,18 @@ def first_to_last(pixels: DataFrame) -> DataFrame:
 
 
 @query()
-def g1_connected_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+def g1_connected(spark: SparkSession, sf_dir: str) -> DataFrame:
     """G1 over all images, for which recursive SQL is too slow."""
     return first_to_last(fixture(spark, sf_dir, "pixels"))
 
 
-@query(f"""WITH RECURSIVE m AS (SELECT DISTINCT image_id, y, x FROM {PX} WHERE {BRIGHT} AND image_id < 2 AND frame_idx = 1), w(image_id, sy, sx, y, x) AS (SELECT image_id, y, x, y, x FROM m
-  UNION SELECT w.image_id, sy, sx, m.y, m.x FROM w JOIN m ON m.image_id = w.image_id AND abs(m.y - w.y) + abs(m.x - w.x) = 1),
-c AS (SELECT image_id, sy, sx, min(y * 100 + x) AS root FROM w GROUP BY 1, 2, 3)
-SELECT image_id, greatest(min(sx) - 2, 0) AS left, greatest(min(sy) - 2, 0) AS top, least(max(sx) + 2, 47) AS right, least(max(sy) + 2, 47) AS bottom FROM c GROUP BY image_id, root""")
-def a18_region_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bright_boxes(fixture(spark, sf_dir, "pixels").where("image_id < 2"))
-
-
 def bright_boxes(pixels: DataFrame) -> DataFrame:
     own = pixels.where(f"{BRIGHT} and frame_idx = 1")
     return grid.region_boxes(grid.regions(own, ["image_id"]), ["image_id"], 2, 48, 48).drop("region")
 
 
 @query()
-def a18_region_boxes_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+def a18_region_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A18 over all images, for which recursive SQL is too slow."""
     return bright_boxes(fixture(spark, sf_dir, "pixels"))
 
@@ -329,10 +313,16 @@ def g4_stacking_order(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(record_queries.A1_BY_GROUP)
 def x1_scorers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A scorer for each group, their rows united and summed up."""
-    scorers = {g: (lambda df: df.withColumn("offline_pass", F.col("ok"))) for g in ("eyeballing", "maze", "visual_puzzle")}
-    own, out = record_queries.voted(spark, sf_dir).withColumn("error", F.lit("")), None
-    for g, scorer in sorted(scorers.items()):
-        part = scorer(own.where(F.col("task_group") == g)).select("task_group", "offline_pass", "error")
-        out = part if out is None else out.unionByName(part)
-    return out.groupBy("task_group").agg(*summary.run_columns())
+    """The scorer of each group, the rows united and summed up."""
+    own = record_queries.explicit(record_queries.channel_votes(spark, sf_dir)).withColumn("error", F.lit(""))
+    return plugins.score(own, ["task_group", "offline_pass", "error"]).groupBy("task_group").agg(*summary.run_columns())
+
+
+@query(f"""SELECT metric, round(d, 3) AS d FROM (SELECT sum(sqrt((r - r0) ** 2 + (g - g0) ** 2 + (b - b0) ** 2)) AS euclidean, sum(CAST(abs(r - r0) + abs(g - g0) + abs(b - b0) AS DOUBLE)) AS manhattan,
+  CAST(count(*) FILTER ((round(0.299 * r + 0.587 * g + 0.114 * b) > 245) <> (round(0.299 * r0 + 0.587 * g0 + 0.114 * b0) > 245)) AS DOUBLE) AS coverage FROM {PX} JOIN {REF} USING (image_id, x, y)) UNPIVOT (d FOR metric IN (euclidean, manhattan, coverage))""")
+def x4_metrics_by_name(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = fixture(spark, sf_dir, "pixels")
+    ref = own.where("frame_idx = 1").select("image_id", "x", "y", *(F.col(c).alias(f"{c}0") for c in "rgb"))
+    a, b, names = [F.col(c) for c in "rgb"], [F.col(f"{c}0") for c in "rgb"], ["euclidean", "manhattan", "coverage"]
+    sums = own.join(ref, ["image_id", "x", "y"]).agg(*(F.round(F.sum(P.distance(m, a, b)), 3).alias(m) for m in names))
+    return sums.unpivot([], names, "metric", "d")

@@ -2,51 +2,47 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallygrid.operators import summary
-from tallygrid.operators.components import ensure_checkpoint_dir
 from tallygrid.plans import record_queries
 from tallygrid.plans.fixtures import duck, fixture, table
+from tallygrid.plans.record_queries import shared_folder
 from tallygrid.plans.registry import query
 from tallygrid.sources import readers, sinks
 from tallygrid.streaming import results
 
 
-def scratch(spark: SparkSession) -> str:
-    """A new path in the folder that all executors share."""
-    ensure_checkpoint_dir(spark)
-    return f"{spark.sparkContext.getCheckpointDir()}/tables-{uuid.uuid4().hex}"
-
-
 @query("SELECT doc_id, lang, CASE WHEN doc_id % 3 > 0 THEN source END AS source FROM documents")
 def src2_snk1_jsonl(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = table(spark, sf_dir, "documents").selectExpr("doc_id", "lang", "if(doc_id % 3 > 0, source, null) as source")
-    sinks.write_jsonl(own, path := scratch(spark))
+    sinks.write_jsonl(own, path := shared_folder(spark))
     return readers.jsonl(spark, path, own.schema)
 
 
 @query("SELECT CAST(doc_id AS VARCHAR) AS doc_id, 'a\"b, ' || lang AS quoted, source FROM documents")
 def src4_snk2_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = table(spark, sf_dir, "documents").selectExpr("cast(doc_id as string) as doc_id", "concat('a\"b, ', lang) as quoted", "source")
-    sinks.write_csv(own, path := scratch(spark))
+    sinks.write_csv(own, path := shared_folder(spark))
     return readers.csv(spark, path)
 
 
+#: Ids whose records share a file.
+IN_FILE = 1000
+
+
 @query("SELECT doc_id, lang FROM documents")
 def src3_json_array(spark: SparkSession, sf_dir: str) -> DataFrame:
-    own = table(spark, sf_dir, "documents").groupBy(F.expr("doc_id % 16")).agg(F.to_json(F.collect_list(F.struct("doc_id", "lang"))).alias("value"))
-    own.select("value").repartition(16).write.option("maxRecordsPerFile", 1).text(path := scratch(spark))
+    own = table(spark, sf_dir, "documents").groupBy(F.expr(f"doc_id div {IN_FILE}")).agg(F.to_json(F.collect_list(F.struct("doc_id", "lang"))).alias("value"))
+    own.select("value").write.option("maxRecordsPerFile", 1).text(path := shared_folder(spark))
     return readers.json_array(spark, path, "doc_id long, lang string")
 
 
 @query("SELECT lang AS task, count(*) AS n, CAST(sum(doc_id) AS BIGINT) AS ids FROM documents GROUP BY 1")
 def src1_raw_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").groupBy("lang", F.expr("doc_id % 4 as part")).agg(F.to_json(F.collect_list(F.struct("doc_id", "source"))).alias("value"))
-    docs.select("lang", "value").repartition("lang").write.partitionBy("lang").option("maxRecordsPerFile", 1).text(path := scratch(spark))
+    docs = table(spark, sf_dir, "documents").groupBy("lang", F.expr(f"doc_id div {IN_FILE} as part")).agg(F.to_json(F.collect_list(F.struct("doc_id", "source"))).alias("value"))
+    docs.select("lang", "value").write.partitionBy("lang").option("maxRecordsPerFile", 1).text(path := shared_folder(spark))
     own = readers.raw_records(spark, path, "part-*")
     return own.groupBy(F.substring_index("task", "=", -1).alias("task")).agg(F.count("*").alias("n"), F.sum(F.get_json_object("record", "$.doc_id").cast("long")).alias("ids"))
 
@@ -55,14 +51,14 @@ def src1_raw_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 def src10_grid_tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = table(spark, sf_dir, "embeddings").groupBy("label").agg((F.count("*") % 7).cast("int").alias("w"))
     pair = F.struct(F.array(F.array("label", "w")).alias("input"), F.array(F.array("w")).alias("output"))
-    own.select(F.array(pair, pair, pair).alias("train"), F.array(pair).alias("test")).repartition(10).write.option("maxRecordsPerFile", 1).json(path := scratch(spark))
+    own.select(F.array(pair, pair, pair).alias("train"), F.array(pair).alias("test")).repartition(10).write.option("maxRecordsPerFile", 1).json(path := shared_folder(spark))
     out = readers.grid_tasks(spark, path, 2)
     return out.select(F.col("test.input")[0][0].alias("label"), F.size("train").alias("shots"), F.col("test.output")[0][0].cast("long").alias("width"))
 
 
 @query("SELECT CAST(count(*) * 2 AS BIGINT) AS n, CAST(sum(doc_id) * 2 AS BIGINT) AS ids FROM documents")
 def snk6_append(spark: SparkSession, sf_dir: str) -> DataFrame:
-    own, path = table(spark, sf_dir, "documents").select("doc_id"), scratch(spark)
+    own, path = table(spark, sf_dir, "documents").select("doc_id"), shared_folder(spark)
     sinks.write_jsonl(own, path)
     sinks.write_jsonl(own, path, "append")
     return readers.jsonl(spark, path, own.schema).agg(F.count("*").alias("n"), F.sum("doc_id").alias("ids"))
@@ -70,42 +66,52 @@ def snk6_append(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def attempts_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = record_queries.voted(spark, sf_dir).select("attempt", "puzzle_id", "task_group", F.col("ok").alias("offline_pass"), F.lit("").alias("error"))
-    own.repartition(8, "attempt").write.json(path := scratch(spark))
+    own.repartition(8, "attempt").write.json(path := shared_folder(spark))
     return results.results(spark, path, own.schema, 2)
 
 
 @query(f"SELECT attempt, ok AS offline_pass FROM {record_queries.PASSED}")
 def st1_flush(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = scratch(spark)
-    results.flush(attempts_stream(spark, sf_dir), out, scratch(spark)).awaitTermination()
+    out = shared_folder(spark)
+    results.flush(attempts_stream(spark, sf_dir), out, shared_folder(spark)).awaitTermination()
     return spark.read.parquet(out).select("attempt", "offline_pass")
 
 
 @query(record_queries.A1_BY_GROUP)
 def st2_running_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return results.drain(results.running_summary(attempts_stream(spark, sf_dir)), f"s{uuid.uuid4().hex}", scratch(spark), "complete")
+    return results.drain(results.running_summary(attempts_stream(spark, sf_dir)), shared_folder(spark), shared_folder(spark), "complete")
 
 
 @query(f"SELECT item_id, count(*) AS attempts, arg_max(error, attempt) AS last_error, max(ok) = 1 AS done FROM {duck('retry')} GROUP BY 1")
 def st3_retry_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = fixture(spark, sf_dir, "retry")
-    own.repartition(8, "item_id", "attempt").write.json(path := scratch(spark))
-    return results.drain(results.retry_state(results.results(spark, path, own.schema, 2)), f"s{uuid.uuid4().hex}", scratch(spark), "complete")
+    own.repartition(8, "item_id", "attempt").write.json(path := shared_folder(spark))
+    return results.drain(results.retry_state(results.results(spark, path, own.schema, 2)), shared_folder(spark), shared_folder(spark), "complete")
 
 
-@query("SELECT count(DISTINCT user_id) AS users FROM events")
+@query("SELECT user_id, CAST(1 AS BIGINT) AS n FROM events GROUP BY 1")
 def st4_first_only(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = table(spark, sf_dir, "events").select("user_id", F.col("ts").cast("timestamp").alias("ts"))
-    own.repartition(4).write.json(path := scratch(spark))
+    own.repartition(4).write.json(path := shared_folder(spark))
     first = results.first_only(results.results(spark, path, own.schema, 100), ["user_id"], "ts", "365 days")
-    return results.drain(first, f"s{uuid.uuid4().hex}", scratch(spark)).agg(F.countDistinct("user_id").alias("users"))
+    return results.drain(first, shared_folder(spark), shared_folder(spark)).groupBy("user_id").agg(F.count("*").alias("n"))
 
 
 @query(f"SELECT {record_queries.COUNTS} FROM {record_queries.REC}")
 def snk7_eval_outputs(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = record_queries.eval_records(spark, sf_dir)
-    sinks.write_jsonl(own, path := scratch(spark))
-    return summary.run_summary(readers.jsonl(spark, path, own.schema))
+    sinks.write_eval_outputs(own, path := shared_folder(spark))
+    return summary.run_summary(readers.jsonl(spark, f"{path}/results", own.schema))
+
+
+@query(f"""SELECT 'group' AS level, coalesce(nullif(task_group, ''), 'unknown') AS name, count(*) AS n FROM {record_queries.REC} GROUP BY 2 UNION ALL SELECT 'type', coalesce(nullif(task_type, ''), 'unknown'), count(*) FROM {record_queries.REC} GROUP BY 2
+UNION ALL SELECT 'all', 'total', count(*) FROM {record_queries.REC} UNION ALL SELECT 'all', 'pass', count(*) FILTER (p) FROM {record_queries.REC}""")
+def snk7_run_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The summary file, read back."""
+    sinks.write_eval_outputs(record_queries.eval_records(spark, sf_dir), path := shared_folder(spark))
+    own = readers.jsonl(spark, f"{path}/summary", "total long, pass long, by_group map<string,long>, by_type map<string,long>")
+    rows = F.concat(*(F.transform(F.map_entries(m), lambda e, k=k: F.struct(F.lit(k).alias("level"), e["key"].alias("name"), e["value"].alias("n"))) for k, m in (("group", "by_group"), ("type", "by_type"), ("all", F.create_map(F.lit("total"), "total", F.lit("pass"), "pass")))))
+    return own.select(F.inline(rows))
 
 
 @query(f"SELECT task_type, count(*) AS n_records FROM {record_queries.C0} GROUP BY 1")

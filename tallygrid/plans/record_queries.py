@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallygrid.functions import rewards as R
 from tallygrid.functions import text as T
 from tallygrid.operators import canon, export, summary, synth, votes
+from tallygrid.operators.components import ensure_checkpoint_dir
 from tallygrid.plans.fixtures import duck, fixture, table
 from tallygrid.plans.registry import query
 from tallygrid.plans.text_queries import LETTER, PLAIN, squeeze
@@ -37,6 +40,12 @@ def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     return canon.pin(own, modes).withColumns({"answer_text": canon.value(F.col("_m"), "answer"), "raw_answer": canon.value(F.col("_m"), "ti2t_answer")})
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """A new path in the folder that all executors share."""
+    ensure_checkpoint_dir(spark)
+    return f"{spark.sparkContext.getCheckpointDir()}/tables-{uuid.uuid4().hex}"
+
+
 #: The same rows in SQL, from the fixture alone.
 C0 = rf"""(SELECT pos, pos AS doc, task_type, prompt, image, CASE WHEN pos % 17 > 0 THEN solution_image_path END AS sol,
   CASE WHEN pos % 4 = 1 THEN 'visual_puzzle' WHEN pos % 4 = 2 THEN 'eyeballing' WHEN pos % 4 = 0 THEN 'maze' END AS g,
@@ -83,7 +92,7 @@ def p6_group_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"SELECT pos, CASE WHEN pos % 3 = 0 THEN 'r' || pos ELSE image END AS image FROM {S}")
 def p7_reasoning_image(spark: SparkSession, sf_dir: str) -> DataFrame:
     given = F.expr("case pos % 3 when 0 then concat('r', pos) when 1 then '' end")
-    return fixture(spark, sf_dir, "samples").select("pos", F.coalesce(T.missing(given), F.col("image")).alias("image"))
+    return fixture(spark, sf_dir, "samples").select("pos", canon.reasoning_image(given, "image").alias("image"))
 
 
 @query(f"SELECT pos, CASE pos % 4 WHEN 0 THEN '/abs/' || pos || '.png' WHEN 1 THEN '/b/' || pos || '.png' WHEN 2 THEN '/a/' || pos || '.png' ELSE '/a/b/c/' || pos || '.png' END AS path FROM {S}")
@@ -92,10 +101,11 @@ def p8_absolute_path(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fixture(spark, sf_dir, "samples").select("pos", canon.absolute(path, F.lit("/a/b")).alias("path"))
 
 
-@query(f"SELECT pos, CASE WHEN image IS NULL THEN 'prompt' ELSE 'image,prompt' END AS keys FROM {S}")
+@query(f"""SELECT pos, array_to_string(list_filter([CASE WHEN pos % 13 > 0 THEN 'id' END, 'image', CASE WHEN pos % 17 > 0 THEN 'solution_image_path' END, CASE WHEN has_ti2i = 1 THEN 'ti2i_prompt' END,
+  CASE WHEN pos % 4 = 1 AND pos % 7 > 0 THEN 'ti2t_answer' END], lambda k: k IS NOT NULL), ',') AS keys, image FROM {S}""")
 def p9_prune(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m = F.map_filter(canon.record_map("record"), lambda k, v: k.isin("image", "prompt") & v.isNotNull())
-    return records(spark, sf_dir).select("pos", F.array_join(F.array_sort(F.map_keys(m)), ",").alias("keys"))
+    m = canon.prune(canon.record_map("record"))
+    return records(spark, sf_dir).select("pos", F.array_join(F.array_sort(F.map_keys(m)), ",").alias("keys"), canon.value(m, "image").alias("image"))
 
 
 @query(f"SELECT pos, CASE WHEN trim(coalesce(ti2i_prompt, '')) <> '' THEN ti2i_prompt ELSE prompt END AS prompt FROM {S}")
@@ -108,7 +118,7 @@ def p11_missing_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records(spark, sf_dir).select("pos", F.array_join(canon.missing_fields(canon.record_map("record")), ",").alias("missing"))
 
 
-OPTION = f"CASE WHEN length(trim(coalesce(t, ''))) = 1 THEN upper(trim(t)) ELSE {LETTER} END"
+OPTION = f"CASE WHEN regexp_full_match(trim(coalesce(t, '')), '\\p{{L}}') THEN upper(trim(t)) ELSE {LETTER} END"
 
 
 @query(f"SELECT attempt, {OPTION} AS letter FROM (SELECT attempt, text_option AS t FROM {AT})")
@@ -119,7 +129,7 @@ def p12_option(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"SELECT attempt, CASE attempt % 4 WHEN 0 THEN 'T' WHEN 1 THEN CASE WHEN attempt % 8 < 4 THEN 'x' END WHEN 2 THEN 'c' END AS source, CASE WHEN attempt % 3 = 0 THEN 'spoken' ELSE 'predicted' END AS order_source FROM {AT}")
 def p13_text_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = fixture(spark, sf_dir, "attempts").selectExpr("attempt", "if(attempt % 4 = 0, 'T', null) as transcript", "if(attempt % 8 = 1, 'x', null) as text", "'c' as content", "attempt % 4 < 2 as has_video", "if(attempt % 3 = 0, array(null, null), array(null, 'red')) as predicted")
-    source = F.coalesce("transcript", "text", F.when(~F.col("has_video") & (F.col("attempt") % 4 == 2), F.col("content")))
+    source = canon.text_source("transcript", "text", "content", ~F.col("has_video") & (F.col("attempt") % 4 == 2))
     return own.select("attempt", source.alias("source"), F.when(F.exists("predicted", lambda x: x.isNotNull()), "predicted").otherwise("spoken").alias("order_source"))
 
 
@@ -174,10 +184,10 @@ def snk3_edit_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     return export.edit_pairs(samples(spark, sf_dir)).select("id", "image", "edit_image", "prompt")
 
 
-@query("SELECT doc_id // 50 AS shard, count(*) AS rows FROM documents GROUP BY 1")
+@query("SELECT r // 50 AS shard, count(*) AS rows, 1 AS files, 1 AS row_groups FROM (SELECT row_number() OVER (ORDER BY doc_id) - 1 AS r FROM documents) GROUP BY 1")
 def snk4_shard_info(spark: SparkSession, sf_dir: str) -> DataFrame:
-    own = canon.numbered(table(spark, sf_dir, "documents").select("doc_id"), "doc_id").withColumn("shard", F.expr("index div 50"))
-    return sinks.shard_info(own)
+    sinks.write_shards(table(spark, sf_dir, "documents").select("doc_id", "lang"), path := shared_folder(spark), "doc_id", 50)
+    return sinks.shard_info(spark, path).groupBy("shard").agg(F.sum("rows").alias("rows"), F.count("*").alias("files"), F.sum("row_groups").alias("row_groups"))
 
 
 @query(f"SELECT count(*) FILTER (ti2i IS NOT NULL) AS n_edit, count(*) AS n_chat, count(*) FILTER (ti2i IS NOT NULL) + count(*) AS n_total FROM {KEPT}")
@@ -199,8 +209,8 @@ def snk8_question_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"SELECT d.doc_id, s.task_type, CASE WHEN s.id IS NULL THEN 'Missing sample' END AS error FROM documents d LEFT JOIN (SELECT id, max(task_type) AS task_type FROM {S} GROUP BY id) s ON s.id = 's' || d.doc_id")
 def j1_metadata_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     meta = fixture(spark, sf_dir, "samples").groupBy("id").agg(F.max("task_type").alias("task_type"))
-    own = table(spark, sf_dir, "documents").select("doc_id", F.expr("concat('s', doc_id)").alias("id")).join(meta.withColumn("_hit", F.lit(1)), "id", "left")
-    return own.select("doc_id", "task_type", F.when(F.col("_hit").isNull(), "Missing sample").alias("error"))
+    own = table(spark, sf_dir, "documents").select("doc_id", F.expr("concat('s', doc_id)").alias("id"))
+    return canon.metadata_join(own, meta).select("doc_id", "task_type", "error")
 
 
 @query("""WITH i AS (SELECT doc_id AS pos, doc_id % 150 AS sample_id, CASE WHEN doc_id % 2 = 0 THEN 'e' END AS error, lang AS prediction_text, max(doc_id) OVER (PARTITION BY doc_id % 150) AS last FROM documents),
@@ -221,10 +231,24 @@ def j3_file_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return videos.join(questions, "video_filename").select("doc_id", "url")
 
 
-@query(f"SELECT pos, pos % 3 || '__' || pos % 800 || '.png' AS new_path FROM {S} WHERE image IS NOT NULL")
+@query("""SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN 'puzzles/' || doc_id % 3 || '__a' || doc_id || '.png' WHEN 1 THEN doc_id % 3 || '__a.png' WHEN 2 THEN doc_id % 3 || '__' || doc_id || '.png' WHEN 3 THEN 'a/b/' || doc_id % 3 || '__c.png' ELSE '' END AS new_path FROM documents""")
 def j4_remap_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    own = fixture(spark, sf_dir, "samples").where("image is not null").withColumn("worker", F.col("pos") % 3)
-    return canon.remap_paths(own, "image", "worker").select("pos", "new_path")
+    path = "case doc_id % 5 when 0 then concat('puzzles/a', doc_id, '.png') when 1 then 'a.png' when 2 then concat('/abs/x/', doc_id, '.png') when 3 then 'a/b/c.png' else '' end as path"
+    own = table(spark, sf_dir, "documents").selectExpr("doc_id", "doc_id % 3 as worker", path)
+    return canon.remap_paths(own, "path", "worker").select("doc_id", "new_path")
+
+
+@query("""SELECT doc_id AS pos, CASE WHEN doc_id % 2 = 0 THEN 'puzzles/w' || doc_id % 3 || '__' || doc_id || '.png' ELSE 'puzzles/' || doc_id || '.png' END AS image, 'w' || doc_id % 3 || '__s.png' AS solution,
+  '["w' || doc_id % 3 || '__s.png","' || CASE WHEN doc_id % 2 = 0 THEN 'puzzles/w' || doc_id % 3 || '__' || doc_id || '.png' ELSE 'puzzles/' || doc_id || '.png' END || '","gone.png"]' AS images,
+  'w' || doc_id % 3 || '__s.png' AS answer_image, lang AS answer_text, source AS note FROM documents""")
+def j4_remap_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = table(spark, sf_dir, "documents").selectExpr("doc_id as pos", "concat('w', doc_id % 3) as worker", "concat('puzzles/', doc_id, '.png') as image", "lang", "source")
+    record = F.struct("image", F.lit("s.png").alias("solution_image_path"), F.array(F.lit("s.png"), F.col("image"), F.lit("gone.png")).alias("images"), F.struct(F.lit("s.png").alias("image"), F.col("lang").alias("text")).alias("ti2ti_answer"), F.col("source").alias("note"))
+    files = own.where("pos % 2 = 0").select("worker", F.col("image").alias("path")).unionByName(own.select("worker", F.lit("s.png").alias("path")))
+    m = F.col("remapped")
+    out = canon.remap_records(own.select("pos", "worker", F.to_json(record).alias("record")), files)
+    answer = lambda k: F.get_json_object(canon.value(m, "ti2ti_answer"), f"$.{k}").alias(f"answer_{k}")
+    return out.select("pos", canon.value(m, "image").alias("image"), canon.value(m, "solution_image_path").alias("solution"), canon.value(m, "images").alias("images"), answer("image"), answer("text"), canon.value(m, "note").alias("note"))
 
 
 @query(f"SELECT item_id, count(*) AS attempts, arg_max(error, attempt) AS last_error FROM {RETRY} GROUP BY item_id HAVING max(ok) = 0")
@@ -235,8 +259,8 @@ def j5_pending(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""SELECT a.path_id, a.pos, a.truth_cell AS expected, b.pred_cell AS actual, a.truth_cell IS NOT DISTINCT FROM b.pred_cell AS same FROM
   (SELECT path_id, pos, max(truth_cell) AS truth_cell FROM {duck('paths')} GROUP BY ALL) a LEFT JOIN (SELECT path_id, pos, max(pred_cell) AS pred_cell FROM {duck('paths')} WHERE pos < 5 GROUP BY ALL) b USING (path_id, pos)""")
-def j12_sequences(spark: SparkSession, sf_dir: str, name: str = "paths") -> DataFrame:
-    own = fixture(spark, sf_dir, name)
+def j12_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = fixture(spark, sf_dir, "paths")
     left = own.groupBy("path_id", "pos").agg(F.max("truth_cell").alias("expected"))
     right = own.where("pos < 5").groupBy("path_id", "pos").agg(F.max("pred_cell").alias("actual"))
     return left.join(right, ["path_id", "pos"], "full").withColumn("same", F.col("expected").eqNullSafe(F.col("actual")))
@@ -257,6 +281,14 @@ def j14_vote_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.join(meta, "puzzle_id", "left").groupBy("puzzle_id", state.alias("state")).agg(F.count("*").alias("n"))
 
 
+@query("""SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN CAST(doc_id % 256 AS DOUBLE) WHEN 1 THEN CAST((doc_id + 1) % 256 AS DOUBLE) END AS red FROM documents""")
+def j14_base_colour(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of cells without a colour, with two values, and with three."""
+    own = table(spark, sf_dir, "documents").selectExpr("doc_id", """case doc_id % 4 when 0 then concat('{"colored_cells":[{"row":1},{"color":[1,2]},{"color":[', doc_id % 256, ',2,3]},{"color":[9,9,9]}]}')
+      when 1 then concat('{"colored_cells":[{"color":[', (doc_id + 1) % 256, ',0,0]}]}') when 2 then '{"colored_cells":[{"color":"red"}]}' else '{}' end as record""")
+    return own.select("doc_id", votes.base_colour("record")[0].alias("red"))
+
+
 # Votes and summaries
 
 
@@ -270,10 +302,17 @@ VOTED = f"""(SELECT attempt, arg_min(opt, (-n) * 100 + r) AS voted FROM (SELECT
 PASSED = f"(SELECT a.*, voted, CASE WHEN attempt % 10 = 0 THEN attempt % 20 = 0 ELSE coalesce(CASE WHEN attempt % 10 = 1 THEN 'A' ELSE voted END = correct_option, false) END AS ok FROM {AT} a LEFT JOIN {VOTED} USING (attempt))"
 
 
+def channel_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return votes.channel_votes(fixture(spark, sf_dir, "attempts"), ["attempt", "puzzle_id", "task_group", "correct_option"])
+
+
+def explicit(rows: DataFrame) -> DataFrame:
+    return rows.withColumns({"explicit": F.expr("if(attempt % 10 = 0, attempt % 20 = 0, cast(null as boolean))"), "transcribed": F.expr("if(attempt % 10 = 1, 'A', '')")})
+
+
 def voted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    own = votes.channel_votes(fixture(spark, sf_dir, "attempts"), ["attempt", "puzzle_id", "task_group", "correct_option"])
-    explicit = F.expr("if(attempt % 10 = 0, attempt % 20 = 0, cast(null as boolean))")
-    return own.withColumn("ok", R.option_pass(explicit, F.expr("if(attempt % 10 = 1, 'A', '')"), "voted", "correct_option"))
+    own = explicit(channel_votes(spark, sf_dir))
+    return own.withColumn("ok", R.option_pass(F.col("explicit"), F.col("transcribed"), "voted", "correct_option")).drop("explicit", "transcribed")
 
 
 @query(f"SELECT attempt, voted FROM {AT} LEFT JOIN {VOTED} USING (attempt)")
@@ -389,9 +428,9 @@ def w1_keep_first(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""SELECT doc_id AS pos, CASE WHEN k = 0 THEN b ELSE printf('%s__%02d', b, k) END AS id FROM (SELECT doc_id, b, row_number() OVER (PARTITION BY lang, b ORDER BY doc_id) - 1 AS k FROM
-  (SELECT doc_id, lang, CASE WHEN doc_id % 4 = 0 THEN printf('%s-%05d', lang, doc_id) ELSE 'i' || doc_id % 30 END AS b FROM documents))""")
+  (SELECT doc_id, lang, CASE WHEN doc_id % 4 = 0 THEN printf('%s-%05d', lang, doc_id) WHEN doc_id % 9 = 0 THEN ' ' WHEN doc_id % 9 = 1 THEN ' a ' ELSE 'i' || doc_id % 30 END AS b FROM documents))""")
 def w2_repair_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    own = table(spark, sf_dir, "documents").selectExpr("doc_id as pos", "lang as task", "if(doc_id % 4 = 0, ' ', concat('i', doc_id % 30)) as id")
+    own = table(spark, sf_dir, "documents").selectExpr("doc_id as pos", "lang as task", "case when doc_id % 8 = 0 then '' when doc_id % 8 = 4 then null when doc_id % 9 = 0 then ' ' when doc_id % 9 = 1 then ' a ' else concat('i', doc_id % 30) end as id")
     return canon.repair_ids(own).select("pos", "id")
 
 
@@ -426,9 +465,9 @@ def w7_stride(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"SELECT path_id, array_to_string(list_slice(list(truth_cell ORDER BY p), 1, 3), ',') AS cells FROM (SELECT path_id, truth_cell, min(pos * 100 + truth_cell) AS p FROM {duck('paths')} GROUP BY 1, 2) GROUP BY 1")
-def w8_ordered_dedupe(spark: SparkSession, sf_dir: str, name: str = "paths") -> DataFrame:
+def w8_ordered_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
     cells = F.array_sort(F.collect_list(F.struct("pos", "truth_cell")))
-    own = fixture(spark, sf_dir, name).groupBy("path_id").agg(cells.alias("c"))
+    own = fixture(spark, sf_dir, "paths").groupBy("path_id").agg(cells.alias("c"))
     return own.select("path_id", F.array_join(F.transform(F.slice(F.array_distinct("c.truth_cell"), 1, 3), lambda x: x.cast("string")), ",").alias("cells"))
 
 
@@ -452,8 +491,8 @@ def s1_head(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"SELECT path_id, array_to_string(list(truth_cell ORDER BY pos DESC, truth_cell DESC), ',') AS cells FROM {duck('paths')} GROUP BY 1")
-def s2_stacking(spark: SparkSession, sf_dir: str, name: str = "paths") -> DataFrame:
-    own = fixture(spark, sf_dir, name).groupBy("path_id").agg(F.sort_array(F.collect_list(F.struct("pos", "truth_cell")), False).alias("c"))
+def s2_stacking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = fixture(spark, sf_dir, "paths").groupBy("path_id").agg(F.sort_array(F.collect_list(F.struct("pos", "truth_cell")), False).alias("c"))
     return own.select("path_id", F.array_join(F.transform("c.truth_cell", lambda x: x.cast("string")), ",").alias("cells"))
 
 
@@ -500,9 +539,15 @@ def e1_edit_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return export.edit_pairs(samples(spark, sf_dir))
 
 
-@query(f"SELECT 'v/' || pos || '.mp4' AS video, ti2v AS prompt, task_type, g AS task_group, sid AS id, '' AS ti2ti_text, '' AS ti2ti_image FROM {KEPT} WHERE pos % 3 = 0")
+@query(f"""SELECT 'v/' || pos || '.mp4' AS video, ti2v AS prompt, task_type, g AS task_group, sid AS id,
+  CASE WHEN pos % 2 = 0 THEN CASE WHEN pos % 5 = 0 THEN 'said ' || pos WHEN pos % 5 = 1 THEN 'asked' WHEN pos % 5 = 2 THEN 'model' ELSE '' END ELSE '' END AS ti2ti_text, CASE WHEN pos % 2 = 0 THEN solution_image ELSE '' END AS ti2ti_image FROM {KEPT} WHERE pos % 3 = 0""")
 def e2_video_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return export.video_rows(samples(spark, sf_dir).withColumn("solution_video", F.expr("if(pos % 3 = 0, concat('v/', pos, '.mp4'), null)")))
+    own = samples(spark, sf_dir).withColumns({
+        "solution_video": F.expr("if(pos % 3 = 0, concat('v/', pos, '.mp4'), null)"), "ti2ti": F.expr("if(pos % 2 = 0, 'edit', null)"),
+        "record": F.expr("""case pos % 5 when 0 then to_json(named_struct('ti2ti_answer', named_struct('text', concat(' said ', pos)), 'ti2t_answer', 'no'))
+          when 1 then '{"ti2ti_answer":{"text":" "},"ti2t_answer":" asked ","vlm_answer":"no"}' when 2 then '{"ti2ti_answer":{},"ti2t_answer":"","vlm_answer":"model"}' else '{"answer":"no"}' end"""),
+    })
+    return export.video_rows(own)
 
 
 TRAIN = rf"""CASE WHEN g = 'maze' THEN '{T.MAZE_PROMPT}' WHEN g = 'eyeballing' THEN '{T.PREFIXES["ti2i"]}' || (CASE WHEN ends_with(e, '.') THEN e ELSE e || '.' END) ELSE '{T.PREFIXES["ti2v"]}' || prompt END"""

@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Iterator
+
+import pyarrow as pa
+import pyarrow.parquet as pq
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallygrid.functions.text import first_id, missing
 from tallygrid.operators.canon import keep_last, numbered
+from tallygrid.operators.summary import grouped_summary
 
 
 def write_jsonl(rows: DataFrame, path: str, mode: str = "errorifexists") -> None:
@@ -25,9 +30,27 @@ def write_shards(rows: DataFrame, path: str, order: str, rows_per_shard: int) ->
     own.repartition("shard").sortWithinPartitions("shard", order).write.partitionBy("shard").parquet(path)
 
 
-def shard_info(shards: DataFrame) -> DataFrame:
-    """SNK4: rows of each shard, as they are in the files."""
-    return shards.groupBy("shard").agg(F.count("*").alias("rows"))
+def shard_info(spark: SparkSession, path: str) -> DataFrame:
+    """SNK4: (shard, file, rows, row_groups) of each Parquet file below path, from its footer; one file a time is in memory."""
+
+    def footers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for file, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                own = pq.ParquetFile(pa.BufferReader(content.as_buffer())).metadata
+                yield pa.record_batch([pa.array([file]), pa.array([own.num_rows], pa.int64()), pa.array([own.num_row_groups], pa.int64())], names=["file", "rows", "row_groups"])
+
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.parquet").load(path)
+    found = files.select("path", "content").mapInArrow(footers, "file string, rows long, row_groups long")
+    return found.select(F.regexp_extract("file", "shard=([0-9]+)", 1).cast("long").alias("shard"), "file", "rows", "row_groups")
+
+
+def write_eval_outputs(rows: DataFrame, path: str) -> None:
+    """SNK7: the rows in path/results and their run summary, one JSON line with totals, by_group and by_type, in path/summary."""
+    write_jsonl(rows, f"{path}/results")
+    counts = lambda level, name: F.map_from_entries(F.collect_list(F.when(F.col("level") == level, F.struct(name, "total")))).alias(f"by_{name[5:]}")
+    total = lambda c, name: F.max(F.when(F.col("level") == 3, F.col(c))).alias(name)
+    own = grouped_summary(rows).agg(total("total", "total"), total("passed", "pass"), total("failed", "fail"), total("errors", "error"), counts(1, "task_group"), counts(2, "task_type"))
+    own.withColumn("results_path", F.lit(f"{path}/results")).write.json(f"{path}/summary")
 
 
 def dataset_info(exports: DataFrame, modes: list[str]) -> DataFrame:

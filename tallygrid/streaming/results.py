@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.types import StructType
+from pyspark.sql.types import LongType, StructField, StructType
 
 from tallygrid.operators.summary import run_columns
 
@@ -34,7 +34,15 @@ def first_only(rows: DataFrame, keys: list[str], event_time: str, delay: str) ->
     return rows.withWatermark(event_time, delay).dropDuplicatesWithinWatermark(keys)
 
 
-def drain(rows: DataFrame, table: str, checkpoint: str, mode: str = "append") -> DataFrame:
-    """All that has arrived, through the stream, as a table in memory; for tests and small summaries."""
-    rows.writeStream.format("memory").queryName(table).option("checkpointLocation", checkpoint).outputMode(mode).trigger(availableNow=True).start().awaitTermination()
-    return rows.sparkSession.table(table)
+def drain(rows: DataFrame, path: str, checkpoint: str, mode: str = "append") -> DataFrame:
+    """All that has arrived, through the stream, as Parquet below path: a folder for each batch, so that a batch that is
+    repeated replaces itself. In complete mode the last batch holds the whole result, in append mode all batches do."""
+
+    def write(batch: DataFrame, k: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch={k}")
+
+    rows.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).outputMode(mode).trigger(availableNow=True).start().awaitTermination()
+    found = rows.sparkSession.read.schema(StructType([*rows.schema.fields, StructField("batch", LongType())])).parquet(path)
+    if mode == "complete":
+        found = found.where(F.col("batch") == found.agg(F.max("batch")).first()[0])
+    return found.drop("batch")

@@ -37,23 +37,23 @@ def test_regions_of_all_images(spark):
         if r.r >= 150 and r.frame_idx == 1:
             bright[r.image_id].add((r.y, r.x))
     assert len(images) > 3
-    found = {r.image_id: r.connected for r in entry.queries()["g1_connected_all"](spark, DATA).collect()}
+    found = {r.image_id: r.connected for r in entry.queries()["g1_connected"](spark, DATA).collect()}
     assert found == {k: any(min(own) in a and max(own) in a for a in areas(own)) for k, own in masked.items()}
-    boxes = sorted(tuple(r[c] for c in ("image_id", "left", "top", "right", "bottom")) for r in entry.queries()["a18_region_boxes_all"](spark, DATA).collect())
+    boxes = sorted(tuple(r[c] for c in ("image_id", "left", "top", "right", "bottom")) for r in entry.queries()["a18_region_boxes"](spark, DATA).collect())
     ys, xs = (lambda a: [y for y, _ in a]), (lambda a: [x for _, x in a])
     assert boxes == sorted((k, max(min(xs(a)) - 2, 0), max(min(ys(a)) - 2, 0), min(max(xs(a)) + 2, 47), min(max(ys(a)) + 2, 47)) for k, own in bright.items() for a in areas(own))
 
 
 @pytest.mark.parametrize("name", ["r2_path_reward", "t24_solution_text", "j12_sequences", "w8_ordered_dedupe", "s2_stacking"])
 def test_paths_of_all_orders(spark, duck, name):  # noqa: F811
-    same_rows(spark, duck, f"{name}_all")
+    same_rows(spark, duck, name)
     orders = spark.read.parquet(f"{DATA}/lineitem.parquet").select("l_orderkey").distinct().count()
-    assert entry.queries()[f"{name}_all"](spark, DATA).select("path_id").distinct().count() == orders
+    assert entry.queries()[name](spark, DATA).select("path_id").distinct().count() == orders
 
 
 def test_texts_of_all_languages_collapse(spark, duck):  # noqa: F811
-    same_rows(spark, duck, "t4_collapse_all")
-    assert entry.queries()["t4_collapse_all"](spark, DATA).count() == spark.read.parquet(f"{DATA}/documents.parquet").count()
+    same_rows(spark, duck, "t4_collapse")
+    assert entry.queries()["t4_collapse"](spark, DATA).count() == spark.read.parquet(f"{DATA}/documents.parquet").count()
 
 
 def test_cells_of_shortest_paths(spark):
