@@ -110,7 +110,8 @@ def snk7_run_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The summary file, read back."""
     sinks.write_eval_outputs(record_queries.eval_records(spark, sf_dir), path := shared_folder(spark))
     own = readers.jsonl(spark, f"{path}/summary", "total long, pass long, by_group map<string,long>, by_type map<string,long>")
-    rows = F.concat(*(F.transform(F.map_entries(m), lambda e, k=k: F.struct(F.lit(k).alias("level"), e["key"].alias("name"), e["value"].alias("n"))) for k, m in (("group", "by_group"), ("type", "by_type"), ("all", F.create_map(F.lit("total"), "total", F.lit("pass"), "pass")))))
+    entries = lambda level, m: F.transform(F.map_entries(m), lambda e: F.struct(F.lit(level).alias("level"), e["key"].alias("name"), e["value"].alias("n")))
+    rows = F.concat(entries("group", "by_group"), entries("type", "by_type"), entries("all", F.create_map(F.lit("total"), "total", F.lit("pass"), "pass")))
     return own.select(F.inline(rows))
 
 
