@@ -10,6 +10,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 from tallygrid.operators.components import cut, ensure_checkpoint_dir
+from tallygrid.shipping import ship
 
 __all__ = ["PIECE", "ROWS", "bound_batches", "cut", "ensure_checkpoint_dir", "fold_table", "mix", "ngrams", "pieces", "read", "text_bytes", "word_hashes", "words_of"]
 
@@ -22,7 +23,8 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def bound_batches(spark: SparkSession) -> None:
-    """Hold Arrow batches to ROWS rows, as texts may be long; a smaller setting of the session stays."""
+    """Hold Arrow batches to ROWS rows, as texts may be long; a smaller setting of the session stays. Workers get the package."""
+    ship(spark)
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(spark.conf.get(key)) <= ROWS:
         spark.conf.set(key, ROWS)
