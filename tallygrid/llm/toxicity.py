@@ -7,7 +7,8 @@ occur together, such as an insult and a group that it is aimed at. (Rendle 2010.
 loss, with numpy, on SAMPLE labelled rows at most; the weights are a table of fixed size, broadcast. All whole texts are
 scored in one narrow pass.
 
-Rows: null and empty texts have no terms and get the model's bias. A doc_id that repeats is scored in every row. Without
+Rows: null and empty texts have no terms and get the model's bias. Null and repeated doc_ids are scored row by row; null
+ones are never learnt from. Without
 any label the score is 0.5 less a hair, so that nothing is rejected.
 """
 
@@ -24,7 +25,11 @@ from pyspark.sql import types as T
 from tallygrid.llm.common import ALNUM, bound_batches, pieces, read, text_bytes, word_hashes
 from tallygrid.llm.learning import SAMPLE, labelled, remainder
 
-BITS, RANK, PREFIX, SCREEN, THRESHOLD = 18, 8, 5, 4.0, 0.5
+BITS, RANK, PREFIX, THRESHOLD = 18, 8, 5, 0.5
+#: Standard errors of what tells by itself, and of what tells in pairs; terms whose pairs are looked at, at most.
+SCREEN, PAIR, PAIRED = 4.0, 6.0, 512
+#: How much more a toxic row weighs in the loss than another, as a missed one costs more.
+WEIGHT = 4.0
 BUCKETS = 1 << BITS
 SCORE = "toxicity"
 
@@ -48,14 +53,42 @@ def segments(x: np.ndarray, at: np.ndarray) -> np.ndarray:
     return sums
 
 
-def screen(t: np.ndarray, at: np.ndarray, y: np.ndarray) -> np.ndarray:
-    toxic = np.repeat(y > 0, np.diff(at))
-    n1 = max(1.0, float((y > 0).sum()))
-    n0 = max(1.0, len(y) - n1)
-    d1, d0 = np.bincount(t[toxic], minlength=BUCKETS), np.bincount(t[~toxic], minlength=BUCKETS)
+def screen(d1: np.ndarray, d0: np.ndarray, n1: float, n0: float) -> np.ndarray:
+    """Terms whose share of the n1 toxic and the n0 other rows (d1 and d0 rows have them) differs by SCREEN standard errors."""
+    n1, n0 = max(1.0, n1), max(1.0, n0)
     share = (d1 + d0) / (n1 + n0)
-    gap = np.abs(d1 / n1 - d0 / n0)
-    return (d1 + d0 >= 3) & (gap >= SCREEN * np.sqrt(share * (1 - share) * (1 / n1 + 1 / n0) + 1e-12))
+    return (d1 + d0 >= 3) & (np.abs(d1 / n1 - d0 / n0) >= SCREEN * np.sqrt(share * (1 - share) * (1 / n1 + 1 / n0) + 1e-12))
+
+
+def paired(t: np.ndarray, at: np.ndarray, y: np.ndarray, common: np.ndarray) -> np.ndarray:
+    """Those of the `common` terms that interact: pairs whose log odds ratio in toxic rows differs from that in others by
+    PAIR standard errors. Such terms may have no share that tells by itself."""
+    place = np.full(BUCKETS, -1)
+    place[common] = np.arange(len(common))
+    z = []
+    for kind in (True, False):
+        rows = np.flatnonzero((y > 0) == kind)
+        both = np.zeros((len(common), len(common)))
+        for k in range(0, len(rows), 1024):
+            own = rows[k : k + 1024]
+            x = np.zeros((len(own), len(common)), dtype=np.float32)
+            for i, r in enumerate(own):
+                p = place[t[at[r] : at[r + 1]]]
+                x[i, p[p >= 0]] = 1
+            both += x.T @ x
+        one, n = np.diag(both), len(rows)
+        cells = [both, one[:, None] - both, one[None, :] - both, n - one[:, None] - one[None, :] + both]
+        odds = np.log((cells[0] + 0.5) * (cells[3] + 0.5) / ((cells[1] + 0.5) * (cells[2] + 0.5)))
+        z.append((odds, sum(1 / (c + 0.5) for c in cells)))
+    gap = np.abs(z[0][0] - z[1][0]) / np.sqrt(z[0][1] + z[1][1])
+    np.fill_diagonal(gap, 0)
+    return common[(gap >= PAIR).any(axis=1)]
+
+
+def common_terms(d: np.ndarray, n: float) -> np.ndarray:
+    """The PAIRED most frequent terms, of those in one to 99 of a hundred rows."""
+    own = np.flatnonzero((d >= 0.01 * n) & (d <= 0.99 * n))
+    return own[np.argsort(-d[own], kind="stable")[:PAIRED]]
 
 
 class Machine:
@@ -72,13 +105,18 @@ class Machine:
     def scores(self, t: np.ndarray, at: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(self.margin(t, at)[0], -30, 30)))
 
-    def fit(self, t: np.ndarray, at: np.ndarray, y: np.ndarray, epochs: int = 12, batch: int = 64, rate: float = 0.1, decay: float = 2e-4, seed: int = 11) -> Machine:
-        """Only terms whose share of toxic and of other rows differs by SCREEN standard errors get weights; the rest stay
-        at zero, so that the many neutral terms of a long text can't outweigh a few telling ones."""
+    def fit(self, t: np.ndarray, at: np.ndarray, y: np.ndarray, epochs: int = 24, batch: int = 64, rate: float = 0.1, decay: float = 2e-4, weight: float = WEIGHT, seed: int = 11) -> Machine:
+        """Only terms that tell by themselves (`screen`) or with another one (`paired`) get weights; the rest stay at zero, so
+        that the many neutral terms of a long text can't outweigh a few telling ones."""
         rng, n = np.random.default_rng(seed), len(y)
-        seen = screen(t, at, y)
+        toxic, n1 = np.repeat(y > 0, np.diff(at)), float((y > 0).sum())
+        d1, d0 = np.bincount(t[toxic], minlength=BUCKETS), np.bincount(t[~toxic], minlength=BUCKETS)
+        seen = screen(d1, d0, n1, n - n1)
+        pairs = paired(t, at, y, common_terms(d1 + d0, n))
+        self.v[pairs] *= 10
+        seen[pairs] = True
         self.v[~seen] = 0
-        self.bias = float(np.log((y.sum() + 0.5) / (n - y.sum() + 0.5)))
+        self.bias = float(np.log((weight * y.sum() + 0.5) / (n - y.sum() + 0.5)))
         gw, gv = np.full(BUCKETS, 1e-2, dtype=np.float32), np.full(self.v.shape, 1e-2, dtype=np.float32)
         for _ in range(epochs):
             order = rng.permutation(n)
@@ -90,7 +128,7 @@ class Machine:
                 own, which = own[keep], which[keep]
                 off = np.searchsorted(which, np.arange(len(rows) + 1))
                 margin, total = self.margin(own, off)
-                miss = (1 / (1 + np.exp(-np.clip(margin, -30, 30))) - y[rows]) / len(rows)
+                miss = (1 / (1 + np.exp(-np.clip(margin, -30, 30))) - y[rows]) * np.where(y[rows] > 0, weight, 1) / len(rows)
                 used, back = np.unique(own, return_inverse=True)
                 dw = np.bincount(back, weights=miss[which], minlength=len(used)).astype(np.float32) + decay * self.w[used]
                 dv = miss[which][:, None] * (total[which] - self.v[own])
@@ -104,17 +142,51 @@ class Machine:
         return self
 
 
-def _terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _pieces_of_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray]]:
     for batch in batches:
         for a, b in pieces(batch.column(1)):
             part = batch.slice(a, b - a)
-            t, at = terms(text_bytes(part.column(1)).to_pylist())
-            yield pa.record_batch([part.column(2), pa.array([t[x:y].astype(np.int32).tobytes() for x, y in zip(at[:-1], at[1:], strict=True)], pa.binary())], names=["y", "t"])
+            yield part.column(2), *terms(text_bytes(part.column(1)).to_pylist())
+
+
+def _term_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of each class that have a term, and (bucket BUCKETS) rows of each class."""
+    counts = np.zeros((2, BUCKETS + 1), dtype=np.int64)
+    for y, t, at in _pieces_of_terms(batches):
+        y = y.to_numpy(zero_copy_only=False)
+        for k in (0, 1):
+            counts[k] += np.bincount(t[np.repeat(y == k, np.diff(at))], minlength=BUCKETS + 1)
+            counts[k, BUCKETS] += np.count_nonzero(y == k)
+    own = np.flatnonzero(counts.any(axis=0))
+    yield pa.record_batch([pa.array(own, pa.int32()), pa.array(counts[0, own]), pa.array(counts[1, own])], names=["term", "d0", "d1"])
+
+
+def _terms(shared) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        wanted = shared.value
+        for y, t, at in _pieces_of_terms(batches):
+            keep = np.concatenate([[0], np.cumsum(wanted[t])])
+            own, at = t[wanted[t]].astype(np.int32), keep[at]
+            yield pa.record_batch([y, pa.array([own[a:b].tobytes() for a, b in zip(at[:-1], at[1:], strict=True)], pa.binary())], names=["y", "t"])
+
+    return send
 
 
 def train(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE) -> Machine:
-    bound_batches(docs.sparkSession)
-    sample = labelled(docs, labels, "toxic", rows).mapInArrow(_terms, "y int, t binary").toArrow()
+    """The machine of the labelled sample. Its rows come to the driver with those terms only that can get a weight, which
+    a count of BUCKETS rows at most has picked."""
+    spark = docs.sparkSession
+    bound_batches(spark)
+    sample = labelled(docs, labels, "toxic", rows)
+    counts = sample.mapInArrow(_term_counts, "term int, d0 long, d1 long").groupBy("term").agg(F.sum("d0").alias("d0"), F.sum("d1").alias("d1")).toArrow()
+    d = np.zeros((2, BUCKETS + 1), dtype=np.int64)
+    for k in (0, 1):
+        d[k, counts.column("term").to_numpy()] = counts.column(f"d{k}").to_numpy()
+    n0, n1 = d[:, BUCKETS].tolist()
+    d = d[:, :BUCKETS]
+    wanted = screen(d[1], d[0], n1, n0)
+    wanted[common_terms(d.sum(axis=0), n0 + n1)] = True
+    sample = sample.mapInArrow(_terms(spark.sparkContext.broadcast(wanted)), "y int, t binary").toArrow()
     y, own = sample.column("y").to_numpy(), [np.frombuffer(x, dtype=np.int32) for x in sample.column("t").to_pylist()]
     if not len(y):
         out = Machine()

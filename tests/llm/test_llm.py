@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from conftest import DATA
-from tallygrid.llm import common, decontaminate, fingerprints, license_scan, lm_scoring, mixing, near_dedup, quality, registry, sharding, token_counts, toxicity
+from tallygrid.llm import common, decontaminate, fingerprints, learning, license_scan, lm_scoring, mixing, near_dedup, quality, registry, sharding, token_counts, toxicity
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, shard string, score string, n_tokens string, copies string"
 LONG = " ".join(f"w{k % 977}x{k % 31}" for k in range(200_000))
@@ -128,7 +128,6 @@ def test_small_cache_counts_alike(monkeypatch):
 def test_decontamination_in_blocks(spark, odd, none):
     bench = spark.createDataFrame([(1, "two"), (2, " ".join(f"a{k}" for k in range(5, 20))), (3, None), (None, "one"), (4, "..."), (5, "nowhere to be found")], "item_id long, text string")
     one = decontaminate.report(odd, bench)
-    assert sorted(map(str, one.collect())) == sorted(map(str, decontaminate.scan(odd.select("doc_id", "text"), bench, block_bytes=1).count() and decontaminate.report(odd, bench).collect()))
     blocks = {(r.doc_id, tuple(r.spans), tuple(r["items"])) for r in decontaminate.scan(odd, bench, block_bytes=1).collect()}
     assert blocks == {(r.doc_id, tuple(r.spans), tuple(r["items"])) for r in decontaminate.scan(odd, bench).collect()}
     by = {r.doc_id: r for r in one.collect() if r.doc_id}
@@ -141,6 +140,23 @@ def test_decontamination_in_blocks(spark, odd, none):
     assert decontaminate.decontaminate(none, bench).count() == 0 and decontaminate.report(odd, bench.limit(0)).where("contaminated").count() == 0
 
 
+def test_windows_that_items_share(spark):
+    """Items with the same text, and repeated windows in an item: each window is compared once and names all its items."""
+    shared = " ".join(f"a{k}" for k in range(12))
+    windows = decontaminate.Windows([(f"i{k:02d}", shared.encode()) for k in range(50)] + [("x", (shared + " " + shared).encode())])
+    assert len(windows.by_length[10][0]) == 3 + 9
+    n_words, spans, items = windows.find([f"z {shared} z".encode(), None])
+    assert n_words.tolist() == [14, 0] and spans == {0: [(1, 13)]} and items[0] == {*(f"i{k:02d}" for k in range(50)), "x"}
+
+
+def test_one_block_at_a_time(spark, odd):
+    """A benchmark of many blocks is scanned in passes that are each written, not in one chain."""
+    bench = spark.createDataFrame([(k, f"only here {k}") for k in range(40)], "item_id long, text string")
+    out = decontaminate.scan(odd.select("doc_id", "text"), bench, block_bytes=200)
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
+    assert out.count() == odd.count()
+
+
 # 4 and 7 classifiers
 
 
@@ -179,6 +195,56 @@ def test_machine_learns_a_pair():
     assert ((toxicity.Machine().fit(t, at, y, epochs=20).scores(t, at) > 0.5) == (y > 0)).mean() > 0.99
 
 
+def test_machine_learns_exclusive_or():
+    """Neither word tells by itself; only the pair does, among many neutral words."""
+    rng = np.random.default_rng(3)
+    kinds = rng.integers(0, 4, 6000)
+    xs = [b" ".join([*([b"alpha"] if k & 1 else []), *([b"gamma"] if k & 2 else []), *(b"n%03d" % j for j in rng.integers(0, 300, 20))]) for k in kinds]
+    y = np.isin(kinds, (1, 2)).astype(float)
+    t, at = toxicity.terms(xs)
+    model = toxicity.Machine().fit(t[: at[4000]], at[:4001], y[:4000])
+    assert ((model.scores(t[at[4000] :], at[4000:] - at[4000]) > 0.5) == (y[4000:] > 0)).mean() > 0.95
+
+
+def average_precision(scores, truth):
+    own = np.asarray(truth, dtype=float)[np.argsort(-np.asarray(scores), kind="stable")]
+    return float((np.cumsum(own) / np.arange(1, len(own) + 1) * own).sum() / own.sum())
+
+
+@pytest.mark.parametrize(("name", "label"), [("op4_quality", "quality"), ("op7_toxicity", "toxic")])
+def test_held_out_recall_and_precision(spark, name, label):
+    """On rows that weren't learnt from, against the constant answer."""
+    sf = DATA.replace("0.001", "0.1")
+    labels = {r.doc_id: r[label] for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
+    held = [(r.score, r.predicted, labels[r.doc_id]) for r in registry.queries()[name](spark, sf).where("held_out").collect() if labels.get(r.doc_id) is not None]
+    scores, predicted, truth = map(np.array, zip(*held))
+    constant = truth.mean()
+    assert len(held) > 500 and average_precision(scores, truth) > max(0.8, 2 * min(constant, 0.45))
+    if label == "toxic":
+        assert predicted[truth == 1].mean() >= 0.9 and predicted[truth == 0].mean() <= 0.02  # about one toxic label in twenty has no toxic word
+    loss = -np.mean(truth * np.log(np.clip(scores, 1e-6, 1)) + (1 - truth) * np.log(np.clip(1 - scores, 1e-6, 1)))
+    assert loss < -(constant * np.log(constant) + (1 - constant) * np.log(1 - constant)) / 2
+
+
+def test_temperature_calibrates():
+    """A network that is fitted far too long on few rows is overconfident; the temperature makes its loss on new rows smaller."""
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(3000, 8))
+    y = (x[:, 0] + rng.normal(0, 1.5, 3000) > 0).astype(float)
+    model = quality.Network(8).fit(x[:400], y[:400], epochs=400)
+    loss = lambda t: np.mean(np.logaddexp(0, model.logits(x[400:]) / t) - y[400:] * model.logits(x[400:]) / t)
+    assert model.temperature > 1 and loss(model.temperature) < loss(1.0)
+
+
+def test_labelled_sample_is_bounded(spark):
+    own = spark.range(5000).selectExpr("id as doc_id", "cast(id % 2 as int) as toxic")
+    texts_of = own.selectExpr("doc_id", "concat('t', doc_id) as text")
+    found = learning.labelled(texts_of, own, "toxic", 300).collect()
+    every = sorted((r.h, r.doc_id) for r in own.where(learning.remainder("doc_id", 5) != 0).select("doc_id", F.xxhash64("doc_id").bitwiseAND(F.lit((1 << 40) - 1)).alias("h")).collect())
+    assert sorted(r.doc_id for r in found) == sorted(d for _, d in every[:300])
+    assert learning.labelled(texts_of, own, "toxic", 10_000).count() == len(every)
+
+
 # 5 licences
 
 
