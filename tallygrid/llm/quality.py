@@ -9,7 +9,8 @@ A document is the mean of its tokens' unit vectors (context beside index), with
 distinct tokens. A two-layer network (tanh, Adam) learns the label from SAMPLE labelled rows at most; one in five of them
 is set aside to fit one temperature, by which the logits are divided so that scores are probabilities.
 
-Rows: null and empty texts pool to a zero vector and get its score. Without labels every score is 0.5.
+Rows: null and empty texts pool to a zero vector and get its score. Without labels every score is 0.5. Null and repeated
+doc_ids are scored row by row; null ones are never learnt from. Without documents all context vectors are zero.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ from tallygrid.llm.common import bound_batches, fold_table, pieces, read, text_b
 from tallygrid.llm.learning import SAMPLE, labelled, remainder
 from tallygrid.llm.toxicity import segments
 
-BITS, WIDTH, NONZERO, REACH, HIDDEN, THRESHOLD = 13, 32, 4, 2, 32, 0.3
+BITS, WIDTH, NONZERO, REACH, HIDDEN, THRESHOLD = 16, 32, 4, 2, 32, 0.3
 WORDS = 1 << BITS
 SCORE = "quality"
 _TABLE = fold_table(b" \t\n\x0b\x0c\r")
@@ -44,7 +45,7 @@ def index_vectors(seed: int = 2005) -> np.ndarray:
 
 def tokens(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
     hashes, at = word_hashes(texts, _TABLE, kinds=_KINDS)
-    return (hashes >> np.uint64(64 - BITS)).astype(np.int16), at
+    return (hashes >> np.uint64(64 - BITS)).astype(np.int32), at
 
 
 def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
