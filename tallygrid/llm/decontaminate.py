@@ -5,7 +5,8 @@ item; an item of fewer words, but not none, is one window. Window hashes of all
 bitmap and then in the sorted hash set; what is found is verified word by word, so a hash never decides.
 
 The benchmark is broadcast in blocks: its bytes are summed first, and beyond block_bytes it is cut into as many blocks as
-needed, each scanned in a narrow pass over the documents that adds to the spans found before. Nothing is shuffled.
+needed, each scanned in a narrow pass of its own over the documents that adds to the spans found before. What a pass found
+is written before the next one begins, so that one block is in memory at a time. Nothing is shuffled.
 
 Rows: null and empty texts have no words and no hits. Items with a null item_id are left out; items that share an
 item_id count once. An empty benchmark gives no hits. Columns that clash with those added are replaced.
@@ -24,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallygrid.llm.common import ALNUM, bound_batches, ngrams, pieces, read, text_bytes, word_hashes, words_of
+from tallygrid.llm.common import ALNUM, bound_batches, cut, ngrams, pieces, read, text_bytes, word_hashes, words_of
 
 WINDOW, BLOCK_BYTES = 10, 16 << 20
 _WORD = re.compile(rb"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
@@ -32,25 +33,25 @@ FOUND = ("n_words", "spans", "items")
 
 
 class Windows:
-    """The windows of a block of items: for each length the sorted hashes with item and place, and one bitmap for all."""
+    """The distinct windows of a block of items: for each length their sorted hashes with the words and the items of each, and
+    one bitmap for all."""
 
     def __init__(self, items: list[tuple[str, bytes | None]], window: int = WINDOW, bits: int = 22):
-        self.ids, self.words, self.mask = [], [], np.uint64((1 << bits) - 1)
-        found: dict[int, list[tuple[np.ndarray, int]]] = defaultdict(list)
+        self.mask = np.uint64((1 << bits) - 1)
+        found: dict[int, dict[tuple[bytes, ...], tuple[int, list[str]]]] = defaultdict(dict)
         for item_id, text in items:
             own = words_of(text, ALNUM)
             if own:
                 n = min(window, len(own))
-                found[n].append((ngrams(word_hashes([text], ALNUM)[0], n), len(self.ids)))
-                self.ids.append(item_id)
-                self.words.append(own)
+                for p, h in enumerate(ngrams(word_hashes([text], ALNUM)[0], n).tolist()):
+                    ids = found[n].setdefault(tuple(own[p : p + n]), (h, []))[1]
+                    if not ids or ids[-1] != item_id:
+                        ids.append(item_id)
         self.bitmap, self.by_length = np.zeros(1 << bits, dtype=bool), {}
-        for n, parts in found.items():
-            hashes = np.concatenate([h for h, _ in parts])
-            item = np.concatenate([np.full(len(h), i) for h, i in parts])
-            place = np.concatenate([np.arange(len(h)) for h, _ in parts])
-            order = np.argsort(hashes, kind="stable")
-            self.by_length[n] = hashes[order], item[order], place[order]
+        for n, windows in found.items():
+            rows = sorted((h, words, ids) for words, (h, ids) in windows.items())
+            hashes = np.array([h for h, _, _ in rows], dtype=np.uint64)
+            self.by_length[n] = hashes, [list(words) for _, words, _ in rows], [ids for _, _, ids in rows]
             self.bitmap[hashes & self.mask] = True
 
     def find(self, texts: list[bytes | None]) -> tuple[np.ndarray, dict[int, list[tuple[int, int]]], dict[int, set[str]]]:
@@ -59,7 +60,7 @@ class Windows:
         spans: dict[int, list[tuple[int, int]]] = defaultdict(list)
         items: dict[int, set[str]] = defaultdict(set)
         split: dict[int, list[bytes]] = {}
-        for n, (known, item, place) in self.by_length.items():
+        for n, (known, words, ids) in self.by_length.items():
             grams = ngrams(hashes, n)
             at_word = np.flatnonzero(self.bitmap[grams & self.mask])
             low = np.searchsorted(known, grams[at_word], side="left")
@@ -69,14 +70,11 @@ class Windows:
             for w, row, a, b in zip(at_word[keep].tolist(), rows[keep].tolist(), low[keep].tolist(), high[keep].tolist(), strict=True):
                 own = split.get(row) or split.setdefault(row, words_of(texts[row], ALNUM))
                 first = w - int(at[row])
-                here, hit = own[first : first + n], False
-                for k in range(a, b):
-                    i, p = int(item[k]), int(place[k])
-                    if self.words[i][p : p + n] == here:
-                        items[row].add(self.ids[i])
-                        hit = True
-                if hit:
-                    spans[row].append((first, first + n))
+                here = own[first : first + n]
+                for k in range(a, b):  # windows of one hash: nearly always one
+                    if words[k] == here:
+                        items[row].update(ids[k])
+                        spans[row].append((first, first + n))
         return np.diff(at), {r: merge(s) for r, s in spans.items()}, items
 
 
@@ -126,7 +124,11 @@ def scan(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_byte
     for k in range(blocks):
         rows = items.where(F.expr(f"pmod(xxhash64(item_id), {blocks}) = {k}")).collect()
         windows = Windows([(r.item_id, r.text.encode()) for r in rows], window)
-        out = out.mapInArrow(_scanner(spark.sparkContext.broadcast(windows), docs.columns.index("text"), k > 0), schema)
+        shared = spark.sparkContext.broadcast(windows)
+        out = out.mapInArrow(_scanner(shared, docs.columns.index("text"), k > 0), schema)
+        if k < blocks - 1:
+            out = cut(out)
+            shared.destroy()
     return out
 
 
