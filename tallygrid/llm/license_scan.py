@@ -2,28 +2,32 @@
 
 Templates are short licence notices; each has a mandatory key phrase inside it. Over all documents the licence words are
 counted by document, which gives each an IDF (a table of at most as many rows as the templates have words). A template is
-posted under the highest-IDF word of its key phrase, with the place it has there. For each text, the places of licence
-words come first; a place of a posted word proposes a start of its template by relative position; the start counts if the
-key phrase stands there word by word and the words around it that agree hold COVER of the template's IDF.
+posted under the POSTED highest-IDF words of its key phrase, with the places they have there. For each text, the places of
+licence words come first; each posted word's places propose starts of the template by relative position, and the
+proposals of its words are intersected; a start counts if the key phrase stands there word by word and the words around it
+that agree hold COVER of the template's IDF.
 
-As the posted word lies in the mandatory phrase, what is found doesn't depend on which word is posted, only how fast.
+As the posted words lie in the mandatory phrase, what is found doesn't depend on which are posted, only how fast.
 Base phrases (labels cc-by, gpl, reserved) are counted at every place where their words stand consecutively.
 
 `score` is the largest IDF share that a label of the text has: 1 for a base phrase, else its template's cover, else 0.
 Everything happens in the row: nothing is shuffled but the word counts. Null and empty texts have no words, no labels and
-score 0.
+score 0. Null and repeated doc_ids are scanned row by row; labels of one text are sorted, so that ties don't matter; other
+columns are ignored. Without documents there are no rows.
 """
 
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallygrid.llm.common import read
 
-COVER = 0.6
+#: Share of a template's IDF that has to agree; words of its key phrase under which it is posted.
+COVER, POSTED = 0.6, 3
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Phrases of the base and their labels.
@@ -66,14 +70,18 @@ def _covers(label: str, weights: dict[str, float]) -> Column:
     """Covers of all starts of a template whose key phrase stands in `words`; `seen`: places of licence words."""
     words, phrase = (x.split() for x in TEMPLATES[label])
     first = offset(words, phrase)
-    rare = max(range(first, first + len(phrase)), key=lambda k: (weights[words[k]], -k))
+    rare = sorted(range(first, first + len(phrase)), key=lambda k: (-weights[words[k]], k))[:POSTED]
     total = sum(weights[w] for w in words)
 
     def cover(start: Column) -> Column:
         shares = [F.when(F.get("words", start + k) == w, weights[w] / total).otherwise(0.0) for k, w in enumerate(words)]
         return sum(shares[1:], shares[0])
 
-    starts = F.transform(F.filter("seen", lambda i: F.get("words", i) == words[rare]), lambda i: i - rare)
+
+    def proposed(k: int) -> Column:
+        return F.transform(F.filter("seen", lambda i: F.get("words", i) == words[k]), lambda i: i - k)
+
+    starts = reduce(F.array_intersect, map(proposed, rare))
     valid = F.filter(starts, lambda s: (s + first >= 0) & (F.slice("words", F.greatest(s + first, F.lit(0)) + 1, len(phrase)) == F.array(*map(F.lit, phrase))))
     return F.filter(F.transform(valid, lambda s: F.round(cover(s), 9)), lambda c: c >= COVER)
 
