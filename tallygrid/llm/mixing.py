@@ -30,6 +30,7 @@ LEAVES = 50_000
 #: Target weights of the registered query: of domains, and of languages within each.
 WEIGHTS = {"domain": {"d0": 4.0, "d1": 3.0, "d2": 2.0, "d3": 1.0}, "lang": {"en": 5.0, "de": 2.0, "fr": 2.0, "es": 1.0}, "source": {}}
 LEVELS = ("domain", "lang", "source")
+LEAF = ("_domain", "_lang", "_source")
 ADDED = ("n_tokens", "leaf_tokens", "leaf_budget", "copies")
 
 
@@ -82,8 +83,20 @@ def mix(docs: DataFrame, weights: dict[str, dict[str, float]] = WEIGHTS, share:
     share: budget of the whole as a share of all tokens; epochs: how often a leaf may be read at most.
     """
     docs = docs.drop(*ADDED)
-    keys = {"_domain": domain(), "_lang": F.expr("coalesce(cast(lang as string), '')"), "_source": F.expr("coalesce(cast(source as string), '')")}
-    rows = docs.withColumns({**keys, "n_tokens": F.expr(r"cast(coalesce(regexp_count(text, '[^\\x20\\x09-\\x0D]+'), 0) as bigint)"), "_tie": F.xxhash64("text")})
+    return mixed(measured(docs), docs.columns, weights, share, epochs, seed)
+
+
+def measured(docs: DataFrame) -> DataFrame:
+    """docs with the leaf, the tokens and a hash of the text of each row."""
+    keys = [domain(), F.expr("coalesce(cast(lang as string), '')"), F.expr("coalesce(cast(source as string), '')")]
+    tokens = F.expr(r"cast(coalesce(regexp_count(text, '[^\\x20\\x09-\\x0D]+'), 0) as bigint)")
+    return docs.withColumns({**dict(zip(LEAF, keys, strict=True)), "n_tokens": tokens, "_tie": F.xxhash64("text")})
+
+
+def mixed(rows: DataFrame, columns: list[str], weights: dict[str, dict[str, float]] = WEIGHTS, share: float = SHARE, epochs: int = EPOCHS, seed: str = SEED) -> DataFrame:
+    """The columns of measured rows, and those that `mix` adds. rows are read four times: where the text isn't wanted, write
+    them without it first."""
+    keys = LEAF
     leaves = rows.groupBy(*keys).agg(F.sum("n_tokens").alias("leaf_tokens")).toDF(*LEVELS, "leaf_tokens")
     leaf = budgets(leaves, F.lit(share), weights, epochs)
     leaf = leaf.withColumn("full_epochs", F.expr("if(leaf_tokens > 0, leaf_budget div greatest(leaf_tokens, 1L), 0L)"))
@@ -97,7 +110,7 @@ def mix(docs: DataFrame, weights: dict[str, dict[str, float]] = WEIGHTS, share:
     sums = sums.select(*keys, "_slice", (F.sum("_n").over(order) - F.col("_n")).alias("_before"))
     order = W.partitionBy(*keys, "_slice").orderBy("_h", "doc_id", "n_tokens", "_tie").rowsBetween(W.unboundedPreceding, 0)
     out = placed.join(sums.hint("merge"), [*keys, "_slice"]).withColumn("_to", F.col("_before") + F.sum("n_tokens").over(order))
-    return out.select(*docs.columns, "n_tokens", "leaf_tokens", "leaf_budget", F.expr("_epochs + if(_to <= _rest, 1, 0)").alias("copies"))
+    return out.select(*columns, "n_tokens", "leaf_tokens", "leaf_budget", F.expr("_epochs + if(_to <= _rest, 1, 0)").alias("copies"))
 
 
 def take(docs: DataFrame, **parameters: object) -> DataFrame:
@@ -107,7 +120,8 @@ def take(docs: DataFrame, **parameters: object) -> DataFrame:
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = mix(read(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"))
+    own = cut(measured(read(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")).drop("text"))
+    out = mixed(own, ["doc_id", "lang", "source"])
     return out.select("doc_id", domain().alias("domain"), "lang", "source", *ADDED)
 
 
