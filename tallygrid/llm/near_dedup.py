@@ -211,8 +211,10 @@ def classified(docs: DataFrame) -> DataFrame:
             stars = found.where("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b"))
             found = connected_components(stars.unionByName(extra))
     classes = nodes.select("set_key", F.col("rep").alias("node")).join(found.hint("merge"), "node", "left").select("set_key", F.coalesce("component", "node").alias("component"))
-    out = signed.select("doc_id", "text_hash", "n_shingles", "set_key").join(classes.hint("merge"), "set_key", "left")
-    out = out.select("doc_id", "text_hash", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
+    out = signed.select("doc_id", "text_hash", "n_shingles", "set_key")
+    full = out.where("set_key is not null").join(classes.hint("merge"), "set_key", "left")  # empty sets meet nothing, nor each other
+    empty = out.where("set_key is null").withColumn("component", F.lit(None).cast("long"))
+    out = full.unionByName(empty).select("doc_id", "text_hash", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
     return out.withColumn("kept", F.expr("doc_id <=> component_id"))
 
 
