@@ -1,8 +1,8 @@
 """Token counts by a map-side two-tier lookup: no pre-token is ever shuffled.
 
 Tier one is a compact table, broadcast: how many tokens each of the corpus's most frequent words makes. Frequent words
-come from one approx_top_k over all documents, whose state is a sketch of fixed size for each task; the table holds
-TOP words at most, and it decides only how fast a length is found, never which length.
+come from one sketch of fixed size for each task over all documents; sketches are merged FAN at a time, level by level, so
+that no task reads more than FAN of them. The table holds TOP words at most, and it decides only how fast a length is found, never which length.
 Tier two is a cache in each worker: pre-tokens that the table lacks are encoded once, in a batch, by the tokenizer's
 own library. It is emptied when it holds CACHE pre-tokens, so memory is bounded.
 
@@ -10,7 +10,8 @@ Byte-level BPE files (.json) are cut into pre-tokens by their published pattern,
 does by default; a pre-token's length doesn't depend on its neighbours. For every other tokenizer (.json with another
 pre-tokenizer, SentencePiece .model) whole texts go to the library.
 
-Rows: a null text counts as empty: 0 bytes, 0 tokens. No row is dropped or merged.
+Rows: a null text counts as empty: 0 bytes, 0 tokens. No row is dropped or merged; null and repeated doc_ids are counted
+row by row. Without documents there are no rows. Other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -28,6 +29,8 @@ from pyspark.sql import functions as F
 from tallygrid.llm.common import bound_batches, pieces, read
 
 TOP, TRACKED, CACHE, LIMIT = 5000, 50_000, 400_000, 512
+#: Sketches that are merged at a time.
+FAN = 16
 #: Fixed value: the byte-level pre-token pattern, with the white space that Unicode lists (the regex module's \s also takes U+001C to U+001F).
 _SPACE = r"\t-\r \x85\xa0  -     　"
 PATTERN = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{_SPACE}\p{{L}}\p{{N}}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+"
@@ -92,8 +95,16 @@ def frequent_lengths(docs: DataFrame, path: str) -> dict[str, int]:
     counter = Counter(path)
     if counter.cut is None:
         return {}
-    words = docs.select(F.explode(F.split("text", " ")).alias("word"))
-    top = words.agg(F.expr(f"approx_top_k(word, {TOP}, {TRACKED})").alias("top")).first().top or []
+    tasks = docs.select("text").rdd.getNumPartitions()
+    words = docs.select(F.spark_partition_id().alias("task"), F.explode(F.split("text", " ")).alias("word"))
+    sketches = words.groupBy("task").agg(F.expr(f"approx_top_k_accumulate(word, {TRACKED})").alias("sketch"))
+    while True:  # grouped in the last level too, so that no words give no row
+        tasks = -(-tasks // FAN)
+        sketches = sketches.groupBy(F.expr(f"task div {FAN}").alias("task")).agg(F.expr(f"approx_top_k_combine(sketch, {TRACKED})").alias("sketch"))
+        if tasks <= 1:
+            break
+    best = sketches.select(F.expr(f"approx_top_k_estimate(sketch, {TOP})").alias("top")).first()
+    top = best.top if best else []
     found = list({t for row in top if row.item for x in (row.item, f" {row.item}") for t in counter.plain.findall(x)})
     return dict(zip(found, counter.encode(found), strict=True))
 
