@@ -50,7 +50,7 @@ HOT, LEAST = 5e-7, 2
 #: Bits of the sieve of an order, at most: 16 MB. There are 1 to 2 for each four bytes of text until then.
 SIEVE = 1 << 27
 #: Words or n-grams that a task holds before it hands their counts on.
-HELD = 1_000_000
+HELD = 500_000
 #: Bytes of the texts of a block, and of training texts for each bucket: they bound what a task holds at once.
 BLOCK, BUCKET = 8 << 20, 6 << 20
 END = b" "
