@@ -19,10 +19,10 @@ SELECT user_id AS puzzle_id, event_id AS attempt,
 FROM {events}""",
     "cells": """
 SELECT puzzle_id, attempt, pos, max(is_clue) AS is_clue, max(expected) AS expected, max(predicted) AS predicted FROM (
-  SELECT l_orderkey % 200 AS puzzle_id, l_suppkey % 8 AS attempt, l_linenumber AS pos,
+  SELECT l_suppkey AS puzzle_id, l_partkey % 8 AS attempt, l_linenumber AS pos,
     CASE WHEN l_linenumber = 1 THEN 1 ELSE 0 END AS is_clue,
-    1 + ((l_orderkey % 200) * 7 + l_linenumber) % 9 AS expected,
-    CASE WHEN l_quantity > 45 THEN NULL WHEN l_quantity > 15 THEN 1 + ((l_orderkey % 200) * 7 + l_linenumber) % 9
+    1 + (l_suppkey * 7 + l_linenumber) % 9 AS expected,
+    CASE WHEN l_quantity > 45 THEN NULL WHEN l_quantity > 15 THEN 1 + (l_suppkey * 7 + l_linenumber) % 9
          ELSE 1 + l_partkey % 9 END AS predicted
   FROM {lineitem}) c
 GROUP BY puzzle_id, attempt, pos""",
@@ -32,7 +32,7 @@ SELECT l_orderkey AS path_id, l_linenumber AS pos, l_partkey % 50 AS truth_cell,
 FROM {lineitem}""",
     "pixels": """
 SELECT image_id, frame_idx, y, x, max(r) AS r, max(g) AS g, max(b) AS b FROM (
-  SELECT l_suppkey % 20 AS image_id, l_linenumber AS frame_idx, l_partkey % 48 AS y, l_orderkey % 48 AS x,
+  SELECT l_suppkey AS image_id, l_linenumber AS frame_idx, l_partkey % 48 AS y, l_orderkey % 48 AS x,
     (l_partkey * 37 + l_orderkey) % 256 AS r, (l_partkey * 11 + l_suppkey) % 256 AS g, (l_orderkey * 5 + l_linenumber) % 256 AS b
   FROM {lineitem}) p
 GROUP BY image_id, frame_idx, y, x""",
