@@ -125,12 +125,21 @@ def _runs(x: np.ndarray) -> np.ndarray:
 
 
 def _packed(x: np.ndarray) -> bytes:
-    """Eight-byte numbers, byte by byte: small numbers and sorted keys then compress."""
-    return x.view(np.uint8).reshape(-1, 8).T.tobytes()
+    """Eight-byte numbers, byte by byte: small numbers and sorted keys then compress. Bytes that are 0 in all of them are left out; the first byte says how many are there."""
+    planes = x.view(np.uint8).reshape(-1, 8).T
+    used = max([k + 1 for k in range(8) if planes[k].any()], default=1)
+    return bytes([used]) + planes[:used].tobytes()
 
 
 def _unpacked(column: pa.ChunkedArray | pa.Array, kind: type = np.int64) -> np.ndarray:
-    return np.concatenate([np.zeros(0, dtype=kind), *(np.frombuffer(x, dtype=np.uint8).reshape(8, -1).T.copy().view(kind).ravel() for x in column.to_pylist())])
+    parts = [np.frombuffer(x.as_buffer(), dtype=np.uint8) for x in column]
+    parts = [x[1:].reshape(int(x[0]), -1) for x in parts]
+    out = np.zeros((sum(x.shape[1] for x in parts), 8), dtype=np.uint8)
+    at = 0
+    for x in parts:
+        out[at : at + x.shape[1], : len(x)] = x.T
+        at += x.shape[1]
+    return out.view(kind).ravel()
 
 
 def _by_bucket(keys: np.ndarray, buckets: int) -> Iterator[tuple[int, slice]]:
@@ -158,11 +167,6 @@ def _summed(keys: np.ndarray, c: np.ndarray | None = None, ctx: np.ndarray | Non
     return keys[at], total, keys[:0] if ctx is None else ctx[by[at]]
 
 
-def _runs(x: np.ndarray) -> np.ndarray:
-    """Where each run of equal values of the sorted x begins."""
-    return np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]])[: len(x)])
-
-
 def _count(shared, buckets: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Counts, by bucket, of n-grams one word longer than there are sieves of shorter ones; without sieves, of words."""
 
