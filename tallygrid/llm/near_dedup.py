@@ -9,7 +9,7 @@ How the work is kept bounded, without dropping any link:
 * One-permutation hashing sorts the 64-bit shingle hashes once; the top bits are the bin, the first hash in a bin its
   minimum. Empty bins copy a bin picked by a fixed random probe sequence (optimal densification, Shrivastava 2017).
 * BANDS bands of ROWS_PER_BAND bins make buckets. At similarity 0.75 a pair shares none of the 32 buckets with
-  probability 5e-6.
+  probability 5e-6; sets of three or four shingles fill few bins and miss more often.
 * In every bucket only a star is tested: each member against the smallest member. Sets are compared in full. Nearly every
   link falls inside the components that these stars give.
 * A bucket whose members are all in one component has nothing left to add. For the others a second step looks at pairs
@@ -109,7 +109,7 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows come sorted by star and centre first; a star that goes on in the next batch keeps its centre's set."""
-    star, centre = None, None
+    star, low, centre = None, None, None
     for batch in batches:
         for a, b in pieces(batch.column(5)):
             part = batch.slice(a, b - a)
@@ -119,10 +119,10 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 if set_key(own) != k:
                     continue  # another text under the same doc_id
                 if not m:
-                    star, centre = s, own
-                elif s == star and r != s[0]:
+                    star, low, centre = s, r, own
+                elif s == star and r != low:
                     both = len(np.intersect1d(own, centre, assume_unique=True))
-                    out.append((r, s[0], both, len(own) + len(centre) - both))
+                    out.append((r, low, both, len(own) + len(centre) - both))
             cols = list(zip(*dict.fromkeys(out), strict=True)) or [[]] * 4
             yield pa.record_batch([pa.array(x, pa.int64()) for x in cols], names=["a", "b", "n_both", "n_all"])
 
@@ -133,9 +133,10 @@ def compare(docs: DataFrame, pairs: DataFrame, star: int = 2000) -> DataFrame:
     Texts of the documents that take part are sent once for each star they are in, members spread over parts of `star`
     members with the centre repeated in each, and are read as a sorted stream: no group is held in memory.
     """
-    parts = pairs.groupBy("b", "b_key").agg(F.ceil(F.count("*") / star).cast("int").alias("parts"))
-    members = pairs.join(parts.drop("b_key").hint("merge"), "b").select(F.col("b").alias("c"), F.expr("cast(pmod(xxhash64(a), parts) as int)").alias("salt"), F.lit(True).alias("member"), F.col("a").alias("rep"), F.col("a_key").alias("set_key"))
-    centres = parts.select(F.col("b").alias("c"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("salt"), F.lit(False).alias("member"), F.col("b").alias("rep"), F.col("b_key").alias("set_key"))
+    pairs = pairs.withColumn("c", F.xxhash64("b", "b_key"))  # the star: one id may stand on several texts
+    parts = pairs.groupBy("c").agg(F.min("b").alias("b"), F.min("b_key").alias("b_key"), F.ceil(F.count("*") / star).cast("int").alias("parts"))
+    members = pairs.join(parts.select("c", "parts").hint("merge"), "c").select("c", F.expr("cast(pmod(xxhash64(a), parts) as int)").alias("salt"), F.lit(True).alias("member"), F.col("a").alias("rep"), F.col("a_key").alias("set_key"))
+    centres = parts.select("c", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("salt"), F.lit(False).alias("member"), F.col("b").alias("rep"), F.col("b_key").alias("set_key"))
     texts = docs.select(F.col("doc_id").alias("rep"), "text")
     rows = members.unionByName(centres).hint("merge").join(texts, "rep").select("c", "salt", "member", "rep", "set_key", "text")
     rows = rows.repartition("c", "salt").sortWithinPartitions("c", "salt", "member")

@@ -474,6 +474,14 @@ def test_near_duplicates_of_odd_rows(odd, none):
     assert near_dedup.near_duplicates(none).count() == 0
 
 
+def test_centres_under_one_id(spark):
+    """One id on two texts, each the centre of its own star: both keep their links."""
+    one, two = ([f"{c}{k}" for k in range(60)] for c in "pq")
+    rows = [(5, " ".join(one)), (5, " ".join(two)), *((10 + k, " ".join(one[:k] + ["z"] + one[k + 1 :])) for k in range(3)), *((20 + k, " ".join(two[:k] + ["z"] + two[k + 1 :])) for k in range(3))]
+    found = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(found) == 8 and {r.component_id for r in found} == {5}
+
+
 def test_cross_component_blocks(spark, monkeypatch):
     monkeypatch.setattr(near_dedup, "BLOCK", 3)
     base = [f"b{k}" for k in range(60)]
