@@ -4,16 +4,19 @@ A text's prefix array holds, for every i, sum(c[j] * B**j for j < i) modulo a pr
 bases. Two looks into the arrays and one multiplication compare any two spans, whatever their places; binary search over
 them finds the longest common extension from two places, forwards or backwards.
 
-The likeness of two fingerprints is (common prefix + common suffix) / longer length, both by binary search, at most 1.
-The string form is the length, the hash of the whole text and the hashes of GRID prefixes at multiples of a power of two,
+The likeness of two fingerprints is (common prefix + common suffix + shared) / longer length, at most 1. Prefix and suffix
+come by binary search. Of what lies between them, shared counts the code points inside spans of SPAN that stand anywhere
+between the other's prefix and suffix too, in the text that has fewer of them: several edits and moved passages leave the
+rest alike, without a limit on their number. The string form is the length, the hash of the whole text and the hashes of GRID prefixes at multiples of a power of two,
 so that stored fingerprints still show how far two texts agree (`common_prefix`).
 
 Each document meets the next in ascending doc_id as neighbours in a sorted stream: ids are cut into ranges at quantiles,
 which are ids that exist, so the first row of each range is known beforehand and is sent to the range before it as well.
-Texts are shuffled once; a task holds two texts at a time.
+Rows without an id are cut into ranges of their own by a hash of their texts. Ranges hold about RANGE_ROWS rows, up to
+RANGES of them. Texts are shuffled once; a task holds two texts at a time.
 
-Rows: null texts count as empty. A null doc_id comes before all others. Rows that share a doc_id follow each other in the
-order of a hash of their texts. A single row is its own next document. Empty texts are like each other and unlike all else.
+Rows: null texts count as empty. A null doc_id comes before all others. Rows that share a doc_id, or have none, follow each
+other in the order of a hash of their texts. A single row is its own next document. Empty texts are like each other and unlike all else.
 """
 
 from __future__ import annotations
@@ -29,7 +32,8 @@ from pyspark.sql import functions as F
 
 from tallygrid.llm.common import bound_batches, pieces, read
 
-PRIME, BASES, GRID, RANGE_ROWS, RANGES = (1 << 31) - 1, (1_000_003, 724_655_953), 32, 1000, 5000
+PRIME, BASES, GRID, SPAN, RANGE_ROWS, RANGES = (1 << 31) - 1, (1_000_003, 724_655_953), 32, 32, 1000, 100_000
+_INVERSES = {base: pow(base, -1, PRIME) for base in BASES}
 _P = np.uint64(PRIME)
 _TABLES: dict[int, np.ndarray] = {}
 
@@ -63,7 +67,7 @@ class PrefixHashes:
 
     def span(self, start: int, stop: int) -> tuple[int, int]:
         """Hashes of the span, whatever its place."""
-        return tuple(int((own[stop] + _P - own[start]) * _powers(pow(base, -1, PRIME), start + 1)[start] % _P) for base, own in zip(BASES, self.arrays, strict=True))
+        return tuple(int(own[stop] + _P - own[start]) * pow(_INVERSES[base], start, PRIME) % PRIME for base, own in zip(BASES, self.arrays, strict=True))
 
     def equal(self, i: int, other: PrefixHashes, j: int, n: int) -> bool:
         return self.span(i, i + n) == other.span(j, j + n)
@@ -84,12 +88,23 @@ class PrefixHashes:
             low, high = (mid, high) if self.equal(i - mid, other, j - mid, mid) else (low, mid - 1)
         return low
 
+    def spans(self, start: int, stop: int) -> np.ndarray:
+        """Hashes of all spans of SPAN from start to stop, whatever their places."""
+        n, both = max(0, stop - start - SPAN + 1), []
+        for base, own in zip(BASES, self.arrays, strict=True):
+            both.append((own[start + SPAN : start + SPAN + n] + _P - own[start : start + n]) * _powers(_INVERSES[base], start + n)[start : start + n] % _P)
+        return both[0] << np.uint64(31) | both[1]
+
     def likeness(self, other: PrefixHashes) -> float:
-        longest = max(self.n, other.n)
+        longest, shortest = max(self.n, other.n), min(self.n, other.n)
         if not longest:
             return 1.0
         first = self.extension(0, other, 0)
-        return min(1.0, (first if first == longest else first + self.extension_back(self.n, other, other.n)) / longest)
+        last = min(self.extension_back(self.n, other, other.n), shortest - first)
+        own, its = self.spans(first, self.n - last), other.spans(first, other.n - last)
+        common = np.intersect1d(own, its) if len(own) and len(its) else own[:0]
+        shared = min(_covered(own, common), _covered(its, common)) if len(common) else 0
+        return (first + last + shared) / longest
 
     def step(self) -> int:
         return 1 << max(0, (-(-self.n // GRID) - 1).bit_length())
@@ -101,6 +116,12 @@ class PrefixHashes:
         return f"{self.n}:{int(mixed[0]):016x}:{grid.tobytes().hex()}"
 
 
+def _covered(spans: np.ndarray, common: np.ndarray) -> int:
+    """Code points inside those spans that are common."""
+    places = np.flatnonzero(np.isin(spans, common))
+    return int(np.minimum(np.diff(places, append=places[-1] + SPAN), SPAN).sum())
+
+
 def common_prefix(a: str, b: str) -> int:
     """Code points, as far as their grids tell, that two fingerprint strings share from the start."""
     (na, ha, ga), (nb, hb, gb) = a.split(":"), b.split(":")
@@ -147,30 +168,55 @@ def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _placer(shared) -> Callable:
-    """Twice the number of an id's range, and 1 more for the first id of a range."""
+    """Twice the number of a key's range, and 1 more for the first key of a range; keys of rows without an id come first."""
 
-    def place(ids):
-        starts = shared.value
-        at = np.searchsorted(starts, ids.to_numpy(), side="right") - 1
-        return pd.Series(2 * at + (starts[at] == ids.to_numpy()))
+    def place(known, key):
+        out, known, key = np.zeros(len(key), dtype=np.int64), known.to_numpy(), key.to_numpy()
+        for kind, (first, starts) in shared.value.items():
+            own = known == kind
+            at = np.searchsorted(starts, key[own], side="right") - 1
+            out[own] = 2 * (first + at) + (starts[at] == key[own])
+        return pd.Series(out)
 
     return F.pandas_udf(place, "long", F.PandasUDFType.SCALAR)
 
 
+def _starts(docs: DataFrame) -> dict[bool, tuple[int, np.ndarray]]:
+    """For rows without an id and for those with one: the number of their first range, and the first key of each range.
+
+    Quantiles are kept as doubles, which round large keys: those of ids count from the smallest id, if that fits a long, and
+    the smallest key from each quantile on is one that exists.
+    """
+    n, known, low, high = docs.agg(F.count("*"), F.count("doc_id"), F.min("doc_id"), F.max("doc_id")).first()
+    ranges = min(RANGES, max(1, n // RANGE_ROWS))
+    quantiles = f"cast(split('{','.join(str(k / ranges) for k in range(ranges))}', ',') AS array<double>)"
+    out: dict[bool, tuple[int, np.ndarray]] = {}
+    first = 0
+    for kind, rows in ((False, n - known), (True, known)):
+        if rows:
+            own = docs.where(F.col("doc_id").isNotNull() == kind).select((F.col("doc_id") if kind else F.xxhash64("text")).alias("key"))
+            base = low if kind and high - low < 1 << 63 else 0
+            marks = own.select((F.col("key") - base).alias("key")).agg(F.expr(f"approx_percentile(key, {quantiles}, {10 * ranges})").alias("marks")).first().marks
+            cuts = docs.sparkSession.sparkContext.broadcast(np.unique(np.array(marks[:: max(1, round(n / rows))], dtype=np.int64)) + base)
+            between = F.pandas_udf(lambda key, cuts=cuts: pd.Series(np.searchsorted(cuts.value, key.to_numpy(), side="right")), "long", F.PandasUDFType.SCALAR)
+            starts = np.sort(np.array([r.low for r in own.groupBy(between("key")).agg(F.min("key").alias("low")).collect()], dtype=np.int64))
+            out[kind] = (first, starts)
+            first += len(starts)
+    return out
+
+
 def fingerprints(docs: DataFrame) -> DataFrame:
     """(doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next) of every row."""
     spark = docs.sparkSession
     bound_batches(spark)
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("id", F.coalesce("doc_id", F.lit(-(1 << 63))))
-    n = docs.count()
-    ranges = min(RANGES, max(1, n // RANGE_ROWS))
-    marks = docs.agg(F.min("id").alias("low"), F.expr(f"approx_percentile(id, {'array(' + ', '.join(f'{k / ranges}D' for k in range(1, ranges)) + ')' if ranges > 1 else 'array(0D)'}, {10 * ranges})").alias("marks")).first()
-    starts = np.unique(np.array([marks.low, *marks.marks] if n else [0], dtype=np.int64))
-    place, last = _placer(spark.sparkContext.broadcast(starts)), len(starts) - 1
-    rows = docs.withColumn("place", place("id")).withColumn("at", F.expr("place div 2"))
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    docs = docs.withColumn("known", F.col("doc_id").isNotNull()).withColumn("key", F.when(F.col("known"), F.col("doc_id")).otherwise(F.xxhash64("text")))
+    starts = _starts(docs)
+    place, last = _placer(spark.sparkContext.broadcast(starts)), max((first + len(own) for first, own in starts.values()), default=1) - 1
+    rows = docs.withColumn("place", place("known", "key")).withColumn("at", F.expr("place div 2"))
     before = F.when(F.col("at") == 0, last).otherwise(F.col("at") - 1)
-    rows = rows.select("doc_id", "text", "id", F.posexplode(F.when(F.col("place") % 2 == 1, F.array("at", before)).otherwise(F.array("at"))).alias("guest", "range"))
-    rows = rows.withColumn("tie", F.xxhash64("text")).repartition("range").sortWithinPartitions("range", "guest", "id", "tie")
+    rows = rows.select("doc_id", "text", F.posexplode(F.when(F.col("place") % 2 == 1, F.array("at", before)).otherwise(F.array("at"))).alias("guest", "range"))
+    rows = rows.withColumn("tie", F.xxhash64("text")).repartition("range").sortWithinPartitions("range", "guest", "doc_id", "tie")
     return rows.select("range", "guest", "doc_id", "text").mapInArrow(_neighbours, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
 
 

@@ -296,7 +296,14 @@ def likeness(a, b):
     n = min(len(a), len(b))
     first = next((i for i in range(n) if a[i] != b[i]), n)
     last = next((i for i in range(n) if a[-1 - i] != b[-1 - i]), n)
-    return min(1.0, (first + last) / max(len(a), len(b)))
+    last = min(last, n - first)
+    x, y = a[first : len(a) - last], b[first : len(b) - last]
+
+    def covered(x, y, w=fingerprints.SPAN):
+        its = {y[k : k + w] for k in range(len(y) - w + 1)}
+        return len({k + i for k in range(len(x) - w + 1) if x[k : k + w] in its for i in range(w)})
+
+    return (first + last + min(covered(x, y), covered(y, x))) / max(len(a), len(b))
 
 
 def test_fingerprints(spark, monkeypatch):
@@ -319,6 +326,29 @@ def test_fingerprints_of_odd_rows(odd, none):
     assert fingerprints.fingerprints(odd.where("doc_id = 4")).first().near_next == 1.0
 
 
+def test_several_edits_and_moves_stay_alike():
+    words = [f"w{k * 7919 % 1000}" for k in range(300)]
+    plain, changed = " ".join(words), " ".join("new" if k in (30, 150, 270) else w for k, w in enumerate(words))
+    moved, repeated = " ".join(words[150:] + words[:150]), " ".join(words[:20] * 15)
+    prints = {t: fingerprints.PrefixHashes.of(fingerprints._codes(t)) for t in (plain, changed, moved, repeated)}
+    for a in prints:
+        for b in prints:
+            assert prints[a].likeness(prints[b]) == pytest.approx(likeness(a, b))
+    assert prints[plain].likeness(prints[changed]) > 0.98 and prints[plain].likeness(prints[moved]) > 0.98
+    assert prints[plain].likeness(prints[repeated]) < 0.1
+
+
+def test_fingerprints_of_rows_without_ids(spark, monkeypatch):
+    """They follow each other by the hash of their texts, in many ranges, before those with ids."""
+    monkeypatch.setattr(fingerprints, "RANGE_ROWS", 10)
+    rows = spark.createDataFrame([(None if k % 3 else (1 << 60) + k, f"text {k} " + "x" * (k % 50)) for k in range(300)], "doc_id long, text string").repartition(4)
+    starts = fingerprints._starts(rows)
+    assert 15 <= len(starts[False][1]) <= 21 and 8 <= len(starts[True][1]) <= 11
+    own = [(r.doc_id, r.text) for r in rows.orderBy(F.col("doc_id").asc_nulls_first(), F.xxhash64("text")).collect()]
+    found = {r.edited_sha256: r.doc_id for r in fingerprints.fingerprints(rows).collect()}
+    assert found == {hashlib.sha256(edited(a, b).encode()).hexdigest(): k for (k, a), (_, b) in zip(own, own[1:] + own[:1])}
+
+
 def test_span_equality_and_extensions():
     x, y = (fingerprints.PrefixHashes.of(fingerprints._codes(t)) for t in ("abcabcd", "zabcd"))
     assert x.equal(0, x, 3, 3) and not x.equal(0, x, 3, 4) and x.equal(3, y, 1, 4)
