@@ -52,6 +52,7 @@ class PrefixHashes:
 
     def __init__(self, arrays: list[np.ndarray]):
         self.arrays, self.n = arrays, len(arrays[0]) - 1
+        self.all_spans: np.ndarray | None = None
 
     @staticmethod
     def of(codes: np.ndarray) -> PrefixHashes:
@@ -65,12 +66,15 @@ class PrefixHashes:
             out.append(np.concatenate([own[: keep + 1], (own[keep] + np.cumsum(terms, dtype=np.uint64)) % _P]))
         return PrefixHashes(out)
 
-    def span(self, start: int, stop: int) -> tuple[int, int]:
-        """Hashes of the span, whatever its place."""
-        return tuple(int(own[stop] + _P - own[start]) * pow(_INVERSES[base], start, PRIME) % PRIME for base, own in zip(BASES, self.arrays, strict=True))
-
     def equal(self, i: int, other: PrefixHashes, j: int, n: int) -> bool:
-        return self.span(i, i + n) == other.span(j, j + n)
+        """Whether the spans of n from i and j on are equal; the one that stands earlier is shifted to the other's place."""
+        for base, own, its in zip(BASES, self.arrays, other.arrays, strict=True):
+            a, b = int(own[i + n]) - int(own[i]), int(its[j + n]) - int(its[j])
+            if i != j:
+                a, b = (a * pow(base, j - i, PRIME), b) if i < j else (a, b * pow(base, i - j, PRIME))
+            if (a - b) % PRIME:
+                return False
+        return True
 
     def extension(self, i: int, other: PrefixHashes, j: int) -> int:
         """Longest n with equal spans of n from i and j on."""
@@ -91,6 +95,11 @@ class PrefixHashes:
     def spans(self, start: int, stop: int) -> np.ndarray:
         """Hashes of all spans of SPAN from start to stop, whatever their places."""
         n, both = max(0, stop - start - SPAN + 1), []
+        if self.all_spans is not None:
+            return self.all_spans[start : start + n]
+        if 2 * n > self.n and n <= self.n - SPAN:
+            self.all_spans = self.spans(0, self.n)
+            return self.all_spans[start : start + n]
         for base, own in zip(BASES, self.arrays, strict=True):
             both.append((own[start + SPAN : start + SPAN + n] + _P - own[start : start + n]) * _powers(_INVERSES[base], start + n)[start : start + n] % _P)
         return both[0] << np.uint64(31) | both[1]
@@ -101,9 +110,7 @@ class PrefixHashes:
             return 1.0
         first = self.extension(0, other, 0)
         last = min(self.extension_back(self.n, other, other.n), shortest - first)
-        own, its = self.spans(first, self.n - last), other.spans(first, other.n - last)
-        common = np.intersect1d(own, its) if len(own) and len(its) else own[:0]
-        shared = min(_covered(own, common), _covered(its, common)) if len(common) else 0
+        shared = _shared(self.spans(first, self.n - last), other.spans(first, other.n - last)) if shortest - first - last >= SPAN else 0
         return (first + last + shared) / longest
 
     def step(self) -> int:
@@ -116,10 +123,20 @@ class PrefixHashes:
         return f"{self.n}:{int(mixed[0]):016x}:{grid.tobytes().hex()}"
 
 
-def _covered(spans: np.ndarray, common: np.ndarray) -> int:
-    """Code points inside those spans that are common."""
-    places = np.flatnonzero(np.isin(spans, common))
-    return int(np.minimum(np.diff(places, append=places[-1] + SPAN), SPAN).sum())
+def _shared(own: np.ndarray, its: np.ndarray) -> int:
+    """Code points inside the spans that both have, in the one that has fewer of them."""
+    both = np.sort(np.concatenate([own, its]))
+    twice = np.unique(both[1:][both[1:] == both[:-1]])
+    if not len(twice):
+        return 0
+    hits = np.isin(own, twice), np.isin(its, twice)
+    common = np.intersect1d(own[hits[0]], its[hits[1]])
+    return min(_covered(np.flatnonzero(hit)[np.isin(spans[hit], common)]) for spans, hit in zip((own, its), hits, strict=True))
+
+
+def _covered(places: np.ndarray) -> int:
+    """Code points inside the spans from these places on."""
+    return int(np.minimum(np.diff(places, append=places[-1] + SPAN), SPAN).sum()) if len(places) else 0
 
 
 def common_prefix(a: str, b: str) -> int:
