@@ -30,6 +30,7 @@ from tallygrid.llm.common import read
 COVER, POSTED = 0.6, 3
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+OTHERS = "".join(c for c in map(chr, range(128)) if not c.isalnum())
 #: Phrases of the base and their labels.
 BASE = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
 #: Label: words of the notice, mandatory phrase in it.
@@ -51,7 +52,8 @@ VOCABULARY = sorted({w for t, _ in TEMPLATES.values() for w in t.split()} | {w f
 
 
 def split_words(text: str = "text") -> Column:
-    return F.regexp_extract_all(F.translate(F.coalesce(F.col(text), F.lit("")), UPPER, LOWER), F.lit(WORD), F.lit(0))
+    """WORDs of a text, A-Z lowered: every ASCII character outside them becomes a blank, and blanks separate."""
+    return F.array_remove(F.split(F.translate(F.coalesce(F.col(text), F.lit("")), UPPER + OTHERS, LOWER + " " * len(OTHERS)), " ", -1), "")
 
 
 def idf(docs: DataFrame) -> dict[str, float]:

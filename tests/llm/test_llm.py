@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import re
 import zlib
 from collections import Counter, defaultdict
 
@@ -248,6 +249,13 @@ def test_labelled_sample_is_bounded(spark):
 # 5 licences
 
 
+def test_words_of_licence_scans(spark):
+    rows = ["".join(map(chr, range(0x180))), "a\x00b\x7fC-D \u00e9\u3000\u00c0K  z$1\\", " - ", "", None, "one", "\U0001f642 GPL\u2028v3\n"]
+    found = spark.createDataFrame([(k, t) for k, t in enumerate(rows)], "k int, text string").select("k", license_scan.split_words().alias("w")).collect()
+    lowered = str.maketrans(license_scan.UPPER, license_scan.LOWER)
+    assert {r.k: r.w for r in found} == {k: re.findall(license_scan.WORD, (t or "").translate(lowered)) for k, t in enumerate(rows)}
+
+
 def test_license_scan(spark, odd, none):
     rows = [(1, "All rights RESERVED. all rights reserved"), (2, "Licensed under the Apache License, Version 2.0."), (3, "cc-by cc"), (4, "License, Version 2.0 apache"), (5, None), (6, "under the Apache License, Version 2.0")]
     by = {r.doc_id: r for r in license_scan.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
