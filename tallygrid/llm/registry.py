@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallygrid.llm import decontaminate, fingerprints, license_scan, lm_scoring, mixing, near_dedup, quality, sharding, token_counts, toxicity
+from tallygrid.llm import chat_format, decontaminate, fingerprints, lexical_search, license_scan, lm_scoring, mixing, near_dedup, prefix_trie, quality, sharding, token_counts, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,9 +21,20 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         fingerprints.op8_fingerprints,
         lm_scoring.op9_lm_scoring,
         near_dedup.op10_near_dedup,
+        chat_format.op11_chat_format,
+        lexical_search.op12_lexical_search,
+        prefix_trie.op13_prefix_trie,
     )
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_sharding": sharding.ORACLE, "op3_decontaminate": decontaminate.ORACLE, "op5_license_scan": license_scan.ORACLE, "op6_mixing": mixing.ORACLE}
+    return {
+        "op1_sharding": sharding.ORACLE,
+        "op3_decontaminate": decontaminate.ORACLE,
+        "op5_license_scan": license_scan.ORACLE,
+        "op6_mixing": mixing.ORACLE,
+        "op11_chat_format": chat_format.ORACLE,
+        "op12_lexical_search": lexical_search.ORACLE,
+        "op13_prefix_trie": prefix_trie.ORACLE,
+    }
