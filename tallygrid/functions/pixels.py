@@ -80,14 +80,23 @@ def window(width: int, height: int, crop: tuple[int, int, int, int] | None = Non
     return (F.col("x") >= left) & (F.col("x") < right) & (F.col("y") >= top) & (F.col("y") < bottom)
 
 
-def scaled_box(box: list[Column], scale_x: Column, scale_y: Column, width: int, height: int, inset: int = 0) -> list[Column]:
-    """M5: a box on another canvas: half-even rounding, clamped; moved in by inset unless that would turn it over."""
-    edge = [F.bround(v * s).cast("int") for v, s in zip(box, (scale_x, scale_y, scale_x, scale_y), strict=True)]
-    clamp = lambda v, top: F.least(F.greatest(v, F.lit(0)), F.lit(top))
-    edge = [clamp(v, t) for v, t in zip(edge, (width, height, width, height), strict=True)]
-    inner = [edge[0] + inset, edge[1] + inset, edge[2] - inset, edge[3] - inset]
-    fits = (inner[0] < inner[2]) & (inner[1] < inner[3])
-    return [F.when(fits, i).otherwise(e) for i, e in zip(inner, edge, strict=True)]
+def scaled_box(box: list[Column], source: tuple[int, int], target: tuple[int, int], margin: float = 4) -> list[Column]:
+    """M5: (left, top, right, bottom) of a box on another canvas.
+
+    The margin goes in on the source canvas; an axis on which nothing would be left keeps its own edges. Scaled edges are
+    rounded half to even; left and top stay below the target's size, right and bottom are one further at least.
+    """
+    if min(*source, *target) <= 0:
+        raise ValueError("canvas sizes must be positive")
+    out = {}
+    for axis, (low, high) in enumerate(((box[0], box[2]), (box[1], box[3]))):
+        inner_low, inner_high = F.greatest(F.lit(0.0), low + margin), F.least(F.lit(float(source[axis])), high - margin)
+        room = inner_high > inner_low if margin > 0 else F.lit(False)
+        first = F.bround(F.when(room, inner_low).otherwise(low) * (target[axis] / source[axis])).cast("int")
+        last = F.bround(F.when(room, inner_high).otherwise(high) * (target[axis] / source[axis])).cast("int")
+        first = F.greatest(F.lit(0), F.least(F.lit(target[axis] - 1), first))
+        out[axis] = first, F.greatest(first + 1, F.least(F.lit(target[axis]), last))
+    return [out[0][0], out[1][0], out[0][1], out[1][1]]
 
 
 def nearer(colour: list[Column], base: list[Column], white: tuple[int, int, int] = (255, 255, 255)) -> Column:
@@ -113,3 +122,19 @@ def cell_id(row: Column, column: Column, columns: int) -> Column:
 
 def cell_place(cell: Column, columns: int) -> tuple[Column, Column]:
     return F.floor(cell / columns).cast("long"), cell % columns
+
+
+def extent(record: str, fallback: tuple[int, int] | None = None) -> tuple[Column, Column]:
+    """Width and height of a record's canvas: canvas_dimensions (a pair or an object), canvas_size, or the largest
+    right and bottom of cell_bboxes, each only if positive; rounded half to even. Without them the fallback, else an error."""
+    at = lambda path: F.get_json_object(record, path).try_cast("double")
+    whole = lambda v: F.bround(v).cast("long")
+    pair = F.struct(whole(at("$.canvas_dimensions[0]")).alias("w"), whole(at("$.canvas_dimensions[1]")).alias("h"))
+    named = F.struct(whole(at("$.canvas_dimensions.width")).alias("w"), whole(at("$.canvas_dimensions.height")).alias("h"))
+    size = F.struct(whole(at("$.canvas_size")).alias("w"), whole(at("$.canvas_size")).alias("h"))
+    boxes = F.filter(F.flatten(F.from_json(F.get_json_object(record, "$.cell_bboxes"), "array<array<array<double>>>")), lambda b: F.size(b) >= 4)
+    most = F.struct(*(whole(F.array_max(F.transform(boxes, lambda b: b[k]))).alias(n) for k, n in ((2, "w"), (3, "h"))))  # noqa: B023
+    fits = lambda s: F.when((s["w"] > 0) & (s["h"] > 0), s)
+    last = F.raise_error(F.lit("no canvas size in the record")).cast("struct<w:bigint,h:bigint>") if fallback is None else F.struct(F.lit(fallback[0]).cast("long").alias("w"), F.lit(fallback[1]).cast("long").alias("h"))
+    found = F.coalesce(fits(pair), fits(named), fits(size), fits(most), last)
+    return found["w"], found["h"]

@@ -268,9 +268,15 @@ def first_id(*ids: Text) -> Column:
 
 
 def solution_text(group: Text, path: Text, option: Text) -> Column:
-    """Maze paths as a JSON list with ', ', options of eyeballing tasks in upper case, others as they are."""
+    """Maze paths as a JSON list with ', ', without one [], options of eyeballing tasks in upper case, others as they are; stripped."""
     listed = F.concat(F.lit("["), F.array_join(F.transform(col(path), lambda c: c.cast("string")), ", "), F.lit("]"))
-    return F.when(col(group) == "maze", listed).when(col(group) == "eyeballing", F.upper(blank(option))).otherwise(blank(option))
+    listed, chosen = F.coalesce(listed, F.lit("[]")), strip(blank(option))
+    return F.when(col(group) == "maze", listed).when(col(group) == "eyeballing", F.upper(chosen)).otherwise(chosen)
+
+
+def answer_text(given: Text, group: Text, path: Text, option: Text) -> Column:
+    """What a sample answers: its own text, stripped, and without one the solution."""
+    return F.coalesce(present(given), solution_text(group, path, option))
 
 
 def option(x: Text) -> Column:

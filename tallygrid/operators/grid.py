@@ -69,6 +69,25 @@ def mirrored(cells: DataFrame, half: int, white: str = "white") -> DataFrame:
     return cells.where(F.col("col") >= half).join(left, ["grid_id", "row", "col"], "left").withColumn("expected", F.coalesce("_left", F.lit(white))).drop("_left")
 
 
+def tile_similarity(reference: DataFrame, candidate: DataFrame, key: list[str]) -> DataFrame:
+    """(key, similarity) of each piece: 1 less the mean difference of the colours, each from 0 to 1; one row a pixel on both sides."""
+    other = candidate.select(*key, "y", "x", *(F.col(c).alias(f"_{c}") for c in "rgb"))
+    gap = sum((F.abs(F.col(c) - F.col(f"_{c}")) for c in "rgb"), F.lit(0)) / (3 * 255)
+    return reference.join(other, [*key, "y", "x"]).groupBy(*key).agg(F.least(F.lit(1.0), F.greatest(F.lit(0.0), 1 - F.avg(gap))).alias("similarity"))
+
+
+def puzzle_accuracy(pieces: DataFrame, puzzle: str, least: float = 0.9) -> DataFrame:
+    """(puzzle, correct, total, accuracy): pieces that are alike enough, of all pieces of a puzzle."""
+    right = F.count_if(F.col("similarity") >= least)
+    return pieces.groupBy(puzzle).agg(right.alias("correct"), F.count("*").alias("total"), (right / F.count("*")).alias("accuracy"))
+
+
+def clean_border(pixels: DataFrame, key: list[str], width: int, height: int, least: int = 250) -> DataFrame:
+    """(key, clean): whether every pixel on the edge of the image is near white."""
+    edge = F.col("x").isin(0, width - 1) | F.col("y").isin(0, height - 1)
+    return pixels.where(edge).groupBy(*key).agg(F.bool_and(F.least(*"rgb") >= least).alias("clean"))
+
+
 def trim_box(pixels: DataFrame, keys: list[str], tolerance: int) -> DataFrame:
     """Box of pixels that differ from the corner pixel (least y, then x) by more than the tolerance; all pixels if none do."""
     corner = pixels.groupBy(*keys).agg(F.min_by(F.struct(*"rgb"), F.struct("y", "x")).alias("_c"))
@@ -102,19 +121,26 @@ def connected(pixels: DataFrame, key: list[str], seeds: DataFrame) -> DataFrame:
 
 
 def region_boxes(found: DataFrame, key: list[str], padding: int, width: int, height: int) -> DataFrame:
-    """Padded box of each region, clamped to the image."""
+    """Padded box of each region, clamped to the image; right and bottom are one further than the last pixel."""
     out = found.groupBy(*key, "region").agg(F.min("x0").alias("left"), F.min("y").alias("top"), F.max("x1").alias("right"), F.max("y").alias("bottom"))
     return out.withColumns({
         "left": F.greatest(F.col("left") - padding, F.lit(0)), "top": F.greatest(F.col("top") - padding, F.lit(0)),
-        "right": F.least(F.col("right") + padding, F.lit(width - 1)), "bottom": F.least(F.col("bottom") + padding, F.lit(height - 1)),
+        "right": F.least(F.col("right") + padding + 1, F.lit(width)), "bottom": F.least(F.col("bottom") + padding + 1, F.lit(height)),
     })
 
 
-def nearest_masked(pixels: DataFrame, key: list[str], points: DataFrame, radius: int) -> DataFrame:
-    """Masked pixel nearest to (px, py) by square rings; in a ring the least y, then x; none beyond the radius."""
-    ring = F.greatest(F.abs(F.col("x") - F.col("px")), F.abs(F.col("y") - F.col("py")))
-    near = pixels.join(points, key).where((F.abs(F.col("x") - F.col("px")) <= radius) & (F.abs(F.col("y") - F.col("py")) <= radius))
-    return near.groupBy(*key).agg(F.min(F.struct(ring.alias("ring"), "y", "x")).alias("_n")).select(*key, "_n.ring", "_n.y", "_n.x")
+def nearest_masked(pixels: DataFrame, key: list[str], points: DataFrame, radius: int, width: int, height: int) -> DataFrame:
+    """Masked pixel nearest to (px, py) by square rings; none beyond the radius.
+
+    The point is rounded half to even and moved onto the image. In a ring its left and right columns, as far as they are on
+    the image, are looked down first, side by side; then its top and bottom rows, column by column.
+    """
+    place = lambda c, size: F.least(F.greatest(F.bround(c).cast("long"), F.lit(0)), F.lit(size - 1))
+    own = points.select(*key, place("px", width).alias("_cx"), place("py", height).alias("_cy"))
+    near = pixels.join(own, key).withColumn("ring", F.greatest(F.abs(F.col("x") - F.col("_cx")), F.abs(F.col("y") - F.col("_cy")))).where(F.col("ring") <= radius)
+    side = (F.col("x") == F.greatest(F.lit(0), F.col("_cx") - F.col("ring"))) | (F.col("x") == F.least(F.lit(width - 1), F.col("_cx") + F.col("ring")))
+    order = F.struct("ring", (~side).alias("late"), F.when(side, F.col("y")).otherwise(F.col("x")).alias("first"), F.when(side, F.col("x")).otherwise(F.col("y")).alias("then"), "y", "x")
+    return near.groupBy(*key).agg(F.min(order).alias("_n")).select(*key, "_n.ring", "_n.y", "_n.x")
 
 
 def shortest_paths(cells: DataFrame, ends: DataFrame) -> DataFrame:
@@ -149,12 +175,14 @@ def shortest_paths(cells: DataFrame, ends: DataFrame) -> DataFrame:
     return ends.select("grid_id").join(found.select("grid_id", "steps", "path"), "grid_id", "left")
 
 
-def stacking_order(pixels: DataFrame, key: list[str], palette: Palette, near: float = 48.0, light: int = 245, dark: int = 10) -> DataFrame:
+def stacking_order(pixels: DataFrame, key: list[str], palette: Palette, height: int, near: float = 48.0, light: int = 240, dark: int = 15) -> DataFrame:
     """(key, colours): colours by the first row, from the top, whose mean is within `near` of one not used yet.
 
-    A round for each colour at most, over all images: rows below the last hit, near-white, near-black and pixels of used colours left out.
+    Of the image's rows every height // (6 * colours)-th is looked at. A round for each colour at most, over all images:
+    rows below the last hit; near-white, near-black and pixels of used colours are left out.
     """
-    own = pixels.where(~((F.least(*"rgb") >= light) | (F.greatest(*"rgb") <= dark)))
+    step = max(1, height // (len(palette) * 6))
+    own = pixels.where(~((F.least(*"rgb") >= light) | (F.greatest(*"rgb") <= dark)) & (F.col("y") % step == 0))
     state = cut(pixels.select(*key).distinct().withColumns({"_y": F.lit(-1).cast("long"), "colours": F.array().cast("array<string>")}))
     of = lambda rgb, k: euclidean(rgb, [F.lit(v) for v in palette[k][1]])
     for _ in palette:

@@ -33,12 +33,12 @@ def accuracy(correct: Column) -> list[Column]:
 
 
 def judged_metrics(judged: DataFrame) -> DataFrame:
-    """A4: (metric, correct, total, accuracy) of last frame, audio, both and any, over completed rows; no rows, no metrics."""
-    yes = {k: F.when(F.col(c) != "error", F.col(c) == "yes") for k, c in (("last_frame", "last_frame_judgment"), ("audio", "audio_judgment"))}
-    own = judged.where("status = 'completed'").select(*(v.alias(k) for k, v in yes.items()))
-    known = F.col("last_frame").isNotNull() & F.col("audio").isNotNull()
-    own = own.withColumns({"both": F.when(known, F.col("last_frame") & F.col("audio")), "any": F.when(known, F.col("last_frame") | F.col("audio"))})
-    long = own.unpivot([], ["last_frame", "audio", "both", "any"], "metric", "right").where("right is not null")
+    """A4: (metric, correct, total, accuracy) of last frame, audio, both and any, over completed rows; no rows, no metrics.
+
+    Only 'yes' is correct: an error, or no judgment at all, counts as wrong."""
+    own = judged.where("status = 'completed'").select(*(F.coalesce(F.col(f"{k}_judgment") == "yes", F.lit(False)).alias(k) for k in ("last_frame", "audio")))
+    own = own.withColumns({"both": F.col("last_frame") & F.col("audio"), "any": F.col("last_frame") | F.col("audio")})
+    long = own.unpivot([], ["last_frame", "audio", "both", "any"], "metric", "right")
     return long.groupBy("metric").agg(F.count_if("right").alias("correct"), F.count("*").alias("total"), F.try_divide(F.count_if("right").cast("double"), F.count("*")).alias("accuracy"))
 
 

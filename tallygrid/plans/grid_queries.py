@@ -51,13 +51,17 @@ def m4_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fixture(spark, sf_dir, "pixels").groupBy("image_id").agg(F.count_if(P.window(48, 48, size=(24, 16))).alias("centred"), F.count_if(P.window(48, 48, crop=(3, 0, 9, 40))).alias("cropped"))
 
 
-@query("""SELECT l_orderkey, l_linenumber, CASE WHEN ok THEN x0 + 2 ELSE x0 END AS x0, CASE WHEN ok THEN x1 - 2 ELSE x1 END AS x1 FROM (SELECT *, x0 + 2 < x1 - 2 AND y0 + 2 < y1 - 2 AS ok FROM (SELECT l_orderkey, l_linenumber,
-  CAST(least(greatest(round_even(l_quantity * 1.25, 0), 0), 60) AS INTEGER) AS x0, CAST(least(greatest(round_even((l_quantity + l_linenumber) * 1.25, 0), 0), 60) AS INTEGER) AS x1,
-  CAST(least(greatest(round_even(l_quantity * 1.5, 0), 0), 70) AS INTEGER) AS y0, CAST(least(greatest(round_even((l_quantity + 6) * 1.5, 0), 0), 70) AS INTEGER) AS y1 FROM lineitem))""")
+@query("""WITH b AS (SELECT l_orderkey, l_linenumber, l_quantity AS l, l_quantity + l_linenumber AS r, CAST(l_partkey % 58 AS DOUBLE) AS t, CAST(l_partkey % 58 + l_suppkey % 9 AS DOUBLE) AS d FROM lineitem),
+m AS (SELECT *, greatest(0, l + 2) AS il, least(56, r - 2) AS ir, greatest(0, t + 2) AS it, least(60, d - 2) AS ib FROM b),
+s AS (SELECT l_orderkey, l_linenumber, round_even((CASE WHEN ir > il THEN il ELSE l END) * 1.25, 0) AS l, round_even((CASE WHEN ir > il THEN ir ELSE r END) * 1.25, 0) AS r,
+  round_even((CASE WHEN ib > it THEN it ELSE t END) * 1.5, 0) AS t, round_even((CASE WHEN ib > it THEN ib ELSE d END) * 1.5, 0) AS d FROM m),
+c AS (SELECT l_orderkey, l_linenumber, greatest(0, least(69, l)) AS x0, greatest(0, least(89, t)) AS y0, r, d FROM s)
+SELECT l_orderkey, l_linenumber, CAST(x0 AS INTEGER) AS x0, CAST(y0 AS INTEGER) AS y0, CAST(greatest(x0 + 1, least(70, r)) AS INTEGER) AS x1, CAST(greatest(y0 + 1, least(90, d)) AS INTEGER) AS y1 FROM c""")
 def m5_scaled_box(spark: SparkSession, sf_dir: str) -> DataFrame:
-    q = F.col("l_quantity")
-    box = P.scaled_box([q, q, q + F.col("l_linenumber"), q + 6], F.lit(1.25), F.lit(1.5), 60, 70, 2)
-    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", box[0].alias("x0"), box[2].alias("x1"))
+    """Boxes of 1 to 7 by 0 to 8 pixels, some beyond the canvas, on one of other proportions."""
+    q, y = F.col("l_quantity"), (F.col("l_partkey") % 58).cast("double")
+    box = P.scaled_box([q, y, q + F.col("l_linenumber"), y + F.col("l_suppkey") % 9], (56, 60), (70, 90), 2)
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", *(v.alias(k) for k, v in zip(("x0", "y0", "x1", "y1"), box, strict=True)))
 
 
 @query(f"SELECT image_id, frame_idx, x, y, CASE WHEN sqrt((r - 30) ** 2 + (g - 60) ** 2 + (b - 90) ** 2) < sqrt((r - 255) ** 2 + (g - 255) ** 2 + (b - 255) ** 2) THEN 'mono' ELSE 'white' END AS label FROM {PX}")
@@ -110,22 +114,37 @@ def a16_valid_grids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grid.valid_grids(cells.withColumn("value", value).drop("k"), 4)
 
 
-@query("""SELECT l_suppkey, round(1 - least(1, greatest(0, avg(abs(l_discount - l_tax) * 10))), 9) AS similarity, 1 - least(1, greatest(0, avg(abs(l_discount - l_tax) * 10))) >= 0.6 AS right FROM lineitem GROUP BY 1""")
+@query(f"""WITH p AS (SELECT *, y // 12 * 4 + x // 12 AS piece FROM {PX} WHERE frame_idx = 1),
+t AS (SELECT image_id, piece, 1 - avg((least(255, r + (image_id * 7 + piece * 13) % 200) - r) / 765) AS s FROM p GROUP BY 1, 2)
+SELECT image_id AS puzzle_id, count(*) FILTER (s >= 0.9) AS correct, count(*) AS total, round(count(*) FILTER (s >= 0.9) / count(*), 9) AS accuracy, round(avg(s), 9) AS similarity FROM t GROUP BY 1""")
 def a17_tile_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    gap = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.avg(F.abs(F.col("l_discount") - F.col("l_tax")) * 10)))
-    return table(spark, sf_dir, "lineitem").groupBy("l_suppkey").agg((1 - gap).alias("s")).select("l_suppkey", F.round("s", 9).alias("similarity"), (F.col("s") >= 0.6).alias("right"))
+    """Images in sixteen pieces, each of them redder than it was, some by too much."""
+    own = fixture(spark, sf_dir, "pixels").where("frame_idx = 1").withColumnRenamed("image_id", "puzzle_id").withColumn("piece", F.expr("y div 12 * 4 + x div 12"))
+    redder = own.withColumn("r", F.expr("least(255, r + (puzzle_id * 7 + piece * 13) % 200)"))
+    pieces = grid.tile_similarity(own, redder, ["puzzle_id", "piece"])
+    out = grid.puzzle_accuracy(pieces, "puzzle_id")
+    return out.join(pieces.groupBy("puzzle_id").agg(F.round(F.avg("similarity"), 9).alias("similarity")), "puzzle_id").withColumn("accuracy", F.round("accuracy", 9))
 
 
 @query(f"SELECT image_id, bool_and(least(r, g, b) >= 250) AS clean FROM {PX} WHERE x IN (0, 47) OR y IN (0, 47) GROUP BY 1")
 def a19_border(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fixture(spark, sf_dir, "pixels").where("x in (0, 47) or y in (0, 47)").groupBy("image_id").agg(F.bool_and(F.least(*"rgb") >= 250).alias("clean"))
+    return grid.clean_border(fixture(spark, sf_dir, "pixels"), ["image_id"], 48, 48)
 
 
-@query("SELECT vec_id, CAST(CASE vec_id % 4 WHEN 0 THEN vec_id % 50 WHEN 1 THEN vec_id % 60 WHEN 2 THEN greatest(vec_id % 9, 7) ELSE 100 END AS BIGINT) AS width FROM embeddings")
+EXTENT = "vec_id % 50 - 5 AS n, vec_id % 9 AS k, vec_id % 6 AS m FROM embeddings"
+
+
+@query(f"""WITH e AS (SELECT vec_id, {EXTENT}), r AS (SELECT *, greatest(7, k) AS bx, greatest(3, 11 - k) AS by_ FROM e)
+SELECT vec_id, CAST(CASE WHEN m = 0 AND n > 0 THEN n WHEN m = 5 THEN round_even(n / 2 + 6.5, 0) WHEN m IN (1, 2) AND n > 0 THEN n WHEN m IN (2, 3) THEN bx ELSE 100 END AS BIGINT) AS width,
+  CAST(CASE WHEN m = 0 AND n > 0 THEN 9 WHEN m = 5 THEN 5 WHEN m IN (1, 2) AND n > 0 THEN n WHEN m IN (2, 3) THEN by_ ELSE 90 END AS BIGINT) AS height FROM r""")
 def a21_extent(spark: SparkSession, sf_dir: str) -> DataFrame:
-    own = table(spark, sf_dir, "embeddings").selectExpr("vec_id", "if(vec_id % 4 = 0, array(vec_id % 50, 1L), null) as dims", "if(vec_id % 4 = 1, array(vec_id % 60, 2L), null) as size", "if(vec_id % 4 = 2, array(array(array(0L, 0L, 7L, 3L), array(1L, 1L, vec_id % 9, 2L))), null) as boxes")
-    right = F.array_max(F.transform(F.flatten("boxes"), lambda b: b[2]))
-    return own.select("vec_id", F.coalesce(F.get("dims", 0), F.get("size", 0), right, F.lit(100).cast("long")).alias("width"))
+    """Records with a pair of dimensions (a list or an object), one size, boxes, none of them, or sizes that aren't positive."""
+    own = table(spark, sf_dir, "embeddings").selectExpr("vec_id", *EXTENT.removesuffix(" FROM embeddings").split(", "))
+    pair = """case m when 0 then concat('[', n, ', "9"]') when 5 then concat('{"width": ', n / 2 + 6.5D, ', "height": 5}') else 'null' end"""
+    boxes = "if(m in (2, 3), concat('[[[0, 0, 7, 3], [1, 1, ', k, ', ', 11 - k, '], [9]]]'), 'null')"
+    record = own.selectExpr("vec_id", f"""concat('{{"canvas_dimensions": ', {pair}, ', "canvas_size": ', if(m in (1, 2), string(n), 'null'), ', "cell_bboxes": ', {boxes}, '}}') as record""")
+    width, height = P.extent("record", (100, 90))
+    return record.select("vec_id", width.alias("width"), height.alias("height"))
 
 
 @query(f"""SELECT image_id, frame_idx, coalesce(min(x) FILTER (d > 90), min(x)) AS left, coalesce(min(y) FILTER (d > 90), min(y)) AS top, coalesce(max(x) FILTER (d > 90), max(x)) AS right, coalesce(max(y) FILTER (d > 90), max(y)) AS bottom
@@ -265,21 +284,26 @@ def g1_connected(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def bright_boxes(pixels: DataFrame) -> DataFrame:
-    own = pixels.where(f"{BRIGHT} and frame_idx = 1")
-    return grid.region_boxes(grid.regions(own, ["image_id"]), ["image_id"], 2, 48, 48).drop("region")
+    key = ["image_id", "frame_idx"]
+    return grid.region_boxes(grid.regions(pixels.where(BRIGHT), key), key, 2, 48, 48).drop("region")
 
 
 @query()
 def a18_region_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A18 over all images, for which recursive SQL is too slow."""
+    """A18 over all frames of all images, for which recursive SQL is too slow."""
     return bright_boxes(fixture(spark, sf_dir, "pixels"))
 
 
-@query(f"SELECT image_id, k // 10000 AS ring, k // 100 % 100 AS y, k % 100 AS x FROM (SELECT image_id, min(greatest(abs(x - 24), abs(y - 24)) * 10000 + y * 100 + x) AS k FROM {PX} WHERE {BRIGHT} AND abs(x - 24) <= 9 AND abs(y - 24) <= 9 GROUP BY 1)")
+@query(f"""WITH p AS (SELECT image_id, image_id * 7 % 60 - 6 + 0.5 AS px, image_id * 11 % 56 - 4 + 0.5 AS py FROM (SELECT DISTINCT image_id FROM {PX})),
+c AS (SELECT image_id, least(47, greatest(0, CAST(round_even(px, 0) AS BIGINT))) AS cx, least(47, greatest(0, CAST(round_even(py, 0) AS BIGINT))) AS cy FROM p),
+n AS (SELECT DISTINCT image_id, y, x, cx, cy, greatest(abs(x - cx), abs(y - cy)) AS ring FROM {PX} JOIN c USING (image_id) WHERE {BRIGHT}),
+o AS (SELECT *, x = greatest(0, cx - ring) OR x = least(47, cx + ring) AS side FROM n WHERE ring <= 9)
+SELECT image_id, ring, y, x FROM o QUALIFY row_number() OVER (PARTITION BY image_id ORDER BY ring, side DESC, CASE WHEN side THEN y ELSE x END, CASE WHEN side THEN x ELSE y END) = 1""")
 def g2_nearest_masked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """From a point of each image, some of them off the image."""
     own = fixture(spark, sf_dir, "pixels")
-    points = own.select("image_id").distinct().withColumns({"px": F.lit(24).cast("long"), "py": F.lit(24).cast("long")})
-    return grid.nearest_masked(own.where(BRIGHT), ["image_id"], points, 9)
+    points = own.select("image_id").distinct().selectExpr("image_id", "image_id * 7 % 60 - 6 + 0.5D as px", "image_id * 11 % 56 - 4 + 0.5D as py")
+    return grid.nearest_masked(own.where(BRIGHT), ["image_id"], points, 9, 48, 48)
 
 
 OPEN = "(SELECT DISTINCT l_suppkey AS grid_id, l_partkey % 12 AS y, l_orderkey % 12 AS x FROM lineitem WHERE (l_partkey % 12 * 7 + l_orderkey % 12 * 5 + l_suppkey) % 4 > 0)"
@@ -307,9 +331,10 @@ def g3_path_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def g4_stacking_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    own = fixture(spark, sf_dir, "pixels").where("frame_idx = 1")
-    out = grid.stacking_order(own, ["image_id"], [c for c in COLOURS if c[0] not in ("white", "black")], near=110.0)
-    return out.select("image_id", F.array_join("colours", ",").alias("colours"))
+    """Of every frame; a round for each colour."""
+    key = ["image_id", "frame_idx"]
+    out = grid.stacking_order(fixture(spark, sf_dir, "pixels"), key, [c for c in COLOURS if c[0] not in ("white", "black")], 48, near=110.0)
+    return out.select(*key, F.array_join("colours", ",").alias("colours"))
 
 
 @query(record_queries.A1_BY_GROUP)

@@ -351,9 +351,9 @@ def a3_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return eval_records(spark, sf_dir).agg(*summary.accuracy(F.col("offline_pass"))).withColumn("accuracy", F.round("accuracy", 9))
 
 
-@query(f"""WITH j AS (SELECT CASE WHEN last_frame_judgment <> 'error' THEN last_frame_judgment = 'yes' END AS l, CASE WHEN audio_judgment <> 'error' THEN audio_judgment = 'yes' END AS a FROM {duck('judged')} WHERE status = 'completed'),
-u AS (SELECT 'last_frame' AS metric, l AS r FROM j UNION ALL SELECT 'audio', a FROM j UNION ALL SELECT 'both', CASE WHEN l IS NOT NULL AND a IS NOT NULL THEN l AND a END FROM j UNION ALL SELECT 'any', CASE WHEN l IS NOT NULL AND a IS NOT NULL THEN l OR a END FROM j)
-SELECT metric, count(*) FILTER (r) AS correct, count(*) AS total, round(count(*) FILTER (r) / count(*), 9) AS accuracy FROM u WHERE r IS NOT NULL GROUP BY metric""")
+@query(f"""WITH c AS (SELECT count(*) AS total, count(*) FILTER (last_frame_judgment = 'yes') AS last_frame, count(*) FILTER (audio_judgment = 'yes') AS audio,
+  count(*) FILTER (last_frame_judgment = 'yes' AND audio_judgment = 'yes') AS "both", count(*) FILTER (last_frame_judgment = 'yes' OR audio_judgment = 'yes') AS "any" FROM {duck('judged')} WHERE status = 'completed')
+SELECT metric, correct, total, round(correct / total, 9) AS accuracy FROM c UNPIVOT (correct FOR metric IN (last_frame, audio, "both", "any"))""")
 def a4_judged_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return summary.judged_metrics(fixture(spark, sf_dir, "judged")).withColumn("accuracy", F.round("accuracy", 9))
 
@@ -550,30 +550,69 @@ def e2_video_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return export.video_rows(own)
 
 
-TRAIN = rf"""CASE WHEN g = 'maze' THEN '{T.MAZE_PROMPT}' WHEN g = 'eyeballing' THEN '{T.PREFIXES["ti2i"]}' || (CASE WHEN ends_with(e, '.') THEN e ELSE e || '.' END) ELSE '{T.PREFIXES["ti2v"]}' || prompt END"""
-TRAINED = rf"(SELECT *, {TRAIN} AS train FROM (SELECT *, trim(regexp_replace(prompt, '\s*In portrait[^.]*\.', '', 'gi')) AS e FROM {KEPT}))"
+def asked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Samples of which some have a ti2t prompt, some a blank or no one, with answers of their own, blank ones and none."""
+    own = samples(spark, sf_dir).drop("ti2t")
+    return own.withColumns({
+        "ti2t": F.expr("case pos % 5 when 0 then concat('ask ', pos) when 1 then 'Which one?' when 2 then '' when 4 then concat(' find ', pos) end"),
+        "reasoning_image": F.expr("if(pos % 3 = 0, concat('/root/set/why/', pos, '.png'), puzzle_image)"),
+        "solution_video": F.expr("if(pos % 3 = 0, concat('v/', pos, '.mp4'), null)"),
+        "record": F.expr("""case pos % 7 when 0 then to_json(named_struct('ti2t_answer', concat(' So it is ', pos, '. '))) when 1 then '{"ti2t_answer": " "}' when 2 then '{"ti2t_answer": null}' else '{}' end"""),
+    })
+
+
+#: What the exporters make of them.
+ASKED = f"""(SELECT *, CASE pos % 5 WHEN 0 THEN 'ask ' || pos WHEN 1 THEN 'Which one?' WHEN 4 THEN ' find ' || pos END AS ti2t, CASE WHEN pos % 3 = 0 THEN '/root/set/why/' || pos || '.png' ELSE puzzle_image END AS reasoning,
+  CASE WHEN pos % 7 = 0 THEN 'So it is ' || pos || '.' ELSE solution END AS answer FROM {KEPT})"""
+HUMAN = f"'<image> ' || ti2t || '{T.SFT_SUFFIX}'"
 
 
-@query(f"SELECT sid AS id, md5('<image> ' || train || '{T.SFT_SUFFIX}') AS asked, solution AS answered, '/root/set/' || image AS image, solution FROM {TRAINED}")
+@query(f"SELECT sid AS id, md5({HUMAN}) AS asked, answer AS answered, reasoning AS image, solution FROM {ASKED} WHERE ti2t IS NOT NULL")
 def e3_chat_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    own = export.chat_rows(samples(spark, sf_dir), "sft")
+    own = export.chat_rows(asked(spark, sf_dir), "sft")
     return own.select("id", F.md5(F.col("messages")[0]["content"]).alias("asked"), F.col("messages")[1]["content"].alias("answered"), F.col("images")[0].alias("image"), "solution")
 
 
-@query(f"SELECT sid AS sample_id, solution AS answer_text, md5(puzzle_image) AS first_image, md5(solution_image) AS second_image, ti2i AS instruction FROM {KEPT} WHERE ti2i IS NOT NULL")
+@query(f"SELECT sid AS sample_id, answer AS answer_text, md5(puzzle_image) AS first_image, md5(solution_image) AS second_image, ti2i AS instruction FROM {ASKED} WHERE ti2i IS NOT NULL")
 def e4_edit_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
-    own = samples(spark, sf_dir)
+    own = asked(spark, sf_dir)
     paths = own.select(F.col("puzzle_image").alias("path")).unionByName(own.select(F.col("solution_image").alias("path"))).distinct()
-    out = export.edit_shards(own, paths.withColumn("content", F.col("path").cast("binary")))
+    out = export.edit_shards(export.edit_rows(own), paths.withColumn("content", F.col("path").cast("binary")))
     return out.select("sample_id", "answer_text", F.md5(F.col("image_list")[0]).alias("first_image"), F.md5(F.col("image_list")[1]).alias("second_image"), F.col("instruction_list")[0][0].alias("instruction"))
 
 
-@query(f"SELECT sid AS id, puzzle_image AS image, solution, '<image> ask ' || pos AS human, solution AS gpt FROM {KEPT}")
+@query(f"SELECT sid AS id, reasoning AS image, solution, {HUMAN} AS human, answer AS gpt FROM {ASKED} WHERE ti2t IS NOT NULL")
 def e5_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = export.conversations(samples(spark, sf_dir).withColumn("ti2t", F.expr("concat('ask ', pos)")))
+    out = export.conversations(asked(spark, sf_dir))
     return out.select("id", "image", "solution", F.col("conversations")[0]["value"].alias("human"), F.col("conversations")[1]["value"].alias("gpt"))
 
 
+@query(f"""SELECT 'pairs' AS mode, sid AS id, solution_image AS image, ti2i AS asked, CAST(NULL AS VARCHAR) AS answered FROM {ASKED} WHERE ti2i IS NOT NULL
+  UNION ALL SELECT 'video', sid, 'v/' || pos || '.mp4', ti2v, NULL FROM {ASKED} WHERE pos % 3 = 0
+  UNION ALL SELECT 'chat_sft', sid, reasoning, {HUMAN}, answer FROM {ASKED} WHERE ti2t IS NOT NULL
+  UNION ALL SELECT 'chat_grpo', sid, reasoning, '<image> ' || ti2t || '{T.GRPO_SUFFIX}', NULL FROM {ASKED} WHERE ti2t IS NOT NULL
+  UNION ALL SELECT 'edit', sid, puzzle_image, ti2i, answer FROM {ASKED} WHERE ti2i IS NOT NULL
+  UNION ALL SELECT 'vlm', sid, reasoning, {HUMAN}, answer FROM {ASKED} WHERE ti2t IS NOT NULL""")
+def e_all_exports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """E1-E5, written in one pass and read back from their folders."""
+    path = shared_folder(spark)
+    export.write_exports(asked(spark, sf_dir), path, ["Pairs", "video", "chat_sft", " CHAT_GRPO", "edit", "vlm", "vlm", "gif"])
+    turn = "messages array<struct<role string, content string>>, images array<string>"
+    read = lambda mode, schema, *columns: export.read_export(spark, path, mode, schema).selectExpr(f"'{mode}' as mode", *columns)
+    parts = [
+        read("pairs", "id string, image string, prompt string", "id", "image", "prompt as asked", "cast(null as string) as answered"),
+        read("video", "id string, video string, prompt string", "id", "video", "prompt", "null"),
+        read("chat_sft", f"id string, {turn}", "id", "images[0]", "messages[0].content", "messages[1].content"),
+        read("chat_grpo", f"id string, {turn}", "id", "images[0]", "messages[0].content", "get(messages, 1).content"),
+        read("edit", "sample_id string, puzzle_image string, instruction string, answer_text string", "sample_id", "puzzle_image", "instruction", "answer_text"),
+        read("vlm", "id string, image string, conversations array<struct<`from` string, value string>>", "id", "image", "conversations[0].value", "conversations[1].value"),
+    ]
+    out = parts[0]
+    for x in parts[1:]:
+        out = out.union(x)
+    return out
+
+
 # Options
 
 

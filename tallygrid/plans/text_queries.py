@@ -204,10 +204,12 @@ def paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fixture(spark, sf_dir, "paths").groupBy("path_id").agg(cells.alias("c")).select("path_id", F.col("c.truth_cell").alias("truth"), F.col("c.pred_cell").alias("pred"))
 
 
-@query(f"SELECT path_id, g, CASE g WHEN 'maze' THEN '[' || array_to_string(truth, ', ') || ']' WHEN 'eyeballing' THEN 'AB' ELSE 'ab' END AS solution FROM {PATHS}, (SELECT unnest(['maze', 'eyeballing', 'visual_puzzle']) AS g)")
+@query(f"""SELECT path_id, g, solution, CASE WHEN path_id % 3 = 0 THEN 'Up ' || path_id ELSE solution END AS answer FROM (
+  SELECT path_id, g, CASE g WHEN 'maze' THEN '[' || array_to_string(truth, ', ') || ']' WHEN 'eyeballing' THEN 'AB' ELSE 'ab' END AS solution FROM {PATHS}, (SELECT unnest(['maze', 'eyeballing', 'visual_puzzle']) AS g))""")
 def t24_solution_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = paths(spark, sf_dir).withColumn("g", F.explode(F.lit(["maze", "eyeballing", "visual_puzzle"])))
-    return own.select("path_id", "g", T.solution_text("g", "truth", F.lit("ab")).alias("solution"))
+    given = F.expr("case path_id % 3 when 0 then concat(' Up ', path_id, '\n') when 1 then ' ' end")
+    return own.select("path_id", "g", T.solution_text("g", "truth", F.lit(" ab ")).alias("solution"), T.answer_text(given, "g", "truth", F.lit("ab ")).alias("answer"))
 
 
 SOL = "CASE doc_id % 3 WHEN 0 THEN 'B' WHEN 1 THEN lang ELSE 'yes' END"

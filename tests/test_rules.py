@@ -6,9 +6,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallygrid.functions import geometry as G
+from tallygrid.functions import pixels as P
 from tallygrid.functions import rewards as R
 from tallygrid.functions import text as T
-from tallygrid.operators import canon, components, grid, summary, synth, votes
+from tallygrid.operators import canon, components, export, grid, summary, synth, votes
 from tallygrid.sources import readers, sinks
 
 
@@ -86,7 +87,7 @@ def test_presence_and_null(spark):
 
 def test_repaired_ids(spark):
     own = spark.createDataFrame([(0, "t", "a"), (1, "t", "a"), (2, "t", None), (3, "t", " "), (4, "t", "a")], "pos int, task string, id string")
-    assert [r.id for r in canon.repair_ids(own).orderBy("pos").collect()] == ["a", "a__01", "t-00002", "t-00003", "a__02"]
+    assert [r.id for r in canon.repair_ids(own).orderBy("pos").collect()] == ["a", "a__01", "t-00002", " ", "a__02"]
 
 
 def test_keep_first_is_idempotent(spark):
@@ -98,7 +99,7 @@ def test_keep_first_is_idempotent(spark):
 
 def test_numbered(spark):
     own = spark.range(0, 2000, 7).withColumn("id", (F.col("id") * 31) % 2003)
-    found = canon.numbered(own, "id", parts=9).orderBy("id").collect()
+    found = canon.numbered(own, "id", most=30).orderBy("id").collect()
     assert [r["index"] for r in found] == list(range(len(found)))
     assert canon.numbered(own.limit(0), "id").count() == 0
 
@@ -160,7 +161,7 @@ def test_sinks_round_trip(spark, tmp_path):
     sinks.write_jsonl(own, f"{tmp_path}/jsonl")
     assert '"b":null' in "".join(p.read_text() for p in (tmp_path / "jsonl").glob("part*"))
     sinks.write_shards(own, f"{tmp_path}/shards", "k", 1)
-    assert sinks.shard_info(spark.read.parquet(f"{tmp_path}/shards")).count() == 2
+    assert sinks.shard_info(spark, f"{tmp_path}/shards").count() == 2
 
 
 def test_raw_records(spark, tmp_path):
@@ -171,3 +172,46 @@ def test_raw_records(spark, tmp_path):
     (tmp_path / "data.json").write_text('{"id": 1}')
     with pytest.raises(Exception, match="not a list"):
         readers.raw_records(spark, str(tmp_path)).collect()
+
+
+def test_boxes_on_another_canvas(spark):
+    own = spark.createDataFrame([(10.0, 10.0, 30.0, 30.0), (10.0, 10.0, 17.0, 30.0), (-5.0, 95.0, 4.0, 120.0), (99.0, 99.0, 99.0, 99.0)], "a double, b double, c double, d double")
+    box = lambda *args: [r[:] for r in own.select(*P.scaled_box([F.col(c) for c in "abcd"], *args)).collect()]
+    assert box((100, 100), (200, 200)) == [(28, 28, 52, 52), (20, 28, 34, 52), (0, 198, 8, 200), (198, 198, 199, 199)]
+    assert box((100, 100), (50, 50), 0)[0] == (5, 5, 15, 15)
+    with pytest.raises(ValueError):
+        box((0, 1), (1, 1))
+
+
+def test_canvas_of_a_record(spark):
+    given = ['{"canvas_dimensions": [7.5, "9"]}', '{"canvas_dimensions": {"width": 3, "height": 4}}', '{"canvas_dimensions": [0, 4], "canvas_size": 8.5}', '{"canvas_size": -1, "cell_bboxes": [[[0, 0, 5, 6], [1]], [[0, 0, 4, 9, 1]]]}', "{}", None]
+    own = spark.createDataFrame([(k, t) for k, t in enumerate(given)], "k int, record string")
+    assert [r[:] for r in own.orderBy("k").select(*P.extent("record", (1, 2))).collect()] == [(8, 9), (3, 4), (8, 8), (5, 9), (1, 2), (1, 2)]
+    with pytest.raises(Exception, match="no canvas size"):
+        own.select(*P.extent("record")).collect()
+
+
+def test_errors_of_judges_count_as_wrong(spark):
+    own = spark.createDataFrame([("yes", "error", "completed"), ("error", "no", "completed"), ("yes", "yes", "failed")], "last_frame_judgment string, audio_judgment string, status string")
+    found = {r.metric: (r.correct, r.total) for r in summary.judged_metrics(own).collect()}
+    assert found == {"last_frame": (1, 2), "audio": (0, 2), "both": (0, 2), "any": (1, 2)}
+
+
+def test_exports_in_one_pass(spark, tmp_path):
+    fields = "sample_id string, task_type string, task_group string, ti2i string, ti2v string, ti2t string, ti2ti string, puzzle_image string, reasoning_image string, solution_image string, solution_video string, record string, path_cell_ids array<int>, correct_option string"
+    rows = [
+        ("a", "t", "maze", None, None, "ask me", None, "p", "r", "s", None, '{"ti2t_answer": " Answer: up. "}', [1, 2], None),
+        ("b", "t", "eyeballing", "edit", "film", None, None, "p", "r", "s", "v", '{"ti2t_answer": " "}', None, " c "),
+        ("c", "t", "visual_puzzle", "edit", None, "", None, "p", "r", "s", "", "{}", None, " c "),
+    ]
+    own = spark.createDataFrame(rows, fields)
+    chat = export.chat_rows(own, "sft").collect()
+    assert [(r.id, r.messages[0].content, r.messages[1].content, r.images, r.solution) for r in chat] == [("a", "<image> ask me" + T.SFT_SUFFIX, "Answer: up.", ["r"], "[1, 2]")]
+    assert [(r.sample_id, r.answer_text) for r in export.edit_rows(own).orderBy("sample_id").collect()] == [("b", "C"), ("c", "c")]
+    export.write_exports(own, f"{tmp_path}/x", ["VLM", "edit ", "nothing", "video"])
+    assert sorted(p.name for p in (tmp_path / "x").iterdir() if p.is_dir()) == ["mode=edit", "mode=video", "mode=vlm"]
+    assert export.read_export(spark, f"{tmp_path}/x", "vlm", "id string, image string").first()[:] == ("a", "r")
+    plan = export.fan_out(own, ["vlm", "edit", "chat_sft"])._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Scan ExistingRDD") == 1
+    with pytest.raises(ValueError):
+        export.fan_out(own, ["nothing"])

@@ -34,14 +34,61 @@ def test_regions_of_all_images(spark):
         images.add(r.image_id)
         if r.r >= 150 or r.g >= 100:
             masked[r.image_id].add((r.y, r.x))
-        if r.r >= 150 and r.frame_idx == 1:
-            bright[r.image_id].add((r.y, r.x))
-    assert len(images) > 3
+        if r.r >= 150:
+            bright[r.image_id, r.frame_idx].add((r.y, r.x))
+    assert len(images) > 3 and len(bright) > 3 * len(images)
     found = {r.image_id: r.connected for r in entry.queries()["g1_connected"](spark, DATA).collect()}
     assert found == {k: any(min(own) in a and max(own) in a for a in areas(own)) for k, own in masked.items()}
-    boxes = sorted(tuple(r[c] for c in ("image_id", "left", "top", "right", "bottom")) for r in entry.queries()["a18_region_boxes"](spark, DATA).collect())
+    boxes = sorted(tuple(r[c] for c in ("image_id", "frame_idx", "left", "top", "right", "bottom")) for r in entry.queries()["a18_region_boxes"](spark, DATA).collect())
     ys, xs = (lambda a: [y for y, _ in a]), (lambda a: [x for _, x in a])
-    assert boxes == sorted((k, max(min(xs(a)) - 2, 0), max(min(ys(a)) - 2, 0), min(max(xs(a)) + 2, 47), min(max(ys(a)) + 2, 47)) for k, own in bright.items() for a in areas(own))
+    assert boxes == sorted((*k, max(min(xs(a)) - 2, 0), max(min(ys(a)) - 2, 0), min(max(xs(a)) + 3, 48), min(max(ys(a)) + 3, 48)) for k, own in bright.items() for a in areas(own))
+
+
+def test_nearest_masked_looks_down_the_sides_first(spark):
+    """Ring by ring: left and right columns from the top, then top and bottom rows from the left, on the image only."""
+    rng = random.Random(9)
+    size, masks = 12, {k: {(rng.randrange(12), rng.randrange(12)) for _ in range(rng.randrange(0, 9))} for k in range(60)}
+    points = {k: (rng.choice([-3, 0, 2.5, 3.5, 6, 11.4, 14]), rng.choice([-1, 0.5, 5, 7, 11, 30])) for k in masks}
+
+    def walk(mask, px, py):
+        cx, cy = (max(0, min(size - 1, round(v))) for v in (px, py))
+        for d in range(5):
+            left, right, top, bottom = max(0, cx - d), min(size - 1, cx + d), max(0, cy - d), min(size - 1, cy + d)
+            ways = [(y, x) for y in range(top, bottom + 1) for x in (left, right)] + [(y, x) for x in range(left + 1, right) for y in (top, bottom)]
+            if hit := next((p for p in ways if p in mask), None):
+                return hit
+
+    pixels = spark.createDataFrame([(k, y, x) for k, m in masks.items() for y, x in m], "k int, y long, x long")
+    given = spark.createDataFrame([(k, float(x), float(y)) for k, (x, y) in points.items()], "k int, px double, py double")
+    found = {r.k: (r.y, r.x) for r in grid.nearest_masked(pixels, ["k"], given, 4, size, size).collect()}
+    assert found == {k: p for k, m in masks.items() if (p := walk(m, *points[k]))}
+
+
+def test_stacking_order_row_by_row(spark):
+    rng = random.Random(4)
+    palette = [("red", (220, 30, 30)), ("green", (40, 180, 60)), ("blue", (40, 60, 220))]
+    shades = [c for _, c in palette] + [(242, 250, 241), (14, 3, 15), (120, 120, 120), (240, 239, 240), (15, 16, 2)]
+    images = {k: [[tuple(v + rng.choice([0, 9, 15]) * (k % 2) for v in rng.choice(shades[: 3 + k % 6])) for _ in range(4)] for _ in range(40)] for k in range(25)}
+    for rows in images.values():
+        for y in range(0, 40, 5):
+            rows[y : y + 5] = [[rng.choice(shades)] * 4] * 5
+
+    def order(rows):
+        free, out = dict(palette), []
+        gap = lambda a, b: sum((u - v) ** 2 for u, v in zip(a, b)) ** 0.5
+        for y in range(0, 40, max(1, 40 // 18)):
+            own = [p for p in rows[y] if not min(p) >= 240 and not max(p) <= 15 and all(gap(p, c) > 48 for n, c in palette if n in out)]
+            if own and free:
+                mean = [sum(v) / len(own) for v in zip(*own)]
+                name = min(free, key=lambda n: gap(mean, free[n]))
+                if gap(mean, free[name]) <= 48:
+                    out.append(name)
+                    del free[name]
+        return out
+
+    pixels = spark.createDataFrame([(k, y, x, *p) for k, rows in images.items() for y, row in enumerate(rows) for x, p in enumerate(row)], "k int, y long, x long, r int, g int, b int")
+    found = {r.k: r.colours for r in grid.stacking_order(pixels, ["k"], palette, 40).collect()}
+    assert found == {k: order(rows) for k, rows in images.items()} and len({tuple(v) for v in found.values()}) > 3
 
 
 @pytest.mark.parametrize("name", ["r2_path_reward", "t24_solution_text", "j12_sequences", "w8_ordered_dedupe", "s2_stacking"])
