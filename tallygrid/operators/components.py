@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,6 +21,12 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
         spark.sparkContext.setCheckpointDir(path)
 
 
+def shared_path(spark: SparkSession) -> str:
+    """A new path in the folder that all executors share."""
+    ensure_checkpoint_dir(spark)
+    return f"{spark.sparkContext.getCheckpointDir()}/tables-{uuid.uuid4().hex}"
+
+
 def cut(df: DataFrame) -> DataFrame:
     """df, written to the shared checkpoint folder, so that its lineage ends and lost executors cost no rerun."""
     ensure_checkpoint_dir(df.sparkSession)

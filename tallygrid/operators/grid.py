@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tallygrid.functions.pixels import METRICS, euclidean
+from tallygrid.operators import paths
 from tallygrid.operators.components import connected_components, cut
 
 Palette = list[tuple[str, tuple[int, int, int]]]
@@ -144,35 +145,16 @@ def nearest_masked(pixels: DataFrame, key: list[str], points: DataFrame, radius:
 
 
 def shortest_paths(cells: DataFrame, ends: DataFrame) -> DataFrame:
-    """(grid_id, steps, path) from start to goal over open cells of many grids; nulls where there is no way.
+    """(grid_id, steps, path) from start to goal over 4-connected open cells of many grids; nulls where there is no way.
 
-    cells: grid_id, y, x of open cells; ends: grid_id, sx, sy, gx, gy; path: array of (y, x), both ends included. All grids
-    advance one step a round and drop out at their goal, and each round ends the lineage. Each cell keeps its parent, the
-    smallest (y, x) on ties; the ways back from the goals are joins on it. A round that reaches no new cell is the last, so
-    there are as many as open cells at most.
+    cells: grid_id, y, x of open cells; ends: grid_id, sx, sy, gx, gy; path: array of (y, x), both ends included. Ties go to
+    the smallest (y, x).
     """
-    moves = F.explode(F.array(*(F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy")) for dx, dy in ((1, 0), (-1, 0), (0, 1), (0, -1)))))
-    at = ["grid_id", "y", "x"]
-    grid = cut(cells.select(*at).distinct())
-    front = ends.select("grid_id", F.col("sy").alias("y"), F.col("sx").alias("x")).join(grid, at, "left_semi")
-    front = cut(front.withColumns({"steps": F.lit(0), "parent": F.lit(None).cast(front.select(F.struct("y", "x")).schema[0].dataType)}))
-    seen = front
-    goal = ends.select("grid_id", F.col("gy").alias("y"), F.col("gx").alias("x"))
-    k = 0
-    while not front.isEmpty():
-        k += 1
-        done = seen.join(goal, at, "left_semi").select("grid_id")
-        steps = front.join(done, "grid_id", "left_anti").withColumn("m", moves).select("grid_id", (F.col("y") + F.col("m.dy")).alias("y"), (F.col("x") + F.col("m.dx")).alias("x"), F.struct("y", "x").alias("parent"))
-        front = steps.groupBy(*at).agg(F.min("parent").alias("parent")).join(grid.hint("merge"), at, "left_semi").join(seen.hint("merge"), at, "left_anti")
-        front = cut(front.select(*at, F.lit(k).alias("steps"), "parent"))
-        seen = cut(seen.unionByName(front))
-    ways = cut(goal.join(seen, at).select(*at, "steps", F.array(F.struct("y", "x")).alias("path"), "parent"))
-    found = ways.where("parent is null")
-    while not (ways := ways.where("parent is not null")).isEmpty():
-        back = ways.select("grid_id", F.col("parent.y").alias("y"), F.col("parent.x").alias("x"), F.col("steps").alias("_steps"), "path")
-        ways = cut(back.join(seen, at).select(*at, F.col("_steps").alias("steps"), F.concat(F.array(F.struct("y", "x")), "path").alias("path"), "parent"))
-        found = found.unionByName(ways.where("parent is null"))
-    return ends.select("grid_id").join(found.select("grid_id", "steps", "path"), "grid_id", "left")
+    start = cells.select("grid_id", paths.pack("y", "x").alias("start")).distinct()
+    own = ends.select("grid_id", paths.pack("sy", "sx").alias("start"), paths.pack("gy", "gx").alias("goal"))
+    found = paths.shortest_paths(paths.lattice_edges(cells, "grid_id", "y", "x", paths.SQUARE), own.join(start.hint("merge"), ["grid_id", "start"], "left_semi"))
+    place = F.transform("path", lambda n: F.struct(paths.unpack(n)[0].alias("y"), paths.unpack(n)[1].alias("x")))
+    return ends.select("grid_id").join(found.hint("merge"), "grid_id", "left").select("grid_id", "steps", place.alias("path"))
 
 
 def stacking_order(pixels: DataFrame, key: list[str], palette: Palette, height: int, near: float = 48.0, light: int = 240, dark: int = 15) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tallygrid.functions import geometry as G
 from tallygrid.functions import pixels as P
-from tallygrid.operators import grid, plugins, summary
+from tallygrid.operators import grid, paths, plugins, summary, tiles
 from tallygrid.plans import record_queries
 from tallygrid.plans.fixtures import duck, fixture, table
 from tallygrid.plans.registry import query
@@ -185,6 +185,37 @@ def j9_cell_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fixture(spark, sf_dir, "pixels").groupBy("image_id", P.cell_id(row, col, 6).cast("long").alias("cell")).agg(F.count("*").alias("n"))
 
 
+AREAS = """(SELECT l_suppkey AS image_id, l_linenumber AS area_id, max(l_partkey) AS p, max(l_orderkey) AS o FROM {lineitem} GROUP BY l_suppkey, l_linenumber)"""
+BOXES = f"SELECT image_id, area_id, p % 48 - 3.5 AS \"left\", o % 48 - 3.5 AS top, p % 48 - 3.5 + o % 9 + CASE WHEN p % 7 = 0 THEN 60 ELSE 0 END AS \"right\", o % 48 - 3.5 + p % 9 AS bottom FROM {AREAS} WHERE p % 2 = 0"
+DISCS = f"SELECT image_id, area_id, p % 48 + 0.25 AS cx, o % 48 AS cy, CASE WHEN o % 7 = 0 THEN 40 ELSE p % 7 END AS radius FROM {AREAS} WHERE p % 2 = 1"
+
+
+def areas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Seven areas of each image: boxes with a margin of 1.5 and discs, of no size up to more than the image."""
+    own = spark.sql("SELECT image_id, area_id, cast(p as double) as p, cast(o as double) as o FROM " + AREAS, lineitem=table(spark, sf_dir, "lineitem"))
+    boxes = own.where("p % 2 = 0").selectExpr("image_id", "area_id", "p % 48 - 3.5D as left", "o % 48 - 3.5D as top", "p % 48 - 3.5D + o % 9 + if(p % 7 = 0, 60, 0) as right", "o % 48 - 3.5D + p % 9 as bottom")
+    discs = own.where("p % 2 = 1").selectExpr("image_id", "area_id", "p % 48 + 0.25D as cx", "o % 48 as cy", "if(o % 7 = 0, 40D, p % 7) as radius")
+    return tiles.box_areas(boxes, 1.5).unionByName(tiles.disc_areas(discs))
+
+
+IN_AREAS = f"""(SELECT p.*, b.area_id FROM {PX} p JOIN ({BOXES.format(lineitem='lineitem')}) b ON p.image_id = b.image_id AND x >= floor("left" - 1.5) AND x < ceil("right" + 1.5) AND y >= floor(top - 1.5) AND y < ceil(bottom + 1.5)
+  UNION ALL SELECT p.*, d.area_id FROM {PX} p JOIN ({DISCS.format(lineitem='lineitem')}) d ON p.image_id = d.image_id AND radius > 0 AND (x - cx) ** 2 + (y - cy) ** 2 <= radius ** 2)"""
+
+
+@query(f"SELECT image_id, area_id, count(*) AS n, CAST(sum(x * 100 + y) AS BIGINT) AS places FROM {IN_AREAS} GROUP BY 1, 2")
+def j9_areas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pixels of all frames against boxes and discs of any size."""
+    found = tiles.inside(fixture(spark, sf_dir, "pixels"), areas(spark, sf_dir), ["image_id"])
+    return found.groupBy("image_id", "area_id").agg(F.count("*").alias("n"), F.sum(F.col("x") * 100 + F.col("y")).alias("places"))
+
+
+@query(f"SELECT image_id, count(*) AS walls FROM {PX} p WHERE greatest(r, g, b) <= 120 AND NOT EXISTS (SELECT 1 FROM {IN_AREAS} a WHERE a.image_id = p.image_id AND a.x = p.x AND a.y = p.y AND a.area_id <= 2) GROUP BY 1")
+def j9_suppressed_walls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Walls outside the first two areas of their image, which stand for its endpoints."""
+    walls = fixture(spark, sf_dir, "pixels").where("greatest(r, g, b) <= 120")
+    return tiles.suppressed(walls, areas(spark, sf_dir).where("area_id <= 2"), ["image_id"]).groupBy("image_id").agg(F.count("*").alias("walls"))
+
+
 MIR = "(SELECT DISTINCT l_suppkey AS grid_id, l_linenumber AS row, l_partkey % 8 AS col, CASE WHEN l_partkey % 8 % 3 = 0 THEN 'blue' ELSE 'red' || l_linenumber END AS colour FROM lineitem)"
 
 
@@ -329,6 +360,43 @@ def g3_path_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     return solved(spark, sf_dir).select("grid_id", "steps", F.array_join(cells, ",").alias("cells"))
 
 
+HEX = "(SELECT DISTINCT l_suppkey AS grid_id, l_partkey % 12 - 6 AS q, l_orderkey % 12 - 6 AS r FROM lineitem WHERE (l_partkey + l_orderkey * 3 + l_suppkey) % 5 > 1)"
+
+
+@query(f"""WITH RECURSIVE o AS (SELECT * FROM {HEX}), w(grid_id, q, r, d) AS (SELECT grid_id, min(q * 100 + r + 50) // 100 - CASE WHEN min(q * 100 + r + 50) < 0 AND min(q * 100 + r + 50) % 100 <> 0 THEN 1 ELSE 0 END, (min(q * 100 + r + 50) % 100 + 100) % 100 - 50, 0 FROM o GROUP BY 1
+  UNION SELECT o.grid_id, o.q, o.r, d + 1 FROM w JOIN o ON o.grid_id = w.grid_id AND greatest(abs(o.q - w.q), abs(o.r - w.r), abs(o.q + o.r - w.q - w.r)) = 1 WHERE d < 60)
+SELECT e.grid_id, CAST(min(d) AS INTEGER) AS steps FROM (SELECT grid_id, max(q * 100 + r) AS k FROM o GROUP BY 1) e LEFT JOIN w ON w.grid_id = e.grid_id AND w.q * 100 + w.r = k GROUP BY 1""")
+def g3_hexagon_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """From the first to the last open hexagon of each supplier's maze, in axial coordinates."""
+    own = hexagons(spark, sf_dir)
+    ends = own.groupBy("grid_id").agg(F.min(paths.pack("q", "r")).alias("start"), F.max(paths.pack("q", "r")).alias("goal"))
+    return paths.shortest_paths(paths.lattice_edges(own, "grid_id", "q", "r", paths.HEXAGON), ends).select("grid_id", "steps")
+
+
+def hexagons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = table(spark, sf_dir, "lineitem").where("(l_partkey + l_orderkey * 3 + l_suppkey) % 5 > 1")
+    return own.selectExpr("l_suppkey as grid_id", "l_partkey % 12 - 6 as q", "l_orderkey % 12 - 6 as r").distinct()
+
+
+RINGS = "(SELECT s_suppkey AS grid_id, k AS ring, CASE WHEN k = 0 THEN 1 ELSE 3 + (s_suppkey + k * k) % 7 END AS cells FROM supplier, range(6) t(k))"
+
+
+@query(f"""WITH RECURSIVE c AS (SELECT grid_id, ring, cells AS n, unnest(range(cells)) AS i FROM {RINGS}),
+e AS (SELECT grid_id, ring * 100 + i AS a, ring * 100 + (i + 1) % n AS b FROM c WHERE n > 1
+  UNION SELECT c.grid_id, c.ring * 100 + c.i, o.ring * 100 + o.i FROM c JOIN c o ON o.grid_id = c.grid_id AND o.ring = c.ring + 1 AND c.i * o.n < (o.i + 1) * c.n AND o.i * c.n < (c.i + 1) * o.n),
+p AS (SELECT * FROM (SELECT grid_id, a, b FROM e UNION SELECT grid_id, b, a FROM e) WHERE (least(a, b) * 3 + greatest(a, b) * 5 + grid_id) % 3 > 0),
+w(grid_id, v, d) AS (SELECT DISTINCT grid_id, 0, 0 FROM c UNION SELECT p.grid_id, p.b, d + 1 FROM w JOIN p ON p.grid_id = w.grid_id AND p.a = w.v WHERE d < 40)
+SELECT g.grid_id, CAST(min(d) AS INTEGER) AS steps FROM (SELECT DISTINCT grid_id FROM c) g LEFT JOIN w ON w.grid_id = g.grid_id AND w.v = 501 GROUP BY 1""")
+def g3_ring_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """From the centre to the second cell of the outermost ring, through the passages that each supplier's labyrinth has left."""
+    rings = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("grid_id"), F.explode(F.expr("sequence(0L, 5L)")).alias("ring"))
+    edges = paths.ring_edges(rings.withColumn("cells", F.expr("if(ring = 0, 1, 3 + (grid_id + ring * ring) % 7)")), "grid_id")
+    name = lambda c: paths.unpack(c)[0] * 100 + paths.unpack(c)[1]
+    edges = edges.where((F.least(name("a"), name("b")) * 3 + F.greatest(name("a"), name("b")) * 5 + F.col("grid_id")) % 3 > 0)
+    ends = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("grid_id"), paths.pack(F.lit(0), F.lit(0)).alias("start"), paths.pack(F.lit(5), F.lit(1)).alias("goal"))
+    return paths.shortest_paths(edges, ends).select("grid_id", "steps")
+
+
 @query()
 def g4_stacking_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Of every frame; a round for each colour."""

@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallygrid.functions import rewards as R
 from tallygrid.functions import text as T
 from tallygrid.operators import canon, export, summary, synth, votes
-from tallygrid.operators.components import ensure_checkpoint_dir
+from tallygrid.operators.components import shared_path as shared_folder
 from tallygrid.plans.fixtures import duck, fixture, table
 from tallygrid.plans.registry import query
 from tallygrid.plans.text_queries import LETTER, PLAIN, squeeze
@@ -40,12 +38,6 @@ def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     return canon.pin(own, modes).withColumns({"answer_text": canon.value(F.col("_m"), "answer"), "raw_answer": canon.value(F.col("_m"), "ti2t_answer")})
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """A new path in the folder that all executors share."""
-    ensure_checkpoint_dir(spark)
-    return f"{spark.sparkContext.getCheckpointDir()}/tables-{uuid.uuid4().hex}"
-
-
 #: The same rows in SQL, from the fixture alone.
 C0 = rf"""(SELECT pos, pos AS doc, task_type, prompt, image, CASE WHEN pos % 17 > 0 THEN solution_image_path END AS sol,
   CASE WHEN pos % 4 = 1 THEN 'visual_puzzle' WHEN pos % 4 = 2 THEN 'eyeballing' WHEN pos % 4 = 0 THEN 'maze' END AS g,

@@ -1,5 +1,6 @@
 """Queries over whole tables against brute force and their twins."""
 
+import math
 import random
 from collections import defaultdict
 
@@ -7,7 +8,7 @@ import pytest
 
 import __spark_entry__ as entry
 from conftest import DATA
-from tallygrid.operators import grid
+from tallygrid.operators import grid, paths, tiles
 from tallygrid.plans.fixtures import fixture
 from test_queries import duck, test_same_rows as same_rows  # noqa: F401  a fixture
 
@@ -140,3 +141,74 @@ def test_path_cells_of_the_query(spark):
         ids = [int(c) for c in r.cells.split(",")] if r.cells else []
         assert len(ids) == (0 if r.steps is None else r.steps + 1)
         assert all(abs(a // 12 - b // 12) + abs(a % 12 - b % 12) == 1 for a, b in zip(ids, ids[1:]))
+
+
+@pytest.mark.parametrize("small", [1 << 16, 0])
+def test_paths_in_hexagons_and_rings(spark, small):
+    """Steps and nodes as by a breadth first search with the smallest parent on ties, in one task and by joins."""
+    rng = random.Random(3)
+    hexes = {g: {(q, r) for q in range(-3, 4) for r in range(-3, 4) if rng.random() < 0.75 or (q, r) in ((-3, -3), (3, 3))} for g in range(6)}
+    edges = defaultdict(lambda: defaultdict(list))
+    number = lambda a, b: a * (1 << 32) + b + (1 << 31)
+    for g, cells in hexes.items():
+        for q, r in cells:
+            edges[g][number(q, r)] += [number(q + i, r + j) for i, j in paths.HEXAGON if (q + i, r + j) in cells]
+    rings = {10: [1, 3, 6, 6, 5], 11: [1, 1, 2, 8], 12: [2, 7]}
+    for g, counts in rings.items():
+        for ring, n in enumerate(counts):
+            for i in range(n):
+                if n > 1:
+                    edges[g][number(ring, i)] += [number(ring, (i + 1) % n), number(ring, (i - 1) % n)]
+                if ring + 1 < len(counts):
+                    m = counts[ring + 1]
+                    for t in range(i * m // n, -(-(i + 1) * m // n)):
+                        edges[g][number(ring, i)].append(number(ring + 1, t))
+                        edges[g][number(ring + 1, t)].append(number(ring, i))
+    own = paths.lattice_edges(spark.createDataFrame([(g, q, r) for g, c in hexes.items() for q, r in c], "grid_id int, q int, r int"), "grid_id", "q", "r", paths.HEXAGON)
+    own = own.unionByName(paths.ring_edges(spark.createDataFrame([(g, k, n) for g, c in rings.items() for k, n in enumerate(c)], "grid_id int, ring int, cells int"), "grid_id"))
+    got = defaultdict(lambda: defaultdict(set))
+    for r in own.collect():
+        got[r.grid_id][r.a].add(r.b)
+    assert {g: dict(e) for g, e in got.items()} == {g: {a: set(b) for a, b in e.items() if b} for g, e in edges.items()}
+    ends = [(g, number(-3, -3), number(3, 3)) for g in hexes] + [(g, number(0, 0), number(len(c) - 1, 2 % c[-1])) for g, c in rings.items()] + [(20, 5, 5), (21, 5, 6)]
+    found = {r.grid_id: r.path for r in paths.shortest_paths(own, spark.createDataFrame(ends, "grid_id int, start long, goal long"), small=small).collect()}
+    assert found == {g: paths.breadth_first(edges[g], a, b) or None for g, a, b in ends[:-2]} | {20: [5], 21: None}
+    assert any(found[g] is None for g in hexes) or all(len(found[g]) > 5 for g in hexes)
+
+
+def test_long_paths_back_by_doubling(spark):
+    """A way of 40 steps beside one of 41, of which the joins take the shorter, and graphs that end early."""
+    ring = [(1, k, (k + 1) % 81) for k in range(81)] + [(2, 0, 1), (2, 1, 2)]
+    edges = spark.createDataFrame(ring + [(g, b, a) for g, a, b in ring], "grid_id int, a long, b long")
+    found = {r.grid_id: (r.steps, r.path) for r in paths.shortest_paths(edges, spark.createDataFrame([(1, 0, 40), (2, 0, 2)], "grid_id int, start long, goal long"), small=1).collect()}
+    assert found == {1: (40, list(range(41))), 2: (2, [0, 1, 2])}
+
+
+def test_pixels_in_areas_of_any_size(spark):
+    rng = random.Random(8)
+    pixels = [(k, y, x) for k in (1, 2) for y in range(-3, 40) for x in range(0, 70) if rng.random() < 0.5]
+    boxes = [(k, a, rng.uniform(-20, 60), rng.uniform(-20, 40)) for k in (1, 2, 3) for a in range(12)]
+    boxes = [(k, a, x, y, x + rng.choice([0, 0.3, 7.5, 16, 200]), y + rng.choice([0.2, 9, 64])) for k, a, x, y in boxes] + [(1, 50, None, 0.0, 5.0, 5.0), (1, 51, 9.0, 9.0, 2.0, 2.0)]
+    discs = [(k, 100 + a, rng.uniform(-5, 70), rng.uniform(-5, 40), rng.choice([0.0, -2.0, 0.4, 3.0, 8.0, 90.0])) for k in (1, 2) for a in range(10)] + [(2, 150, 5.0, 5.0, None)]
+    areas = tiles.box_areas(spark.createDataFrame(boxes, "k int, area int, left double, top double, right double, bottom double"), 1.5)
+    areas = areas.unionByName(tiles.disc_areas(spark.createDataFrame(discs, "k int, area int, cx double, cy double, radius double")))
+    own = spark.createDataFrame(pixels, "k int, y long, x long")
+    want = {(k, a, y, x) for k, y, x in pixels for j, a, l, t, r, b in boxes if j == k and l is not None and math.floor(l - 1.5) <= x < math.ceil(r + 1.5) and math.floor(t - 1.5) <= y < math.ceil(b + 1.5)}
+    want |= {(k, a, y, x) for k, y, x in pixels for j, a, cx, cy, r in discs if j == k and r and r > 0 and (x - cx) ** 2 + (y - cy) ** 2 <= r * r}
+    found = [(r.k, r.area, r.y, r.x) for r in tiles.inside(own, areas, ["k"]).collect()]
+    assert len(found) == len(set(found)) and set(found) == want
+    some = areas.where("area < 2 or area > 108")
+    hit = {(k, y, x) for k, a, y, x in want if a < 2 or a > 108}
+    assert sorted(r[:] for r in tiles.suppressed(own, some, ["k"]).collect()) == sorted(set(pixels) - hit)
+    assert tiles.inside(own, areas.limit(0), ["k"]).count() == 0
+    plan = tiles.inside(own, areas, ["k"])._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+def test_markers_of_endpoints(spark):
+    """The box of the region around a seed, padded and clamped."""
+    rows = ["##..#", "#...#", "....#"]
+    pixels = spark.createDataFrame([(1, y, x) for y, r in enumerate(rows) for x, c in enumerate(r) if c == "#"], "k int, y long, x long")
+    seeds = spark.createDataFrame([(1, 1, 0), (1, 2, 2)], "k int, y long, x long")
+    found = tiles.marker_boxes(grid.regions(pixels, ["k"]), seeds, ["k"], 4, 5, 9)
+    assert [(r.left, r.top, r.right, r.bottom) for r in found.collect()] == [(0, 0, 4, 4)]
