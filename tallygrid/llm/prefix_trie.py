@@ -37,7 +37,7 @@ from tallygrid.shipping import ship
 
 #: Turns of a conversation summed in one task, weight of a component that is split in arrays, rows of such components
 #: taken in hand at once, components whose centroids may be broadcast (under 100 bytes each), and ids joined to one piece.
-RUN, BLOCK, ROWS, FEW, PIECE = 4096, 1 << 16, 1 << 17, 10_000, 4096
+RUN, BLOCK, ROWS, FEW, PIECE = 4096, 1 << 13, 1 << 16, 10_000, 4096
 #: Conversations of one hundred share the first turns of their first one, up to 5.
 FAMILY, SHARED = 100, 6
 LANES = range(4)
@@ -188,7 +188,7 @@ def subtree_sums(nodes: DataFrame, found: DataFrame, block: int = BLOCK) -> Data
     top = nodes.where("parent is null").select("node", "weight").first()
     if top is None:
         return nodes.select("node", *VALUES)
-    start = nodes.withColumns({"comp": F.lit(bytes(top.node)), "total": F.lit(top.weight)})
+    start = nodes.withColumns({"comp": F.when(F.col("depth") > 0, F.lit(bytes(top.node))).otherwise(F.col("node")), "total": F.lit(top.weight)})
     own = start.columns
     small, sums = [start.where(F.col("total") <= block)], []
     large = start.where(F.col("total") > block)
