@@ -33,9 +33,9 @@ def none(spark):
     return spark.createDataFrame([], CONV)
 
 
-def by_conversation(df):
-    """Turns of each conversation as the operators order them."""
-    own = df.select("conv_id", "turn", *(F.coalesce(c, F.lit("")).alias(c) for c in ("role", "text"))).withColumn("h", F.xxhash64("role", "text"))
+def by_conversation(df, tie=None):
+    """Turns of each conversation as the operators order them: by turn, then by a hash."""
+    own = df.select("conv_id", "turn", *(F.coalesce(c, F.lit("")).alias(c) for c in ("role", "text"))).withColumn("h", F.expr(tie or "xxhash64(role, text)"))
     out = defaultdict(list)
     for r in sorted(own.collect(), key=lambda r: (-1 if r.turn is None else r.turn, r.h)):
         out[r.conv_id].append((r.role, r.text))
@@ -194,6 +194,9 @@ def test_equal_bags_are_scored_once(spark, monkeypatch):
 # 13 prefix trie
 
 
+TIE = "md5(concat(char_length(role), ':', role, text))"
+
+
 def brute_trie(turns_of):
     nodes = defaultdict(list)
     for c, rows in turns_of.items():
@@ -218,10 +221,7 @@ def brute_trie(turns_of):
 def test_trie(conversations, monkeypatch, block, run, rows, few):
     for name, value in (("RUN", run), ("ROWS", rows), ("FEW", few), ("PIECE", 3)):
         monkeypatch.setattr(prefix_trie, name, value)
-    own = by_conversation(conversations.where("conv_id is not null"))
-    own = {c: sorted(rows) for c, rows in own.items()}
-    # ties of a turn stand in the order of a hash of role and text: only conversation 5 has one, of equal rows
-    order = by_conversation(conversations.where("conv_id is not null"))
+    order = by_conversation(conversations.where("conv_id is not null"), TIE)
     again = {}
     for c, turns_of in order.items():
         first = c - int(math.fmod(c, 100))
@@ -234,7 +234,7 @@ def test_trie(conversations, monkeypatch, block, run, rows, few):
 
 def test_trie_of_conversations_as_they_are(conversations, none):
     found = prefix_trie.trie(*prefix_trie.originals(conversations), 100).collect()
-    assert {tuple(r) for r in found} == brute_trie(by_conversation(conversations.where("conv_id is not null")))
+    assert {tuple(r) for r in found} == brute_trie(by_conversation(conversations.where("conv_id is not null"), TIE))
     assert prefix_trie.trie(*prefix_trie.rebuilt(none)).count() == 0
 
 
