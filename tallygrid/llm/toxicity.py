@@ -7,9 +7,12 @@ occur together, such as an insult and a group that it is aimed at. (Rendle 2010.
 loss, with numpy, on SAMPLE labelled rows at most; the weights are a table of fixed size, broadcast. All whole texts are
 scored in one narrow pass.
 
-Rows: null and empty texts have no terms and get the model's bias. Null and repeated doc_ids are scored row by row; null
-ones are never learnt from. Without
-any label the score is 0.5 less a hair, so that nothing is rejected.
+Terms that get a weight are those that tell by themselves and those that tell in a pair. Pairs are looked at among all terms
+that one row in a hundred or more has, in blocks of BLOCK by BLOCK terms, a task for each pair of blocks.
+
+Rows: null and empty texts have no terms and get the model's bias, very long ones are scored whole. Null and repeated doc_ids
+are scored row by row; null ones are never learnt from. Without any label, as with empty tables, the score is 0.5 less a
+hair, so that nothing is rejected. A column of docs named like the score is replaced, others stay.
 """
 
 from __future__ import annotations
@@ -26,8 +29,8 @@ from tallygrid.llm.common import ALNUM, bound_batches, pieces, read, text_bytes,
 from tallygrid.llm.learning import SAMPLE, labelled, remainder
 
 BITS, RANK, PREFIX, THRESHOLD = 18, 8, 5, 0.5
-#: Standard errors of what tells by itself, and of what tells in pairs; terms whose pairs are looked at, at most.
-SCREEN, PAIR, PAIRED = 4.0, 6.0, 512
+#: Standard errors of what tells by itself, and of what tells in pairs; terms of a block whose pairs are looked at together.
+SCREEN, PAIR, BLOCK = 4.0, 6.0, 512
 #: How much more a toxic row weighs in the loss than another, as a missed one costs more.
 WEIGHT = 4.0
 BUCKETS = 1 << BITS
@@ -60,35 +63,75 @@ def screen(d1: np.ndarray, d0: np.ndarray, n1: float, n0: float) -> np.ndarray:
     return (d1 + d0 >= 3) & (np.abs(d1 / n1 - d0 / n0) >= SCREEN * np.sqrt(share * (1 - share) * (1 / n1 + 1 / n0) + 1e-12))
 
 
-def paired(t: np.ndarray, at: np.ndarray, y: np.ndarray, common: np.ndarray) -> np.ndarray:
-    """Those of the `common` terms that interact: pairs whose log odds ratio in toxic rows differs from that in others by
-    PAIR standard errors. Such terms may have no share that tells by itself."""
-    place = np.full(BUCKETS, -1)
-    place[common] = np.arange(len(common))
-    z = []
-    for kind in (True, False):
-        rows = np.flatnonzero((y > 0) == kind)
-        both = np.zeros((len(common), len(common)))
-        for k in range(0, len(rows), 1024):
-            own = rows[k : k + 1024]
-            x = np.zeros((len(own), len(common)), dtype=np.float32)
-            for i, r in enumerate(own):
-                p = place[t[at[r] : at[r + 1]]]
-                x[i, p[p >= 0]] = 1
-            both += x.T @ x
-        one, n = np.diag(both), len(rows)
-        cells = [both, one[:, None] - both, one[None, :] - both, n - one[:, None] - one[None, :] + both]
-        odds = np.log((cells[0] + 0.5) * (cells[3] + 0.5) / ((cells[1] + 0.5) * (cells[2] + 0.5)))
-        z.append((odds, sum(1 / (c + 0.5) for c in cells)))
-    gap = np.abs(z[0][0] - z[1][0]) / np.sqrt(z[0][1] + z[1][1])
-    np.fill_diagonal(gap, 0)
-    return common[(gap >= PAIR).any(axis=1)]
-
-
-def common_terms(d: np.ndarray, n: float) -> np.ndarray:
-    """The PAIRED most frequent terms, of those in one to 99 of a hundred rows."""
-    own = np.flatnonzero((d >= 0.01 * n) & (d <= 0.99 * n))
-    return own[np.argsort(-d[own], kind="stable")[:PAIRED]]
+def counted_terms(d: np.ndarray, n: float) -> np.ndarray:
+    """Terms in one to 99 of a hundred rows: those whose pairs are looked at, however many there are."""
+    return np.flatnonzero((d >= 0.01 * n) & (d <= 0.99 * n) & (d > 0))
+
+
+def by_class(t: np.ndarray, at: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
+    """The rows' terms and offsets with the toxic rows first, and their number."""
+    order = np.argsort(y <= 0, kind="stable")
+    sizes = np.diff(at)[order]
+    ends = np.cumsum(sizes)
+    own = t[np.repeat(at[:-1][order] - (ends - sizes), sizes) + np.arange(len(t))] if len(t) else t
+    return own, np.concatenate([[0], ends]), int((y > 0).sum())
+
+
+def paired(t: np.ndarray, at: np.ndarray, n1: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Those of the terms a and b that interact, one of a with one of b: pairs whose log odds ratio in the first n1 rows, the
+    toxic ones, differs from that in the others by PAIR standard errors. Such terms may have no share that tells by itself."""
+    places = []
+    for own in (a, b):
+        place = np.full(BUCKETS, -1, dtype=np.int32)
+        place[own] = np.arange(len(own))
+        places.append(place)
+    odds = []
+    for first, last in ((0, n1), (n1, len(at) - 1)):
+        both, ones = np.zeros((len(a), len(b))), [np.zeros(len(a)), np.zeros(len(b))]
+        for k in range(first, last, 1024):
+            stop = min(k + 1024, last)
+            terms, row, x = t[at[k] : at[stop]], np.repeat(np.arange(stop - k), np.diff(at[k : stop + 1])), []
+            for place, one in zip(places, ones, strict=True):
+                p = place[terms]
+                held = np.zeros((stop - k, len(one)), dtype=np.float32)
+                held[row[p >= 0], p[p >= 0]] = 1
+                one += held.sum(axis=0)
+                x.append(held)
+            both += x[0].T @ x[1]
+        n, one, other = last - first, ones[0][:, None], ones[1][None, :]
+        cells = [both, one - both, other - both, n - one - other + both]
+        odds.append((np.log((cells[0] + 0.5) * (cells[3] + 0.5) / ((cells[1] + 0.5) * (cells[2] + 0.5))), sum(1 / (c + 0.5) for c in cells)))
+    gap = np.abs(odds[0][0] - odds[1][0]) / np.sqrt(odds[0][1] + odds[1][1])
+    gap[a[:, None] == b[None, :]] = 0
+    hit = gap >= PAIR
+    return np.concatenate([a[hit.any(axis=1)], b[hit.any(axis=0)]])
+
+
+def blocks(terms: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Every pair of terms in a pair of blocks of BLOCK terms."""
+    parts = [terms[k : k + BLOCK] for k in range(0, len(terms), BLOCK)]
+    return [(x, y) for k, x in enumerate(parts) for y in parts[k:]]
+
+
+def all_paired(t: np.ndarray, at: np.ndarray, y: np.ndarray, terms: np.ndarray, spark: SparkSession | None = None) -> np.ndarray:
+    """The interacting terms of all pairs of `terms`: block by block here, or with a session each pair of blocks in a task,
+    which gets the sample as a broadcast: SAMPLE rows of their counted terms at most."""
+    jobs = blocks(terms)
+    rows = by_class(t.astype(np.int32), at, y)
+    if spark is None or len(jobs) < 2:
+        found = [paired(*rows, a, b) for a, b in jobs]
+        return np.unique(np.concatenate([*found, terms[:0]])).astype(np.int64)
+    shared = spark.sparkContext.broadcast((rows, jobs))
+
+    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows, jobs = shared.value
+        for batch in batches:
+            for k in batch.column(0).to_pylist():
+                yield pa.record_batch([pa.array(np.unique(paired(*rows, *jobs[k])).astype(np.int64))], names=["term"])
+
+    found = spark.range(0, len(jobs), 1, len(jobs)).mapInArrow(look, "term long").distinct().toArrow()  # BUCKETS rows at most
+    shared.destroy()
+    return np.sort(found.column("term").to_numpy())
 
 
 class Machine:
@@ -105,14 +148,14 @@ class Machine:
     def scores(self, t: np.ndarray, at: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(self.margin(t, at)[0], -30, 30)))
 
-    def fit(self, t: np.ndarray, at: np.ndarray, y: np.ndarray, epochs: int = 24, batch: int = 64, rate: float = 0.1, decay: float = 2e-4, weight: float = WEIGHT, seed: int = 11) -> Machine:
+    def fit(self, t: np.ndarray, at: np.ndarray, y: np.ndarray, epochs: int = 24, batch: int = 64, rate: float = 0.1, decay: float = 2e-4, weight: float = WEIGHT, seed: int = 11, pairs: np.ndarray | None = None) -> Machine:
         """Only terms that tell by themselves (`screen`) or with another one (`paired`) get weights; the rest stay at zero, so
-        that the many neutral terms of a long text can't outweigh a few telling ones."""
+        that the many neutral terms of a long text can't outweigh a few telling ones. pairs: those that interact, if known."""
         rng, n = np.random.default_rng(seed), len(y)
         toxic, n1 = np.repeat(y > 0, np.diff(at)), float((y > 0).sum())
         d1, d0 = np.bincount(t[toxic], minlength=BUCKETS), np.bincount(t[~toxic], minlength=BUCKETS)
         seen = screen(d1, d0, n1, n - n1)
-        pairs = paired(t, at, y, common_terms(d1 + d0, n))
+        pairs = all_paired(t, at, y, counted_terms(d1 + d0, n)) if pairs is None else pairs
         self.v[pairs] *= 10
         seen[pairs] = True
         self.v[~seen] = 0
@@ -185,14 +228,16 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE) -> Machine:
     n0, n1 = d[:, BUCKETS].tolist()
     d = d[:, :BUCKETS]
     wanted = screen(d[1], d[0], n1, n0)
-    wanted[common_terms(d.sum(axis=0), n0 + n1)] = True
+    counted = counted_terms(d.sum(axis=0), n0 + n1)
+    wanted[counted] = True
     sample = sample.mapInArrow(_terms(spark.sparkContext.broadcast(wanted)), "y int, t binary").toArrow()
     y, own = sample.column("y").to_numpy(), [np.frombuffer(x, dtype=np.int32) for x in sample.column("t").to_pylist()]
     if not len(y):
         out = Machine()
         out.bias, out.v = -1e-6, np.zeros_like(out.v)
         return out
-    return Machine().fit(np.concatenate(own), np.cumsum([0, *map(len, own)]), y.astype(np.float64))
+    t, at, y = np.concatenate(own), np.cumsum([0, *map(len, own)]), y.astype(np.float64)
+    return Machine().fit(t, at, y, pairs=all_paired(t, at, y, counted, spark))
 
 
 def _scorer(shared, text_at: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:

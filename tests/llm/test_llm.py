@@ -207,6 +207,23 @@ def test_machine_learns_exclusive_or():
     assert ((model.scores(t[at[4000] :], at[4000:] - at[4000]) > 0.5) == (y[4000:] > 0)).mean() > 0.95
 
 
+def test_machine_learns_exclusive_or_among_frequent_words(spark):
+    """Nine hundred words are more frequent than the two that tell; pairs are found alike in one process and in tasks."""
+    rng = np.random.default_rng(4)
+    kinds = rng.integers(0, 4, 5000)
+    neutral = np.array([b"n%03d" % j for j in range(900)])
+    xs = [b" ".join([*([b"alpha"] if k & 1 else []), *([b"gamma"] if k & 2 else []), *neutral[rng.random(900) < 0.6]]) for k in kinds]
+    y = np.isin(kinds, (1, 2)).astype(float)
+    t, at = toxicity.terms(xs)
+    own, upto, labels = t[: at[4000]], at[:4001], y[:4000]
+    counted = toxicity.counted_terms(np.bincount(own, minlength=toxicity.BUCKETS), 4000)
+    assert len(toxicity.blocks(counted)) > 1 and len(counted) > 900
+    pairs = toxicity.all_paired(own, upto, labels, counted, spark)
+    assert (pairs == toxicity.all_paired(own, upto, labels, counted)).all() and 2 <= len(pairs) < 20
+    model = toxicity.Machine().fit(own, upto, labels, pairs=pairs)
+    assert ((model.scores(t[at[4000] :], at[4000:] - at[4000]) > 0.5) == (y[4000:] > 0)).mean() > 0.95
+
+
 def average_precision(scores, truth):
     own = np.asarray(truth, dtype=float)[np.argsort(-np.asarray(scores), kind="stable")]
     return float((np.cumsum(own) / np.arange(1, len(own) + 1) * own).sum() / own.sum())
