@@ -10,13 +10,14 @@ between the other's prefix and suffix too, in the text that has fewer of them: s
 rest alike, without a limit on their number. The string form is the length, the hash of the whole text and the hashes of GRID prefixes at multiples of a power of two,
 so that stored fingerprints still show how far two texts agree (`common_prefix`).
 
-Each document meets the next in ascending doc_id as neighbours in a sorted stream: ids are cut into ranges at quantiles,
-which are ids that exist, so the first row of each range is known beforehand and is sent to the range before it as well.
+Each document meets the next in ascending doc_id as neighbours in a sorted stream: ids are cut into ranges at ids of a
+bounded sample, so the first row of each range is known beforehand and is sent to the range before it as well.
 Rows without an id are cut into ranges of their own by a hash of their texts. Ranges hold about RANGE_ROWS rows, up to
 RANGES of them. Texts are shuffled once; a task holds two texts at a time.
 
 Rows: null texts count as empty. A null doc_id comes before all others. Rows that share a doc_id, or have none, follow each
 other in the order of a hash of their texts. A single row is its own next document. Empty texts are like each other and unlike all else.
+Very long texts are hashed whole. An empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -32,7 +33,7 @@ from pyspark.sql import functions as F
 
 from tallygrid.llm.common import bound_batches, pieces, read
 
-PRIME, BASES, GRID, SPAN, RANGE_ROWS, RANGES = (1 << 31) - 1, (1_000_003, 724_655_953), 32, 32, 1000, 100_000
+PRIME, BASES, GRID, SPAN, RANGE_ROWS, RANGES, SAMPLED = (1 << 31) - 1, (1_000_003, 724_655_953), 32, 32, 1000, 100_000, 20
 _INVERSES = {base: pow(base, -1, PRIME) for base in BASES}
 _P = np.uint64(PRIME)
 _TABLES: dict[int, np.ndarray] = {}
@@ -198,25 +199,28 @@ def _placer(shared) -> Callable:
     return F.pandas_udf(place, "long", F.PandasUDFType.SCALAR)
 
 
+def _keyed(docs: DataFrame) -> DataFrame:
+    return docs.withColumn("known", F.col("doc_id").isNotNull()).withColumn("key", F.when(F.col("known"), F.col("doc_id")).otherwise(F.xxhash64("text")))
+
+
 def _starts(docs: DataFrame) -> dict[bool, tuple[int, np.ndarray]]:
     """For rows without an id and for those with one: the number of their first range, and the first key of each range.
 
-    Quantiles are kept as doubles, which round large keys: those of ids count from the smallest id, if that fits a long, and
-    the smallest key from each quantile on is one that exists.
+    A range starts at a key of a sample of SAMPLED keys a range, picked by a hash of the key, the first one at the smallest
+    key. Only the sample comes together.
     """
-    n, known, low, high = docs.agg(F.count("*"), F.count("doc_id"), F.min("doc_id"), F.max("doc_id")).first()
+    docs = _keyed(docs)
+    n, known, low, other = docs.agg(F.count("*"), F.count("doc_id"), F.min("doc_id"), F.min(F.when(~F.col("known"), F.col("key")))).first()
     ranges = min(RANGES, max(1, n // RANGE_ROWS))
-    quantiles = f"cast(split('{','.join(str(k / ranges) for k in range(ranges))}', ',') AS array<double>)"
+    share = min(1 << 40, -(-(SAMPLED * ranges << 40) // max(1, n)))
     out: dict[bool, tuple[int, np.ndarray]] = {}
     first = 0
-    for kind, rows in ((False, n - known), (True, known)):
+    for kind, rows, least in ((False, n - known, other), (True, known, low)):
         if rows:
-            own = docs.where(F.col("doc_id").isNotNull() == kind).select((F.col("doc_id") if kind else F.xxhash64("text")).alias("key"))
-            base = low if kind and high - low < 1 << 63 else 0
-            marks = own.select((F.col("key") - base).alias("key")).agg(F.expr(f"approx_percentile(key, {quantiles}, {10 * ranges})").alias("marks")).first().marks
-            cuts = docs.sparkSession.sparkContext.broadcast(np.unique(np.array(marks[:: max(1, round(n / rows))], dtype=np.int64)) + base)
-            between = F.pandas_udf(lambda key, cuts=cuts: pd.Series(np.searchsorted(cuts.value, key.to_numpy(), side="right")), "long", F.PandasUDFType.SCALAR)
-            starts = np.sort(np.array([r.low for r in own.groupBy(between("key")).agg(F.min("key").alias("low")).collect()], dtype=np.int64))
+            own = docs.where(F.col("known") == kind).select("key").where(F.xxhash64(F.lit(SAMPLED), "key").bitwiseAND(F.lit((1 << 40) - 1)) < share)
+            sample = np.sort(own.distinct().toArrow().column("key").to_numpy())  # 8 * SAMPLED * RANGES bytes at most
+            marks = np.linspace(0, len(sample), max(1, round(ranges * rows / n)), endpoint=False).astype(np.int64)[1:]
+            starts = np.unique(np.concatenate([np.array([least], dtype=np.int64), sample[marks] if len(sample) else sample]))
             out[kind] = (first, starts)
             first += len(starts)
     return out
@@ -226,8 +230,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     """(doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next) of every row."""
     spark = docs.sparkSession
     bound_batches(spark)
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    docs = docs.withColumn("known", F.col("doc_id").isNotNull()).withColumn("key", F.when(F.col("known"), F.col("doc_id")).otherwise(F.xxhash64("text")))
+    docs = _keyed(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
     starts = _starts(docs)
     place, last = _placer(spark.sparkContext.broadcast(starts)), max((first + len(own) for first, own in starts.values()), default=1) - 1
     rows = docs.withColumn("place", place("known", "key")).withColumn("at", F.expr("place div 2"))
