@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 Point = tuple[Column, Column]
@@ -137,6 +137,43 @@ def polygon_violations(points: list[Point], short: float, kind: str) -> dict[str
     raise ValueError(kind)
 
 
+#: Q4 as a table. Task, measure, which side of the limit breaks it, limit, power of the short side that it is a share of.
+QUALITY_RULES = [
+    *((task, *rule) for task, (side, size, low, high, off) in TRIANGLE_TASKS.items() for rule in (
+        ("side", "below", side, 1), ("area", "below", size, 2), ("small_angle", "below", low, 0), ("large_angle", "above", high, 0), ("right_angle", "below", off, 0)) if rule[2] > 0),
+    ("angle_bisector", "opening", "below", 36.0, 0), ("angle_bisector", "opening", "above", 120.0, 0),
+    ("parallelogram", "side", "below", 0.17, 1), ("parallelogram", "area", "below", 0.04, 2),
+    ("isosceles_trapezoid", "top", "below", 0.18, 1), ("isosceles_trapezoid", "area", "below", 0.05, 2),
+    ("right_triangle", "leg", "below", 0.20, 1), ("right_triangle", "ratio", "above", 1.35, 0),
+    ("square_outlier", "side", "below", 0.25, 1), ("square_outlier", "area", "below", 0.09, 2),
+]
+
+
+def measures(points: list[Point]) -> dict[str, Column]:
+    """Q4: what the rules look at. Three points: a triangle, the first its right angle, the second the vertex of an opening.
+    Four: a polygon, of which the third side is the top."""
+    sides = [distance(p, q) for p, q in zip(points, points[1:] + points[:1], strict=True)]
+    if len(points) != 3:
+        return {"side": F.least(*sides), "area": polygon_area(points), "top": sides[2]}
+    a, b, c = points
+    angles, legs = [angle(a, b, c), angle(b, a, c), angle(c, a, b)], (sides[0], sides[2])
+    return {
+        "side": F.least(*sides), "area": area(a, b, c), "small_angle": F.least(*angles), "large_angle": F.greatest(*angles), "right_angle": F.least(*(F.abs(x - 90.0) for x in angles)),
+        "opening": angles[1], "leg": F.least(*legs), "ratio": F.coalesce(F.try_divide(F.greatest(*legs), F.least(*legs)), F.lit(float("inf"))),
+    }
+
+
+def broken_rules(rows: DataFrame, key: list[str], shapes: dict[str, list[Point]], short: float, rules: list[tuple] = QUALITY_RULES) -> DataFrame:
+    """Q4: (key, task, measure, side): every rule that a row's shapes break. shapes: task -> its points; rules: a short table,
+    which is broadcast; measures are worked out once a row and joined with it."""
+    wanted = {t: {m for task, m, *_ in rules if task == t} for t in shapes}
+    values = F.array(*(F.struct(F.lit(t).alias("task"), F.lit(m).alias("measure"), v.alias("value")) for t, points in shapes.items() for m, v in measures(points).items() if m in wanted[t]))
+    long = rows.select(*key, F.inline(values))
+    table = rows.sparkSession.createDataFrame([(t, m, s, float(x) * short**p) for t, m, s, x, p in rules], "task string, measure string, side string, _limit double")
+    found = long.join(F.broadcast(table), ["task", "measure"])
+    return found.where(F.when(F.col("side") == "below", F.col("value") < F.col("_limit")).otherwise(F.col("value") > F.col("_limit"))).select(*key, "task", "measure", "side")
+
+
 def well_spaced(points: Column, least: float) -> Column:
     """No two of an array of structs x, y are nearer than `least`."""
     near = lambda p, q: F.sqrt(F.pow(p["x"] - q["x"], F.lit(2)) + F.pow(p["y"] - q["y"], F.lit(2))) < least

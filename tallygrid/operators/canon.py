@@ -82,8 +82,29 @@ def absolute(path: Column, base: str | Column) -> Column:
     return F.concat(F.lit("/"), F.array_join(fold, "/"))
 
 
-def canonical(records: DataFrame, base: str | Column, name: str | Column = "task") -> DataFrame:
-    """Records (record: JSON text) with the canonical columns and reject_reason, null for rows that are kept."""
+def resolve_assets(rows: DataFrame, files: DataFrame, column: str, root: Column, file: Column, key: str = "pos") -> DataFrame:
+    """Rows with `path`, where the asset of a column is, and `found`, whether there is such a file; null without an asset.
+
+    Absolute paths stay. Others are looked for below the dataset's root, then in the folder of its file; what is nowhere
+    counts as below the root. files: (path) of all files. Candidates meet the listing in one equi join, which Spark may
+    filter beforehand; neither side is broadcast. key is unique.
+    """
+    given = missing(F.col(column))
+    folder = F.regexp_extract(file, "^(.*)/[^/]*$", 1)
+    places = F.when(given.startswith("/"), F.array(given)).otherwise(F.array(absolute(given, root), absolute(given, folder)))
+    own = rows.where(given.isNotNull()).select(key, F.posexplode(places).alias("_place", "_path"))
+    there = files.select(F.col("path").alias("_path")).distinct().withColumn("_there", F.lit(True))
+    own = own.join(there.hint("merge"), "_path", "left").withColumn("_missed", F.col("_there").isNull())
+    best = own.groupBy(key).agg(F.min(F.struct("_missed", "_place", "_path")).alias("_best"))
+    out = rows.drop("path", "found").join(best.hint("merge"), key, "left")
+    return out.withColumns({"path": F.col("_best._path"), "found": ~F.col("_best._missed")}).drop("_best")
+
+
+def canonical(records: DataFrame, base: str | Column, name: str | Column = "task", parsed: str | None = None) -> DataFrame:
+    """Records (record: JSON text) with the canonical columns and reject_reason, null for rows that are kept.
+
+    parsed: name of a column that keeps the record as a map, so that what comes after needn't parse it again.
+    """
     m, rows = F.col("_m"), pin(records, {"_m": record_map("record")})
     path = lambda x: F.when(missing(x).isNotNull(), absolute(x, base))
     image = missing(value(m, "image"))
@@ -106,7 +127,7 @@ def canonical(records: DataFrame, base: str | Column, name: str | Column = "task
     })
     no_answer = F.when(group == "maze", F.col("path_cell_ids").isNull()).otherwise(F.col("correct_option").isNull())
     reason = F.when(m.isNull(), "not a record").when(group.isNull(), "no task group").when(F.col("puzzle_image").isNull() | F.col("solution_image").isNull(), "missing asset").when(no_answer, "no answer")
-    return rows.withColumns({"prompt_train": training_prompt("task_group", "prompt_raw"), "reject_reason": reason}).drop("_m")
+    return rows.withColumns({"prompt_train": training_prompt("task_group", "prompt_raw"), "reject_reason": reason}).withColumns({} if parsed is None else {parsed: m}).drop("_m")
 
 
 def prompt_for(m: Column, mode: str, prompts: Column, prompt_train: Column) -> Column:
@@ -264,4 +285,4 @@ def best_candidate(samples: DataFrame, listing: DataFrame, kinds: tuple[str, ...
     rank = F.when(name == "output.png", 0).when(name == "generated.png", 1).when(name.endswith(".png"), 2).when(name.endswith(".jpg"), 3)
     rank = rank.when(F.array_contains(F.array(*(F.concat(F.col("sample_id").cast("string"), F.lit(f".{k}")) for k in kinds)), name), 4)
     found = listing.withColumn("_rank", rank).where("_rank is not null").groupBy("sample_id").agg(F.min_by("path", F.struct("_rank", "path")).alias("candidate"))
-    return samples.join(found, "sample_id", "left")
+    return samples.join(found.hint("merge"), "sample_id", "left")

@@ -22,7 +22,7 @@ def nearest_palette(rgb: list[Column], palette: Palette) -> Column:
 def nearest_candidate(points: DataFrame, candidates: DataFrame, key: str) -> DataFrame:
     """(key, name) of the candidate closest to the key's point, the first on a tie; points: key, px, py."""
     d = F.round(F.sqrt(F.pow(F.col("x") - F.col("px"), F.lit(2)) + F.pow(F.col("y") - F.col("py"), F.lit(2))), 6)
-    return candidates.join(points, key).groupBy(key).agg(F.min_by("name", F.struct(d, "pos")).alias("name"))
+    return candidates.join(points.hint("merge"), key).groupBy(key).agg(F.min_by("name", F.struct(d, "pos")).alias("name"))
 
 
 def centroid(pixels: DataFrame, keys: list[str], mask: Column, least: int = 20) -> DataFrame:
@@ -53,15 +53,25 @@ def cell_means(pixels: DataFrame, keys: list[str], size: int, inset: int = 0) ->
 
 
 def valid_grids(cells: DataFrame, n: int) -> DataFrame:
-    """(puzzle_id, valid): each row, column and box holds 1..n once. n: a square number."""
+    """(puzzle_id, valid): each row, column and box holds 1..n once. n: a square number, up to 49.
+
+    Each line is a mask of the values that it holds, a bit each, so that one aggregate does for all of them: n * n cells
+    whose 3 * n masks are full hold every value once a line. Other values, places outside the grid and nulls make it invalid.
+    """
     box = int(n**0.5)
-    if box * box != n:
-        raise ValueError("the size of a grid is a square number")
-    own = cells.withColumns({"box": F.floor(F.col("row") / box) * box + F.floor(F.col("col") / box)})
-    sets = own.groupingSets([["puzzle_id", "row"], ["puzzle_id", "col"], ["puzzle_id", "box"]], "puzzle_id", "row", "col", "box").agg(
-        ((F.countDistinct("value") == n) & (F.min("value") == 1) & (F.max("value") == n) & (F.count("*") == n)).alias("ok")
-    )
-    return sets.groupBy("puzzle_id").agg((F.bool_and("ok") & (F.count("*") == 3 * n)).alias("valid"))
+    if box * box != n or n > 49:
+        raise ValueError("the size of a grid is a square number, 49 at most")
+    inside = F.col("row").between(0, n - 1) & F.col("col").between(0, n - 1) & F.col("value").between(1, n)
+    bit = F.when(inside, F.expr("shiftleft(1L, int(value))"))
+    lines = {"row": F.col("row"), "col": F.col("col"), "box": F.floor(F.col("row") / box) * box + F.floor(F.col("col") / box)}
+    masks = [F.bit_or(F.when(place == k, F.col("_bit"))).alias(f"_{name}{k}") for name, place in lines.items() for k in range(n)]
+    full = F.lit((1 << (n + 1)) - 2)
+    own = cells.withColumn("_bit", bit).groupBy("puzzle_id").agg(F.count("*").alias("_n"), *masks)
+    right = F.col("_n") == n * n
+    for name in lines:
+        for k in range(n):
+            right = right & F.coalesce(F.col(f"_{name}{k}") == full, F.lit(False))
+    return own.select("puzzle_id", right.alias("valid"))
 
 
 def mirrored(cells: DataFrame, half: int, white: str = "white") -> DataFrame:

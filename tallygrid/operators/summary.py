@@ -45,11 +45,11 @@ def judged_metrics(judged: DataFrame) -> DataFrame:
 def generation_report(records: DataFrame, canonical: DataFrame, deduplicated: DataFrame, expected: DataFrame | None = None) -> DataFrame:
     """By task type: records, canonical rows, rows after dedup, dropped; raises where `expected` (task_type, n) differs."""
     count = lambda df, name: df.groupBy("task_type").agg(F.count("*").alias(name))
-    out = count(records, "n_records").join(count(canonical, "n_canonical"), "task_type", "left").join(count(deduplicated, "n_kept"), "task_type", "left").fillna(0)
+    out = count(records, "n_records").join(count(canonical, "n_canonical").hint("merge"), "task_type", "left").join(count(deduplicated, "n_kept").hint("merge"), "task_type", "left").fillna(0)
     out = out.withColumn("n_dropped", F.col("n_canonical") - F.col("n_kept"))
     if expected is not None:
         fail = F.raise_error(F.concat(F.lit("record count of "), F.col("task_type")))
-        out = out.join(expected.withColumnRenamed("n", "_n"), "task_type", "left")
+        out = out.join(expected.withColumnRenamed("n", "_n").hint("merge"), "task_type", "left")
         out = out.withColumn("n_records", F.when(F.col("_n").isNull() | (F.col("_n") == F.col("n_records")), F.col("n_records")).otherwise(fail.cast("long"))).drop("_n")
     return out
 

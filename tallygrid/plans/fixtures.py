@@ -75,7 +75,7 @@ SELECT doc_id, lang, source, CASE doc_id % 12
   WHEN 9 THEN '  ' WHEN 10 THEN concat('seven or ', CASE WHEN doc_id % 3 = 1 THEN 'twelve' ELSE 'three' END, ' <ANSWER>Yes</ANSWER>') END AS t
 FROM {documents}""",
     "triangles": """
-SELECT vec_id, {at1} AS ax, {at2} AS ay, {at3} AS bx, {at4} AS by_, {at5} AS cx, {at6} AS cy, label FROM {embeddings}""",
+SELECT vec_id, {at1} AS ax, {at2} AS ay, {at3} AS bx, {at4} AS by_, {at5} AS cx, {at6} AS cy, {at7} AS dx, {at8} AS dy, label FROM {embeddings}""",
     "candidates": """
 SELECT vec_id, label, k AS pos, substr('ABCDE', k + 1, 1) AS name,
   CASE k WHEN 0 THEN {at7} WHEN 1 THEN {at9} WHEN 2 THEN {at11} WHEN 3 THEN {at13} ELSE {at15} END AS x,

@@ -297,6 +297,28 @@ def q4_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return own.select("vec_id", F.explode(broken).alias("rule"))
 
 
+def rule_sql() -> str:
+    """The rules written out over the angles' columns and those of the polygon a, b, c, d."""
+    three = {"side": "least(la, lb, lc)", "area": "area", "small_angle": "least(wa, wb, wc)", "large_angle": "greatest(wa, wb, wc)", "right_angle": "least(abs(wa - 90), abs(wb - 90), abs(wc - 90))", "opening": "wb", "leg": "least(lc, lb)", "ratio": "greatest(lc, lb) / least(lc, lb)"}
+    four = {"side": "least(lc, la, ld, le)", "area": "quad", "top": "ld"}
+    out = []
+    for task, measure, side, limit, power in G.QUALITY_RULES:
+        value = (four if task in ("parallelogram", "isosceles_trapezoid", "square_outlier") else three)[measure]
+        out.append(f"CASE WHEN {value} {'<' if side == 'below' else '>'} {limit} * {512**power} THEN '{task}/{measure}/{side}' END")
+    return f"""SELECT vec_id, rule FROM (SELECT vec_id, unnest([{', '.join(out)}]) AS rule FROM (SELECT *, sqrt((cx - dx) ** 2 + (cy - dy) ** 2) AS ld, sqrt((ax - dx) ** 2 + (ay - dy) ** 2) AS le,
+      abs(ax * by_ - bx * ay + bx * cy - cx * by_ + cx * dy - dx * cy + dx * ay - ax * dy) / 2 AS quad FROM {ANGLES})) WHERE rule IS NOT NULL"""
+
+
+@query(rule_sql())
+def q4_rule_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All nine rule sets, as a table that is joined to the measures."""
+    own, a, b, c = corners(spark, sf_dir)
+    d = (F.col("dx"), F.col("dy"))
+    polygons = ("parallelogram", "isosceles_trapezoid", "square_outlier")
+    shapes = {t: [a, b, c, d] if t in polygons else [a, b, c] for t in dict.fromkeys(r[0] for r in G.QUALITY_RULES)}
+    return G.broken_rules(own, ["vec_id"], shapes, 512.0).select("vec_id", F.concat_ws("/", "task", "measure", "side").alias("rule"))
+
+
 MASK = f"(SELECT DISTINCT image_id, y, x FROM {PX} WHERE {BRIGHT} OR g >= 100)"
 
 

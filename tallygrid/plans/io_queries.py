@@ -11,7 +11,7 @@ from tallygrid.plans.fixtures import duck, fixture, table
 from tallygrid.plans.record_queries import shared_folder
 from tallygrid.plans.registry import query
 from tallygrid.sources import readers, sinks
-from tallygrid.streaming import results
+from tallygrid.streaming import results, retries
 
 
 @query("SELECT doc_id, lang, CASE WHEN doc_id % 3 > 0 THEN source END AS source FROM documents")
@@ -82,6 +82,33 @@ def st2_running_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return results.drain(results.running_summary(attempts_stream(spark, sf_dir)), shared_folder(spark), shared_folder(spark), "complete")
 
 
+@query(record_queries.A1_BY_GROUP)
+def st2_upserted_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Changed groups only, batch by batch."""
+    return results.upsert(results.running_summary(attempts_stream(spark, sf_dir)), shared_folder(spark), shared_folder(spark), ["task_group"])
+
+
+TIMED = """(SELECT user_id AS item_id, event_id AS attempt, CASE WHEN event_type = 'signup' AND user_id % 2 = 0 THEN 1 ELSE 0 END AS ok, concat('err-', event_type) AS error, ts FROM events)"""
+DAY = 86_400_000
+
+
+@query(f"""WITH a AS (SELECT *, epoch_ms(ts) AS ms FROM {TIMED}), b AS (SELECT *, coalesce(lag(ok) OVER w = 1 OR ms - lag(ms) OVER w > {DAY}, true) AS starts FROM a WINDOW w AS (PARTITION BY item_id ORDER BY ms, attempt)),
+c AS (SELECT *, count(*) FILTER (starts) OVER (PARTITION BY item_id ORDER BY ms, attempt) AS run FROM b),
+d AS (SELECT item_id, run, count(*) AS attempts, arg_max(error, (ms, attempt)) AS last_error, max(ok) = 1 AS done, max(ms) AS ms FROM c GROUP BY 1, 2)
+SELECT item_id, attempts, last_error, done, CASE WHEN done THEN 'done' ELSE 'timeout' END AS reason FROM d
+WHERE done OR ms + {DAY} <= (SELECT max(ms) FROM a) OR run < (SELECT max(run) FROM d e WHERE e.item_id = d.item_id)""")
+def st3_settled_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Attempts arrive in two parts, each drained with the same checkpoint; what no attempt follows for a day times out."""
+    own = table(spark, sf_dir, "events").selectExpr("user_id as item_id", "event_id as attempt", "if(event_type = 'signup' and user_id % 2 = 0, 1, 0) as ok", "concat('err-', event_type) as error", "cast(ts as timestamp) as ts")
+    low, high = own.agg(F.min("ts"), F.max("ts")).first()
+    path, out, checkpoint = (shared_folder(spark) for _ in range(3))
+    for part in (F.col("ts") <= low + (high - low) / 2, F.col("ts") > low + (high - low) / 2):
+        own.where(part).repartition(4).write.mode("append").parquet(path)
+        stream = spark.readStream.schema(own.schema).parquet(path)
+        found = retries.drain_settled(stream, DAY, out, checkpoint)
+    return found
+
+
 @query(f"SELECT item_id, count(*) AS attempts, arg_max(error, attempt) AS last_error, max(ok) = 1 AS done FROM {duck('retry')} GROUP BY 1")
 def st3_retry_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = fixture(spark, sf_dir, "retry")
@@ -119,5 +146,6 @@ def snk7_run_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 def q5_expected_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Reading the report raises if a task type hasn't the records that the samples table promises."""
     own = fixture(spark, sf_dir, "samples").select("task_type")
-    report = summary.generation_report(own, own, own, own.groupBy("task_type").agg(F.count("*").alias("n")))
+    promised = table(spark, sf_dir, "documents").groupBy(F.expr("element_at(array('maze_square', 'color_grid', 'midpoint', 'unknown_task'), int(doc_id % 4 + 1))").alias("task_type")).agg(F.count("*").alias("n"))
+    report = summary.generation_report(own, own, own, promised)
     return report.select("task_type", "n_records")

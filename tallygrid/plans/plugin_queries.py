@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,9 +13,14 @@ from tallygrid.plans.record_queries import OPEN, strict_sql
 from tallygrid.plans.registry import query
 
 
-@query(f"SELECT puzzle_id, pos, voted, 'strict' AS rule FROM (SELECT DISTINCT puzzle_id, pos FROM {OPEN}) LEFT JOIN {strict_sql(OPEN)} USING (puzzle_id, pos)")
+@query(f"""SELECT puzzle_id, pos, voted, 'strict' AS rule FROM (SELECT DISTINCT puzzle_id, pos FROM {OPEN}) LEFT JOIN {strict_sql(OPEN)} USING (puzzle_id, pos)
+  UNION ALL SELECT puzzle_id, pos, arg_min(predicted, CASE WHEN predicted IS NOT NULL THEN first - n * 1000 END), 'first_seen' FROM (SELECT puzzle_id, pos, predicted, count(*) AS n, min(attempt) AS first FROM {OPEN} GROUP BY ALL) GROUP BY puzzle_id, pos
+  UNION ALL SELECT puzzle_id, pos, arg_min(predicted, CASE WHEN predicted IS NOT NULL THEN predicted - n * 1000 END), 'least' FROM (SELECT puzzle_id, pos, predicted, count(*) AS n FROM {OPEN} GROUP BY ALL) GROUP BY puzzle_id, pos""")
 def x2_vote_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return plugins.vote(fixture(spark, sf_dir, "cells").where("is_clue = 0"), ["puzzle_id", "pos"], "predicted", "strict")
+    """Each position by every rule."""
+    own = fixture(spark, sf_dir, "cells").where("is_clue = 0")
+    parts = [plugins.vote(own, ["puzzle_id", "pos"], "predicted", rule) for rule in sorted(plugins.VOTES)]
+    return reduce(DataFrame.unionByName, parts)
 
 
 @query(f"SELECT image_id, count(*) FILTER (greatest(r, g, b) <= 40) AS walls, count(*) FILTER (r >= 150 AND r - greatest(g, b) >= 70) AS reds FROM {duck('pixels')} GROUP BY 1")

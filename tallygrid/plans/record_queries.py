@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tallygrid.functions import rewards as R
 from tallygrid.functions import text as T
-from tallygrid.operators import canon, export, summary, synth, votes
+from tallygrid.operators import canon, export, gates, summary, synth, votes
 from tallygrid.operators.components import shared_path as shared_folder
 from tallygrid.plans.fixtures import duck, fixture, table
 from tallygrid.plans.registry import query
@@ -32,10 +32,9 @@ def records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Canonical rows that are kept, with the prompts of the four modes."""
-    own = canon.canonical(records(spark, sf_dir), F.lit("/root/x/../set")).where("reject_reason is null")
-    own = canon.pin(own, {"_m": canon.record_map("record")})
-    modes = {m: canon.prompt_for(F.col("_m"), m, F.col("prompts"), F.col("prompt_train")) for m in canon.PROMPT_KEYS}
-    return canon.pin(own, modes).withColumns({"answer_text": canon.value(F.col("_m"), "answer"), "raw_answer": canon.value(F.col("_m"), "ti2t_answer")})
+    own = canon.canonical(records(spark, sf_dir), F.lit("/root/x/../set"), parsed="fields").where("reject_reason is null")
+    modes = {m: canon.prompt_for(F.col("fields"), m, F.col("prompts"), F.col("prompt_train")) for m in canon.PROMPT_KEYS}
+    return canon.pin(own, modes).withColumns({"answer_text": canon.value(F.col("fields"), "answer"), "raw_answer": canon.value(F.col("fields"), "ti2t_answer")})
 
 
 #: The same rows in SQL, from the fixture alone.
@@ -93,6 +92,16 @@ def p8_absolute_path(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fixture(spark, sf_dir, "samples").select("pos", canon.absolute(path, F.lit("/a/b")).alias("path"))
 
 
+@query(f"""SELECT pos, CASE WHEN pos % 9 = 0 THEN '/abs/' || pos || '.png' WHEN image IS NULL THEN NULL WHEN pos % 800 % 3 = 1 THEN '/root/files/' || image ELSE '/root/set/' || image END AS path,
+  CASE WHEN pos % 9 = 0 THEN pos % 2 = 0 WHEN image IS NOT NULL THEN pos % 800 % 3 < 2 END AS found FROM {S}""")
+def p8_existing_assets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Images below the dataset's root, else beside its file, else nowhere; some absolute ones, of which half exist."""
+    own = fixture(spark, sf_dir, "samples").withColumn("image", F.expr("if(pos % 9 = 0, concat('/abs/', pos, '.png'), image)"))
+    files = fixture(spark, sf_dir, "samples").selectExpr("inline(array(struct(if(pos % 800 % 3 = 0, concat('/root/set/puzzles/', pos % 800, '.png'), concat('/root/files/puzzles/', pos % 800, '.png')) as path, pos % 800 % 3 < 2 as there), struct(concat('/abs/', pos, '.png') as path, pos % 18 = 0 as there), struct(if(pos % 800 % 6 = 0, concat('/root/files/puzzles/', pos % 800, '.png'), null) as path, true as there)))")
+    out = canon.resolve_assets(own, files.where("there and path is not null").select("path"), "image", F.lit("/root/set"), F.lit("/root/files/data.json"))
+    return out.select("pos", "path", "found")
+
+
 @query(f"""SELECT pos, array_to_string(list_filter([CASE WHEN pos % 13 > 0 THEN 'id' END, 'image', CASE WHEN pos % 17 > 0 THEN 'solution_image_path' END, CASE WHEN has_ti2i = 1 THEN 'ti2i_prompt' END,
   CASE WHEN pos % 4 = 1 AND pos % 7 > 0 THEN 'ti2t_answer' END], lambda k: k IS NOT NULL), ',') AS keys, image FROM {S}""")
 def p9_prune(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -405,6 +414,23 @@ def a20_generation_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return summary.generation_report(own, kept, canon.keep_first(kept, ["sample_id", "task_group", "puzzle_image"]), expected)
 
 
+@query(f"""SELECT task_type, count(*) AS n_records, count(*) FILTER (why IS NULL) AS n_canonical, count(*) FILTER (why IS NULL AND k = 1) AS n_kept, count(*) FILTER (why IS NULL AND k > 1) AS n_dropped
+  FROM (SELECT *, row_number() OVER (PARTITION BY why IS NULL, sid, g, image ORDER BY pos) AS k FROM {C1}) GROUP BY 1""")
+def a20_checked_write(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The report out of the metrics of one write; the expected counts are those of the documents."""
+    own = canon.canonical(records(spark, sf_dir), F.lit("/root/set"))
+    own = gates.with_repeats(own, ["sample_id", "task_group", "puzzle_image"], F.col("reject_reason").isNull())
+    kinds = table(spark, sf_dir, "documents").groupBy(F.expr("element_at(array('maze_square', 'color_grid', 'midpoint', 'unknown_task'), int(doc_id % 4 + 1))").alias("t")).count()
+    expected = {r.t: r["count"] for r in kinds.collect()}  # four rows
+    rules = {"rejected": F.col("reject_reason").isNotNull(), "repeated": F.col("repeated")}
+    counts = gates.write_checked(own, shared_folder(spark), {"no type": F.col("task_type").isNull()}, rules, "task_type", sorted(expected))
+    gates.expect(counts, expected)
+    written = [(k, counts[k]["records"], counts[k]["kept"]) for k in expected]
+    by_rule = gates.dropped_by(counts, sorted(expected), list(rules))
+    rows = [(k, n, n - by_rule[k]["rejected"], kept, by_rule[k]["repeated"]) for k, n, kept in written]
+    return spark.createDataFrame(rows, "task_type string, n_records long, n_canonical long, n_kept long, n_dropped long")
+
+
 @query("SELECT label AS task, count(*) AS processed, round(sum(d), 6) AS total, round(avg(d), 6) AS average, sum(count(*)) OVER (ORDER BY label) AS processed_so_far, round(sum(sum(d)) OVER (ORDER BY label), 6) AS total_so_far FROM (SELECT label, CAST(vec_id % 17 AS DOUBLE) / 4 AS d FROM embeddings) GROUP BY label")
 def a14_distance_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = summary.distance_report(table(spark, sf_dir, "embeddings").select(F.col("label").alias("task"), ((F.col("vec_id") % 17).cast("double") / 4).alias("distance")))
@@ -488,9 +514,9 @@ def s2_stacking(spark: SparkSession, sf_dir: str) -> DataFrame:
     return own.select("path_id", F.array_join(F.transform("c.truth_cell", lambda x: x.cast("string")), ",").alias("cells"))
 
 
-@query()
+@query("""SELECT doc_id, position FROM (SELECT doc_id, row_number() OVER (ORDER BY CAST('0x' || substr(md5('42:1:' || CAST(doc_id AS VARCHAR)), 1, 15) AS BIGINT), doc_id) - 1 AS position FROM documents) WHERE position >= 10""")
 def s3_epoch_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return synth.epoch_order(table(spark, sf_dir, "documents").select("doc_id"), "doc_id", 42, 1, 10)
+    return synth.epoch_order(table(spark, sf_dir, "documents").select("doc_id"), "doc_id", 42, 1, 10, slice_rows=1000)
 
 
 @query("SELECT task_type, count(*) AS n FROM (SELECT 'a' AS task_type FROM documents UNION ALL SELECT 'b' FROM pages) GROUP BY 1")
@@ -608,17 +634,24 @@ def e_all_exports(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Options
 
 
-@query("SELECT doc_id, 4 AS n, true AS has_answer, true AS distinct_options FROM documents")
+def drawn(answer: str, pool: str) -> str:
+    """Options in SQL: the answer and three others of a pool, both in the order of a seeded hash."""
+    order = lambda items, seed: f"list_transform(list_sort(list_transform({items}, lambda x: {{'h': md5({seed} || ':' || doc_id || ':' || x), 'x': x}})), lambda s: s.x)"
+    others = f"list_slice({order(f'list_filter({pool}, lambda y: y <> {answer})', chr(39) + '7' + chr(39))}, 1, 3)"
+    return f"array_to_string({order(f'list_append({others}, {answer})', chr(39) + '7:order' + chr(39))}, ',')"
+
+
+POOL = ["red", "green", "blue", "teal", "pink", "gold"]
+
+
+@query(f"SELECT doc_id, {drawn('a', str(POOL))} AS options FROM (SELECT doc_id, {POOL}[doc_id % 6 + 1] AS a FROM documents)")
 def n1_options(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pool = F.lit(["red", "green", "blue", "teal", "pink", "gold"])
-    own = table(spark, sf_dir, "documents").select("doc_id", F.element_at(pool, (F.col("doc_id") % 6 + 1).cast("int")).alias("a"))
-    own = own.withColumn("o", synth.options(F.col("a"), pool, 4, 7, F.col("doc_id")))
-    return own.select("doc_id", F.size("o").alias("n"), F.array_contains("o", F.col("a")).alias("has_answer"), (F.size(F.array_distinct("o")) == 4).alias("distinct_options"))
+    own = table(spark, sf_dir, "documents").select("doc_id", F.element_at(F.lit(POOL), (F.col("doc_id") % 6 + 1).cast("int")).alias("a"))
+    return own.select("doc_id", F.array_join(synth.options(F.col("a"), F.lit(POOL), 4, 7, F.col("doc_id")), ",").alias("options"))
 
 
-@query("SELECT doc_id, 4 AS n, true AS has_answer, true AS in_range FROM documents")
+@query(f"SELECT doc_id, {drawn('a', 'range(CASE WHEN a <= 10 THEN 10 WHEN a <= 100 THEN 100 ELSE 1000 END)')} AS options FROM (SELECT doc_id, doc_id % 120 AS a FROM documents)")
 def n2_numeric_options(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = table(spark, sf_dir, "documents").select("doc_id", (F.col("doc_id") % 120).cast("int").alias("a"))
-    own = own.withColumn("o", synth.numeric_options(F.col("a"), 4, 7, F.col("doc_id")))
-    top = F.when(F.col("a") <= 10, 10).when(F.col("a") <= 100, 100).otherwise(1000)
-    return own.select("doc_id", F.size(F.array_distinct("o")).alias("n"), F.array_contains("o", F.col("a")).alias("has_answer"), F.forall("o", lambda x: (x >= 0) & (x <= top)).alias("in_range"))
+    found = synth.numeric_options(F.col("a"), 4, 7, F.col("doc_id"))
+    return own.select("doc_id", F.array_join(F.transform(found, lambda x: x.cast("string")), ",").alias("options"))
