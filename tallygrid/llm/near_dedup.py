@@ -15,11 +15,14 @@ How the work is kept bounded, without dropping any link:
 * A bucket whose members are all in one component has nothing left to add. For the others a second step looks at pairs
   across components, in blocks of at most 2 * BLOCK members: a pair is taken in the first bucket it shares, if its sizes
   allow the similarity and if the minima of SKETCH bins, one byte each, agree as often as a similarity of 0.75 makes them
-  do, less SIGMAS standard deviations (filled bins sample the union without replacement). Only those pairs go on to the full comparison; their number is bounded by what may be linked.
+  do, less SIGMAS standard deviations (filled bins sample the union without replacement). No pair leaves the block: members
+  that have one such partner get their texts, once a block, full sets are compared there by looking up who holds a shingle,
+  and one link for each two components that become one goes on. Look-alikes that aren't linked put out nothing.
 * Copies, stars and blocks are spread over tasks; no group is held whole in one task or on the driver.
 
 Rows: a null or empty text has an empty set, is its own component and is linked with nothing. A null doc_id takes the
-component of its copies, if any, and is kept otherwise. Rows that share a doc_id count as one node.
+component of its copies, if any, and is kept otherwise. Rows that share a doc_id count as one node. Very long texts are
+shingled whole. An empty table gives no rows; other columns are ignored, and `deduplicate` keeps them.
 """
 
 from __future__ import annotations
@@ -38,7 +41,8 @@ from tallygrid.operators.components import connected_components
 
 WORDS, BINS, ROWS_PER_BAND, LEAST, OF = 5, 128, 4, 75, 100
 BANDS = BINS // ROWS_PER_BAND
-SKETCH, SIGMAS, BLOCK = 512, 5, 4096
+#: Bins of a sketch, standard deviations that it is trusted less; members of a block and shingles of all of them, at most.
+SKETCH, SIGMAS, BLOCK, SHINGLES = 512, 5, 4096, 1 << 21
 _PROBES = np.random.default_rng(20170806).integers(0, BINS, (4096, BINS))
 
 
@@ -144,16 +148,18 @@ def compare(docs: DataFrame, pairs: DataFrame, star: int = 2000) -> DataFrame:
 
 
 def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of two components that may be linked. Rows come sorted by (bucket, i, j); a group has 2 * BLOCK rows at most."""
+    """The members of a block that may be linked with one of another component. Rows come sorted by (bucket, i, j); a group has
+    2 * BLOCK rows at most."""
     held: list = []
+    kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary()]
 
-    def pairs(rows: list) -> pa.RecordBatch:
+    def members(rows: list) -> pa.RecordBatch:
         rows.sort(key=lambda r: (r[5], r[6]))
         bucket, (i, j) = np.int64(rows[0][0]), rows[0][1:3]
-        block, comp, rep, n = (np.array([r[k] for r in rows]) for k in (3, 4, 6, 5))
+        block, comp, n = (np.array([r[k] for r in rows]) for k in (3, 4, 5))
         own = np.array([r[7] for r in rows], dtype=np.int64)
         sk = np.frombuffer(b"".join(r[8] for r in rows), dtype=np.uint8).reshape(len(rows), SKETCH)
-        out: list[tuple] = []
+        hit = np.zeros(len(rows), dtype=bool)
         for x in range(len(rows) - 1):
             stop = np.searchsorted(n, n[x] * OF // LEAST, side="right")
             y = np.arange(x + 1, max(stop, x + 1))
@@ -167,30 +173,105 @@ def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             union = np.maximum((n[x] + n[y]) * OF / (OF + LEAST), filled)
             slack = SIGMAS * np.sqrt(0.1875 / filled * (1 - filled / union)) + 2 / filled
             y = y[agree / filled >= LEAST / OF - slack]
-            for k in y.tolist():
-                high, low = (rows[k], rows[x]) if rep[k] > rep[x] else (rows[x], rows[k])
-                out.append((high[6], high[9], low[6], low[9]))
-        cols = list(zip(*out, strict=True)) or [[]] * 4
-        return pa.record_batch([pa.array(v, t) for v, t in zip(cols, (pa.int64(), pa.binary()) * 2, strict=True)], names=["a", "a_key", "b", "b_key"])
+            hit[y] = True
+            hit[x] |= len(y) > 0
+        out = [(*r[:5], r[6], r[9]) for r, h in zip(rows, hit, strict=True) if h]
+        cols = list(zip(*out, strict=True)) or [[]] * len(kinds)
+        return pa.record_batch([pa.array(v, t) for v, t in zip(cols, kinds, strict=True)], names=["bucket", "i", "j", "block", "comp", "rep", "set_key"])
 
     for batch in batches:
         for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             if held and held[0][:3] != row[:3]:
-                yield pairs(held)
+                yield members(held)
                 held = []
             held.append(row)
     if held:
-        yield pairs(held)
+        yield members(held)
 
 
-def across(buckets: DataFrame, nodes: DataFrame, found: DataFrame) -> DataFrame:
-    """Pairs (a, a_key, b, b_key) of members of a bucket that are in two components so far and may be linked."""
+def spanning_links(sets: list[np.ndarray], block: np.ndarray, comp: np.ndarray, rep: np.ndarray, between: bool) -> list[tuple[int, int]]:
+    """Links between members of different components by their full sets; of two components that become one only one link.
+
+    Which sets hold a shingle is looked up for all of a member's shingles at once, which gives its intersections with all
+    others. Members of the largest component are only looked at from the others' side. between: of two blocks only.
+    """
+    sizes = np.array([len(x) for x in sets])
+    ids, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)[1:]
+    owner = np.repeat(np.arange(len(sets)), sizes)
+    shared = counts[ids] > 1
+    ids, owner = ids[shared], owner[shared]
+    order = np.argsort(ids, kind="stable")
+    holders, start = owner[order], np.searchsorted(ids[order], np.arange(len(counts) + 1))
+    mine = np.searchsorted(owner, np.arange(len(sets) + 1))
+    values, n_each = np.unique(comp, return_counts=True)
+    largest = values[n_each.argmax()]
+    root: dict[int, int] = {}
+
+    def find(c: int) -> int:
+        while root.setdefault(c, c) != c:
+            root[c] = c = root[root[c]]
+        return c
+
+    out: list[tuple[int, int]] = []
+    for x in np.flatnonzero(comp != largest).tolist():
+        own = ids[mine[x] : mine[x + 1]]
+        each = start[own + 1] - start[own]
+        at = np.repeat(start[own] - np.concatenate([[0], np.cumsum(each)[:-1]]), each) + np.arange(each.sum()) if len(own) else own
+        both = np.bincount(holders[at], minlength=len(sets))
+        linked = (OF * both >= LEAST * (sizes[x] + sizes - both)) & (comp != comp[x])
+        if between:
+            linked &= block != block[x]
+        for y in np.flatnonzero(linked).tolist():
+            a, b = find(int(comp[x])), find(int(comp[y]))
+            if a != b:
+                root[a] = b
+                out.append((int(max(rep[x], rep[y])), int(min(rep[x], rep[y]))))
+    return out
+
+
+def _link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links of the members that `_across` has named, with their texts, sorted by (bucket, i, j). A group's sets are held,
+    SHINGLES of each of its blocks at most or one member, not its texts."""
+    key, held = None, []
+
+    def links() -> pa.RecordBatch:
+        block, comp, rep = (np.array([r[k] for r in held]) for k in range(3))
+        out = list(zip(*spanning_links([r[3] for r in held], block, comp, rep, key[1] != key[2]), strict=True)) or [[], []]
+        return pa.record_batch([pa.array(x, pa.int64()) for x in out], names=["a", "b"])
+
+    for batch in batches:
+        for a, b in pieces(batch.column(7)):
+            part = batch.slice(a, b - a)
+            for *row, own in zip(*(part.column(k).to_pylist() for k in range(7)), shingles(text_bytes(part.column(7)).to_pylist()), strict=True):
+                if set_key(own) != row[6]:
+                    continue  # another text under the same doc_id
+                if key != tuple(row[:3]):
+                    if held:
+                        yield links()
+                    key, held = tuple(row[:3]), []
+                held.append((*row[3:6], own))
+    if held:
+        yield links()
+
+
+def across(docs: DataFrame, buckets: DataFrame, nodes: DataFrame, found: DataFrame) -> DataFrame:
+    """Links (a, b) between members of a bucket that are in two components so far.
+
+    Sketches tell which members of a block may be linked at all. Only those get their texts, once a block, and their full
+    sets are compared there; what leaves a block is one link for each two components that it joins.
+    """
     now = buckets.join(found.select(F.col("node").alias("rep"), "component").hint("merge"), "rep", "left").withColumn("comp", F.coalesce("component", "rep"))
-    mixed = now.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("k")).where("lo < hi").select("bucket", F.ceil(F.col("k") / BLOCK).cast("int").alias("g"))
-    rows = now.join(mixed.hint("merge"), "bucket").join(nodes.select("rep", "n", "bands", "sketch", "set_key").hint("merge"), "rep")
+    parts = F.ceil(F.greatest(F.col("k") / BLOCK, F.col("n_all") / SHINGLES)).cast("int")
+    mixed = now.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("k"), F.sum("n").alias("n_all")).where("lo < hi").select("bucket", parts.alias("g"))
+    rows = now.drop("n").join(mixed.hint("merge"), "bucket").join(nodes.select("rep", "n", "bands", "sketch", "set_key").hint("merge"), "rep")
     rows = rows.withColumn("block", F.expr("cast(pmod(xxhash64(rep), g) as int)")).withColumn("other", F.explode(F.expr("sequence(0, g - 1)")))
     rows = rows.select("bucket", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "comp", "n", "rep", "bands", "sketch", "set_key")
-    return rows.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j").mapInArrow(_across, "a long, a_key binary, b long, b_key binary").distinct()
+    rows = rows.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
+    named = cut(rows.mapInArrow(_across, "bucket long, i int, j int, block int, comp long, rep long, set_key binary"))
+    if named.isEmpty():
+        return named.select(F.col("rep").alias("a"), F.col("rep").alias("b"))
+    rows = named.hint("merge").join(docs.select(F.col("doc_id").alias("rep"), "text"), "rep").select("bucket", "i", "j", "block", "comp", "rep", "set_key", "text")
+    return rows.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j").mapInArrow(_link, "a long, b long").distinct()
 
 
 def classified(docs: DataFrame) -> DataFrame:
@@ -199,18 +280,16 @@ def classified(docs: DataFrame) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_hash"))
     signed = cut(docs.mapInArrow(_sign, "doc_id long, text_hash long, n_shingles long, set_key binary, bands array<long>, sketch binary"))
     nodes = signed.where("set_key is not null and doc_id is not null").groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
-    rows = nodes.select("rep", "set_key", F.explode("bands").alias("bucket"))
+    rows = nodes.select("rep", "set_key", "n", F.explode("bands").alias("bucket"))
     low = rows.groupBy("bucket").agg(F.min(F.struct("rep", "set_key")).alias("low"), F.count("*").alias("k")).where("k > 1").select("bucket", F.col("low.rep").alias("b"), F.col("low.set_key").alias("b_key"))
     buckets = cut(rows.join(low.hint("merge"), "bucket"))
     pairs = buckets.where("rep <> b").select(F.col("rep").alias("a"), F.col("set_key").alias("a_key"), "b", "b_key").distinct()
     links = cut(compare(docs, pairs)).where(f"{OF} * n_both >= {LEAST} * n_all").select("a", "b")
     found = connected_components(links)
-    more = cut(across(buckets.drop("b", "b_key", "set_key"), nodes, found))
-    if not more.isEmpty():
-        extra = cut(compare(docs, more)).where(f"{OF} * n_both >= {LEAST} * n_all").select("a", "b")
-        if not extra.isEmpty():
-            stars = found.where("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b"))
-            found = connected_components(stars.unionByName(extra))
+    extra = cut(across(docs, buckets.drop("b", "b_key", "set_key"), nodes, found))
+    if not extra.isEmpty():
+        stars = found.where("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b"))
+        found = connected_components(stars.unionByName(extra))
     classes = nodes.select("set_key", F.col("rep").alias("node")).join(found.hint("merge"), "node", "left").select("set_key", F.coalesce("component", "node").alias("component"))
     out = signed.select("doc_id", "text_hash", "n_shingles", "set_key")
     full = out.where("set_key is not null").join(classes.hint("merge"), "set_key", "left")  # empty sets meet nothing, nor each other

@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tallygrid.llm import chat_format, lexical_search, prefix_trie, turns
+from tallygrid.llm import chat_format, lexical_search, near_dedup, prefix_trie, turns
 
 CONV = "conv_id long, turn long, role string, text string, at long, node string, message string, kind string"
 EVENT = "conv_id long, seq long, kind string, message long, role string, text string"
@@ -249,3 +249,64 @@ def test_centroid_sums():
                 weight[parent[v]] += weight[v]
                 want[parent[v]] += want[v]
         assert (prefix_trie.centroid_sums(parent, weight, values) == want).all()
+
+
+# 10 near duplicates: look-alikes
+
+
+def alike(core, tail, k, name):
+    return " ".join([*(f"{name}{j}" for j in range(core)), *(f"{name}{k}t{j}" for j in range(tail))])
+
+
+def test_look_alikes_put_out_nothing(spark, monkeypatch):
+    """Hundreds of texts at 0.72 of each other: no link leaves a block, and their texts are read in proportion to their number."""
+    seen = []
+    real = near_dedup.connected_components
+    monkeypatch.setattr(near_dedup, "connected_components", lambda links: seen.append(links.count()) or real(links))
+    own = spark.createDataFrame([(k, alike(400, 77, k, "w")) for k in range(300)], "doc_id long, text string").repartition(4)
+    found = near_dedup.near_duplicates(own).collect()
+    assert len({r.component_id for r in found}) == 300 and all(r.kept for r in found) and seen == [0]
+
+
+@pytest.mark.parametrize(("block", "shingles"), [(4096, 1 << 21), (16, 1 << 21), (4096, 3000)])
+def test_links_across_components(spark, monkeypatch, block, shingles):
+    """Families just above and below the line, in one block and in many, against all pairs."""
+    monkeypatch.setattr(near_dedup, "BLOCK", block)
+    monkeypatch.setattr(near_dedup, "SHINGLES", shingles)
+    rng = random.Random(2)
+    texts = [alike(150, 29, k, "low") for k in range(40)] + [alike(150, rng.choice([23, 24, 26, 27]), k, "high") for k in range(60)]
+    texts += [" ".join(f"c{j + k * 12}" for j in range(200)) for k in range(20)]  # a chain: neighbours are linked, others aren't
+    sets = list(near_dedup.shingles([t.encode() for t in texts]))
+    root = list(range(len(texts)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for x in range(len(texts)):
+        for y in range(x):
+            both = len(np.intersect1d(sets[x], sets[y]))
+            if 100 * both >= 75 * (len(sets[x]) + len(sets[y]) - both):
+                a, b = sorted((find(x), find(y)))
+                root[b] = a
+    found = near_dedup.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)).collect()
+    assert {r.doc_id: r.component_id for r in found} == {k: find(k) for k in range(len(texts))}
+
+
+def test_spanning_links():
+    rng = np.random.default_rng(9)
+    sets = [np.unique(rng.integers(0, 60, rng.integers(1, 60)).astype(np.uint64)) for _ in range(80)]
+    comp, block = np.arange(80) // 3, np.arange(80) % 2
+    for between in (False, True):
+        out = near_dedup.spanning_links(sets, block, comp, np.arange(80), between)
+        links = {(x, y) for x in range(80) for y in range(x) if comp[x] != comp[y] and (not between or block[x] != block[y]) and 100 * len(np.intersect1d(sets[x], sets[y])) >= 75 * len(np.union1d(sets[x], sets[y]))}
+
+        def classes(pairs):
+            own = {int(c): int(c) for c in comp}
+            for a, b in pairs:
+                a, b = own[int(comp[a])], own[int(comp[b])]
+                own = {k: a if v == b else v for k, v in own.items()}
+            return {frozenset(k for k in own if own[k] == v) for v in own.values()}
+
+        assert set(out) <= links and classes(out) == classes(links) and len(out) == 27 - len(classes(links))
