@@ -4,11 +4,13 @@ Words are [^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+ with A-Z lowered, of whole texts
 item; an item of fewer words, but not none, is one window. Window hashes of all places of a document are looked up in a
 bitmap and then in the sorted hash set; what is found is verified word by word, so a hash never decides.
 
-The benchmark is broadcast in blocks: its bytes are summed first, and beyond block_bytes it is cut into as many blocks as
-needed, each scanned in a narrow pass of its own over the documents that adds to the spans found before. What a pass found
-is written before the next one begins, so that one block is in memory at a time. Nothing is shuffled.
+The benchmark is broadcast in blocks of at most block_bytes of text, each scanned in a narrow pass of its own over the
+documents that adds to the spans found before. A block is arrays over one text of its words: for 16 MB of text some 3 million
+windows and 110 MB. Items that are longer than half a block are cut into overlapping pieces first. What a pass found is
+written before the next one begins, so that one block is in memory at a time. Nothing is shuffled.
 
-Rows: null and empty texts have no words and no hits. Items with a null item_id are left out; items that share an
+Rows: null and empty texts have no words and no hits, very long ones are scanned whole. Documents are scanned row by row,
+whether their doc_id is null or repeated. Items with a null item_id are left out; items that share an
 item_id count once. An empty benchmark gives no hits. Columns that clash with those added are replaced.
 """
 
@@ -18,6 +20,7 @@ import math
 import re
 from collections import defaultdict
 from collections.abc import Callable, Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -25,55 +28,96 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallygrid.llm.common import ALNUM, bound_batches, cut, ngrams, pieces, read, text_bytes, word_hashes, words_of
+from tallygrid.llm.common import ALNUM, PIECE, bound_batches, cut, ngrams, pieces, read, text_bytes, word_hashes, words_of
 
 WINDOW, BLOCK_BYTES = 10, 16 << 20
 _WORD = re.compile(rb"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
 FOUND = ("n_words", "spans", "items")
 
 
+class Known(NamedTuple):
+    """Distinct windows of one length, sorted by hash: where their words stand in the block's text, and which items have each."""
+
+    hashes: np.ndarray
+    start: np.ndarray
+    size: np.ndarray
+    post: np.ndarray
+    items: np.ndarray
+
+    def __len__(self) -> int:
+        return len(self.hashes)
+
+
+def _word_ends(text: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """First and last byte (outside) of the words of a text that has one blank between words."""
+    blanks = np.flatnonzero(np.frombuffer(text, dtype=np.uint8) == 32)
+    return np.concatenate([[0], blanks + 1]).astype(np.int64), np.concatenate([blanks, [len(text)]]).astype(np.int64)
+
+
 class Windows:
-    """The distinct windows of a block of items: for each length their sorted hashes with the words and the items of each, and
-    one bitmap for all."""
+    """The distinct windows of a block of items, as arrays over one text of all its words: some 30 bytes a window and the
+    words once, however long the windows are. One bitmap stands before the sorted hashes of each length."""
 
     def __init__(self, items: list[tuple[str, bytes | None]], window: int = WINDOW, bits: int = 22):
-        self.mask = np.uint64((1 << bits) - 1)
-        found: dict[int, dict[tuple[bytes, ...], tuple[int, list[str]]]] = defaultdict(dict)
-        for item_id, text in items:
-            own = words_of(text, ALNUM)
-            if own:
-                n = min(window, len(own))
-                for p, h in enumerate(ngrams(word_hashes([text], ALNUM)[0], n).tolist()):
-                    ids = found[n].setdefault(tuple(own[p : p + n]), (h, []))[1]
-                    if not ids or ids[-1] != item_id:
-                        ids.append(item_id)
-        self.bitmap, self.by_length = np.zeros(1 << bits, dtype=bool), {}
-        for n, windows in found.items():
-            rows = sorted((h, words, ids) for words, (h, ids) in windows.items())
-            hashes = np.array([h for h, _, _ in rows], dtype=np.uint64)
-            self.by_length[n] = hashes, [list(words) for _, words, _ in rows], [ids for _, _, ids in rows]
-            self.bitmap[hashes & self.mask] = True
+        self.mask, self.bitmap, self.by_length = np.uint64((1 << bits) - 1), np.zeros(1 << bits, dtype=bool), {}
+        own = [(i, b" ".join(words_of(t, ALNUM))) for i, t in items]
+        own = [(i, t) for i, t in own if t]
+        self.ids, self.text = [i for i, _ in own], b" ".join(t for _, t in own)
+        if not own:
+            return
+        first, last = _word_ends(self.text)
+        hashes, at, held = [], [0], 0
+        for k in range(len(own) + 1):  # hashes of bounded pieces, as hashing takes some 40 bytes a byte of text
+            if k == len(own) or held and held + len(own[k][1]) > PIECE:
+                hashed, offsets = word_hashes([t for _, t in own[len(at) - 1 : k]], ALNUM)
+                hashes.append(hashed)
+                at += (at[-1] + offsets[1:]).tolist()
+                held = 0
+            held += len(own[k][1]) if k < len(own) else 0
+        hashes, at = np.concatenate(hashes), np.array(at)
+        lengths = np.minimum(np.diff(at), window)
+        for n in np.unique(lengths).tolist():
+            grams = ngrams(hashes, n)
+            which = np.flatnonzero(lengths == n)
+            counts = np.diff(at)[which] - n + 1
+            item = np.repeat(which, counts).astype(np.int32)
+            word = np.repeat(at[which] - np.concatenate([[0], np.cumsum(counts)[:-1]]), counts) + np.arange(counts.sum())
+            order = np.lexsort((word, grams[word]))
+            item, word = item[order], word[order]
+            h, start, size = grams[word], first[word], last[word + n - 1] - first[word]
+            new = np.concatenate([[True], h[1:] != h[:-1]])
+            for k in np.flatnonzero(~new).tolist():  # repeated windows, and now and then another one with the same hash
+                new[k] = self.text[start[k] : start[k] + size[k]] != self.text[start[k - 1] : start[k - 1] + size[k - 1]]
+            at_new = np.flatnonzero(new)
+            group = np.cumsum(new) - 1
+            pairs = np.unique(group.astype(np.int64) << 32 | item)
+            post = np.searchsorted(pairs >> 32, np.arange(len(at_new) + 1)).astype(np.int32)
+            self.by_length[n] = Known(h[at_new], start[at_new].astype(np.int32), size[at_new].astype(np.int32), post, (pairs & 0xFFFFFFFF).astype(np.int32))
+            self.bitmap[h & self.mask] = True
 
     def find(self, texts: list[bytes | None]) -> tuple[np.ndarray, dict[int, list[tuple[int, int]]], dict[int, set[str]]]:
         """Word counts of the texts; for those with hits, by row, merged word spans and item ids."""
         hashes, at = word_hashes(texts, ALNUM)
         spans: dict[int, list[tuple[int, int]]] = defaultdict(list)
         items: dict[int, set[str]] = defaultdict(set)
-        split: dict[int, list[bytes]] = {}
-        for n, (known, words, ids) in self.by_length.items():
+        split: dict[int, tuple[bytes, np.ndarray, np.ndarray]] = {}
+        for n, known in self.by_length.items():
             grams = ngrams(hashes, n)
             at_word = np.flatnonzero(self.bitmap[grams & self.mask])
-            low = np.searchsorted(known, grams[at_word], side="left")
-            high = np.searchsorted(known, grams[at_word], side="right")
+            low = np.searchsorted(known.hashes, grams[at_word], side="left")
+            high = np.searchsorted(known.hashes, grams[at_word], side="right")
             rows = np.searchsorted(at, at_word, side="right") - 1
             keep = (high > low) & (at_word + n <= at[rows + 1])
             for w, row, a, b in zip(at_word[keep].tolist(), rows[keep].tolist(), low[keep].tolist(), high[keep].tolist(), strict=True):
-                own = split.get(row) or split.setdefault(row, words_of(texts[row], ALNUM))
+                if row not in split:
+                    own = b" ".join(words_of(texts[row], ALNUM))
+                    split[row] = own, *_word_ends(own)
+                own, starts, ends = split[row]
                 first = w - int(at[row])
-                here = own[first : first + n]
+                here = own[starts[first] : ends[first + n - 1]]
                 for k in range(a, b):  # windows of one hash: nearly always one
-                    if words[k] == here:
-                        items[row].update(ids[k])
+                    if self.text[known.start[k] : known.start[k] + known.size[k]] == here:
+                        items[row].update(self.ids[x] for x in known.items[known.post[k] : known.post[k + 1]])
                         spans[row].append((first, first + n))
         return np.diff(at), {r: merge(s) for r, s in spans.items()}, items
 
@@ -112,23 +156,57 @@ def _scanner(shared, text_at: int, before: bool) -> Callable[[Iterator[pa.Record
     return scan_batches
 
 
+def bounded_items(items: DataFrame, window: int, most: int) -> DataFrame:
+    """Items (item_id, text), those above `most` bytes in pieces that overlap by window - 1 words, so that each window stands
+    in one of them."""
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for item_id, text in zip(batch.column(0).to_pylist(), text_bytes(batch.column(1)).to_pylist(), strict=True):
+                words, first = words_of(text, ALNUM), 0
+                while first == 0 or first + window <= len(words):
+                    stop, held = first, 0
+                    while stop < len(words) and (held < most or stop < first + window):
+                        held += len(words[stop]) + 1
+                        stop += 1
+                    yield pa.record_batch([pa.array([item_id], pa.string()), pa.array([b" ".join(words[first:stop])], pa.binary()).cast(pa.string())], names=["item_id", "text"])
+                    first = max(first + 1, stop - window + 1)
+
+    short = F.octet_length("text") <= most
+    return items.where(short).unionByName(items.where(~short).mapInArrow(split, "item_id string, text string"))
+
+
+def item_blocks(items: DataFrame, block_bytes: int) -> Iterator[list[tuple[str, bytes]]]:
+    """Items in blocks of at most block_bytes of text, one on the driver at a time; one block, maybe empty, at least."""
+    total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    parts = max(1, math.ceil(2 * total / block_bytes))
+    rows: list[tuple[str, bytes]] = []
+    held = 0
+    for r in items.repartition(parts, "item_id", "text").toLocalIterator():  # a partition at a time
+        text = r.text.encode()
+        if rows and held + len(text) > block_bytes:
+            yield rows
+            rows, held = [], 0
+        rows.append((r.item_id, text))
+        held += len(text)
+    yield rows
+
+
 def scan(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """docs with n_words, spans (word numbers: start, end, start, end, ...) and items (ids with a window in the text)."""
     spark = docs.sparkSession
     bound_batches(spark)
     docs = docs.drop(*FOUND)
     items = benchmark.where("item_id is not null and text is not null").select(F.col("item_id").cast("string").alias("item_id"), "text")
-    blocks = max(1, math.ceil((items.agg(F.sum(F.octet_length("text"))).first()[0] or 0) / block_bytes))
     schema = T.StructType(docs.schema.fields + T._parse_datatype_string("n_words long, spans array<int>, items array<string>").fields)
-    out = docs
-    for k in range(blocks):
-        rows = items.where(F.expr(f"pmod(xxhash64(item_id), {blocks}) = {k}")).collect()
-        windows = Windows([(r.item_id, r.text.encode()) for r in rows], window)
-        shared = spark.sparkContext.broadcast(windows)
-        out = out.mapInArrow(_scanner(shared, docs.columns.index("text"), k > 0), schema)
-        if k < blocks - 1:
+    out, shared = docs, None
+    for rows in item_blocks(bounded_items(items, window, max(block_bytes // 2, 1)), block_bytes):
+        if shared is not None:  # what the last block found is written before the next one is sent
             out = cut(out)
             shared.destroy()
+        before = shared is not None
+        shared = spark.sparkContext.broadcast(Windows(rows, window))
+        out = out.mapInArrow(_scanner(shared, docs.columns.index("text"), before), schema)
     return out
 
 

@@ -129,7 +129,7 @@ def test_small_cache_counts_alike(monkeypatch):
 def test_decontamination_in_blocks(spark, odd, none):
     bench = spark.createDataFrame([(1, "two"), (2, " ".join(f"a{k}" for k in range(5, 20))), (3, None), (None, "one"), (4, "..."), (5, "nowhere to be found")], "item_id long, text string")
     one = decontaminate.report(odd, bench)
-    blocks = {(r.doc_id, tuple(r.spans), tuple(r["items"])) for r in decontaminate.scan(odd, bench, block_bytes=1).collect()}
+    blocks = {(r.doc_id, tuple(r.spans), tuple(r["items"])) for r in decontaminate.scan(odd, bench, block_bytes=40).collect()}
     assert blocks == {(r.doc_id, tuple(r.spans), tuple(r["items"])) for r in decontaminate.scan(odd, bench).collect()}
     by = {r.doc_id: r for r in one.collect() if r.doc_id}
     assert (by[4].n_hit, by[4].n_items, by[8].n_hit, by[1].n_words, by[2].contaminated) == (1, 1, 15, 0, False)
@@ -145,11 +145,47 @@ def test_windows_that_items_share(spark):
     """Items with the same text, and repeated windows in an item: each window is compared once and names all its items."""
     shared = " ".join(f"a{k}" for k in range(12))
     windows = decontaminate.Windows([(f"i{k:02d}", shared.encode()) for k in range(50)] + [("x", (shared + " " + shared).encode())])
-    assert len(windows.by_length[10][0]) == 3 + 9
+    assert len(windows.by_length[10]) == 3 + 9
     n_words, spans, items = windows.find([f"z {shared} z".encode(), None])
     assert n_words.tolist() == [14, 0] and spans == {0: [(1, 13)]} and items[0] == {*(f"i{k:02d}" for k in range(50)), "x"}
 
 
+def test_windows_of_one_hash_are_told_apart(monkeypatch):
+    monkeypatch.setattr(decontaminate, "ngrams", lambda hashes, n: np.zeros(max(0, len(hashes) - n + 1), dtype=np.uint64))
+    windows = decontaminate.Windows([("a", b"x y z"), ("b", b"y z w x y z"), ("c", b"q"), ("d", None), ("e", b" .")], window=3)
+    assert len(windows.by_length[3]) == 5 and len(windows.by_length[1]) == 1  # equal windows only meet next to each other here
+    spans, items = windows.find([b"w X-y z", b"y z w"])[1:]
+    assert spans == {0: [(0, 4)], 1: [(0, 3)]} and items == {0: {"a", "b"}, 1: {"b"}}
+
+
+def test_long_items_are_cut(spark):
+    """An item of many blocks: each of its windows is found, and no shorter one."""
+    words = [f"v{k * 7919 % 50_021}" for k in range(3000)]
+    bench = spark.createDataFrame([(1, " ".join(words)), (2, "short one")], "item_id long, text string")
+    own = spark.createDataFrame([(k, " ".join(["x", *words[a:b], "y"])) for k, (a, b) in enumerate([(0, 10), (497, 507), (1000, 1009), (2990, 3000), (2991, 3000), (0, 3000), (1, 12)])] + [(9, "a short one")], "doc_id long, text string")
+    for most in (8000, 1 << 24):
+        found = {r.doc_id: (list(r.spans), list(r["items"])) for r in decontaminate.scan(own, bench, block_bytes=most).collect()}
+        assert found == {0: ([1, 11], ["1"]), 1: ([1, 11], ["1"]), 2: ([], []), 3: ([1, 11], ["1"]), 4: ([], []), 5: ([1, 3001], ["1"]), 6: ([1, 12], ["1"]), 9: ([1, 3], ["2"])}
+    sizes = [sum(len(t) for _, t in rows) for rows in decontaminate.item_blocks(decontaminate.bounded_items(bench.selectExpr("string(item_id) as item_id", "text"), 10, 1000), 2000)]
+    assert len(sizes) > 5 and max(sizes) <= 2000
+
+
+def test_a_block_in_memory():
+    """A full block: what is sent takes some seven times its text, and building it stays below 600 MB."""
+    import pickle
+    import resource
+
+    rng = np.random.default_rng(2)
+    pool = np.array([f"w{k}" for k in range(50_000)])
+    items = [(str(k), " ".join(pool[rng.integers(0, 50_000, 3000)]).encode()) for k in range(900)]
+    size = sum(len(t) for _, t in items)
+    before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+    windows = decontaminate.Windows(items)
+    assert size > 15 << 20 and resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before < 600 << 10
+    assert len(pickle.dumps(windows, protocol=5)) < 8 * size
+    assert len(windows.find([items[7][1][:400]])[1]) == 1
+
+
 def test_one_block_at_a_time(spark, odd):
     """A benchmark of many blocks is scanned in passes that are each written, not in one chain."""
     bench = spark.createDataFrame([(k, f"only here {k}") for k in range(40)], "item_id long, text string")
