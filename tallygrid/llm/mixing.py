@@ -12,7 +12,9 @@ give each slice its start, and running sums are taken within slices.
 
 Tokens are words [^\\x20\\x09-\\x0D]+. Rows: a null or empty text has no tokens and costs nothing; null lang and source count as "".
 The domain is a rule on the source: the number at its end modulo 4, 0 if there is none. Nodes without a weight have weight 1;
-a node of weight 0 gets nothing. Columns of docs that clash with those added are replaced.
+a node of weight 0 gets nothing. Rows without a doc_id are told apart by a hash of their texts; repeated rows each count, and
+cost, as one. Very long texts are counted whole. Empty tables give no rows. Columns of docs that clash with those added are
+replaced.
 """
 
 from __future__ import annotations
@@ -32,6 +34,8 @@ WEIGHTS = {"domain": {"d0": 4.0, "d1": 3.0, "d2": 2.0, "d3": 1.0}, "lang": {"en"
 LEVELS = ("domain", "lang", "source")
 LEAF = ("_domain", "_lang", "_source")
 ADDED = ("n_tokens", "leaf_tokens", "leaf_budget", "copies")
+#: SQL for what names a measured row: its doc_id, else the hash of its text.
+NAME = "coalesce(cast(doc_id as string), concat('#', cast(_tie as string)))"
 
 
 def domain(source: str = "source") -> Column:
@@ -103,7 +107,7 @@ def mixed(rows: DataFrame, columns: list[str], weights: dict[str, dict[str, floa
     leaf = leaf.withColumn("rest", F.expr("leaf_budget - full_epochs * leaf_tokens")).toDF(*keys, "leaf_tokens", "leaf_budget", "_epochs", "_rest")
     leaf = cut(leaf)
     near = F.broadcast(leaf) if leaf.count() <= LEAVES else leaf.hint("merge")
-    placed = rows.join(near, list(keys)).withColumn("_h", F.expr(shuffle_key(seed, "_epochs", "doc_id")))
+    placed = rows.join(near, list(keys)).withColumn("_h", F.expr(shuffle_key(seed, "_epochs", NAME)))
     placed = placed.withColumn("_slice", F.expr(f"_h div {(1 << 60) // SLICES}"))
     sums = placed.groupBy(*keys, "_slice").agg(F.sum("n_tokens").alias("_n"))
     order = W.partitionBy(*keys).orderBy("_slice")

@@ -8,8 +8,9 @@ No source is ever sorted in one task: hashes are cut into SLICES slices, slice s
 offsets, and rows are numbered within their slice only; the same again with slices of the fractional rank. Only ids,
 sources, sizes and checksums are shuffled; texts meet their numbers in one join at the end, where they are wanted.
 
-Rows: a null text counts as empty, a null source as the source "", a null doc_id has the hash of "". Repeated rows are
-numbered one by one. Columns of docs that clash with those added are replaced.
+Rows: a null text counts as empty, a null source as the source "". Rows without a doc_id are told apart by a hash of their
+texts, so that they don't meet in one slice. Repeated rows are numbered one by one, very long texts dealt out like others.
+An empty table gives no rows. Columns of docs that clash with those added are replaced.
 """
 
 from __future__ import annotations
@@ -22,6 +23,8 @@ from tallygrid.llm.common import cut, read
 
 SHARDS, SLICES, SEED = 16, 4096, "interleave-1"
 ADDED = ("shard", "slot")
+#: SQL for what names a row: its doc_id, else a hash of its text.
+NAME = "coalesce(cast(doc_id as string), concat('#', md5(cast(coalesce(text, '') as binary))))"
 
 
 def shuffle_key(seed: str, *ids: str) -> str:
@@ -39,7 +42,7 @@ def assign(docs: DataFrame, shards: int = SHARDS, seed: str = SEED) -> DataFrame
         F.expr("coalesce(cast(source as string), '')").alias("source"),
         F.expr("coalesce(octet_length(text), 0) + 1L").alias("size"),
         F.expr("crc32(cast(coalesce(text, '') as binary))").alias("text_crc32"),
-        F.expr(shuffle_key(seed, "doc_id")).alias("h"),
+        F.expr(shuffle_key(seed, NAME)).alias("h"),
     ).withColumn("slice", F.expr(f"h div {(1 << 60) // SLICES}"))
     sums = rows.groupBy("source", "slice").agg(F.count("*").alias("n"))
     of = W.partitionBy("source")
@@ -59,14 +62,13 @@ def assign(docs: DataFrame, shards: int = SHARDS, seed: str = SEED) -> DataFrame
 def shard(docs: DataFrame, shards: int = SHARDS, seed: str = SEED) -> DataFrame:
     """docs, with its columns, and the shard and slot of each row."""
     docs = docs.drop(*ADDED)
-    key = ["_id", "_crc", "_size"]
     own = docs.withColumns({"_id": F.col("doc_id").cast("long"), "_crc": F.expr("crc32(cast(coalesce(text, '') as binary))"), "_size": F.expr("coalesce(octet_length(text), 0) + 1L")})
-    numbered = lambda df, *tie: df.withColumn("_copy", F.row_number().over(W.partitionBy("_id").orderBy("_crc", "_size", *tie)))
-    found = assign(docs, shards, seed).toDF(*key, *ADDED)
-    found = numbered(found, *ADDED)
+    named = lambda df: df.withColumns({"_known": F.col("_id").isNotNull(), "_name": F.coalesce("_id", "_crc")})
+    numbered = lambda df, *tie: named(df).withColumn("_copy", F.row_number().over(W.partitionBy("_known", "_name").orderBy("_crc", "_size", *tie)))
+    found = numbered(assign(docs, shards, seed).toDF("_id", "_size", "_crc", *ADDED), *ADDED)
     own = numbered(own)
-    on = own["_id"].eqNullSafe(found["_id"]) & (own["_copy"] == found["_copy"])
-    return own.join(found.hint("merge"), on).select(*(own[c] for c in docs.columns), *(found[c] for c in ADDED))
+    same = ["_known", "_name", "_copy"]
+    return own.join(found.select(*same, *ADDED).hint("merge"), same).select(*docs.columns, *ADDED)
 
 
 def write_shards(sharded: DataFrame, path: str, rows_per_file: int = 100_000) -> None:
@@ -86,7 +88,7 @@ WITH tab AS (
   SELECT list_transform(range(16), lambda n: list_reduce([n, 0, 0, 0, 0], lambda c, z: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END)) AS t),
 d AS (
   SELECT doc_id, coalesce(source, '') AS source, coalesce(octet_length(encode(text)), 0) + 1 AS size, string_split(hex(encode(coalesce(text, ''))), '') AS x,
-    CAST('0x' || substr(md5('interleave-1:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 15) AS BIGINT) AS h FROM documents),
+    CAST('0x' || substr(md5('interleave-1:' || coalesce(CAST(doc_id AS VARCHAR), '#' || md5(coalesce(text, '')))), 1, 15) AS BIGINT) AS h FROM documents),
 c AS (
   SELECT d.* EXCLUDE (x), xor(list_reduce(list_prepend(4294967295, list_transform(range(len(x)), lambda i: CAST(strpos('0123456789ABCDEF', x[i - i % 2 + 2 - i % 2]) - 1 AS BIGINT))),
     lambda a, b: xor(t[xor(a, b) % 16 + 1], a // 16)), 4294967295) AS text_crc32 FROM d, tab),

@@ -81,6 +81,16 @@ def test_shards_hold_the_mixture(spark):
     assert all(98 <= r.hot <= 102 and 38 <= r.one <= 42 for r in out) and len(out) == 10
 
 
+def test_rows_without_ids_are_spread(spark):
+    """They don't share one slice of the order, and each still gets a place of its own."""
+    own = spark.range(400).selectExpr("if(id % 2 = 0, null, id) as doc_id", "concat('t', id % 150) as text", "'s' as source", "'en' as lang")
+    h = own.select(F.expr(sharding.shuffle_key("x", sharding.NAME)).alias("h"), "doc_id")
+    assert h.where("doc_id is null").select("h").distinct().count() == 75
+    out = sharding.shard(own, 4).collect()
+    assert len({(r.shard, r.slot) for r in out}) == 400 and Counter(r.text for r in out) == Counter(r.text for r in own.collect())
+    assert {r.copies for r in mixing.mix(own, share=0.5, epochs=1).where("doc_id is null").collect()} == {0, 1}
+
+
 def test_sharding_keeps_rows(odd, none, tmp_path):
     out = sharding.shard(odd)
     assert out.count() == odd.count() and out.columns[-2:] == ["shard", "slot"]
