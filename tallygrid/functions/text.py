@@ -3,6 +3,8 @@ takes all Unicode white space, split() too, and a missing value is '' wherever t
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -20,8 +22,11 @@ COLOURS = {
     "blue": "blue", "navy": "blue", "azure": "blue", "purple": "purple", "violet": "purple", "magenta": "magenta", "fuchsia": "magenta",
     "pink": "magenta",
 }
-# Number words, zero first.
-NUMBERS = "zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen".split()
+# Number words.
+NUMBERS = {
+    "zero": 0, "one": 1, "two": 2, "three": 3, "four": 4, "five": 5, "six": 6, "seven": 7, "eight": 8, "nine": 9, "ten": 10, "eleven": 11,
+    "twelve": 12, "thirteen": 13, "fourteen": 14, "fifteen": 15,
+}
 # Camera instructions that end a prompt, in the order in which they are tried.
 CAMERA = (
     " In portrait, static camera, no zoom, no pan.",
@@ -37,11 +42,24 @@ PREFIXES = {
     "ti2ti": "Use the provided reasoning image as input. ",
     "ti2t": "Use the provided puzzle image to solve the task. ",
 }
+# Phrases of prompts that need no prefix.
 MENTIONS = ("provided puzzle image", "provided maze image", "provided input image", "provided reasoning image")
+# Prompts, suffixes, and characters that answers are freed of.
 MAZE_PROMPT = "Use the provided maze image as input. Draw a red path connecting the two red endpoints without touching the black walls."
 SFT_SUFFIX = "\nDo not output the thinking process. Output the answer directly."
 GRPO_SUFFIX = "\nPlease think step by step and output your final answer within <answer>...</answer> tags."
 ANSWER_TEMPLATE = "\n\nEnclose the final answer within <answer> </answer> tags, i.e., <answer>answer here</answer>.\nNote that using tools (e.g., python) is not allowed."
+# The prompts of a visual puzzle by mode, with and without options.
+PUZZLE_PROMPTS = {
+    "ti2v": "Use the provided visual puzzle image as the starting frame. {question}",
+    "ti2i": "Use the provided visual puzzle image as input. {question} Replace only the missing question-mark region with the correct answer while keeping every other shape unchanged. Output the solved image.",
+    "ti2t": "Use the provided visual puzzle image to solve the task. {question} Options: [{options}]. Answer with exactly one option.",
+    "ti2ti": "Use the provided visual puzzle image as input. {question} Options: [{options}]. First determine the correct option, then replace only the missing question-mark region with that answer while keeping every other shape unchanged. Output the solved image.",
+}
+OPEN_PUZZLE_PROMPTS = {
+    "ti2t": "Use the provided visual puzzle image to solve the task. {question} Answer with the final answer only.",
+    "ti2ti": "Use the provided visual puzzle image as input. {question} First determine the missing answer, then replace only the missing question-mark region with that answer while keeping every other shape unchanged. Output the solved image.",
+}
 STRIPPED = " \t\r\n\"'`.,;:!?()[]{}"
 
 Text = Column | str
@@ -177,8 +195,8 @@ def last_number(x: Text) -> Column:
     text = blank(x)
     own = F.when(F.contains(text, F.lit("**")), F.array_join(F.regexp_extract_all(text, F.lit(r"\*\*(.*?)\*\*"), F.lit(1)), " ")).otherwise(text)
     digits = F.try_element_at(F.regexp_extract_all(own, F.lit(r"\b\d+\b"), F.lit(0)), F.lit(-1))
-    words = F.filter(F.regexp_extract_all(F.lower(own), F.lit("[a-z]+"), F.lit(0)), lambda w: w.isin(NUMBERS))
-    return F.coalesce(digits.try_cast("bigint"), lookup({w: n for n, w in enumerate(NUMBERS)}, F.try_element_at(words, F.lit(-1))).cast("bigint"))
+    words = F.filter(F.regexp_extract_all(F.lower(own), F.lit("[a-z]+"), F.lit(0)), lambda w: w.isin(list(NUMBERS)))
+    return F.coalesce(digits.try_cast("bigint"), lookup(NUMBERS, F.try_element_at(words, F.lit(-1))).cast("bigint"))
 
 
 def colour_order(x: Text, palette: Text) -> Column:
@@ -229,27 +247,22 @@ def question_text(question: Text, options: Text) -> Column:
     return F.concat(col(question), own, F.lit(ANSWER_TEMPLATE))
 
 
+def filled(template: str, values: dict[str, Column]) -> Column:
+    """A template with columns in place of its {names}."""
+    parts = re.split(r"\{(\w+)\}", template)
+    return F.concat(*(values[p] if k % 2 else F.lit(p) for k, p in enumerate(parts)))
+
+
 def puzzle_prompts(question: Text, options: Text, instruction: str = "", common: str = "") -> dict[str, Column]:
-    """Prompts of the four modes; blank options are left out."""
+    """Prompts of the four modes; blank options are left out, and so are blanks in place of what is missing in ti2v."""
     q = strip(blank(question))
     listed = F.array_join(F.filter(F.transform(F.coalesce(col(options), F.array().cast("array<string>")), strip), lambda o: o != ""), ", ")
-    has = listed != ""
-    opts = F.concat(F.lit(" Options: ["), listed, F.lit("]."))
-    image, solve = "Use the provided visual puzzle image as input. ", "Use the provided visual puzzle image to solve the task. "
-    keep = "while keeping every other shape unchanged. Output the solved image."
-    parts = ["Use the provided visual puzzle image as the starting frame.", instruction.strip(), common.strip()]
-    return {
-        "ti2v": strip(F.concat_ws(" ", F.lit(parts[0]), missing(q), *(F.lit(p) for p in parts[1:] if p))),
-        "ti2i": F.concat(F.lit(image), q, F.lit(f" Replace only the missing question-mark region with the correct answer {keep}")),
-        "ti2t": F.concat(F.lit(solve), q, F.when(has, F.concat(opts, F.lit(" Answer with exactly one option."))).otherwise(" Answer with the final answer only.")),
-        "ti2ti": F.concat(
-            F.lit(image),
-            q,
-            F.when(has, F.concat(opts, F.lit(f" First determine the correct option, then replace only the missing question-mark region with that answer {keep}"))).otherwise(
-                f" First determine the missing answer, then replace only the missing question-mark region with that answer {keep}"
-            ),
-        ),
-    }
+    own = {m: filled(t, {"question": q, "options": listed}) for m, t in PUZZLE_PROMPTS.items()}
+    for mode, template in OPEN_PUZZLE_PROMPTS.items():
+        own[mode] = F.when(listed != "", own[mode]).otherwise(filled(template, {"question": q}))
+    more = [F.lit(p.strip()) for p in (instruction, common) if p.strip()]
+    own["ti2v"] = strip(F.concat_ws(" ", strip(own["ti2v"]), *more))
+    return own
 
 
 def judge_request(question: Text, answer: Text, transcript: Text) -> Column:

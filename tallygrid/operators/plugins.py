@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallygrid.functions.rewards import option_pass
+from tallygrid.functions.text import STRIPPED
 from tallygrid.operators import votes
 
 Scorer = Callable[[DataFrame], DataFrame]
@@ -38,12 +39,29 @@ VOTES: dict[str, Callable[[DataFrame, list[str], str], DataFrame]] = {
     "least": votes.frame_vote,
 }
 
-#: Expressions that SQL users call by name.
+def _quoted(text: str) -> str:
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+_SPACE, _EDGES, _ANSWER, _LETTER, _LIST, _WHOLE, _NUMBER = map(_quoted, (r"(?U)\s+", r"(?U)^\s+|\s+$", r"(?U)^answer\s*:\s*", r"^\p{L}$", r"(?s)\[(.*?)\]", r"^\[.*\]$", r"^-*[0-9]+$"))
+
+#: Expressions that SQL users call by name, in an order in which each only names those before it.
 SQL_FUNCTIONS = {
-    "reward_format": ("t STRING", "DOUBLE", r"CASE WHEN regexp_replace(coalesce(t, ''), '(?U)\\s+', '') <> '' THEN 0.1D ELSE 0D END"),
+    "reward_format": ("t STRING", "DOUBLE", f"CASE WHEN regexp_replace(coalesce(t, ''), {_SPACE}, '') <> '' THEN 0.1D ELSE 0D END"),
     "is_wall": ("r BIGINT, g BIGINT, b BIGINT", "BOOLEAN", "greatest(r, g, b) <= 40"),
     "is_maze_red": ("r BIGINT, g BIGINT, b BIGINT", "BOOLEAN", "r >= 150 AND r - greatest(g, b) >= 70"),
-}
+    "reward_answer": ("t STRING", "STRING", f"""regexp_replace(CASE WHEN contains(t, '<answer>') AND contains(substring_index(t, '<answer>', -1), '</answer>')
+        THEN substring_index(substring_index(t, '<answer>', -1), '</answer>', 1) ELSE coalesce(t, '') END, {_EDGES}, '')"""),
+    "free_text": ("t STRING", "STRING", f"regexp_replace(btrim(regexp_replace(lower(reward_answer(t)), {_ANSWER}, ''), {_quoted(STRIPPED)}), {_SPACE}, ' ')"),
+    "reward_option": ("completion STRING, solution STRING", "DOUBLE", f"CASE WHEN NOT free_text(completion) RLIKE {_LETTER} THEN -1D WHEN upper(free_text(completion)) = upper(free_text(solution)) THEN 1D ELSE 0D END"),
+    "reward_text": ("completion STRING, solution STRING", "DOUBLE", "CASE WHEN free_text(completion) = '' THEN -1D WHEN free_text(completion) = free_text(solution) THEN 1D ELSE 0D END"),
+    "answer_path": ("t STRING", "ARRAY<BIGINT>", f"""CASE WHEN reward_answer(t) RLIKE {_LIST} AND NOT exists(filter(transform(split(regexp_extract(reward_answer(t), {_LIST}, 1), ','), x -> trim(x)), x -> x RLIKE {_NUMBER}), x -> try_cast(x AS BIGINT) IS NULL)
+        THEN transform(filter(transform(split(regexp_extract(reward_answer(t), {_LIST}, 1), ','), x -> trim(x)), x -> x RLIKE {_NUMBER}), x -> try_cast(x AS BIGINT)) END"""),
+    "same_start": ("a ARRAY<BIGINT>, b ARRAY<BIGINT>", "INT", """coalesce(nullif(array_position(zip_with(slice(a, 1, least(size(a), size(b))), slice(b, 1, least(size(a), size(b))), (x, y) -> NOT (x <=> y)), true), 0) - 1, least(size(a), size(b)))"""),
+    "score_path": ("pred ARRAY<BIGINT>, truth ARRAY<BIGINT>", "DOUBLE", """CASE WHEN truth IS NULL THEN -1D WHEN size(truth) = 0 THEN 0D WHEN pred IS NULL THEN -1D WHEN pred = truth THEN 1D
+        ELSE try_divide(cast(least(size(truth), same_start(pred, truth) + same_start(reverse(pred), reverse(truth))) AS DOUBLE), greatest(size(truth), size(pred))) END"""),
+    "reward_path": ("completion STRING, solution STRING", "DOUBLE", f"score_path(answer_path(completion), CASE WHEN trim(solution) RLIKE {_WHOLE} THEN from_json(solution, 'array<bigint>') END)"),
+}
 
 
 def register_sql(spark: SparkSession) -> None:
