@@ -37,7 +37,7 @@ SELECT image_id, frame_idx, y, x, max(r) AS r, max(g) AS g, max(b) AS b FROM (
   FROM {lineitem}) p
 GROUP BY image_id, frame_idx, y, x""",
     "frames": """
-SELECT label AS video_id, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS frame_idx, vec_id, embedding AS px FROM {embeddings}""",
+SELECT CAST(floor(vec_id / 50) AS BIGINT) AS video_id, vec_id % 50 AS frame_idx, vec_id, embedding AS px FROM {embeddings}""",
     "samples": """
 SELECT doc_id AS pos, concat('s', CAST(doc_id % 800 AS VARCHAR(20))) AS id,
   CASE doc_id % 4 WHEN 0 THEN 'maze_square' WHEN 1 THEN 'color_grid' WHEN 2 THEN 'midpoint' ELSE 'unknown_task' END AS task_type,

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tallygrid.functions import rewards as R
 from tallygrid.functions import text as T
-from tallygrid.operators import canon, export, gates, summary, synth, votes
+from tallygrid.operators import canon, export, gates, sequences, summary, synth, votes
 from tallygrid.operators.components import shared_path as shared_folder
 from tallygrid.plans.fixtures import duck, fixture, table
 from tallygrid.plans.registry import query
@@ -138,8 +138,7 @@ def p13_text_source(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p14_attempt_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = fixture(spark, sf_dir, "cells")
     payload = own.groupBy("puzzle_id", "attempt").agg(F.to_json(F.collect_list(F.struct(F.expr("if(pos % 4 = 0, null, pos)").alias("row"), F.col("pos").alias("col"), "expected", (F.col("is_clue") == 1).alias("is_clue")))).alias("payload"))
-    cells = payload.select("puzzle_id", "attempt", F.inline(F.from_json("payload", "array<struct<row:long,col:long,expected:long,is_clue:boolean>>")))
-    return cells.where("not is_clue and row is not null and col is not null").select("puzzle_id", "attempt", F.col("col").alias("pos"), "expected")
+    return sequences.attempt_cells(payload, ["puzzle_id", "attempt"]).select("puzzle_id", "attempt", F.col("col").alias("pos"), "expected")
 
 
 # Sources and sinks
@@ -229,7 +228,7 @@ def j2_merge_offline(spark: SparkSession, sf_dir: str) -> DataFrame:
 def j3_file_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     videos = table(spark, sf_dir, "documents").select("doc_id", F.expr("concat('v', doc_id, '.mp4')").alias("video_filename"))
     questions = table(spark, sf_dir, "pages").select(F.expr("concat('v', page_id, '.mp4')").alias("video_filename"), "url")
-    return videos.join(questions, "video_filename").select("doc_id", "url")
+    return sequences.join_by_file(videos, questions, "video_filename").select("doc_id", "url")
 
 
 @query("""SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN 'puzzles/' || doc_id % 3 || '__a' || doc_id || '.png' WHEN 1 THEN doc_id % 3 || '__a.png' WHEN 2 THEN doc_id % 3 || '__' || doc_id || '.png' WHEN 3 THEN 'a/b/' || doc_id % 3 || '__c.png' ELSE '' END AS new_path FROM documents""")
@@ -258,20 +257,19 @@ def j5_pending(spark: SparkSession, sf_dir: str) -> DataFrame:
     return canon.pending(log.select("item_id").distinct(), log)
 
 
-@query(f"""SELECT a.path_id, a.pos, a.truth_cell AS expected, b.pred_cell AS actual, a.truth_cell IS NOT DISTINCT FROM b.pred_cell AS same FROM
-  (SELECT path_id, pos, max(truth_cell) AS truth_cell FROM {duck('paths')} GROUP BY ALL) a LEFT JOIN (SELECT path_id, pos, max(pred_cell) AS pred_cell FROM {duck('paths')} WHERE pos < 5 GROUP BY ALL) b USING (path_id, pos)""")
+@query(f"""SELECT path_id, pos, a.truth_cell AS expected, b.pred_cell AS actual, a.truth_cell IS NOT DISTINCT FROM b.pred_cell AS same FROM
+  (SELECT path_id, pos, max(truth_cell) AS truth_cell FROM {duck('paths')} GROUP BY ALL) a FULL JOIN (SELECT path_id, pos + path_id % 3 - 1 AS pos, max(pred_cell) AS pred_cell FROM {duck('paths')} GROUP BY ALL) b USING (path_id, pos)""")
 def j12_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Predictions that begin a place early, in time or late, so that either side has places that the other lacks."""
     own = fixture(spark, sf_dir, "paths")
-    left = own.groupBy("path_id", "pos").agg(F.max("truth_cell").alias("expected"))
-    right = own.where("pos < 5").groupBy("path_id", "pos").agg(F.max("pred_cell").alias("actual"))
-    return left.join(right, ["path_id", "pos"], "full").withColumn("same", F.col("expected").eqNullSafe(F.col("actual")))
+    late = own.withColumn("pos", F.expr("pos + path_id % 3 - 1"))
+    return sequences.aligned(own.withColumnRenamed("truth_cell", "cell"), late.withColumnRenamed("pred_cell", "cell"), ["path_id", "pos"], "cell")
 
 
 @query(f"SELECT puzzle_id, attempt, pos, coalesce(predicted = expected, false) AS is_correct FROM {CELLS}")
 def j13_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    own = fixture(spark, sf_dir, "cells")
-    truth, found = own.select("puzzle_id", "attempt", "pos", "expected"), own.where("predicted is not null").select("puzzle_id", "attempt", "pos", "predicted")
-    return truth.join(found, ["puzzle_id", "attempt", "pos"], "left").select("puzzle_id", "attempt", "pos", F.coalesce(F.col("predicted") == F.col("expected"), F.lit(False)).alias("is_correct"))
+    own, keys = fixture(spark, sf_dir, "cells"), ["puzzle_id", "attempt", "pos"]
+    return sequences.judged_cells(own.select(*keys, "expected"), own.where("predicted is not null").select(*keys, "predicted"), keys)
 
 
 @query(f"""SELECT puzzle_id, CASE WHEN puzzle_id % 3 = 0 THEN 'unmatched' WHEN puzzle_id % 3 = 1 THEN 'not monochrome' ELSE 'kept' END AS state, count(*) AS n FROM {CELLS} GROUP BY 1, 2""")
@@ -466,7 +464,7 @@ def w4_shard_number(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"SELECT puzzle_id, pos, arg_min(expected, attempt) AS expected FROM {CELLS} GROUP BY ALL")
 def w5_first_expected(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fixture(spark, sf_dir, "cells").groupBy("puzzle_id", "pos").agg(F.min_by("expected", F.when(F.col("expected").isNotNull(), F.col("attempt"))).alias("expected"))
+    return sequences.first_known(fixture(spark, sf_dir, "cells"), ["puzzle_id", "pos"], "expected", "attempt")
 
 
 FR = duck("frames")
@@ -474,19 +472,18 @@ FR = duck("frames")
 
 @query(f"SELECT video_id, arg_min(vec_id, frame_idx) AS first, arg_max(vec_id, frame_idx) AS last FROM {FR} GROUP BY 1")
 def w6_first_last_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fixture(spark, sf_dir, "frames").groupBy("video_id").agg(F.min_by("vec_id", "frame_idx").alias("first"), F.max_by("vec_id", "frame_idx").alias("last"))
+    return sequences.ends(fixture(spark, sf_dir, "frames"), ["video_id"], "vec_id", "frame_idx")
 
 
 @query(f"SELECT video_id, vec_id FROM {FR} WHERE frame_idx % 3 = 0")
 def w7_stride(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fixture(spark, sf_dir, "frames").where("frame_idx % greatest(1, 3) = 0").select("video_id", "vec_id")
+    return sequences.strided(fixture(spark, sf_dir, "frames"), "frame_idx", 3).select("video_id", "vec_id")
 
 
 @query(f"SELECT path_id, array_to_string(list_slice(list(truth_cell ORDER BY p), 1, 3), ',') AS cells FROM (SELECT path_id, truth_cell, min(pos * 100 + truth_cell) AS p FROM {duck('paths')} GROUP BY 1, 2) GROUP BY 1")
 def w8_ordered_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cells = F.array_sort(F.collect_list(F.struct("pos", "truth_cell")))
-    own = fixture(spark, sf_dir, "paths").groupBy("path_id").agg(cells.alias("c"))
-    return own.select("path_id", F.array_join(F.transform(F.slice(F.array_distinct("c.truth_cell"), 1, 3), lambda x: x.cast("string")), ",").alias("cells"))
+    own = sequences.in_order(fixture(spark, sf_dir, "paths"), ["path_id"], "truth_cell", "pos", "c")
+    return own.select("path_id", F.array_join(F.transform(sequences.first_mentions("c", 3), lambda x: x.cast("string")), ",").alias("cells"))
 
 
 @query(f"SELECT item_id, max(attempt) AS attempt, arg_max(error, attempt) AS error FROM {RETRY} GROUP BY 1")
@@ -497,10 +494,7 @@ def w9_keep_last(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT l_orderkey, min(gap) AS gap, coalesce(min(gap) >= 5, true) AS ok FROM (SELECT l_orderkey, l_quantity - lag(l_quantity) OVER (PARTITION BY l_orderkey ORDER BY l_quantity) AS gap FROM lineitem) GROUP BY 1")
 def w10_edge_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from pyspark.sql import Window as W
-
-    gap = F.col("l_quantity") - F.lag("l_quantity").over(W.partitionBy("l_orderkey").orderBy("l_quantity"))
-    return table(spark, sf_dir, "lineitem").withColumn("gap", gap).groupBy("l_orderkey").agg(F.min("gap").alias("gap"), F.coalesce(F.min("gap") >= 5, F.lit(True)).alias("ok"))
+    return sequences.edge_gaps(table(spark, sf_dir, "lineitem"), ["l_orderkey"], "l_quantity", 5)
 
 
 @query("SELECT event_id FROM events ORDER BY event_id LIMIT 25")
@@ -510,8 +504,8 @@ def s1_head(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"SELECT path_id, array_to_string(list(truth_cell ORDER BY pos DESC, truth_cell DESC), ',') AS cells FROM {duck('paths')} GROUP BY 1")
 def s2_stacking(spark: SparkSession, sf_dir: str) -> DataFrame:
-    own = fixture(spark, sf_dir, "paths").groupBy("path_id").agg(F.sort_array(F.collect_list(F.struct("pos", "truth_cell")), False).alias("c"))
-    return own.select("path_id", F.array_join(F.transform("c.truth_cell", lambda x: x.cast("string")), ",").alias("cells"))
+    own = sequences.in_order(fixture(spark, sf_dir, "paths"), ["path_id"], "truth_cell", "pos", "c", descending=True)
+    return own.select("path_id", F.array_join(F.transform("c", lambda x: x.cast("string")), ",").alias("cells"))
 
 
 @query("""SELECT doc_id, position FROM (SELECT doc_id, row_number() OVER (ORDER BY CAST('0x' || substr(md5('42:1:' || CAST(doc_id AS VARCHAR)), 1, 15) AS BIGINT), doc_id) - 1 AS position FROM documents) WHERE position >= 10""")

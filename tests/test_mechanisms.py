@@ -6,7 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from tallygrid.operators import gates, grid, synth
+from tallygrid.operators import gates, grid, sequences, synth
 from tallygrid.sources import sinks
 from tallygrid.streaming import results, retries
 
@@ -142,3 +142,20 @@ def test_footers_are_read_not_rows(spark, tmp_path):
     assert sorted((r.shard, r.rows, r.row_groups) for r in found.collect()) == [(0, 300, 1), (1, 300, 1), (2, 300, 1), (3, 100, 1)]
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "content" not in plan
+
+
+def test_sequences(spark):
+    own = spark.createDataFrame([(1, 0, "a"), (1, 1, None), (1, 2, "b"), (1, 3, "a"), (2, 5, None)], "k int, pos int, v string")
+    assert {r.k: r.v for r in sequences.first_known(own, ["k"], "v", "pos").collect()} == {1: "a", 2: None}
+    assert {r.k: (r.first, r.last) for r in sequences.ends(own, ["k"], "v", "pos").collect()} == {1: ("a", "a"), 2: (None, None)}
+    listed = sequences.in_order(own, ["k"], "v", "pos", "c").select("k", sequences.first_mentions("c", 2).alias("c"))
+    assert {r.k: r.c for r in listed.collect()} == {1: ["a", None], 2: [None]}
+    assert [r.v for r in sequences.strided(own.where("k = 1"), "pos", 3).collect()] == ["a", "a"] and sequences.strided(own, "pos", 0).count() == 5
+    late = own.withColumn("pos", F.col("pos") + 1)
+    found = {(r.k, r.pos): (r.expected, r.actual, r.same) for r in sequences.aligned(own, late, ["k", "pos"], "v").collect()}
+    assert found == {(1, 0): ("a", None, False), (1, 1): (None, "a", False), (1, 2): ("b", None, False), (1, 3): ("a", "b", False), (1, 4): (None, "a", False), (2, 5): (None, None, True), (2, 6): (None, None, True)}
+    given = ['[{"row": 1, "col": 2, "expected": 3, "is_clue": false}, {"row": null, "col": 2, "expected": 3}, {"row": 1, "col": 3, "expected": null}, {"row": 0, "col": 0, "expected": 1, "is_clue": true}]', "broken", None]
+    cells = sequences.attempt_cells(spark.createDataFrame([(k, t) for k, t in enumerate(given)], "k int, payload string"), ["k"])
+    assert sorted((r.k, r.row, r.col, r.expected or 0) for r in cells.collect()) == [(0, 1, 2, 3), (0, 1, 3, 0)]
+    gaps = sequences.edge_gaps(spark.createDataFrame([(1, 1.0), (1, 7.0), (1, 9.5), (2, 4.0)], "k int, x double"), ["k"], "x", 3)
+    assert {r.k: (r.gap, r.ok) for r in gaps.collect()} == {1: (2.5, False), 2: (None, True)}
