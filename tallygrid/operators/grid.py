@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tallygrid.functions.pixels import METRICS, euclidean
+from tallygrid.functions.pixels import METRICS, euclidean, total
 from tallygrid.operators import paths
 from tallygrid.operators.components import connected_components, cut
 
@@ -40,7 +40,7 @@ def best_frame(frames: DataFrame, reference: DataFrame, metric: str = "euclidean
     own = own if window is None else own.where(window)
     ref = reference.select("image_id", "x", "y", *(F.col(c).alias(f"_{c}") for c in "rgb"))
     d = METRICS[metric]([F.col(c) for c in "rgb"], [F.col(f"_{c}") for c in "rgb"])
-    sums = own.join(ref, ["image_id", "x", "y"]).groupBy("image_id", "frame_idx").agg(F.round(F.sum(d), 6).alias("diff"))
+    sums = own.join(ref, ["image_id", "x", "y"]).groupBy("image_id", "frame_idx").agg(total(d, 6).alias("diff"))
     best = sums.groupBy("image_id").agg(F.min(F.struct("diff", "frame_idx")).alias("_b"))
     return best.select("image_id", F.col("_b.frame_idx").alias("frame_idx"), F.col("_b.diff").alias("diff"))
 

@@ -215,3 +215,35 @@ def test_exports_in_one_pass(spark, tmp_path):
     assert plan.count("Scan ExistingRDD") == 1
     with pytest.raises(ValueError):
         export.fan_out(own, ["nothing"])
+
+
+def test_sums_of_distances_are_exact(spark):
+    """The same sum in any order, half up; greys of exactly 245.5 are bright."""
+    rows = [(0, 4.503599627370496e6), (1, 0.0005)] + [(k, 3e-10) for k in range(2, 12)]
+    for order in ("k", "-k"):
+        own = spark.createDataFrame(rows, "k int, d double").coalesce(1).orderBy(F.expr(order))
+        assert own.agg(P.total(F.col("d"), 3)).first()[0] == 4503599.628
+    edge = spark.createDataFrame([(238, 250, 242), (249, 251, 208), (253, 241, 249), (245, 245, 245)], "r long, g long, b long")
+    black = [F.lit(0)] * 3
+    assert [(r.g, r.c) for r in edge.select(P.grey().alias("g"), P.coverage([F.col(c) for c in "rgb"], black).alias("c")).collect()] == [(246.0, 1.0)] * 3 + [(245.0, 0.0)]
+
+
+def test_distances_against_exact_sums(spark, tmp_path):
+    """M3 over pixels of which some have a grey of exactly 245.5, against its twin."""
+    import duckdb
+
+    import __spark_entry__ as entry
+
+    # r = (37 p + o) % 256, g = (11 p + s) % 256, b = (5 o + n) % 256 for order o, part p, supplier s and line n = 2
+    edge = []
+    for r, g, b in ((238, 250, 242), (249, 251, 208), (253, 241, 249)):
+        o = (b - 2) * pow(5, -1, 256) % 256
+        p = (r - o) * pow(37, -1, 256) % 256
+        edge.append((o, p, (g - 11 * p) % 256, 2))
+    rows = edge + [(o, p, s, 1) for o, p, s, _ in edge]  # frame 1 is darker by one
+    spark.createDataFrame(rows, "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber long").coalesce(1).write.parquet(f"{tmp_path}/lineitem.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW lineitem AS SELECT * FROM '{tmp_path}/lineitem.parquet/*.parquet'")
+    twin = con.execute(entry.oracle_sql()["m3_distances"]).fetchall()
+    assert sorted(r[:] for r in entry.queries()["m3_distances"](spark, str(tmp_path)).select("frame_idx", "euclidean", "manhattan", "coverage").collect()) == sorted(twin)
+    assert max(r[3] for r in twin) == 3
