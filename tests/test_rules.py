@@ -104,6 +104,32 @@ def test_numbered(spark):
     assert canon.numbered(own.limit(0), "id").count() == 0
 
 
+def test_numbered_within_keys(spark):
+    """Two keys and no key, cut into many ranges."""
+    own = spark.range(300).selectExpr("id * 31 % 307 as id", "if(id % 7 = 0, null, if(id % 3 = 0, 'a', 'b')) as k")
+    found = canon.numbered(own, "id", most=20, keys=("k",)).collect()
+    assert len(found) == 300
+    for k in ("a", "b", None):
+        assert [r["index"] for r in sorted((r for r in found if r.k == k), key=lambda r: r.id)] == list(range(sum(r.k == k for r in found)))
+
+
+@pytest.mark.parametrize("name", ["w6_first_last_frame"])
+def test_frames_are_numbered_within_labels(spark, tmp_path, name):
+    """Videos are labels and frames their rows by vec_id, as FIXTURES.md has it, whatever the ids are."""
+    import duckdb
+
+    import __spark_entry__ as entry
+
+    rows = [(k * 37 % 401, [0.0], "ab"[k % 5 > 1]) for k in range(100)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label string").coalesce(1).write.parquet(f"{tmp_path}/embeddings.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'")
+    places = {v: [i for i, _, x in sorted(rows) if x == v] for v in "ab"}
+    expected = [(v, own[0], own[-1]) for v, own in places.items()] if name[1] == "6" else [(v, i) for v, own in places.items() for i in own[::3]]
+    found = sorted(r[:] for r in entry.queries()[name](spark, str(tmp_path)).collect())
+    assert found == sorted(expected) == sorted(con.execute(entry.oracle_sql()[name]).fetchall())
+
+
 def test_require_raises(spark):
     with pytest.raises(Exception, match="no id"):
         canon.require(spark.range(3), F.col("id") > 0, "no id").collect()
