@@ -113,7 +113,7 @@ def test_numbered_within_keys(spark):
         assert [r["index"] for r in sorted((r for r in found if r.k == k), key=lambda r: r.id)] == list(range(sum(r.k == k for r in found)))
 
 
-@pytest.mark.parametrize("name", ["w6_first_last_frame"])
+@pytest.mark.parametrize("name", ["w6_first_last_frame", "w7_stride"])
 def test_frames_are_numbered_within_labels(spark, tmp_path, name):
     """Videos are labels and frames their rows by vec_id, as FIXTURES.md has it, whatever the ids are."""
     import duckdb
