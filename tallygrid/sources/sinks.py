@@ -27,10 +27,15 @@ def write_csv(rows: DataFrame, path: str) -> None:
     rows.na.fill("").write.option("header", True).option("quoteAll", True).option("escape", '"').option("emptyValue", "").option("nullValue", "").csv(path)
 
 
-def write_shards(rows: DataFrame, path: str, order: str, rows_per_shard: int) -> None:
-    """SNK4, W4: folders shard=k of rows_per_shard rows in the order of a unique long."""
+def write_shards(rows: DataFrame, path: str, order: str, rows_per_shard: int, shards_per_task: int = 32) -> None:
+    """SNK4, W4: folders shard=k of rows_per_shard rows in the order of a unique long.
+
+    Tasks go with the number of files, as opening them takes the time; left to adaptive execution, which looks at bytes, one
+    task would write thousands of small files.
+    """
+    tasks = max(1, -(-rows.count() // (rows_per_shard * shards_per_task)))
     own = numbered(rows, order, "_index").withColumn("shard", F.expr(f"_index div {rows_per_shard}")).drop("_index")
-    own.repartition("shard").sortWithinPartitions("shard", order).write.partitionBy("shard").parquet(path)
+    own.repartition(tasks, "shard").sortWithinPartitions("shard", order).write.partitionBy("shard").parquet(path)
 
 
 def shard_info(spark: SparkSession, path: str) -> DataFrame:

@@ -144,6 +144,13 @@ def test_footers_are_read_not_rows(spark, tmp_path):
     assert "content" not in plan
 
 
+def test_many_small_shards_are_written_by_many_tasks(spark, tmp_path):
+    sinks.write_shards(spark.range(300), f"{tmp_path}/s", "id", 1, shards_per_task=32)
+    written = sinks.shard_info(spark, f"{tmp_path}/s").collect()
+    assert sorted((r.shard, r.rows) for r in written) == [(k, 1) for k in range(300)]
+    assert len({r.file.rsplit("/", 1)[1].split("-")[1] for r in written}) > 5
+
+
 def test_sequences(spark):
     own = spark.createDataFrame([(1, 0, "a"), (1, 1, None), (1, 2, "b"), (1, 3, "a"), (2, 5, None)], "k int, pos int, v string")
     assert {r.k: r.v for r in sequences.first_known(own, ["k"], "v", "pos").collect()} == {1: "a", 2: None}
