@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
 from tallygrid.functions.pixels import METRICS, euclidean, total
 from tallygrid.operators import paths
@@ -12,6 +17,9 @@ from tallygrid.operators.components import connected_components, cut
 
 Palette = list[tuple[str, tuple[int, int, int]]]
 
+#: Side of a tile of an image; a row of it is a long.
+TILE = 64
+
 
 def nearest_palette(rgb: list[Column], palette: Palette) -> Column:
     """Name of the closest colour, the first on a tie. The palette is a literal of a few colours: no join."""
@@ -107,28 +115,75 @@ def trim_box(pixels: DataFrame, keys: list[str], tolerance: int) -> DataFrame:
     return own.groupBy(*keys).agg(edge(F.min, "x").alias("left"), edge(F.min, "y").alias("top"), edge(F.max, "x").alias("right"), edge(F.max, "y").alias("bottom"))
 
 
+def _tile_runs(bits: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(tile, row, first and last column, first run of the region) of the runs of bits in tiles of 64 rows, in order."""
+    mask = np.unpackbits(bits.view(np.uint8), axis=1, bitorder="little").reshape(len(bits), TILE, TILE).astype(bool)
+    edge = np.diff(mask.view(np.int8), axis=2, prepend=0, append=0)
+    tile, row, x0 = np.nonzero(edge[:, :, :-1] > 0)
+    x1 = np.nonzero(edge[:, :, 1:] < 0)[2]
+    run = np.cumsum(edge[:, :, :-1] > 0, dtype=np.int32).reshape(mask.shape) - 1
+    both = mask[:, 1:] & mask[:, :-1]
+    a, b = run[:, 1:][both], run[:, :-1][both]
+    root = np.arange(len(x0), dtype=np.int32)
+    while (root[a] != root[b]).any():
+        p, q = root[a], root[b]
+        np.minimum.at(root, np.maximum(p, q), np.minimum(p, q))
+        while ((up := root[root]) != root).any():
+            root = up
+    return tile, row, x0, x1, root
+
+
+def _label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Tiles (key, _ty, _tx, _rows) to (key, _runs); 128 tiles are taken in hand at once."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, 128):
+            part = batch.slice(at, 128)
+            *_, ty, tx, rows = part.columns
+            owner = np.repeat(np.arange(part.num_rows), pc.list_value_length(rows).to_numpy())
+            flat = rows.flatten()
+            bits = np.zeros((part.num_rows, TILE), dtype=np.int64)
+            bits[owner, flat.field("y").to_numpy() % TILE] = flat.field("bits").to_numpy()
+            tile, row, x0, x1, root = _tile_runs(bits)
+            top, left = ty.to_numpy()[tile] * TILE, tx.to_numpy()[tile] * TILE
+            cols = {"y": top + row, "x0": left + x0, "x1": left + x1, "fy": top + row[root], "fx": left + x0[root]}
+            runs = pa.StructArray.from_arrays([pa.array(v, pa.int64()) for v in cols.values()], names=list(cols))
+            offsets = pa.array(np.searchsorted(tile, np.arange(part.num_rows + 1)), pa.int32())
+            keys = part.columns[:-3]
+            yield pa.record_batch([*keys, pa.ListArray.from_arrays(offsets, runs)], names=[*part.schema.names[:-3], "_runs"])
+
+
 def regions(pixels: DataFrame, key: list[str]) -> DataFrame:
-    """G1: (key, y, x0, x1, region) of the 4-connected regions of masked pixels.
+    """G1: (key, y, x0, x1, region) of the 4-connected regions of masked pixels; runs end at multiples of TILE.
 
-    Rows of an image are cut into runs first, so that the graph has one node a run, and runs of neighbouring rows that
-    overlap are its edges; all images' components are found at once, in rounds that grow with the log of the diameter.
+    Images of any size are cut into tiles of TILE x TILE pixels, whose rows are bits of a long. Regions inside a tile are
+    found in the task that has it, many tiles in arrays at once. Only regions that meet at the edges of tiles are nodes of a
+    graph, whose components are found for all images in rounds that grow with the log of the diameter.
     """
-    row = W.partitionBy(*key, "y").orderBy("x")
-    runs = pixels.select(*key, "y", "x").distinct().withColumn("_g", F.col("x") - F.row_number().over(row)).groupBy(*key, "y", "_g").agg(F.min("x").alias("x0"), F.max("x").alias("x1")).drop("_g")
-    name = F.xxhash64(*key, "y", "x0")
-    runs = cut(runs.withColumn("run", name))
-    below = runs.select(*key, (F.col("y") - 1).alias("y"), F.col("x0").alias("_x0"), F.col("x1").alias("_x1"), F.col("run").alias("_run"))
-    edges = runs.join(below, [*key, "y"]).where("x0 <= _x1 and _x0 <= x1").select(F.col("run").alias("a"), F.col("_run").alias("b"))
-    found = connected_components(edges).withColumnRenamed("node", "run")
-    return runs.join(found, "run", "left").select(*key, "y", "x0", "x1", F.coalesce("component", "run").alias("region"))
+    place = pixels.where("y is not null and x is not null").select(*key, F.col("y").cast("long").alias("y"), F.col("x").cast("long").alias("x"))
+    rows = place.groupBy(*key, "y", F.expr("shiftright(x, 6)").alias("_tx")).agg(F.expr("bit_or(shiftleft(1L, int(x & 63)))").alias("bits"))
+    tiles = rows.groupBy(*key, F.expr("shiftright(y, 6)").alias("_ty"), "_tx").agg(F.collect_list(F.struct("y", "bits")).alias("_rows"))
+    schema = StructType([*(tiles.schema[k] for k in key), StructField("_runs", ArrayType(StructType([StructField(c, LongType()) for c in ("y", "x0", "x1", "fy", "fx")])))])
+    found = cut(tiles.mapInArrow(_label, schema)).select(*key, F.inline("_runs"))
+    runs = found.select(*key, "y", "x0", "x1", F.xxhash64(*key, "fy", "fx").alias("region"))
+    other = runs.select(*key, F.col("y").alias("_y"), F.col("x0").alias("_x0"), F.col("x1").alias("_x1"), F.col("region").alias("_region"))
+    beside = runs.where("x0 & 63 = 0").join(other.where("_x1 & 63 = 63").withColumns({"y": F.col("_y"), "x0": F.col("_x1") + 1}).hint("merge"), [*key, "y", "x0"])
+    above = runs.where("y & 63 = 0").withColumn("_tx", F.expr("shiftright(x0, 6)"))
+    above = above.join(other.where("_y & 63 = 63").withColumns({"y": F.col("_y") + 1, "_tx": F.expr("shiftright(_x0, 6)")}).hint("merge"), [*key, "y", "_tx"]).where("x0 <= _x1 and _x0 <= x1")
+    edges = cut(beside.select("region", "_region").unionByName(above.select("region", "_region")).distinct())
+    if edges.isEmpty():
+        return runs
+    joined = connected_components(edges, "region", "_region").withColumnRenamed("node", "region")
+    return runs.join(joined.hint("merge"), "region", "left").select(*key, "y", "x0", "x1", F.coalesce("component", "region").alias("region"))
 
 
 def connected(pixels: DataFrame, key: list[str], seeds: DataFrame) -> DataFrame:
     """G1: (key, connected): whether start (sx, sy) and goal (gx, gy) lie in one region; False off the mask."""
-    found = regions(pixels, key)
-    at = lambda x, y, name: seeds.join(found, key).where((F.col("y") == F.col(y)) & F.col(x).between(F.col("x0"), F.col("x1"))).select(*key, F.col("region").alias(name))
-    out = seeds.join(at("sx", "sy", "_s"), key, "left").join(at("gx", "gy", "_e"), key, "left")
-    return out.select(*key, F.coalesce(F.col("_s") == F.col("_e"), F.lit(False)).alias("connected"))
+    found = regions(pixels, key).select(*(F.col(k).alias(f"_k_{k}") for k in key), "y", "x0", "x1", "region")
+    at = lambda x, y: (F.col("y") == F.col(y)) & F.col(x).between(F.col("x0"), F.col("x1"))
+    own = seeds.join(found.hint("merge"), [*(F.col(k) == F.col(f"_k_{k}") for k in key), at("sx", "sy") | at("gx", "gy")], "left")
+    one = lambda x, y: F.max(F.when(at(x, y), F.col("region")))
+    ends = own.groupBy(*key, "sx", "sy", "gx", "gy").agg(one("sx", "sy").alias("_s"), one("gx", "gy").alias("_e"))
+    return ends.select(*key, F.coalesce(F.col("_s") == F.col("_e"), F.lit(False)).alias("connected"))
 
 
 def region_boxes(found: DataFrame, key: list[str], padding: int, width: int, height: int) -> DataFrame:

@@ -5,6 +5,7 @@ import random
 from collections import defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from conftest import DATA
@@ -45,6 +46,28 @@ def test_regions_of_all_images(spark):
     assert boxes == sorted((*k, max(min(xs(a)) - 2, 0), max(min(ys(a)) - 2, 0), min(max(xs(a)) + 3, 48), min(max(ys(a)) + 3, 48)) for k, own in bright.items() for a in areas(own))
 
 
+def test_regions_across_tiles(spark):
+    """Areas of images larger than a tile, from noise to stripes and a spiral, some left of and above 0."""
+    rng = random.Random(6)
+    images = {k: {(y, x) for y in range(-70, 140) for x in range(-10, 75) if rng.random() < 0.3 + k / 10} for k in range(4)}
+    images[4] = {(y, x) for y in range(130) for x in range(150) if x % 2 == 0 or y == (0 if x % 4 == 1 else 129)}
+    images[5] = {(0, 63), (0, 64), (63, 10), (64, 10), (63, 63), (64, 64)}
+    pixels = spark.createDataFrame([(k, y, x) for k, own in images.items() for y, x in own], "k int, y int, x int")
+    found = defaultdict(lambda: defaultdict(set))
+    for r in grid.regions(pixels.unionByName(pixels.where("x % 3 = 0")), ["k"]).collect():
+        found[r.k][r.region] |= {(r.y, x) for x in range(r.x0, r.x1 + 1)}
+    for k, own in images.items():
+        assert sorted(map(sorted, found[k].values())) == sorted(map(sorted, areas(own)))
+    seeds = spark.createDataFrame([(4, 0, 0, 148, 129), (5, 63, 63, 64, 64), (5, 63, 0, 64, 0), (9, 0, 0, 0, 0)], "k int, sx int, sy int, gx int, gy int")
+    assert sorted((r.k, r.connected) for r in grid.connected(pixels, ["k"], seeds).collect()) == [(4, True), (5, False), (5, True), (9, False)]
+
+
+def test_regions_inside_tiles_need_no_graph(spark, monkeypatch):
+    monkeypatch.setattr(grid, "connected_components", None)
+    pixels = spark.createDataFrame([(k, y, x) for k in range(3) for y in range(48) for x in range(48) if (y + x) % (k + 2)], "k int, y int, x int")
+    assert {r.k: r.n for r in grid.regions(pixels, ["k"]).groupBy("k").agg(F.count_distinct("region").alias("n")).collect()} == {k: len(areas({(y, x) for y in range(48) for x in range(48) if (y + x) % (k + 2)})) for k in range(3)}
+
+
 def test_nearest_masked_looks_down_the_sides_first(spark):
     """Ring by ring: left and right columns from the top, then top and bottom rows from the left, on the image only."""
     rng = random.Random(9)
