@@ -43,6 +43,8 @@ WORDS, BINS, ROWS_PER_BAND, LEAST, OF = 5, 128, 4, 75, 100
 BANDS = BINS // ROWS_PER_BAND
 #: Bins of a sketch, standard deviations that it is trusted less; members of a block and shingles of all of them, at most.
 SKETCH, SIGMAS, BLOCK, SHINGLES = 512, 5, 4096, 1 << 21
+#: So many ids, some 16 MB, are broadcast at most, to shuffle the texts of their documents only.
+FEW = 1 << 20
 _PROBES = np.random.default_rng(20170806).integers(0, BINS, (4096, BINS))
 
 
@@ -270,7 +272,10 @@ def across(docs: DataFrame, buckets: DataFrame, nodes: DataFrame, found: DataFra
     named = cut(rows.mapInArrow(_across, "bucket long, i int, j int, block int, comp long, rep long, set_key binary"))
     if named.isEmpty():
         return named.select(F.col("rep").alias("a"), F.col("rep").alias("b"))
-    rows = named.hint("merge").join(docs.select(F.col("doc_id").alias("rep"), "text"), "rep").select("bucket", "i", "j", "block", "comp", "rep", "set_key", "text")
+    texts, ids = docs.select(F.col("doc_id").alias("rep"), "text"), named.select("rep").distinct()
+    if ids.count() <= FEW:
+        texts = texts.join(F.broadcast(ids), "rep", "left_semi")
+    rows = named.hint("merge").join(texts, "rep").select("bucket", "i", "j", "block", "comp", "rep", "set_key", "text")
     return rows.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j").mapInArrow(_link, "a long, b long").distinct()
 
 

@@ -310,3 +310,19 @@ def test_spanning_links():
             return {frozenset(k for k in own if own[k] == v) for v in own.values()}
 
         assert set(out) <= links and classes(out) == classes(links) and len(out) == 27 - len(classes(links))
+
+
+def test_only_texts_of_named_documents_are_shuffled(spark, monkeypatch):
+    """Few members of blocks that may be linked: a broadcast of their ids picks their documents; the links are those of the other way."""
+    rng = random.Random(2)
+    texts = [alike(150, 29, k, "low") for k in range(40)] + [alike(150, rng.choice([23, 24, 26, 27]), k, "high") for k in range(60)]
+    own = spark.createDataFrame(list(enumerate(texts + [" ".join(f"c{j + k * 12}" for j in range(200)) for k in range(20)])), "doc_id long, text string")
+    real, plans, found = near_dedup.cut, [], {}
+    monkeypatch.setattr(near_dedup, "cut", lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or real(df))
+    for few in (-1, 1 << 20):
+        monkeypatch.setattr(near_dedup, "FEW", few)
+        plans.clear()
+        found[few] = sorted(r[:] for r in near_dedup.near_duplicates(own).collect())
+        assert any("_link" in p for p in plans)  # there are such members
+        assert any("_link" in p and "BroadcastHashJoin" in p and "LeftSemi" in p for p in plans) == (few > 0)
+    assert found[-1] == found[1 << 20]
