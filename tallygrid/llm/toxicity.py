@@ -4,11 +4,12 @@ Terms of a text are its distinct words (A-Z lowered) and their PREFIX-byte begin
     bias + sum(w[t]) + 1/2 * sum_f((sum(v[t, f]))**2 - sum(v[t, f]**2)),
 over the terms t of a text: linear weights, and RANK factors a term whose inner products weigh pairs of terms that
 occur together, such as an insult and a group that it is aimed at. (Rendle 2010.) It is fitted by AdaGrad on logistic
-loss, with numpy, on SAMPLE labelled rows at most; the weights are a table of fixed size, broadcast. All whole texts are
-scored in one narrow pass.
+loss, with numpy, on SAMPLE labelled rows at most; the weights that aren't zero are broadcast. All whole texts are scored in
+one narrow pass.
 
 Terms that get a weight are those that tell by themselves and those that tell in a pair. Pairs are looked at among all terms
-that one row in a hundred or more has, in blocks of BLOCK by BLOCK terms, a task for each pair of blocks.
+that one row in a hundred or more has, in blocks of BLOCK by BLOCK terms, a task for each pair of GROUPS groups of blocks. The
+sample stays on the executors: the driver gets counts of terms, then the sample's rows with the terms that get a weight.
 
 Rows: null and empty texts have no terms and get the model's bias, very long ones are scored whole. Null and repeated doc_ids
 are scored row by row; null ones are never learnt from. Without any label, as with empty tables, the score is 0.5 less a
@@ -17,6 +18,7 @@ hair, so that nothing is rejected. A column of docs named like the score is repl
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -31,6 +33,8 @@ from tallygrid.llm.learning import SAMPLE, labelled, remainder
 BITS, RANK, PREFIX, THRESHOLD = 18, 8, 5, 0.5
 #: Standard errors of what tells by itself, and of what tells in pairs; terms of a block whose pairs are looked at together.
 SCREEN, PAIR, BLOCK = 4.0, 6.0, 512
+#: Groups of blocks, more if one would have over WIDE terms; each goes to as many tasks as there are groups.
+GROUPS, WIDE = 5, 1 << 15
 #: How much more a toxic row weighs in the loss than another, as a missed one costs more.
 WEIGHT = 4.0
 BUCKETS = 1 << BITS
@@ -107,37 +111,92 @@ def paired(t: np.ndarray, at: np.ndarray, n1: int, a: np.ndarray, b: np.ndarray)
     return np.concatenate([a[hit.any(axis=1)], b[hit.any(axis=0)]])
 
 
+def parts(terms: np.ndarray) -> list[np.ndarray]:
+    return [terms[k : k + BLOCK] for k in range(0, len(terms), BLOCK)]
+
+
 def blocks(terms: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
     """Every pair of terms in a pair of blocks of BLOCK terms."""
-    parts = [terms[k : k + BLOCK] for k in range(0, len(terms), BLOCK)]
-    return [(x, y) for k, x in enumerate(parts) for y in parts[k:]]
+    own = parts(terms)
+    return [(x, y) for k, x in enumerate(own) for y in own[k:]]
 
 
 def all_paired(t: np.ndarray, at: np.ndarray, y: np.ndarray, terms: np.ndarray, spark: SparkSession | None = None) -> np.ndarray:
-    """The interacting terms of all pairs of `terms`: block by block here, or with a session each pair of blocks in a task,
-    which gets the sample as a broadcast: SAMPLE rows of their counted terms at most."""
-    jobs = blocks(terms)
-    rows = by_class(t.astype(np.int32), at, y)
-    if spark is None or len(jobs) < 2:
-        found = [paired(*rows, a, b) for a, b in jobs]
+    """The interacting terms of all pairs of `terms`: block by block here, or with a session in tasks."""
+    if spark is None:
+        rows = by_class(t.astype(np.int32), at, y)
+        found = [paired(*rows, a, b) for a, b in blocks(terms)]
         return np.unique(np.concatenate([*found, terms[:0]])).astype(np.int64)
-    shared = spark.sparkContext.broadcast((rows, jobs))
+    return paired_in_tasks(spark.createDataFrame(pa.table({"y": pa.array(y > 0).cast(pa.int32()), "t": packed(t, at)})), terms)
 
-    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows, jobs = shared.value
-        for batch in batches:
-            for k in batch.column(0).to_pylist():
-                yield pa.record_batch([pa.array(np.unique(paired(*rows, *jobs[k])).astype(np.int64))], names=["term"])
 
-    found = spark.range(0, len(jobs), 1, len(jobs)).mapInArrow(look, "term long").distinct().toArrow()  # BUCKETS rows at most
+def packed(t: np.ndarray, at: np.ndarray, kind: type = np.int32) -> pa.Array:
+    """Each row's terms as integers of one size."""
+    t = t.astype(kind)
+    return pa.array([t[a:b].tobytes() for a, b in zip(at[:-1], at[1:], strict=True)], pa.binary())
+
+
+def unpacked(table: pa.RecordBatch | pa.Table, kind: type = np.int32) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """y, terms and offsets of rows (y, t)."""
+    own = [np.frombuffer(x, dtype=kind) for x in table.column(1).to_pylist()]
+    return table.column(0).to_numpy(zero_copy_only=False), np.concatenate([*own, np.empty(0, kind)]), np.cumsum([0, *map(len, own)])
+
+
+def paired_in_tasks(rows: DataFrame, terms: np.ndarray) -> np.ndarray:
+    """The interacting terms of all pairs of `terms` in rows (y, t). A pair of groups of terms is a task's; it gets all rows
+    with their terms of the two groups, two bytes each."""
+    if not len(terms):
+        return terms
+    size = BLOCK * math.ceil(min(len(terms) / GROUPS, WIDE) / BLOCK)
+    groups = [terms[k : k + size] for k in range(0, len(terms), size)]
+    pairs = [(a, b) for a in range(len(groups)) for b in range(a, len(groups))]
+    shared = rows.sparkSession.sparkContext.broadcast(groups)
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place = np.full(BUCKETS, -1, dtype=np.int32)
+        place[np.concatenate(shared.value)] = np.arange(sum(map(len, shared.value)))
+        for batch in batches:
+            y, t, at = unpacked(batch)
+            own, out = place[t], []
+            group = np.where(own < 0, -1, own // size)
+            for a, b in pairs:
+                keep = (group == a) | (group == b)
+                sizes = np.diff(np.concatenate([[0], np.cumsum(keep)])[at]).astype(np.int32)
+                out.append(((own[keep] - size * np.where(group[keep] == a, a, b - 1)).astype(np.uint16).tobytes(), sizes.tobytes()))
+            n = len(out)
+            cols = [pa.array(range(n), pa.int32()), pa.array([(y > 0).astype(np.int8).tobytes()] * n, pa.binary()), *(pa.array(x, pa.binary()) for x in zip(*out, strict=True))]
+            yield pa.record_batch(cols, names=["pair", "y", "t", "sizes"])
+
+    def look(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        a, b = (shared.value[k] for k in pairs[key[0].as_py()])
+        y, t, sizes = (np.frombuffer(b"".join(table.column(c).to_pylist()), dtype=d) for c, d in (("y", np.int8), ("t", np.uint16), ("sizes", np.int32)))
+        both = (a if a is b else np.concatenate([np.pad(a, (0, size - len(a))), b])).astype(np.int32)
+        own = by_class(both[t], np.concatenate([[0], np.cumsum(sizes)]), y)
+        jobs = blocks(a) if a is b else [(v, w) for v in parts(a) for w in parts(b)]
+        return pa.table({"term": np.unique(np.concatenate([paired(*own, *x) for x in jobs])).astype(np.int64)})
+
+    dealt = rows.mapInArrow(deal, "pair int, y binary, t binary, sizes binary").repartition(4 * len(pairs), "pair")
+    found = dealt.groupBy("pair").applyInArrow(look, "term long").distinct().toArrow()  # BUCKETS rows at most
     shared.destroy()
     return np.sort(found.column("term").to_numpy())
 
 
 class Machine:
     def __init__(self, rank: int = RANK, seed: int = 7):
-        self.bias, self.w = 0.0, np.zeros(BUCKETS, dtype=np.float32)
-        self.v = np.random.default_rng(seed).normal(0, 0.01, (BUCKETS, rank)).astype(np.float32)
+        self.bias, self.w, self.v = 0.0, np.zeros(BUCKETS, dtype=np.float32), np.empty((BUCKETS, rank), dtype=np.float32)
+        rng = np.random.default_rng(seed)
+        for k in range(0, BUCKETS, 1 << 14):
+            self.v[k : k + (1 << 14)] = rng.normal(0, 0.01, (1 << 14, rank))
+
+    def __getstate__(self) -> tuple:
+        """The terms that have weights, and those."""
+        own = np.flatnonzero((self.w != 0) | self.v.any(axis=1))
+        return self.bias, own, self.w[own], self.v[own]
+
+    def __setstate__(self, state: tuple) -> None:
+        self.bias, own, w, v = state
+        self.w, self.v = np.zeros(BUCKETS, dtype=np.float32), np.zeros((BUCKETS, v.shape[1]), dtype=np.float32)
+        self.w[own], self.v[own] = w, v
 
     def margin(self, t: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         own = self.v[t]
@@ -185,18 +244,17 @@ class Machine:
         return self
 
 
-def _pieces_of_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray]]:
+def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for a, b in pieces(batch.column(1)):
             part = batch.slice(a, b - a)
-            yield part.column(2), *terms(text_bytes(part.column(1)).to_pylist())
+            yield pa.record_batch([part.column(2), packed(*terms(text_bytes(part.column(1)).to_pylist()))], names=["y", "t"])
 
 
 def _term_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows of each class that have a term, and (bucket BUCKETS) rows of each class."""
     counts = np.zeros((2, BUCKETS + 1), dtype=np.int64)
-    for y, t, at in _pieces_of_terms(batches):
-        y = y.to_numpy(zero_copy_only=False)
+    for y, t, at in map(unpacked, batches):
         for k in (0, 1):
             counts[k] += np.bincount(t[np.repeat(y == k, np.diff(at))], minlength=BUCKETS + 1)
             counts[k, BUCKETS] += np.count_nonzero(y == k)
@@ -204,40 +262,43 @@ def _term_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.record_batch([pa.array(own, pa.int32()), pa.array(counts[0, own]), pa.array(counts[1, own])], names=["term", "d0", "d1"])
 
 
-def _terms(shared) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _only(shared, kind: type) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The rows with the wanted terms only, as their places among those."""
+
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        wanted = shared.value
-        for y, t, at in _pieces_of_terms(batches):
-            keep = np.concatenate([[0], np.cumsum(wanted[t])])
-            own, at = t[wanted[t]].astype(np.int32), keep[at]
-            yield pa.record_batch([y, pa.array([own[a:b].tobytes() for a, b in zip(at[:-1], at[1:], strict=True)], pa.binary())], names=["y", "t"])
+        place = np.full(BUCKETS, -1, dtype=np.int32)
+        place[shared.value] = np.arange(len(shared.value))
+        for batch in batches:
+            _, t, at = unpacked(batch)
+            own = place[t]
+            yield pa.record_batch([batch.column(0), packed(own[own >= 0], np.concatenate([[0], np.cumsum(own >= 0)])[at], kind)], names=["y", "t"])
 
     return send
 
 
 def train(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE) -> Machine:
-    """The machine of the labelled sample. Its rows come to the driver with those terms only that can get a weight, which
-    a count of BUCKETS rows at most has picked."""
+    """The machine of the labelled sample. Its rows are kept on the executors as packed terms, and come to the driver with
+    those terms only that get a weight: a count of BUCKETS rows at most and the pairs found in tasks have picked them."""
     spark = docs.sparkSession
     bound_batches(spark)
-    sample = labelled(docs, labels, "toxic", rows)
+    sample = labelled(docs, labels, "toxic", rows).mapInArrow(_pack, "y int, t binary").persist()
     counts = sample.mapInArrow(_term_counts, "term int, d0 long, d1 long").groupBy("term").agg(F.sum("d0").alias("d0"), F.sum("d1").alias("d1")).toArrow()
     d = np.zeros((2, BUCKETS + 1), dtype=np.int64)
     for k in (0, 1):
         d[k, counts.column("term").to_numpy()] = counts.column(f"d{k}").to_numpy()
     n0, n1 = d[:, BUCKETS].tolist()
     d = d[:, :BUCKETS]
-    wanted = screen(d[1], d[0], n1, n0)
-    counted = counted_terms(d.sum(axis=0), n0 + n1)
-    wanted[counted] = True
-    sample = sample.mapInArrow(_terms(spark.sparkContext.broadcast(wanted)), "y int, t binary").toArrow()
-    y, own = sample.column("y").to_numpy(), [np.frombuffer(x, dtype=np.int32) for x in sample.column("t").to_pylist()]
+    pairs = paired_in_tasks(sample, counted_terms(d.sum(axis=0), n0 + n1))
+    wanted = np.union1d(np.flatnonzero(screen(d[1], d[0], n1, n0)), pairs)
+    shared, kind = spark.sparkContext.broadcast(wanted), np.uint16 if len(wanted) <= 1 << 16 else np.int32
+    y, t, at = unpacked(sample.mapInArrow(_only(shared, kind), "y int, t binary").toArrow(), kind)
+    shared.destroy()
+    sample.unpersist()
     if not len(y):
         out = Machine()
         out.bias, out.v = -1e-6, np.zeros_like(out.v)
         return out
-    t, at, y = np.concatenate(own), np.cumsum([0, *map(len, own)]), y.astype(np.float64)
-    return Machine().fit(t, at, y, pairs=all_paired(t, at, y, counted, spark))
+    return Machine().fit(wanted[t].astype(np.int32), at, y.astype(np.float64), pairs=pairs)
 
 
 def _scorer(shared, text_at: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:

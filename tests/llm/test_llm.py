@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import pickle
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -270,6 +271,26 @@ def test_machine_learns_exclusive_or_among_frequent_words(spark):
     assert ((model.scores(t[at[4000] :], at[4000:] - at[4000]) > 0.5) == (y[4000:] > 0)).mean() > 0.95
 
 
+def test_toxicity_keeps_its_sample_off_the_driver(spark, monkeypatch):
+    """What comes to the driver and what it broadcasts is counts and telling terms, not the sample; the model is that of one process."""
+    rng = np.random.default_rng(6)
+    kinds = rng.integers(0, 4, 2500)
+    neutral = np.array(["n%03d" % j for j in range(900)])
+    xs = [" ".join([*(["alpha"] if k & 1 else []), *(["gamma"] if k & 2 else []), *neutral[rng.random(900) < 0.6]]) for k in kinds]
+    y = np.isin(kinds, (1, 2)).astype(int).tolist()
+    docs = spark.createDataFrame(list(enumerate(xs)), "doc_id long, text string")
+    labels = spark.createDataFrame(list(enumerate(y)), "doc_id long, toxic int")
+    moved, collect, broadcast = [], type(docs).toArrow, type(spark.sparkContext).broadcast
+    monkeypatch.setattr(type(docs), "toArrow", lambda self: [table := collect(self), moved.append(table.nbytes)][0])
+    monkeypatch.setattr(type(spark.sparkContext), "broadcast", lambda self, value: [moved.append(len(pickle.dumps(value))), broadcast(self, value)][1])
+    model = toxicity.train(docs, labels)
+    assert toxicity.score(docs, model).where("toxicity >= 0.5").count() > 500
+    assert sum(moved) < 1_000_000
+    learnt = [i for i in range(len(xs)) if zlib.crc32(str(i).encode()) % 5]
+    alone = toxicity.Machine().fit(*toxicity.terms([xs[i].encode() for i in learnt]), np.array([y[i] for i in learnt], dtype=float))
+    assert model.bias == alone.bias and (model.w == alone.w).all() and (model.v == alone.v).all() and len(np.flatnonzero(model.w)) >= 2
+
+
 def average_precision(scores, truth):
     own = np.asarray(truth, dtype=float)[np.argsort(-np.asarray(scores), kind="stable")]
     return float((np.cumsum(own) / np.arange(1, len(own) + 1) * own).sum() / own.sum())
